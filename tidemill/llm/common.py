@@ -108,3 +108,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Kept:
+    """A store of at most twice ``half`` entries in two generations: what was used lately stays, the rest goes."""
+
+    def __init__(self, half: int):
+        self.half = half
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
+    """``df``, with the session set to hand Python at most ``rows`` rows at once: texts may be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

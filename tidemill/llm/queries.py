@@ -3,17 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import mixing
-from tidemill.llm.common import Query, table
+from tidemill.llm import decontam, mixing, tokenbin, tokencounts
+from tidemill.llm.common import Query, small_batches, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = tokenbin.write_token_files(small_batches(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenbin.read_token_files(manifest)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(small_batches(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokencounts.prefix_token_counts(small_batches(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), keep_prefixes=False)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {f.__name__: f for f in (op1_mix_sources, op4_token_files, op6_decontaminate, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
