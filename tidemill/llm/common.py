@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         change = np.zeros(batch.num_rows, dtype=bool)
         columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
         for c in columns:
-            same = np.asarray(pa.compute.equal(c.slice(1), c.slice(0, batch.num_rows - 1)).fill_null(False)) if batch.num_rows > 1 else np.zeros(0, bool)
+            same = np.asarray(pc.equal(c.slice(1), c.slice(0, batch.num_rows - 1)).fill_null(False)) if batch.num_rows > 1 else np.zeros(0, bool)
             change[1:] |= ~same.astype(bool)
         starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         for a, b in zip(starts, starts[1:], strict=False):
@@ -136,3 +137,10 @@ def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     """``df``, with the session set to hand Python at most ``rows`` rows at once: texts may be very long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for the 256 bytes in a byte-level vocabulary: printable ones for themselves, then from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}

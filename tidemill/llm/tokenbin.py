@@ -12,8 +12,10 @@ ids stay, ordered by text; an empty table gives an empty manifest. Other columns
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,8 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept, open_fs, spool, work_path
+from tidemill.llm.common import Kept, byte_alphabet, open_fs, spool, work_path
 
+#: Below this character, letters are Latin and every Unicode version agrees on them.
+LATIN_END = "\u0250"
 MAGIC = b"TMTOKIDX"
 MANIFEST = "part int, path string, dtype string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -43,12 +47,34 @@ class SpacedEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.max_piece = Tokenizer.from_file(path), dtype, max_piece
+        self.tokenizer, self.code, self.max_piece = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], max_piece
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])], [n["type"] for n in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.model = self.tokenizer.model if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) else None
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.kept = Kept(max_entries)
 
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a piece that is one Latin word, by the model alone; None for others."""
+        if piece.isascii():
+            if not piece.isalpha():
+                return None
+            symbols = piece.lower()
+        else:
+            symbols = piece.lower()
+            if not symbols.isalpha() or max(piece) >= LATIN_END or not unicodedata.is_normalized("NFC", piece):
+                return None
+            symbols = "".join(map(self.alphabet.__getitem__, symbols.encode()))
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False) if pieces else []
-        return {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(pieces, found, strict=True)}
+        out = {p: self._word(p) if self.model is not None else None for p in pieces}
+        rest = [p for p, b in out.items() if b is None]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            out[p] = struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
+        return out
 
     def encode(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")

@@ -25,20 +25,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept
+from tidemill.llm.common import Kept, byte_alphabet
 
 # Unicode's White_Space, and the pre-tokenizer's pattern of byte-level BPE as published with GPT-2.
 WHITE = "\t-\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The characters that stand for the 256 bytes in a byte-level vocabulary: printable ones for themselves, then from 256 on."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Counts at every prefix for a byte-level BPE tokenizer file of the tokenizers library."""
 
@@ -47,7 +40,7 @@ class PrefixCounter:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] is not None:
             raise ValueError(f"{path} is not a byte-level BPE tokenizer")
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         vocabulary = {as_bytes(t) for t in spec["model"]["vocab"]}
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
