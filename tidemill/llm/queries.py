@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontam, mixing, tokenbin, tokencounts
+from tidemill.llm import decontam, mixing, ngramjoin, sharding, tokenbin, tokencounts, warc
 from tidemill.llm.common import Query, small_batches, table
 
 
@@ -13,6 +13,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(small_batches(table(spark, sf_dir, "pages")))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +33,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(small_batches(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(small_batches(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +45,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_token_files, op6_decontaminate, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op6_decontaminate, op7_ngram_jaccard, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
