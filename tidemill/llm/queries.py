@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontam, mixing, ngramjoin, sharding, tokenbin, tokencounts, warc
+from tidemill.llm import decontam, embednear, mixing, ngramjoin, sharding, tokenbin, tokencounts, warc
 from tidemill.llm.common import Query, small_batches, table
 
 
@@ -37,6 +37,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(small_batches(table(spark, sf_dir, "documents")))
 
 
+def op8_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embednear.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op6_decontaminate, op7_ngram_jaccard, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op6_decontaminate, op7_ngram_jaccard, op8_embedding_near, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
