@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontam, embednear, mixing, ngramjoin, sharding, tokenbin, tokencounts, warc
+from tidemill.llm import decontam, embednear, linededup, mixing, ngramjoin, quality, sharding, tokenbin, tokencounts, warc
 from tidemill.llm.common import Query, small_batches, table
 
 
@@ -29,6 +29,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_token_files(manifest)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(small_batches(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -48,8 +53,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(small_batches(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op6_decontaminate, op7_ngram_jaccard, op8_embedding_near, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op5_line_dedup, op6_decontaminate, op7_ngram_jaccard, op8_embedding_near, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
