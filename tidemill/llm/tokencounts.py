@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept, byte_alphabet
+from tidemill.llm.common import LATIN_END, Kept, byte_alphabet
 
 # Unicode's White_Space, and the pre-tokenizer's pattern of byte-level BPE as published with GPT-2.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -35,7 +36,7 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N
 class PrefixCounter:
     """Counts at every prefix for a byte-level BPE tokenizer file of the tokenizers library."""
 
-    def __init__(self, path: str, max_entries: int = 200_000, max_piece: int = 40):
+    def __init__(self, path: str, max_entries: int = 500_000, max_piece: int = 40):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] is not None:
@@ -67,7 +68,7 @@ class PrefixCounter:
         return parts
 
     def _is_pair(self, a: bytes, b: bytes) -> bool:
-        if len(self.pairs) > 4 * self.max_entries:
+        if len(self.pairs) > self.max_entries:
             self.pairs.clear()
         found = self.pairs[a, b] = self._merge(a + b) == [a, b]
         return found
@@ -145,9 +146,17 @@ class PrefixCounter:
                 out.append(base)
         return out
 
+    def _piece_counts(self, text: str) -> list[int] | bytes:
+        """``counts`` of a piece; a space, one Latin word and at most a comma or full stop need no pre-tokenizer."""
+        word = text[:-1] if text[-1] in ".," else text
+        if word[:1] == " " and word[1:].isalpha() and max(word) < LATIN_END:
+            counts = self.word_counts(word)
+            return counts if word is text else [*counts, counts[-1] + 1]
+        return self.counts(text)
+
     def _deltas(self, text: str) -> bytes:
-        counts = self.counts(text)
-        return struct.pack(f"<{len(counts)}h", *map(int.__sub__, counts, [0, *counts[:-1]]))
+        counts = self._piece_counts(text)
+        return struct.pack(f"<{len(counts)}h", counts[0], *map(sub, counts[1:], counts))
 
     def _look_up(self, kept: Kept, key: str, text: str) -> bytes:
         found = kept.get(key)
@@ -166,8 +175,8 @@ class PrefixCounter:
             try:
                 return first + b"".join(map(self.pieces.new.__getitem__, pieces))
             except KeyError:
-                get = self.pieces.get
-                found = {p: get(p) for p in set(pieces)}
+                at_once, get = self.pieces.new.get, self.pieces.get
+                found = {p: at_once(p) or get(p) for p in set(pieces)}
                 if all(b is not None or self._is_plain(p) for p, b in found.items()):
                     for p, b in found.items():
                         if b is None:
