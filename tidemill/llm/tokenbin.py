@@ -26,10 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept, byte_alphabet, open_fs, spool, work_path
+from tidemill.llm.common import LATIN_END, Kept, byte_alphabet, open_fs, spool, work_path
 
-#: Below this character, letters are Latin and every Unicode version agrees on them.
-LATIN_END = "\u0250"
 MAGIC = b"TMTOKIDX"
 MANIFEST = "part int, path string, dtype string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -43,7 +41,7 @@ class SpacedEncoder:
     number of the pieces used lately.
     """
 
-    def __init__(self, path: str, dtype: str, max_entries: int = 300_000, max_piece: int = 40):
+    def __init__(self, path: str, dtype: str, max_entries: int = 1_000_000, max_piece: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,8 +80,8 @@ class SpacedEncoder:
             return b"".join(map(self.kept.new.__getitem__, pieces))
         except KeyError:
             pass
-        get = self.kept.get
-        found = {p: get(p) for p in set(pieces)}
+        at_once, get = self.kept.new.get, self.kept.get
+        found = {p: at_once(p) or get(p) for p in set(pieces)}
         missing = [p for p, b in found.items() if b is None]
         if missing:
             # A letter ends a word before a full stop or comma, so the word alone may be known; case doesn't matter.
