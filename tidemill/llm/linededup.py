@@ -59,7 +59,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50, seed_words: int = 25
     text = F.col(text_col)
     kept = F.filter(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(_trimmed(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda s: s["w"] > 0)
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), kept.alias("l")).filter("l is not null")
-    lines = spool(lines.select("doc_id", "text_hash", F.transform("l", lambda s: s["h"]).alias("h"), F.transform("l", lambda s: s["w"]).alias("w")), "lines")
+    lines = lines.select("doc_id", "text_hash", F.transform("l", lambda s: s["h"]).alias("h"), F.transform("l", lambda s: s["w"]).alias("w"))
     runs = spool(_runs(lines, min_words, seed_words), "line-runs")
     # A document counts once for a fingerprint and place, and repeated rows count once, so that only true repeats remain.
     selected = runs.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start")).alias("last"))
