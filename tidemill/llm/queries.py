@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontam, embednear, linededup, mixing, ngramjoin, quality, sharding, tokenbin, tokencounts, warc
+from tidemill.llm import decontam, embednear, linededup, mixing, ngramjoin, oracles, quality, sharding, tokenbin, tokencounts, warc
 from tidemill.llm.common import Query, small_batches, table
 
 
@@ -62,4 +62,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
