@@ -33,7 +33,7 @@ def simple(name: str, sql: str):
 simple("a01_select", "SELECT row_id, price FROM b")(lambda b: B.select(b, ["price"]))
 simple("a02_pop", "SELECT row_id, k, uid, status FROM b")(lambda b: B.pop(b, ["price"])[1])
 simple("a03_rename", "SELECT row_id, k AS order_key, uid AS customer, price, status FROM b")(lambda b: B.rename(b, ["k", "uid"], ["order_key", "customer"]))
-simple("a04_gather", "SELECT p.ord AS row_id, k FROM (VALUES (0, 5), (1, 0), (2, 5), (3, -1)) p(ord, place) JOIN b ON b.row_id = CASE WHEN place < 0 THEN place + (SELECT n FROM c) ELSE place END")(lambda b: B.gather_list(b, [5, 0, 5, -1]).select("row_id", "k"))
+simple("a04_gather", "SELECT CAST(p.ord AS BIGINT) AS row_id, k FROM (VALUES (0, 5), (1, 0), (2, 5), (3, -1)) p(ord, place) JOIN b ON b.row_id = CASE WHEN place < 0 THEN place + (SELECT n FROM c) ELSE place END")(lambda b: B.gather_list(b, [5, 0, 5, -1]).select("row_id", "k"))
 simple("a04_mask", "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, k FROM b WHERE status = 'F'")(lambda b: B.mask_rows(b, F.col("status") == "F").select("row_id", "k"))
 simple("a05_slice", "SELECT row_number() OVER (ORDER BY row_id DESC) - 1 AS row_id, k FROM b, c WHERE row_id <= n - 10 AND row_id > 20 AND (n - 10 - row_id) % 3 = 0")(lambda b: B.slice_rows(b, -10, 20, -3).select("row_id", "k"))
 simple("a06_getitem", "SELECT 0::BIGINT AS row_id, k FROM b, c WHERE row_id = n - 2")(lambda b: B.item(b, -2).select("row_id", "k"))
@@ -42,7 +42,7 @@ simple("a08_repeat_interleaved", "SELECT row_id * 3 + i AS row_id, k FROM b, ran
 simple("a09_repeat_stacked", "SELECT i * n + row_id AS row_id, k FROM b, c, range(3) t(i)")(lambda b: B.repeat(b, 3, interleave=False).select("row_id", "k"))
 simple("a10_repeat_each", "SELECT row_number() OVER (ORDER BY row_id, i) - 1 AS row_id, k FROM b, range(3) t(i) WHERE i < k % 4")(lambda b: B.repeat_each(b.withColumn("times", F.col("k") % 4), "times").select("row_id", "k"))
 simple("a12_fold_unfold", "SELECT row_id, k FROM b WHERE row_id < 600")(lambda b: B.unfold_rows(B.fold(S.head(b, 600), 4, ["k"]), ["k"]))
-simple("a12_fold", "SELECT row_id // 4 AS row_id, sum(k * (row_id % 4 + 1)) AS x FROM b WHERE row_id < 600 GROUP BY 1")(lambda b: B.fold(S.head(b, 600), 4, ["k"]).select("row_id", F.aggregate(F.transform("k", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("x")))
+simple("a12_fold", "SELECT row_id // 4 AS row_id, CAST(sum(k * (row_id % 4 + 1)) AS BIGINT) AS x FROM b WHERE row_id < 600 GROUP BY 1")(lambda b: B.fold(S.head(b, 600), 4, ["k"]).select("row_id", F.aggregate(F.transform("k", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("x")))
 simple("a13_chunk", "SELECT row_id, CAST(row_id // CAST(ceil(n / 7.0) AS BIGINT) AS INT) AS chunk FROM b, c")(lambda b: B.chunk(b, 7, padded=True).select("row_id", "chunk"))
 simple("a14_split", "SELECT row_id, CAST(row_id // 64 AS INT) AS chunk FROM b")(lambda b: B.split(b, 64).select("row_id", "chunk"))
 simple("a15_mini_batches", "SELECT row_id, CAST(e AS INT) AS epoch, CAST(row_id // 100 AS INT) AS batch, CAST(row_id % 100 AS INT) AS place FROM b, range(2) t(e) WHERE row_id < 500")(lambda b: B.mini_batches(S.head(b, 500), 100, epochs=2).select("row_id", "epoch", "batch", "place"))

@@ -294,7 +294,7 @@ def m05_gdpo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "format", "accuracy", F.col("reward_score").alias("score"))
 
 
-@query("m06_rate_limited", "SELECT r_regionkey AS row_id, CASE WHEN r_regionkey = 2 THEN 0 ELSE r_regionkey END::DOUBLE AS score, CASE WHEN r_regionkey = 2 THEN 'ZeroDivisionError' END AS error FROM region")
+@query("m06_rate_limited", "SELECT CAST(r_regionkey AS BIGINT) AS row_id, CASE WHEN r_regionkey = 2 THEN 0 ELSE r_regionkey END::DOUBLE AS score, CASE WHEN r_regionkey = 2 THEN 'ZeroDivisionError' END AS error FROM region")
 def m06_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("row_id"))
     return R.rate_limited(df, lambda row: row["row_id"] + 0 / (row["row_id"] - 2), per_second=1000.0).select("row_id", F.col("reward_score").alias("score"), "error")
