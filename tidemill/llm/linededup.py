@@ -31,24 +31,31 @@ def _lines(text: Column) -> Column:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def _reach(words: Column, start: Column, least: int) -> Column:
-    """How many lines from ``start`` (from 0) on have ``least`` words together, or null; every line has a word."""
-    part = F.slice(words, start + 1, F.lit(least))
-    zero = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
-    step = lambda a, x: F.when(a["w"] >= least, a).otherwise(F.struct((a["w"] + x).alias("w"), (a["n"] + 1).alias("n")))
-    found = F.aggregate(part, zero, step)
-    return F.when(found["w"] >= least, found["n"])
+def _reach(words: Column, start: Column, least: int, first: int = 6) -> Column:
+    """How many lines from ``start`` (from 0) on have ``least`` words together, or null; every line has a word.
+
+    Words and lines are counted in one number (words above the low 20 bits). Few lines are tried first.
+    """
+    unit = 1 << 20
+    step = lambda a, x: F.when(a >= least * unit, a).otherwise(a + x.cast("long") * unit + 1)
+    among = lambda n: F.aggregate(F.slice(words, start + 1, F.lit(n)), F.lit(0).cast("long"), step)
+    lines = lambda a: F.when(a >= least * unit, (a % unit).cast("int"))
+    few = lines(among(min(first, least)))
+    return F.coalesce(few, F.when(F.size(words) > start + first, lines(among(least)))) if least > first else few
 
 
 def _runs(lines: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     """(doc_id, text_hash, start, length, run, seed): every run and its selected fingerprint."""
-    every = F.sequence(F.lit(0), F.size("h") - 1)
-    seed_at = lambda q: F.struct(_reach(F.col("w"), q, seed_words).alias("n"), q.alias("q"))
-    seeded = lines.filter(F.size("h") > 0).withColumn("seeds", F.transform(F.transform(every, seed_at), lambda s: F.when(s["n"].isNotNull(), F.struct((s["q"] + s["n"]).alias("end"), F.xxhash64(F.slice("h", s["q"] + 1, s["n"])).alias("hash")))))
-    starts = seeded.withColumn("start", F.explode(every)).withColumn("length", _reach(F.col("w"), F.col("start"), min_words)).filter("length is not null")
+    # Costly arrays are made below the explosion and only looked up above it: filters are pushed down with the expressions
+    # of the columns that they name, and would compute these again.
+    every = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))
+    reach = lambda least: F.transform(every, lambda q: _reach(F.col("w"), q, least))
+    seeds = F.transform(reach(seed_words), lambda n, q: F.when(n.isNotNull(), F.struct((q + n).alias("end"), F.xxhash64(F.slice("h", q + 1, n)).alias("hash"))))
+    made = lines.withColumns({"seeds": seeds, "reach": reach(min_words)})
+    starts = made.select("doc_id", "text_hash", "h", "seeds", "reach", F.explode(every).alias("start")).withColumn("length", F.get("reach", F.col("start"))).filter("length is not null")
     inside = F.filter(F.slice("seeds", F.col("start") + 1, F.col("length")), lambda s: s["end"] <= F.col("start") + F.col("length"))
     run = F.slice("h", F.col("start") + 1, F.col("length"))
     return starts.select("doc_id", "text_hash", "start", "length", F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(7), run).alias("b")).alias("run"), F.array_min(F.transform(inside, lambda s: s["hash"])).alias("seed"))
@@ -58,8 +65,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50, seed_words: int = 25
     """(doc_id, text_hash, removed): the places of deleted lines among the lines with words, for documents that lose any."""
     text = F.col(text_col)
     kept = F.filter(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(_trimmed(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda s: s["w"] > 0)
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), kept.alias("l")).filter("l is not null")
-    lines = lines.select("doc_id", "text_hash", F.transform("l", lambda s: s["h"]).alias("h"), F.transform("l", lambda s: s["w"]).alias("w"))
+    lines = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), kept.alias("l"))
+    lines = spool(lines.select("doc_id", "text_hash", F.transform("l", lambda s: s["h"]).alias("h"), F.transform("l", lambda s: s["w"]).alias("w")), "lines")
     runs = spool(_runs(lines, min_words, seed_words), "line-runs")
     # A document counts once for a fingerprint and place, and repeated rows count once, so that only true repeats remain.
     selected = runs.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start")).alias("last"))
