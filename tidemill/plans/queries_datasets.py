@@ -221,10 +221,10 @@ def j02_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(merge_dicts({"a": 1}, {"a": 1, "b": 2}).items()), "k string, v int")
 
 
-@query("j03_group_broadcast", "SELECT o_orderkey AS row_id, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) + 0.0 AS mean FROM orders")
+@query("j03_group_broadcast", "SELECT o_orderkey AS row_id, round(avg(o_totalprice / 97003e0) OVER (PARTITION BY o_custkey), 6) + 0.0 AS mean FROM orders")
 def j03_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"), "o_totalprice")
-    return E.with_group(o, mean=F.avg("o_totalprice")).select("row_id", (F.round("mean", 4) + 0.0).alias("mean"))
+    return E.with_group(o, mean=F.avg(F.col("o_totalprice") / 97003.0)).select("row_id", rounded("mean").alias("mean"))
 
 
 @query("j04_session_to_rows", "SELECT o_orderkey AS row_id, max_by(o_totalprice, o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey // 4) AS last FROM orders")

@@ -14,11 +14,11 @@ from tidemill.plans.fixtures import rounded, table
 from tidemill.streaming import queues as Q
 from tidemill.streaming import replay as Y
 
-ROWS = "WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_custkey AS uid, CAST(o_totalprice / 100 AS BIGINT) % 4000 + 1 AS len FROM orders)"
+ROWS = "WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_custkey AS uid, CAST(floor(o_totalprice / 100) AS BIGINT) % 4000 + 1 AS len FROM orders)"
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("uid"), (F.round(F.col("o_totalprice") / 100).cast("long") % 4000 + 1).alias("len"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("uid"), (F.floor(F.col("o_totalprice") / 100) % 4000 + 1).alias("len"))
     return with_dense_id(o, ["k"]).drop("k")
 
 
