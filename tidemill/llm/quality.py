@@ -124,22 +124,23 @@ def learn_vectors(texts: list[str]) -> WordVectors:
     size = len(shapes) + len(words) + 1
     table = np.zeros((size, DIM), np.float64)
     width = other + 1
-    pairs: Counter[int] = Counter()
-    for t in texts:
+    # How often each word, and each shape, stands at or beside each shape; counted in parts of bounded size.
+    held: list[np.ndarray] = []
+    keys, counted = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k, t in enumerate(texts):
         found = t.split()
-        at = np.array([shape_of[w] for w in found] or [0])
-        rows = [words.get(w, -1) for w in found]
-        for k, r in enumerate(rows):
-            s = at[k]
-            near = (s, at[k - 1] if k else other, at[k + 1] if k + 1 < len(rows) else other)
-            for n in near:
-                if r >= 0:
-                    pairs[r * width + int(n)] += 1
-                pairs[int(s) * width + int(n)] += 1
-    keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
-    weights = np.log1p(np.fromiter(pairs.values(), np.float64, len(pairs)))
-    order = np.argsort(keys)
-    keys, weights = keys[order], weights[order]
+        at = np.array([shape_of[w] for w in found] or [0], np.int64)
+        rows = np.array([words.get(w, -1) for w in found], np.int64)
+        known = rows >= 0
+        edge = np.array([other])
+        for near in (at, np.concatenate([edge, at[:-1]]), np.concatenate([at[1:], edge])):
+            near = near[: len(rows)]
+            held += [rows[known] * width + near[known], at[: len(rows)] * width + near]
+        if k % 500 == 499 or k == len(texts) - 1:
+            fresh, n = np.unique(np.concatenate(held), return_counts=True)
+            merged, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+            keys, counted, held = merged, np.bincount(where, np.concatenate([counted, n]), len(merged)).astype(np.int64), []
+    weights = np.log1p(counted.astype(np.float64))
     for at in range(0, len(keys), 100_000):
         k, w = keys[at : at + 100_000], weights[at : at + 100_000]
         rows = k // width
