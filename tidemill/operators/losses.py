@@ -250,7 +250,7 @@ def _top_rows(tokens: DataFrame, order: list[Column], k: Column) -> DataFrame:
     Tokens are bucketed by quantile of the first key, buckets counted, and only the bucket where ``k`` falls is ranked.
     """
     keyed = tokens.withColumn("_key", order[0])
-    cuts = [float(c) for c in keyed.stat.approxQuantile("_key", [j / 64 for j in range(1, 64)], 0.001)] if tokens else []
+    cuts = [float(c) for c in keyed.stat.approxQuantile("_key", [j / 64 for j in range(1, 64)], 0.001)]
     bucket = F.lit(0)
     for c in sorted(set(cuts)):
         bucket = bucket + F.when(F.col("_key") > c, 1).otherwise(0)
