@@ -135,10 +135,17 @@ class Kept:
         self.new[key] = value
 
 
-def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """``df``, with the session set to hand Python at most ``rows`` rows at once: texts may be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def small_batches(df: DataFrame, rows: int = 256, spread: bool = True, small: int = 256 << 20) -> DataFrame:
+    """``df`` for Python workers, with the session set to hand them at most ``rows`` rows at once: texts may be very long.
+
+    An input of fewer files than cores may be a single row group, which one task reads. Where it is smaller than ``small``
+    bytes it is dealt over all cores first; larger ones are read as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if spread and size < small and 0 < len(df.inputFiles()) < cores else df
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -14,7 +14,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.write_archives(small_batches(table(spark, sf_dir, "pages")))
+    index = warc.write_archives(small_batches(table(spark, sf_dir, "pages"), spread=False))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -25,7 +25,7 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    manifest = tokenbin.write_token_files(small_batches(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    manifest = tokenbin.write_token_files(small_batches(table(spark, sf_dir, "documents"), spread=False), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokenbin.read_token_files(manifest)
 
 
