@@ -64,3 +64,22 @@ def test_schedule_prefixes_follow_the_targets():
     points = [(k * mixing.GOLDEN_STEP) % mixing.GOLDEN_MOD / mixing.GOLDEN_MOD for k in range(5000)]
     for n in (50, 500, 5000):
         assert abs(sum(p < 0.3 for p in points[:n]) / n - 0.3) < 4 / n
+
+
+def test_small_sources_beside_a_large_one(spark):
+    """200 million words by a size column: blocks are of 1024 words, sources of 50 to 3000 words get their targets all the same."""
+    small = {"s050": 50, "s100": 100, "s300": 300, "s700": 700, "s1500": 1500, "s3000": 3000}
+    rows = [("large", k, 1_000_000) for k in range(200)]
+    for s, words in small.items():
+        parts = [words // 7] * 6 + [words - 6 * (words // 7)]
+        rows += [(s, len(rows) + k, n) for k, n in enumerate(parts)]
+    sized = spark.createDataFrame(rows, "source string, doc_id long, size long").withColumn("text_hash", mixing.F.xxhash64("doc_id")).withColumn("h", mixing.shuffle_key(mixing.F.col("doc_id"), 17))
+    found = mixing.mix_sizes(sized).collect()
+    assert len(found) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in found)
+    sizes, taken = Counter(), Counter()
+    for r in found:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = filled(sizes, (5, 2, 1), 3)
+    assert {s: taken[s] for s in small} == {s: round(want[s]) for s in small}
+    assert abs(taken["large"] - want["large"]) <= 0.001 * want["large"]

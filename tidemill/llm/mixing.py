@@ -3,7 +3,9 @@
 Every source's documents are shuffled by a hash and laid end to end as a stream of words, cut into blocks of
 equal size. Slot ``i`` of the schedule takes the golden-ratio point ``frac(i / phi)``, which falls into one
 source's part of the cumulative targets; the ``r``-th slot of a source takes its block ``r mod n_blocks``, and
-a block is taken three times at most. Any prefix of the schedule is close to the target mixture.
+a block is taken three times at most. Any prefix of the schedule is close to the target mixture. A source of fewer
+than ``LEAST_BLOCKS`` blocks is too small to be met by whole slots; its slots are counted in words, so that the first
+``target`` words of its stream, end to end, are taken.
 
 Defined results: null texts and texts without words have size 0 and ``taken`` 0; a null source is a source of
 its own and is last; repeated rows are rows of their own; an empty table gives an empty plan. Only the id, text
@@ -23,6 +25,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: floor(2**31 / golden ratio), made odd: multiples of it modulo 2**31 are the golden-ratio points, exactly.
 GOLDEN_STEP, GOLDEN_MOD = 1327217885, 1 << 31
 HASH_BITS, BUCKET_BITS = 60, 10
+LEAST_BLOCKS = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -76,18 +79,24 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ``max_block`` is the number of words in a block; a corpus too small for ``least_slots`` such blocks gets
     smaller ones. ``taken`` is at most ``max_epochs`` times ``size``.
     """
-    spark = docs.sparkSession
     text = F.col(text_col)
     sized = spool(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"), shuffle_key(F.col(id_col), seed).alias("h")), "mix-sizes")
+    return mix_sizes(sized, weights=weights, max_epochs=max_epochs, max_block=max_block, least_slots=least_slots)
+
+
+def mix_sizes(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, max_block: int = 1024, least_slots: int = 100_000) -> DataFrame:
+    """``mix_plan`` over sizes that are known: doc_id, source, size, text_hash and ``h`` (the shuffle key)."""
+    spark = sized.sparkSession
     targets = spool(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "mix-targets")
     words = targets.agg(F.max("all_words").alias("n")).first()["n"] or 0
     block = max(1, min(max_block, words // least_slots))
     slots = -(-words // block)
 
     # Documents as intervals of their source's shuffled stream, then as pieces of its blocks.
-    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "text_hash", "s", "size", "h", F.shiftright("h", HASH_BITS - BUCKET_BITS).alias("bucket"))
-    placed = _ranked_in_chunks(keyed.filter("size > 0"), ["s"], "bucket", [F.col("h"), F.col("doc_id"), F.col("size"), F.col("text_hash")], F.col("size"), "start")
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
+    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "text_hash", "s", "size", "h", "source_size", F.round("target").cast("long").alias("width"), F.shiftright("h", HASH_BITS - BUCKET_BITS).alias("bucket"))
+    place = lambda rows: _ranked_in_chunks(rows.filter("size > 0"), ["s"], "bucket", [F.col("h"), F.col("doc_id"), F.col("size"), F.col("text_hash")], F.col("size"), "start")
+    small = F.col("source_size") < (LEAST_BLOCKS * block if block > 1 else 0)
+    pieces = place(keyed.filter(~small)).withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
 
     # The schedule: points to sources by an equi-join on cells of the unit interval.
@@ -106,7 +115,11 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     takes = ranked.filter(F.expr(f"r div n_blocks < {max_epochs}")).groupBy("s", (F.col("r") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
 
     taken = pieces.withColumn("overlap", overlap).join(takes, ["s", "block"], "left").groupBy("doc_id", "text_hash", "s", "size", "start").agg(F.sum(F.col("overlap") * F.coalesce("times", F.lit(0))).alias("taken"))
-    taken = taken.drop("start").unionByName(keyed.filter("size = 0").select("doc_id", "text_hash", "s", "size", F.lit(0).cast("long").alias("taken")))
+    taken = taken.drop("start")
+    if block > 1:
+        rest = F.greatest(F.least(F.col("start") + F.col("size"), F.expr("width % source_size")) - F.col("start"), F.lit(0))
+        taken = taken.unionByName(place(keyed.filter(small)).select("doc_id", "text_hash", "s", "size", (F.expr("width div source_size") * F.col("size") + rest).alias("taken")))
+    taken = taken.unionByName(keyed.filter("size = 0").select("doc_id", "text_hash", "s", "size", F.lit(0).cast("long").alias("taken")))
     return taken.join(targets.select("s", "source", "source_size", "target"), "s").select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken")
 
 
