@@ -62,3 +62,39 @@ def test_odd_rows(spark):
     changed = {k for k in before if before[k] != texts[k]}
     assert changed == {5, 8} and texts[5] == "" and texts[0] is None and texts[2] == before[2]
     assert linededup.dedup_lines(no_documents(spark)).count() == 0
+
+
+def whole(rows, least):
+    """doc_id -> numbers of the lines deleted, by looking at all runs of any length with ``least`` words."""
+    first, gone = {}, {}
+    for d, text in sorted(rows):
+        lines = text.split("\n")
+        gone[d] = set()
+        for p in range(len(lines)):
+            for e in range(p + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[p:e]) >= least:
+                    where = first.setdefault(tuple(lines[p:e]), (d, p))
+                    if where[0] != d or p >= where[1] + e - p:
+                        gone[d] |= set(range(p, e))
+    return gone
+
+
+def test_whole_repeats(spark):
+    rng = random.Random(8)
+    made = {}
+    line = lambda name, n: made.setdefault(name, " ".join(f"{name}{rng.randrange(10**6)}" for _ in range(n)))
+    texts = []
+    for name, sizes in (("a", [60, 5]), ("b", [25, 25, 3]), ("c", [60, 20, 20])):
+        passage = [line(f"{name}{k}", n) for k, n in enumerate(sizes)]
+        texts += [[*passage, line(f"{name}x", 9)], [line(f"{name}y", 9), *passage, line(f"{name}z", 9)]]
+    # The first copy of a line goes on otherwise than the second, which the third repeats.
+    texts += [[line("e", 60), line("f", 5)], [line("e", 60), line("g", 5)], [line("h", 7), line("e", 60), line("g", 5)]]
+    few = [line(f"k{k}", n) for k, n in enumerate([55, 30, 20, 8, 5])]
+    texts += [[rng.choice(few) for _ in range(rng.randrange(1, 12))] for _ in range(60)]
+    rows = [(k, "\n".join(x)) for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = whole(rows, 50)
+    assert [len(want[k]) for k in range(9)] == [0, 2, 0, 3, 0, 3, 0, 1, 2]
+    for r in linededup.dedup_lines(docs).collect():
+        kept = [x for k, x in enumerate(texts[r["doc_id"]]) if k not in want[r["doc_id"]]]
+        assert (r["text"], r["n_removed"]) == ("\n".join(kept), len(want[r["doc_id"]]))

@@ -1,15 +1,17 @@
 """Deletes later repeats of runs of lines, by winnowing over line hashes (DataFrame functions only).
 
 Lines are compared after trimming; lines without words count for nothing and are left where they are. A *run* is
-the fewest lines from some line on that have ``min_words`` words together. A run that occurred before, in an
-earlier document (by id) or earlier in its own, without overlapping itself there, is deleted.
+any lines in a row that have ``min_words`` words together. A run that occurred before, in an earlier document (by
+id) or earlier in its own, without overlapping itself there, is deleted. Of the runs, only the fewest lines from some
+line on and the fewest lines up to some line are looked at: a line of a repeated run is in one of these, which is
+repeated with it, so that they delete whole repeats.
 
 1. Fingerprints: hashes of the fewest lines with ``seed_words`` words. Each run selects the least fingerprint
    among those that lie inside it, so equal runs select equal ones, however they are embedded (the guarantee of
    winnowing), and neighbouring runs mostly select the same.
 2. Positions of equal fingerprints are joined by counting them; only runs around repeated ones go on.
 3. These are extended both ways to whole runs, whose hash finds the first occurrence; runs found later are
-   deleted. Overlapping runs together cover a longer repeat exactly.
+   deleted. Overlapping runs together cover a longer repeat exactly, its last lines by runs up to them.
 
 Counts and minima are aggregated before they are shuffled, so a line, passage or document that a third of all
 rows share meets in no task.
@@ -52,10 +54,13 @@ def _runs(lines: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     # Costly arrays are made below the explosion and only looked up above it: filters are pushed down with the expressions
     # of the columns that they name, and would compute these again.
     every = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))
-    reach = lambda least: F.transform(every, lambda q: _reach(F.col("w"), q, least))
-    seeds = F.transform(reach(seed_words), lambda n, q: F.when(n.isNotNull(), F.struct((q + n).alias("end"), F.xxhash64(F.slice("h", q + 1, n)).alias("hash"))))
-    made = lines.withColumns({"seeds": seeds, "reach": reach(min_words)})
-    starts = made.select("doc_id", "text_hash", "h", "seeds", "reach", F.explode(every).alias("start")).withColumn("length", F.get("reach", F.col("start"))).filter("length is not null")
+    reach = lambda words, least: F.transform(every, lambda q: _reach(F.col(words), q, least))
+    seeds = F.transform(reach("w", seed_words), lambda n, q: F.when(n.isNotNull(), F.struct((q + n).alias("end"), F.xxhash64(F.slice("h", q + 1, n)).alias("hash"))))
+    made = lines.withColumns({"seeds": seeds, "reach": reach("w", min_words), "back": reach("back_w", min_words)})
+    onward = F.transform("reach", lambda n, q: F.struct(q.alias("start"), n.alias("length")))
+    upto = F.transform("back", lambda n, q: F.struct((F.size("h") - q - n).alias("start"), n.alias("length")))
+    spans = F.concat(F.filter(onward, lambda s: s["length"].isNotNull()), F.filter(upto, lambda s: F.get("reach", s["start"]) < s["length"]))
+    starts = made.select("doc_id", "text_hash", "h", "seeds", F.explode(spans).alias("span")).select("doc_id", "text_hash", "h", "seeds", "span.start", "span.length")
     inside = F.filter(F.slice("seeds", F.col("start") + 1, F.col("length")), lambda s: s["end"] <= F.col("start") + F.col("length"))
     run = F.slice("h", F.col("start") + 1, F.col("length"))
     return starts.select("doc_id", "text_hash", "start", "length", F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(7), run).alias("b")).alias("run"), F.array_min(F.transform(inside, lambda s: s["hash"])).alias("seed"))
@@ -66,7 +71,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50, seed_words: int = 25
     text = F.col(text_col)
     kept = F.filter(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(_trimmed(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda s: s["w"] > 0)
     lines = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), kept.alias("l"))
-    lines = spool(lines.select("doc_id", "text_hash", F.transform("l", lambda s: s["h"]).alias("h"), F.transform("l", lambda s: s["w"]).alias("w")), "lines")
+    lines = spool(lines.select("doc_id", "text_hash", F.transform("l", lambda s: s["h"]).alias("h"), F.transform("l", lambda s: s["w"]).alias("w"), F.reverse(F.transform("l", lambda s: s["w"])).alias("back_w")), "lines")
     runs = spool(_runs(lines, min_words, seed_words), "line-runs")
     # A document counts once for a fingerprint and place, and repeated rows count once, so that only true repeats remain.
     selected = runs.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start")).alias("last"))
