@@ -48,3 +48,14 @@ def test_shapes_and_vectors():
     assert quality.shape("Word,") == "Aa," and quality.shape("the%%%") == "a%" and quality.shape("Éa12") == "éa0"
     v = quality.index_vector("a")
     assert np.count_nonzero(v) == quality.NONZERO and (v == quality.index_vector("a")).all()
+
+
+def test_long_runs_count_whole(spark, sf_dir):
+    """Texts without white space that agree in their first 64 characters and differ after them."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+    head = "文書7" * 21 + "文"
+    texts = [head, head + "本文" * 500, head + "x9{}" * 500, head + "x9{}" * 499 + "x9{A"]
+    assert len(head) == 64 and len(set(model.scores(texts))) == 4
+    assert quality.words_of(f"a {head}bc\n{'d' * 130}") == ["a", head, "bc", "d" * 64, "d" * 64, "dd"]
+    assert quality.words_of("") == quality.words_of(" \n") == []

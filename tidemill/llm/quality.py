@@ -5,6 +5,7 @@ vector of -1, 0 and 1 that a hash fixes. A word's vector is the sum of the vecto
 around its occurrences in the sample, scaled; a word that the sample doesn't have takes its shape's vector, a shape
 that it doesn't have its own random vector. A document is the mean of its words' vectors, with the square root of
 their variance; a network of two layers gives a logit, which a temperature fitted on rows kept apart divides.
+A run of characters without white space that is longer than ``PIECE`` counts as consecutive words of that length.
 
 The model is fitted on a sample of at most ``sample_rows`` labelled rows of at most ``sample_chars`` characters
 (chosen by a hash of the id). Scoring takes every word of every text. Labels, ids, languages and sources are no
@@ -31,14 +32,21 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import Kept
 
-DIM, NONZERO, MAX_WORDS, MAX_SHAPES = 96, 6, 20_000, 4_000
+DIM, NONZERO, MAX_WORDS, MAX_SHAPES, PIECE = 96, 6, 20_000, 4_000, 64
 _CLASSES = ((re.compile(r"[a-z]"), "a"), (re.compile(r"[A-Z]"), "A"), (re.compile(r"[0-9]"), "0"), (re.compile(r"[^\x00-\x7f]"), "é"))
 _REPEATED = re.compile(r"(.)\1+")
 
 
+def words_of(text: str) -> list[str]:
+    """All of a text, between white space; longer runs than ``PIECE`` in pieces."""
+    words = text.split()
+    if len(max(words, key=len, default="")) <= PIECE:
+        return words
+    return [w[at : at + PIECE] for w in words for at in range(0, len(w), PIECE)]
+
+
 def shape(word: str) -> str:
     """The word's kinds of characters, runs written once: ``Word,`` is ``Aa,``."""
-    word = word[:64]
     for pattern, letter in _CLASSES:
         word = pattern.sub(letter, word)
     return _REPEATED.sub(r"\1", word)
@@ -84,7 +92,7 @@ class WordVectors:
 
     def pooled(self, text: str | None) -> np.ndarray:
         """Mean and deviation of the vectors of all of a text's words."""
-        words = text.split() if text else []
+        words = words_of(text) if text else []
         if not words:
             return np.zeros(2 * DIM, np.float32)
         get, row = self.words.get, self._row
@@ -111,7 +119,7 @@ def learn_vectors(texts: list[str]) -> WordVectors:
     """Random indexing over the sample: sums of the index vectors of the shapes at and around each word."""
     counts: Counter[str] = Counter()
     for t in texts:
-        counts.update(t.split())
+        counts.update(words_of(t))
     by_count = sorted(counts, key=lambda w: (-counts[w], w))
     shape_counts: Counter[str] = Counter()
     for w, n in counts.items():
@@ -128,7 +136,7 @@ def learn_vectors(texts: list[str]) -> WordVectors:
     held: list[np.ndarray] = []
     keys, counted = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for k, t in enumerate(texts):
-        found = t.split()
+        found = words_of(t)
         at = np.array([shape_of[w] for w in found] or [0], np.int64)
         rows = np.array([words.get(w, -1) for w in found], np.int64)
         known = rows >= 0
