@@ -53,6 +53,18 @@ def test_odd_rows(spark):
     assert {0, 1, 2, 4, None} <= ids and not ids & {5, 6, 11}
 
 
+def test_one_row_of_each_group_stays(spark):
+    say = lambda p, n=40: " ".join(f"{p}{k}" for k in range(n))
+    rows = [(1, say("a")), (1, say("a")), (None, say("a")), (None, say("clean")), (None, say("b")), (None, say("b")), (2, say("c")), (3, say("c")), (3, say("other")), (4, say("d")), (4, say("d") + " more"), (5, say("e")), (6, None), (6, None)]
+    docs = spark.createDataFrame([(k, t, str(n)) for n, (k, t) in enumerate(rows)], "doc_id long, text string, source string")
+    found = ngramjoin.keep_one(docs.repartition(3)).collect()
+    kept = Counter((r["doc_id"], r["text"]) for r in found)
+    four = [k for k in kept if k[0] == 4]
+    assert len(four) == 1 and kept.pop(four[0]) == 1
+    assert kept == Counter([(1, say("a")), (None, say("clean")), (None, say("b")), (2, say("c")), (3, say("other")), (5, say("e")), (6, None), (6, None)])
+    assert {r["source"] for r in found} >= {"0", "4"}
+
+
 def test_large_family(spark):
     """A family of near copies larger than a block, with copies, chains and all pairs linked."""
     import random

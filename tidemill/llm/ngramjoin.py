@@ -28,7 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import drop_spool, runs, spool
@@ -96,7 +96,7 @@ def band_hashes(items: np.ndarray, bands: int, rows: int, seeds: tuple[np.ndarra
 
 
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, skey, bands): the set's 128-bit hash, null without words, and its band hashes."""
+    """(doc_id, text_hash, skey, bands): the set's 128-bit hash, null without words, and its band hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(bands, rows)
@@ -106,9 +106,9 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 items = shingles(text.as_py(), n)
                 keys.append(set_key(items.tobytes()) if len(items) else None)
                 signed.append(band_hashes(items, bands, rows, seeds).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "skey", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "text_hash", "skey", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, skey binary, bands binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "doc_id long, text_hash long, skey binary, bands binary")
 
 
 def _cells(members: DataFrame, block: int) -> DataFrame:
@@ -235,9 +235,15 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5, block: int = 192, sign_block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id with an equal set), n_links, component_id (smallest id reachable) and kept."""
+    found = _placed(docs, n=n, least=least, bands=bands, rows=rows, block=block, sign_block=sign_block, id_col=id_col, text_col=text_col)
+    return found.select("doc_id", "class_id", "n_links", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _placed(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5, block: int = 192, sign_block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with text_hash and ``stays``: the least (doc_id, text_hash) of the component, null without a set."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = spool(_signatures(docs, n, bands, rows), "jaccard-signatures")
-    classes = signed.filter("skey is not null").groupBy("skey").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.filter("skey is not null").groupBy("skey").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("stays"))
     classes = spool(classes, "jaccard-classes")
     band_keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.conv(F.hex(F.substring("bands", k * 8 + 1, F.lit(8))), 16, -10).cast("long").alias("hash")))
     spread = classes.select("skey", F.inline(band_keys))
@@ -255,16 +261,30 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: i
     links = spool(_verified(_cells(full, block), bands, least), "jaccard-links")
     totals = links.groupBy("skey").agg(F.sum("links").alias("links"))
     found = connected_components(links.select(F.col("skey").alias("a"), F.col("to").alias("b")))
-    named = found.join(classes.select(F.col("skey").alias("node"), "class_id"), "node")
-    component = named.groupBy("root").agg(F.min("class_id").alias("component_id")).join(found, "root").select(F.col("node").alias("skey"), "component_id")
-    per_class = classes.select("skey", "class_id", "copies").join(totals, "skey", "left").join(component, "skey", "left")
-    per_class = per_class.select("skey", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
-    out = signed.select("doc_id", "skey").join(per_class, "skey", "left")
+    named = found.join(classes.select(F.col("skey").alias("node"), "class_id", "stays"), "node")
+    component = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("stays").alias("component_stays")).join(found, "root").select(F.col("node").alias("skey"), "component_id", "component_stays")
+    per_class = classes.select("skey", "class_id", "copies", "stays").join(totals, "skey", "left").join(component, "skey", "left")
+    per_class = per_class.select("skey", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component_stays", "stays").alias("stays"))
+    out = signed.select("doc_id", "text_hash", "skey").join(per_class, "skey", "left")
     alone = F.col("skey").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents without near duplicates of smaller id, with all their columns; repeated rows of a kept id stay one."""
-    dropped = near_duplicates(docs, id_col=id_col, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_tm_dropped"))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_tm_dropped")), "left_anti")
+    return out.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.struct("stays.doc_id", "stays.text_hash").alias("_first"), alone.alias("alone")).withColumn("stays", F.when(~F.col("alone"), F.col("_first"))).drop("_first", "alone")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns, and every document without any.
+
+    The one of the smallest id stays, of rows that share it the one of the least text hash, of rows that agree in
+    both the first by all columns. Rows without words are in no group and all stay.
+    """
+    key = F.struct("doc_id", "text_hash")
+    placed = _placed(docs, id_col=id_col, text_col=text_col, **how).filter("stays is not null").select(key.alias("_tm_key"), "stays")
+    marked = placed.groupBy("_tm_key").agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
+    marked = spool(marked.select("_tm_key", (F.col("_tm_key") != F.col("stays")).alias("goes"), F.col("rows")).filter("goes or rows > 1"), "jaccard-marked")
+    keyed = docs.withColumn("_tm_key", F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
+    left = keyed.join(marked.filter("goes").select("_tm_key"), "_tm_key", "left_anti")
+    again = marked.filter("not goes").select("_tm_key")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    by_row = Window.partitionBy("_tm_key").orderBy(F.to_json(F.struct(*docs.columns)))
+    one = left.join(again, "_tm_key", "left_semi").withColumn("_tm_row", F.row_number().over(by_row)).filter("_tm_row = 1")
+    return left.join(again, "_tm_key", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
