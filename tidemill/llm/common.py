@@ -1,27 +1,34 @@
-"""Shared helpers: the cluster's shared folder, spooled tables, and file access from executors."""
+"""Shared helpers: the cluster's shared folder, spooled tables, joins with hot keys, and file access from executors."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Below this character, letters are Latin and every Unicode version agrees on them.
 LATIN_END = "\u0250"
+#: A key with more than this part of all rows is hot, so there are fewer hot keys than ``HOT_PART``, whatever the data.
+HOT_PART = 1024
 _OWN_DIR: list[str] = []
+_SPOOLED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests, local mode)."""
+    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tidemill-"))
     return _OWN_DIR[0]
@@ -35,22 +42,86 @@ def work_path(spark: SparkSession, tag: str) -> str:
 def spool(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back, which cuts its lineage.
 
-    Unlike an executor-local cache the table survives the loss of any executor.
+    Unlike an executor-local cache the table survives the loss of any executor. It is deleted by ``drop_spool``,
+    ``drop_spooled_since`` or else when the driver ends.
     """
     path = work_path(df.sparkSession, tag)
+    if not _SPOOLED:
+        atexit.register(drop_spooled_since, 0)
+    _SPOOLED.append((df.sparkSession, path))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.spool_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+
+
 def drop_spool(df: DataFrame) -> None:
     """Delete a spooled table that nothing reads any more."""
-    path = getattr(df, "spool_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+    for k, (spark, path) in enumerate(_SPOOLED):
+        if path == getattr(df, "spool_path", None):
+            del _SPOOLED[k]
+            _delete(spark, path)
+            return
+
+
+def spooled() -> int:
+    """How many spooled tables there are; a mark for ``drop_spooled_since``."""
+    return len(_SPOOLED)
+
+
+def drop_spooled_since(mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables spooled since ``mark``, but for ``keep``."""
+    for spark, path in _SPOOLED[mark:]:
+        if path != getattr(keep, "spool_path", None):
+            try:
+                _delete(spark, path)
+            except Exception as e:  # at the end of the driver its JVM may be gone, and its folder with it
+                if spark.sparkContext._jsc is not None:
+                    raise e
+    _SPOOLED[mark:] = [x for x in _SPOOLED[mark:] if keep is not None and x[1] == keep.spool_path]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before them until none is a column of ``df`` (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_unique(rows: DataFrame, one: DataFrame, keys: list[str], *, weight: str, total: int, outer: bool = False) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has a row for each key; without rows that find none, unless ``outer``.
+
+    ``one`` says in ``weight`` how many rows have the key, of ``total`` (``weight`` isn't in the result). Keys with more
+    than a ``HOT_PART``-th of them, fewer than ``HOT_PART`` by their definition, are broadcast and their rows stay where
+    they are; the others are shuffled, none of which fills a task. Rows with a null in the keys find nothing and aren't
+    shuffled either. ``rows`` is read once for each of these parts, so it should be a table.
+    """
+    is_hot = F.col(weight) * HOT_PART > total
+    extra = [c for c in one.columns if c not in keys and c != weight]
+    hot = F.broadcast(one.filter(is_hot).select(*keys, *extra))  # fewer than HOT_PART rows
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    with_hot = rows.filter(whole).join(hot, keys)
+    cold = rows.filter(whole).join(F.broadcast(one.filter(is_hot).select(*keys)), keys, "left_anti")  # fewer than HOT_PART rows
+    found = with_hot.unionByName(cold.join(one.filter(~is_hot).select(*keys, *extra), keys, "left" if outer else "inner"))
+    if outer:
+        found = found.unionByName(rows.filter(~whole).select("*", *[F.lit(None).cast(one.schema[c].dataType).alias(c) for c in extra]))
+    return found.select(*rows.columns, *extra)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -135,17 +206,15 @@ class Kept:
         self.new[key] = value
 
 
-def small_batches(df: DataFrame, rows: int = 256, spread: bool = True, small: int = 256 << 20) -> DataFrame:
-    """``df`` for Python workers, with the session set to hand them at most ``rows`` rows at once: texts may be very long.
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """``df``, its rows dealt over the cluster's cores where its scan has fewer splits than that; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    An input of fewer files than cores may be a single row group, which one task reads. Where it is smaller than ``small``
-    bytes it is dealt over all cores first; larger ones are read as they are, without a shuffle.
-    """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if spread and size < small and 0 < len(df.inputFiles()) < cores else df
+
+def sql_type(df: DataFrame, column: str) -> str:
+    """The type of a column, for a schema."""
+    return df.schema[column].dataType.simpleString()
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -2,19 +2,20 @@
 
 Lines are compared after trimming; lines without words count for nothing and are left where they are. A *run* is
 any lines in a row that have ``min_words`` words together. A run that occurred before, in an earlier document (by
-id) or earlier in its own, without overlapping itself there, is deleted. Of the runs, only the fewest lines from some
-line on and the fewest lines up to some line are looked at: a line of a repeated run is in one of these, which is
-repeated with it, so that they delete whole repeats.
+id) or earlier in its own, without overlapping itself there, is deleted.
 
-1. Fingerprints: hashes of the fewest lines with ``seed_words`` words. Each run selects the least fingerprint
-   among those that lie inside it, so equal runs select equal ones, however they are embedded (the guarantee of
-   winnowing), and neighbouring runs mostly select the same.
-2. Positions of equal fingerprints are joined by counting them; only runs around repeated ones go on.
-3. These are extended both ways to whole runs, whose hash finds the first occurrence; runs found later are
-   deleted. Overlapping runs together cover a longer repeat exactly, its last lines by runs up to them.
+1. Windows are the fewest lines from each line on, and the fewest lines up to each line, that make a run: any run is
+   a union of windows that lie in it. The hashes of the fewest lines with ``seed_words`` words from a line on are
+   candidates for fingerprints, and each window selects the least of those inside it, so equal windows select equal
+   ones at equal places, however they are embedded (the guarantee of winnowing), and neighbouring windows mostly the same.
+2. The selected positions meet by fingerprint; only windows around a fingerprint with two positions go on.
+3. From its fingerprint a window is extended both ways to its ends: windows match where the fingerprints, the lines
+   before and the lines after them are equal. The first occurrence of each match is found, and joined to the
+   windows that match it; those that come later are deleted. Their union is the whole repeat.
 
-Counts and minima are aggregated before they are shuffled, so a line, passage or document that a third of all
-rows share meets in no task.
+Minima and counts are aggregated before they are shuffled and hot fingerprints are joined by broadcast, so a line,
+passage or document that a third of all rows share meets in no task. All work on a document is linear in its lines.
+Lines are compared by 64-bit hashes: with N different lines, one is taken for some other with probability N / 2**64.
 
 Defined results: a null text stays null and has no lines; empty and blank texts stay; rows that agree in id and text
 are one document and keep the same; null ids come first in order. Other columns may have any name.
@@ -22,10 +23,10 @@ are one document and keep the same; null ids come first in order. Other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import spool
+from tidemill.llm.common import fresh, join_unique, let, spool
 
 
 def _lines(text: Column) -> Column:
@@ -49,42 +50,55 @@ def _reach(words: Column, start: Column, least: int, first: int = 6) -> Column:
     return F.coalesce(few, F.when(F.size(words) > start + first, lines(among(least)))) if least > first else few
 
 
-def _runs(lines: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    """(doc_id, text_hash, start, length, run, seed): every run and its selected fingerprint."""
-    # Costly arrays are made below the explosion and only looked up above it: filters are pushed down with the expressions
-    # of the columns that they name, and would compute these again.
+def _windows(lines: DataFrame, min_words: int, seed_words: int) -> DataFrame:
+    """(doc_id, text_hash, start, length, seed, at, sides): every window with its fingerprint, the fingerprint's first line
+    and a hash of the lines before and after it.
+
+    All is made inside the row and exploded once, so that no row carries a document's arrays along.
+    """
     every = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))
     reach = lambda words, least: F.transform(every, lambda q: _reach(F.col(words), q, least))
-    seeds = F.transform(reach("w", seed_words), lambda n, q: F.when(n.isNotNull(), F.struct((q + n).alias("end"), F.xxhash64(F.slice("h", q + 1, n)).alias("hash"))))
-    made = lines.withColumns({"seeds": seeds, "reach": reach("w", min_words), "back": reach("back_w", min_words)})
-    onward = F.transform("reach", lambda n, q: F.struct(q.alias("start"), n.alias("length")))
-    upto = F.transform("back", lambda n, q: F.struct((F.size("h") - q - n).alias("start"), n.alias("length")))
-    spans = F.concat(F.filter(onward, lambda s: s["length"].isNotNull()), F.filter(upto, lambda s: F.get("reach", s["start"]) < s["length"]))
-    starts = made.select("doc_id", "text_hash", "h", "seeds", F.explode(spans).alias("span")).select("doc_id", "text_hash", "h", "seeds", "span.start", "span.length")
-    inside = F.filter(F.slice("seeds", F.col("start") + 1, F.col("length")), lambda s: s["end"] <= F.col("start") + F.col("length"))
-    run = F.slice("h", F.col("start") + 1, F.col("length"))
-    return starts.select("doc_id", "text_hash", "start", "length", F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(7), run).alias("b")).alias("run"), F.array_min(F.transform(inside, lambda s: s["hash"])).alias("seed"))
+    seed = lambda n, q: F.when(n.isNotNull(), F.struct(F.xxhash64(F.slice("h", q + 1, n)).alias("hash"), q.alias("at"), (q + n).alias("end")))
+    onward = lambda ahead: F.transform(ahead, lambda n, q: F.struct(q.alias("start"), n.alias("length")))
+    upto = F.transform(reach("back_w", min_words), lambda n, q: F.struct((F.size("h") - q - n).alias("start"), n.alias("length")))
+    spans = lambda ahead: F.concat(F.filter(onward(ahead), lambda s: s["length"].isNotNull()), F.filter(upto, lambda s: F.get(ahead, s["start"]) < s["length"]))
+
+    def window(span: Column, seeds: Column) -> Column:
+        end = span["start"] + span["length"]
+        chosen = F.array_min(F.filter(F.slice(seeds, span["start"] + 1, span["length"]), lambda s: s["end"] <= end))
+        before = F.slice("h", span["start"] + 1, chosen["at"] - span["start"])
+        after = F.slice("h", chosen["end"] + 1, end - chosen["end"])
+        sides = F.struct(F.xxhash64(before, F.size(before), after, span["length"]).alias("a"), F.xxhash64(F.lit(7), after, span["length"], F.size(before), before).alias("b"))
+        return F.struct(span["start"].alias("start"), span["length"].alias("length"), chosen["hash"].alias("seed"), chosen["at"].alias("at"), sides.alias("sides"))
+
+    found = let(reach("w", min_words), lambda ahead: let(F.transform(reach("w", seed_words), seed), lambda seeds: F.transform(spans(ahead), lambda span: window(span, seeds))))
+    return lines.select("doc_id", "text_hash", F.explode(found).alias("x")).select("doc_id", "text_hash", "x.*")
 
 
 def repeated_lines(docs: DataFrame, *, min_words: int = 50, seed_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, removed): the places of deleted lines among the lines with words, for documents that lose any."""
+    """(doc_id, text_hash, removed): stretches (from, upto) of deleted lines among the lines with words, in order, for
+    documents that lose any."""
     text = F.col(text_col)
     kept = F.filter(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(_trimmed(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda s: s["w"] > 0)
     lines = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), kept.alias("l"))
     lines = spool(lines.select("doc_id", "text_hash", F.transform("l", lambda s: s["h"]).alias("h"), F.transform("l", lambda s: s["w"]).alias("w"), F.reverse(F.transform("l", lambda s: s["w"])).alias("back_w")), "lines")
-    runs = spool(_runs(lines, min_words, seed_words), "line-runs")
-    # A document counts once for a fingerprint and place, and repeated rows count once, so that only true repeats remain.
-    selected = runs.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start")).alias("last"))
-    repeated = selected.filter(~F.col("first").eqNullSafe(F.col("last"))).select("seed")
-    extended = runs.join(repeated, "seed", "left_semi")
-    place = F.struct("doc_id", "text_hash", "start")
-    first = extended.groupBy("run").agg(F.min(F.struct("doc_id", "text_hash", "start", "length")).alias("first"), F.max(place).alias("last")).filter(~F.struct("first.doc_id", "first.text_hash", "first.start").eqNullSafe(F.col("last"))).select("run", "first")
-    found = extended.join(first, "run")
+    windows = spool(_windows(lines, min_words, seed_words), "line-windows")
+    total = windows.count()
+    # Repeated rows of a document are at one place, so that only true repeats have two.
+    place = lambda at: F.struct("doc_id", "text_hash", at)
+    met = windows.groupBy("seed").agg(F.min(place("at")).alias("first"), F.max(place("at")).alias("last"), F.count("*").alias("n"))
+    met = spool(met.filter(~F.col("first").eqNullSafe(F.col("last"))).select("seed", "n"), "line-seeds")
+    around = spool(join_unique(windows, met, ["seed"], weight="n", total=total), "line-around")
+    matched = around.groupBy("seed", "sides").agg(F.min(F.struct("doc_id", "text_hash", "start", "length")).alias("first"), F.max(place("start")).alias("last"), F.count("*").alias("n"))
+    matched = spool(matched.filter(~F.struct("first.doc_id", "first.text_hash", "first.start").eqNullSafe(F.col("last"))).select("seed", "sides", "n", "first"), "line-matches")
+    found = join_unique(around, matched, ["seed", "sides"], weight="n", total=total)
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     later = found.filter(~own | (F.col("start") >= F.col("first.start") + F.col("first.length")))
-    spans = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
-    covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    return spans.select("doc_id", "text_hash", F.array_sort(F.array_distinct(covered)).alias("removed"))
+    # Of overlapping windows each adds the lines beyond those before it.
+    in_document = Window.partitionBy("doc_id", "text_hash").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    ends = later.select("doc_id", "text_hash", "start", "length", (F.col("start") + F.col("length")).alias("upto")).withColumn("reached", F.coalesce(F.max("upto").over(in_document), F.lit(0)))
+    stretches = ends.filter("upto > reached").select("doc_id", "text_hash", F.struct(F.greatest("start", "reached").alias("from"), "upto").alias("stretch"))
+    return stretches.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("stretch")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 50, seed_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,16 +106,21 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 50, seed_words: int = 25, i
 
     A document that loses all its lines with words has an empty text. Clashing columns of those names are replaced.
     """
+    key, removed, result = fresh(docs, "key", "removed", "result")
     found = repeated_lines(docs, min_words=min_words, seed_words=seed_words, id_col=id_col, text_col=text_col)
-    found = found.select(F.struct("doc_id", "text_hash").alias("_tm_key"), F.col("removed").alias("_tm_removed"))
-    keyed = docs.withColumn("_tm_key", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
-    joined = keyed.join(found, keyed["_tm_key"].eqNullSafe(found["_tm_key"]), "left").drop("_tm_key")
-    lines = _lines(F.col(text_col))
-    with_words = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(r"\S")), i)), lambda i: i.isNotNull())
-    places = F.transform("_tm_removed", lambda r: F.element_at(with_words, r + 1))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
-    rest = F.array_join(F.transform(stay, lambda k: F.element_at(lines, k + 1)), "\n")
-    rest = F.when(F.size(with_words) == F.size("_tm_removed"), F.lit("")).otherwise(rest)
-    out = joined.withColumns({"_tm_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_tm_text": F.when(F.col("_tm_removed").isNull(), F.col(text_col)).otherwise(rest)})
+    found = found.select(F.struct("doc_id", "text_hash").alias(f"{key}_of"), F.col("removed").alias(removed))
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
+    joined = keyed.join(found, F.col(key).eqNullSafe(F.col(f"{key}_of")), "left")
+    gone = F.aggregate(removed, F.lit(0), lambda n, s: n + s["upto"] - s["from"])
+
+    def rest(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(r"\S")), i)), lambda i: i.isNotNull())
+        deleted = lambda at: F.flatten(F.transform(removed, lambda s: F.slice(at, s["from"] + 1, s["upto"] - s["from"])))
+        stay = lambda at: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted(at))
+        return let(places, lambda at: F.when(F.size(at) == gone, F.lit("")).otherwise(F.array_join(F.transform(stay(at), lambda k: F.get(lines, k)), "\n")))
+
+    shortened = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(let(_lines(F.col(text_col)), rest))
+    n_lines = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0))
+    out = joined.withColumn(result, F.struct(shortened.alias("text"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed")))
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[F.col("_tm_text").alias(c) if c == text_col else F.col(c) for c in others], F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_tm_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_tm_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*[F.col(f"{result}.text").alias(c) if c == text_col else F.col(c) for c in others], f"{result}.n_lines", f"{result}.n_removed")

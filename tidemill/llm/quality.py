@@ -1,45 +1,48 @@
 """A document quality classifier: random-indexing word vectors, a two-layer network and calibrated probabilities.
 
-Random indexing gives every shape of a word (its pattern of letters, cases, digits and signs) a sparse random
-vector of -1, 0 and 1 that a hash fixes. A word's vector is the sum of the vectors of the shapes found at and
-around its occurrences in the sample, scaled; a word that the sample doesn't have takes its shape's vector, a shape
-that it doesn't have its own random vector. A document is the mean of its words' vectors, with the square root of
-their variance; a network of two layers gives a logit, which a temperature fitted on rows kept apart divides.
+Random indexing gives every word a sparse random index vector of -1, 0 and 1 that a hash of the word fixes, so no
+table of them is needed. A word's vector is the sum of the index vectors of the words that stand up to ``WINDOW`` places
+beside its occurrences in the sample, each by the logarithm of how often it does, scaled to length 1. The ``max_words``
+commonest words of the sample have vectors of their own; a rarer or unknown word has the vector of its class, which
+is learned in the same way from all words of the class. A class is the word's kinds of characters (``shape``); the
+commonest ``max_shapes`` are learned, another one has its own index vector.
+
+A document is pooled from the vectors of all its words: their mean, their deviation from it, and their deviation from
+one word to the next. A network of two layers gives a logit, which a temperature fitted on rows kept apart divides.
 A run of characters without white space that is longer than ``PIECE`` counts as consecutive words of that length.
 
-The model is fitted on a sample of at most ``sample_rows`` labelled rows of at most ``sample_chars`` characters
-(chosen by a hash of the id). Scoring takes every word of every text. Labels, ids, languages and sources are no
-inputs of a score.
+The model is fitted on at most ``sample_rows`` labelled rows (chosen by a hash of the id), whole texts of any length
+among them, a part of which at a time is on the driver. Scoring takes every word of every text. Labels, ids, languages
+and sources are no inputs of a score.
 
-Defined results: null and wordless texts are the zero vector and get its score; null ids are never learned from and
-are not held out; with no usable labels, or with those of one class alone, every score is the share of label 1
-(one half without labels); repeated rows stay. Extra columns are not read.
+Defined results: null and wordless texts are the zero vector, both in the sample and when scored; null ids are never
+learned from and are not held out; of several texts of a labelled id the least is learned from, of its labels the mean,
+halves as 1; with no usable labels, or with those of one class alone, every score is the share of label 1 (one half
+without labels); repeated rows stay. Extra columns may have any name and are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from hashlib import blake2b
-from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept
+from tidemill.llm.common import Kept, drop_spool, fresh, spool
 
-DIM, NONZERO, MAX_WORDS, MAX_SHAPES, PIECE = 96, 6, 20_000, 4_000, 64
+DIM, NONZERO, WINDOW, PIECE = 96, 6, 2, 64
 _CLASSES = ((re.compile(r"[a-z]"), "a"), (re.compile(r"[A-Z]"), "A"), (re.compile(r"[0-9]"), "0"), (re.compile(r"[^\x00-\x7f]"), "é"))
 _REPEATED = re.compile(r"(.)\1+")
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str | None) -> list[str]:
     """All of a text, between white space; longer runs than ``PIECE`` in pieces."""
-    words = text.split()
+    words = text.split() if text else []
     if len(max(words, key=len, default="")) <= PIECE:
         return words
     return [w[at : at + PIECE] for w in words for at in range(0, len(w), PIECE)]
@@ -52,19 +55,22 @@ def shape(word: str) -> str:
     return _REPEATED.sub(r"\1", word)
 
 
-def index_vector(name: str) -> np.ndarray:
-    """The sparse random vector of a shape, fixed by a hash of it."""
-    rng = np.random.Generator(np.random.PCG64(int.from_bytes(blake2b(name.encode(), digest_size=8).digest(), "little")))
-    out = np.zeros(DIM, np.float32)
-    out[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
+def index_vectors(words: list[str]) -> np.ndarray:
+    """The sparse random vectors of words, a row each, fixed by a hash of the word: a 1 or -1 in each ``NONZERO``-th of the places."""
+    raw = b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=2 * NONZERO).digest() for w in words)
+    drawn = np.frombuffer(raw, np.uint8).reshape(len(words), NONZERO, 2).astype(np.int64)
+    part = DIM // NONZERO
+    out = np.zeros((len(words), DIM), np.float32)
+    out[np.arange(len(words))[:, None], np.arange(NONZERO) * part + drawn[..., 0] % part] = np.where(drawn[..., 1] & 1, 1, -1)
     return out
 
 
-def unit(v: np.ndarray) -> np.ndarray:
-    return v / max(float(np.linalg.norm(v)), 1e-9)
+def index_vector(word: str) -> np.ndarray:
+    return index_vectors([word])[0]
 
 
-AGAIN = unit(index_vector("\n\n"))
+def unit_rows(table: np.ndarray) -> np.ndarray:
+    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
 @dataclass
@@ -73,7 +79,6 @@ class WordVectors:
     shapes: dict[str, int]
     table: np.ndarray
     _known: Kept = field(default_factory=lambda: Kept(150_000), repr=False)
-    _fresh: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return {"words": self.words, "shapes": self.shapes, "table": self.table}
@@ -82,7 +87,7 @@ class WordVectors:
         self.__init__(**state)
 
     def _row(self, word: str) -> int:
-        """The word's row of the table, -1 where neither it nor its shape has one."""
+        """The row of a word's class in the table, -1 where it has none."""
         found = self._known.get(word)
         if found is None:
             found = self.shapes.get(shape(word), -1)
@@ -90,72 +95,94 @@ class WordVectors:
                 self._known.put(word, found)
         return found
 
-    def pooled(self, text: str | None) -> np.ndarray:
-        """Mean and deviation of the vectors of all of a text's words."""
-        words = words_of(text) if text else []
-        if not words:
-            return np.zeros(2 * DIM, np.float32)
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """The vectors of words, a row each."""
         get, row = self.words.get, self._row
         rows = np.array([get(w, -2) for w in words])
         for k in np.flatnonzero(rows == -2).tolist():
             rows[k] = row(words[k])
-        total, squares = np.zeros(DIM, np.float64), np.zeros(DIM, np.float64)
-        known = rows[rows >= 0]
-        for at in range(0, len(known), 4096):  # bounded memory for very long texts
-            part = self.table[known[at : at + 4096]]
+        out = self.table[rows]
+        fresh_ones = np.flatnonzero(rows == -1).tolist()
+        if fresh_ones:
+            out[fresh_ones] = unit_rows(index_vectors([shape(words[k]) for k in fresh_ones]))
+        return out
+
+    def pooled(self, text: str | None) -> np.ndarray:
+        """Mean, deviation and step deviation of the vectors of all of a text's words."""
+        words = words_of(text)
+        total, squares, steps, last = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM), None
+        for at in range(0, len(words), 4096):  # bounded memory for very long texts
+            part = self.vectors(words[at : at + 4096])
             total += part.sum(axis=0)
             squares += np.einsum("ij,ij->j", part, part)
-        for k in np.flatnonzero(rows == -1).tolist():
-            v = unit(index_vector(shape(words[k])))
-            total += v
-            squares += v * v
-        again = sum(map(eq, words, words[1:])) / len(words)  # a word that follows itself has a vector of its own, too
-        total += again * len(words) * AGAIN
-        mean = total / len(words)
-        return np.concatenate([mean, np.sqrt(np.maximum(squares / len(words) - mean**2, 0))]).astype(np.float32)
-
-
-def learn_vectors(texts: list[str]) -> WordVectors:
-    """Random indexing over the sample: sums of the index vectors of the shapes at and around each word."""
-    counts: Counter[str] = Counter()
-    for t in texts:
-        counts.update(words_of(t))
-    by_count = sorted(counts, key=lambda w: (-counts[w], w))
-    shape_counts: Counter[str] = Counter()
-    for w, n in counts.items():
-        shape_counts[shape(w)] += n
-    shapes = {s: k for k, s in enumerate(sorted(shape_counts, key=lambda s: (-shape_counts[s], s))[:MAX_SHAPES])}
-    words = {w: len(shapes) + k for k, w in enumerate(by_count[:MAX_WORDS])}
-    other = len(shapes)  # stands for shapes beyond the bound
-    codes = np.array([index_vector(s) for s in shapes] + [index_vector("\n")])
-    shape_of = {w: shapes.get(shape(w), other) for w in counts}
-    size = len(shapes) + len(words) + 1
+            step = np.diff(part, axis=0, prepend=part[:1] if last is None else last)
+            steps += np.einsum("ij,ij->j", step, step)
+            last = part[-1:]
+        n = max(len(words), 1)
+        mean = total / n
+        return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean**2, 0)), np.sqrt(steps / max(n - 1, 1))]).astype(np.float32)
+
+
+def _summed(rows: np.ndarray, beside: np.ndarray, counts: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
+    """A table whose row r is the sum of log(1 + count) times the code of each thing found beside r."""
+    order = np.argsort(rows, kind="stable")
+    rows, beside, weights = rows[order], beside[order], np.log1p(counts[order].astype(np.float64))
     table = np.zeros((size, DIM), np.float64)
-    width = other + 1
-    # How often each word, and each shape, stands at or beside each shape; counted in parts of bounded size.
+    for at in range(0, len(rows), 100_000):
+        r = rows[at : at + 100_000]
+        starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        table[r[starts]] += np.add.reduceat(codes[beside[at : at + 100_000]] * weights[at : at + 100_000, None], starts, axis=0)
+    return table
+
+
+def learn_vectors(texts: Iterable[str | None], *, max_words: int = 4000, max_shapes: int = 4000) -> WordVectors:
+    """Random indexing over the sample: sums of the index vectors of the words around each word, and around each class.
+
+    Texts are read once and held as word numbers; pairs of neighbours are counted in parts of bounded size.
+    """
+    numbers: dict[str, int] = {}
     held: list[np.ndarray] = []
-    keys, counted = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for k, t in enumerate(texts):
-        found = words_of(t)
-        at = np.array([shape_of[w] for w in found] or [0], np.int64)
-        rows = np.array([words.get(w, -1) for w in found], np.int64)
-        known = rows >= 0
-        edge = np.array([other])
-        for near in (at, np.concatenate([edge, at[:-1]]), np.concatenate([at[1:], edge])):
-            near = near[: len(rows)]
-            held += [rows[known] * width + near[known], at[: len(rows)] * width + near]
-        if k % 500 == 499 or k == len(texts) - 1:
-            fresh, n = np.unique(np.concatenate(held), return_counts=True)
-            merged, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
-            keys, counted, held = merged, np.bincount(where, np.concatenate([counted, n]), len(merged)).astype(np.int64), []
-    weights = np.log1p(counted.astype(np.float64))
-    for at in range(0, len(keys), 100_000):
-        k, w = keys[at : at + 100_000], weights[at : at + 100_000]
-        rows = k // width
-        rows = np.where(rows == other, size - 1, rows)
-        np.add.at(table, rows, codes[k % width] * w[:, None])
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    return WordVectors(words, shapes, table.astype(np.float32))
+    seen = np.zeros(0, np.int64)
+    pairs, counted = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    span = 1 << 31
+
+    def count_pairs() -> None:
+        nonlocal pairs, counted, held
+        fresh_pairs, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+        pairs, where = np.unique(np.concatenate([pairs, fresh_pairs]), return_inverse=True)
+        counted, held = np.bincount(where, np.concatenate([counted, n]), len(pairs)).astype(np.int64), []
+
+    for text in texts:
+        words = words_of(text)
+        at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        if len(at):
+            now = np.bincount(at, minlength=len(seen))
+            now[: len(seen)] += seen
+            seen = now
+        for gap in range(1, min(WINDOW, len(at) - 1) + 1):
+            held += [at[:-gap] * span + at[gap:], at[gap:] * span + at[:-gap]]
+        if sum(map(len, held)) > 2_000_000:
+            count_pairs()
+    count_pairs()
+    names = list(numbers)
+    counts = seen.tolist()
+    commonest = sorted(range(len(names)), key=lambda k: (-counts[k], names[k]))[:max_words]
+    shape_counts: dict[str, int] = {}
+    shapes_of = [shape(w) for w in names]
+    for s, n in zip(shapes_of, counts, strict=True):
+        shape_counts[s] = shape_counts.get(s, 0) + n
+    shapes = {s: len(commonest) + k for k, s in enumerate(sorted(shape_counts, key=lambda s: (-shape_counts[s], s))[:max_shapes])}
+    word_row = np.full(len(names), -1, np.int64)
+    word_row[commonest] = np.arange(len(commonest))
+    shape_row = np.array([shapes.get(s, -1) for s in shapes_of], np.int64)
+    codes, word, beside = index_vectors(names), pairs // span, pairs % span
+    size = len(commonest) + len(shapes)
+    table = np.zeros((size, DIM), np.float64)
+    for row_of in (word_row, shape_row):
+        rows = row_of[word]
+        keys, where = np.unique(rows[rows >= 0] * span + beside[rows >= 0], return_inverse=True)
+        table += _summed(keys // span, keys % span, np.bincount(where, counted[rows >= 0], len(keys)), codes, size)
+    return WordVectors({names[k]: r for r, k in enumerate(commonest)}, shapes, unit_rows(table).astype(np.float32))
 
 
 @dataclass
@@ -228,34 +255,41 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, sample_chars: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """(text, label) of at most ``sample_rows`` labelled rows that are not held out, the same on every run."""
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null").filter(~held_out(F.col("_id")))
-    one = usable.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
-    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= sample_chars)
-    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("t"), F.min("_y").alias("y")).collect()  # broadcast: sample_rows rows of two numbers
-    rows.sort(key=lambda r: (blake2b(str(r["_id"]).encode(), digest_size=8).digest(), r["_id"]))
-    return [(r["t"], r["y"]) for r in rows]
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, text, y) of at most ``sample_rows`` labelled rows that are not held out, the same on every run."""
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null").filter(~held_out(F.col("id")))
+    one = usable.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    chosen = F.broadcast(one.orderBy(F.xxhash64("id"), "id").limit(sample_rows))  # sample_rows rows of two numbers
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    return spool(rows, "quality-sample")
+
 
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, max_words: int = 4000, max_shapes: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """The model of a sample of at most ``sample_rows`` labelled rows, with vectors for ``max_words`` words and ``max_shapes`` classes.
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, sample_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    rows = labelled_sample(docs, labels, sample_rows=sample_rows, sample_chars=sample_chars, id_col=id_col, text_col=text_col, label_col=label_col)
-    y = np.array([label for _, label in rows])
-    if len(set(y.tolist())) < 2:
-        return QualityModel(None, None, float(y.mean()) if len(y) else 0.5)
-    vectors = learn_vectors([t for t, _ in rows])
-    x = np.stack([vectors.pooled(t) for t, _ in rows])
-    return QualityModel(vectors, train(x, y), float(y.mean()))
+    A partition of the sample at a time is on the driver.
+    """
+    sample = labelled_sample(docs, labels, sample_rows=sample_rows, id_col=id_col, text_col=text_col, label_col=label_col)
+    found = sample.agg(F.min("y").alias("least"), F.max("y").alias("most"), F.avg("y").alias("share")).first()
+    model = QualityModel(None, None, 0.5 if found["share"] is None else found["share"])
+    if found["least"] != found["most"]:
+        rows = lambda: sample.orderBy(F.xxhash64("id"), "id").select("text", "y").toLocalIterator()
+        vectors = learn_vectors((r["text"] for r in rows()), max_words=max_words, max_shapes=max_shapes)
+        x, y = map(np.array, zip(*[(vectors.pooled(r["text"]), r["y"]) for r in rows()], strict=True))
+        model = QualityModel(vectors, train(x, y), found["share"])
+    drop_spool(sample)
+    return model
 
 
 def scorer(docs: DataFrame, model: QualityModel) -> Callable[[Column], Column]:
-    """A column function for scores; the model is broadcast, its size is bounded by MAX_WORDS and MAX_SHAPES."""
+    """A column function for scores; the model is broadcast, its size is bounded by ``max_words`` and ``max_shapes``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        found = [shared.value.scores([t.as_py() for t in texts.slice(at, 64)]) for at in range(0, len(texts), 64)]
+        return pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
     return score
 
@@ -263,11 +297,11 @@ def scorer(docs: DataFrame, model: QualityModel) -> Callable[[Column], Column]:
 def score_documents(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id, held_out, score and predicted (1 where the score is at least ``least``) for each document."""
     score = scorer(docs, fit(docs, labels, id_col=id_col, text_col=text_col, **how))
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("_text")).alias("score"))
+    scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, text_col: str = "text", **how) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents whose score is at least ``least``, with all their columns."""
-    score = scorer(docs, fit(docs, labels, text_col=text_col, **how))
-    return docs.withColumn("_tm_score", score(F.col(text_col))).filter(F.col("_tm_score") >= least).select(*docs.columns)
+    score, (found,) = scorer(docs, fit(docs, labels, id_col=id_col, text_col=text_col, **how)), fresh(docs, "score")
+    return docs.withColumn(found, score(F.col(text_col))).filter(F.col(found) >= least).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontam, embednear, linededup, mixing, ngramjoin, oracles, quality, sharding, tokenbin, tokencounts, warc
-from tidemill.llm.common import Query, small_batches, table
+from tidemill.llm.common import Query, on_all_cores, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.write_archives(small_batches(table(spark, sf_dir, "pages"), spread=False))
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -25,7 +25,7 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    manifest = tokenbin.write_token_files(small_batches(table(spark, sf_dir, "documents"), spread=False), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    manifest = tokenbin.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokenbin.read_token_files(manifest)
 
 
@@ -35,11 +35,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(small_batches(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(on_all_cores(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.near_duplicates(small_batches(table(spark, sf_dir, "documents")))
+    return ngramjoin.near_duplicates(on_all_cores(table(spark, sf_dir, "documents")))
 
 
 def op8_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,12 @@ def op8_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counted = tokencounts.prefix_token_counts(small_batches(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), keep_prefixes=False)
+    counted = tokencounts.prefix_token_counts(on_all_cores(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), keep_prefixes=False)
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(small_batches(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    return quality.score_documents(on_all_cores(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
