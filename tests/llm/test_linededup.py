@@ -7,18 +7,21 @@ from tidemill.llm import linededup
 
 
 def brute(rows, least):
-    """(doc_id, text) -> text left, by looking at every run of every document in order."""
+    """(doc_id, text) -> text left, by looking at the shortest runs from every line on and up to every line, in order."""
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     runs, seen, out = {}, {}, {}
     for d in order:
         lines = [(k, x.strip(), len(x.split())) for k, x in enumerate(d[1].split("\n")) if x.split()]
+        found = set()
         for p in range(len(lines)):
-            words = 0
-            for e in range(p, len(lines)):
-                words += lines[e][2]
-                if words >= least:
-                    runs.setdefault(d, []).append((p, e + 1, tuple(x for _, x, _ in lines[p : e + 1])))
-                    break
+            for way in (range(p, len(lines)), range(p, -1, -1)):
+                words = 0
+                for e in way:
+                    words += lines[e][2]
+                    if words >= least:
+                        found.add((min(p, e), max(p, e) + 1))
+                        break
+        runs[d] = [(p, e, tuple(x for _, x, _ in lines[p:e])) for p, e in sorted(found)]
     for d in order:
         lines = [k for k, x in enumerate(d[1].split("\n")) if x.split()]
         gone = set()
@@ -98,3 +101,28 @@ def test_whole_repeats(spark):
     for r in linededup.dedup_lines(docs).collect():
         kept = [x for k, x in enumerate(texts[r["doc_id"]]) if k not in want[r["doc_id"]]]
         assert (r["text"], r["n_removed"]) == ("\n".join(kept), len(want[r["doc_id"]]))
+
+
+def test_many_short_lines(spark):
+    """A document of 200,000 short lines, half of them repeats, beside a copy of its first half."""
+    rng = random.Random(2)
+    half = [f"{rng.randrange(10**9)} {k}" for k in range(100_000)]
+    text = "\n".join([*half, *half])
+    docs = spark.createDataFrame([(1, text), (2, "\n".join(half)), (3, "\n".join(half[:24])), (4, "\n".join(half[50:75]))], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert [(found[k]["n_lines"], found[k]["n_removed"]) for k in (1, 2, 3, 4)] == [(200_000, 100_000), (100_000, 100_000), (24, 0), (25, 25)]
+    assert found[1]["text"] == "\n".join(half) and found[2]["text"] == "" and found[3]["text"] == "\n".join(half[:24])
+
+
+def test_a_hot_passage_and_line(spark):
+    """A passage and a line that most documents share, under names of columns that the operator uses itself."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, line = [say(30), say(30)], say(60)
+    rows = [(k, "\n".join([say(9), *(passage if k % 3 else []), say(5), *([line] if k % 2 else [])]), k, "t", k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, removed string, result int").repartition(5)
+    found = linededup.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "n_lines", "n_removed"]
+    want = brute([r[:2] for r in rows], 50)
+    got = {(r["doc_id"], dict(r2[:2] for r2 in rows)[r["doc_id"]]): (r["text"], r["n_removed"]) for r in found.collect()}
+    assert got == want and {(r["key"], r["removed"], r["result"]) for r in found.collect()} == {(k, "t", k) for k in range(300)}

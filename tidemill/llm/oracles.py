@@ -34,9 +34,10 @@ WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
 ln AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM raw),
 w AS (SELECT doc_id, place, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t, len(regexp_extract_all(line, '\S+')) AS words FROM ln),
 nb AS (SELECT doc_id, place, t, words, row_number() OVER o AS p, sum(words) OVER o AS upto FROM w WHERE words > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
-en AS (SELECT a.doc_id, a.p, min(b.p) AS e FROM nb a JOIN nb b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.upto - a.upto + a.words >= 50 GROUP BY ALL),
+pr AS (SELECT a.doc_id, a.p, b.p AS e FROM nb a JOIN nb b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.upto - a.upto + a.words >= 50),
+en AS (SELECT doc_id, p, min(e) AS e FROM pr GROUP BY doc_id, p UNION SELECT doc_id, max(p), e FROM pr GROUP BY doc_id, e),
 rn AS (SELECT en.doc_id, en.p, en.e, string_agg(t, chr(10) ORDER BY nb.p) AS run FROM en JOIN nb ON nb.doc_id = en.doc_id AND nb.p BETWEEN en.p AND en.e GROUP BY ALL),
-fs AS (SELECT run, min(doc_id) AS d0 FROM rn GROUP BY run), ft AS (SELECT run, d0, min(p) AS p0, min_by(e, p) AS e0 FROM rn JOIN fs USING (run) WHERE doc_id = d0 GROUP BY ALL),
+fs AS (SELECT run, min(doc_id) AS d0 FROM rn GROUP BY run), ft AS (SELECT run, d0, min(p) AS p0, min(e) AS e0 FROM rn JOIN fs USING (run) WHERE doc_id = d0 GROUP BY ALL),
 lt AS (SELECT doc_id, p, e FROM rn JOIN ft USING (run) WHERE doc_id <> d0 OR p > e0),
 gone AS (SELECT DISTINCT nb.doc_id, nb.place FROM lt JOIN nb ON nb.doc_id = lt.doc_id AND nb.p BETWEEN lt.p AND lt.e),
 cn AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id), al AS (SELECT doc_id, count(*) AS n FROM nb GROUP BY doc_id),
