@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps over a table of edges.
 
-Each step is a minimum per node and a join, so hot nodes are pre-aggregated and no component meets in one task
-or on the driver; tables between the steps are written to the shared folder. The steps end when the edges no
-longer change, which takes a logarithmic number of rounds on practical graphs.
+Each step is a minimum per node and a join of the edges with these minima. Minima are aggregated before they are
+shuffled, and a node with many edges (the root of a large component has one for each of its nodes) is joined by broadcast,
+so its edges stay dealt over the tasks. Tables between the steps are written to the shared folder. The steps end when
+the edges no longer change, which takes a logarithmic number of rounds on practical graphs.
 """
 
 from __future__ import annotations
@@ -10,18 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import drop_spool, spool
+from tidemill.llm.common import drop_spool, join_unique, spool
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: link neighbours to the smallest node of each neighbourhood. ``edges`` are (a, b) with a > b."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One step: link neighbours to the smallest node of each neighbourhood. ``edges`` are (a, b) with a > b, about ``total`` of them."""
     near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    joined = near.join(least, near["a"] == least["u"])
-    if large:  # neighbours larger than u are linked to the smallest of u and its neighbours
+    least = near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("degree"))
+    joined = join_unique(near, least, ["a"], weight="degree", total=total * (2 if large else 1))
+    if large:  # neighbours larger than a are linked to the smallest of a and its neighbours
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:  # smaller neighbours, and u itself, are linked to the smallest neighbour
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    else:  # smaller neighbours, and a itself, are linked to the smallest neighbour
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a > b").distinct()
 
 
@@ -37,8 +38,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        after = spool(_star(_star(now, large=True), large=False), "cc")
+        half = spool(_star(now, large=True, total=before[0]), "cc")
+        after = spool(_star(half, large=False, total=before[0]), "cc")
         drop_spool(now)
+        drop_spool(half)
         now, found = after, sign(after)
         if found == before:
             break

@@ -19,7 +19,7 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import spool
+from tidemill.llm.common import fresh, prefix_sums, spool
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: floor(2**31 / golden ratio), made odd: multiples of it modulo 2**31 are the golden-ratio points, exactly.
@@ -65,8 +65,6 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int
 
 def _ranked_in_chunks(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` over each group, in two levels so that no task gets a whole group."""
-    from tidemill.llm.common import prefix_sums
-
     sums = prefix_sums(df.groupBy(*group, chunk).agg(F.sum(value).alias("_sum")), group, chunk, "_sum", "_base").drop("_sum")
     inside = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
@@ -130,7 +128,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **ho
     agree in id and text get the mean of what the plan takes of them.
     """
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, **how)
-    times = plan.groupBy("doc_id", "text_hash").agg(F.when(F.max("size") > 0, F.floor(F.avg(F.col("taken") / F.greatest("size", F.lit(1))) + 0.5)).otherwise(1).cast("int").alias("times"))
-    times = times.filter("times > 0").select(F.struct("doc_id", "text_hash").alias("_mix_key"), F.col("times").alias("_mix_times"))
-    keyed = docs.withColumn("_mix_key", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
-    return keyed.join(times, "_mix_key").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_times"))).select(*docs.columns)
+    key, times, copy = fresh(docs, "key", "times", "copy")
+    taken = F.floor(F.avg(F.col("taken") / F.greatest("size", F.lit(1))) + 0.5)
+    chosen = plan.groupBy("doc_id", "text_hash").agg(F.when(F.max("size") > 0, taken).otherwise(1).cast("int").alias("n")).filter("n > 0")
+    chosen = chosen.select(F.struct("doc_id", "text_hash").alias(key), F.col("n").alias(times))
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
+    return keyed.join(chosen, key).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

@@ -8,16 +8,19 @@ shingles (64-bit hashes), or its one shingle where it has fewer words, but not n
    1 - 1e-8 (``missed`` gives the figure for any choice).
 2. Classes are dealt by (band, hash). Buckets of one class go. A bucket's members are dealt over blocks and each
    pair of blocks is a cell of bounded size, so a hot bucket is spread over many tasks and all its pairs are seen.
-   A pair counts in the first band in which it meets. This step has the band hashes alone, and keeps the
-   memberships that are some pair's first meeting.
+   A pair counts in the first band in which it meets, if the sizes of its sets let it be similar enough at all.
+   This step has the band hashes and sizes alone, and keeps the memberships that are some such pair's first meeting.
 3. Those memberships get their full sets, and cells verify their pairs. A cell returns a row for each member:
    how many documents it links to, and an edge of a spanning forest of the cell's links; never all pairs.
 4. Components of the edges.
 
 Result: a row for each document with its class, its number of links (copies included) and its component.
 
+A class of many copies, or of many bands, is one key in joins; such keys are joined by broadcast.
+
 Defined results: null and wordless texts have no set; they link with nothing. Repeated rows are copies. A null
-document id is kept and is larger than any other. An empty table gives an empty result. Only id and text are read.
+document id is kept and is larger than any other; ids may have any type that can be ordered. An empty table gives an
+empty result. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import drop_spool, runs, spool
+from tidemill.llm.common import drop_spool, fresh, join_unique, runs, spool, sql_type
 from tidemill.llm.components import connected_components
 
 _WORD = re.compile(r"\w+")
@@ -96,19 +99,20 @@ def band_hashes(items: np.ndarray, bands: int, rows: int, seeds: tuple[np.ndarra
 
 
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_hash, skey, bands): the set's 128-bit hash, null without words, and its band hashes."""
+    """(doc_id, text_hash, skey, n_items, bands): the set's 128-bit hash, null without words, its size and its band hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(bands, rows)
         for batch in batches:
-            keys, signed = [], []
+            keys, sizes, signed = [], [], []
             for text in batch.column(1):
                 items = shingles(text.as_py(), n)
                 keys.append(set_key(items.tobytes()) if len(items) else None)
+                sizes.append(len(items))
                 signed.append(band_hashes(items, bands, rows, seeds).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "text_hash", "skey", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signed, pa.binary())], names=["doc_id", "text_hash", "skey", "n_items", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "doc_id long, text_hash long, skey binary, bands binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, f"doc_id {sql_type(docs, 'doc_id')}, text_hash long, skey binary, n_items long, bands binary")
 
 
 def _cells(members: DataFrame, block: int) -> DataFrame:
@@ -120,34 +124,36 @@ def _cells(members: DataFrame, block: int) -> DataFrame:
     return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
 
 
-def _first_meetings(sign: np.ndarray, band: int, own: np.ndarray, x: int, y: int) -> np.ndarray:
-    """A matrix of a cell's pairs (upper triangle) that meet in no earlier band and belong to this pair of blocks."""
+def _first_meetings(sign: np.ndarray, sizes: np.ndarray, band: int, own: np.ndarray, x: int, y: int, least: float) -> np.ndarray:
+    """A matrix of a cell's pairs (upper triangle) that meet in no earlier band, belong to this pair of blocks and are not
+    too unlike in size."""
     n = len(sign)
-    fresh = np.triu(np.ones((n, n), bool), 1)
+    first = np.triu(np.ones((n, n), bool), 1)
     if x != y:
-        fresh &= own[:, None] != own[None, :]
+        first &= own[:, None] != own[None, :]
+    if sizes.min() < least * sizes.max() - 1e-9:
+        first &= (sizes[:, None] >= least * sizes[None, :] - 1e-9) & (sizes[None, :] >= least * sizes[:, None] - 1e-9)
     for k in range(band):
-        fresh &= sign[:, k][:, None] != sign[:, k][None, :]
-        if not fresh.any():
+        first &= sign[:, k][:, None] != sign[:, k][None, :]
+        if not first.any():
             break
-    return fresh
+    return first
 
 
-def _pair_cell(cell: pa.Table, bands: int) -> tuple[int, np.ndarray]:
-    band = cell.column("band")[0].as_py()
-    sign = np.stack([np.frombuffer(b, np.uint64, bands) for b in cell.column("bands").to_pylist()])
-    own = np.array(cell.column("own").to_pylist())
-    return band, _first_meetings(sign, band, own, cell.column("x")[0].as_py(), cell.column("y")[0].as_py())
+def _pair_cell(cell: pa.Table, bands: int, least: float) -> np.ndarray:
+    sign = np.frombuffer(b"".join(cell.column("bands").to_pylist()), np.uint64).reshape(-1, bands)
+    at = lambda name: cell.column(name)[0].as_py()
+    return _first_meetings(sign, cell.column("n_items").to_numpy(), at("band"), cell.column("own").to_numpy(), at("x"), at("y"), least)
 
 
-def _needed(cells: DataFrame, bands: int) -> DataFrame:
+def _needed(cells: DataFrame, bands: int, least: float) -> DataFrame:
     """The members of cells with a pair that meets there first: (skey, band, hash, size)."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, ["band", "hash", "x", "y"]):
             if cell.num_rows > 1:
-                _, fresh = _pair_cell(cell, bands)
-                used = fresh.any(axis=0) | fresh.any(axis=1)
+                first = _pair_cell(cell, bands, least)
+                used = first.any(axis=0) | first.any(axis=1)
                 if used.any():
                     yield from cell.filter(pa.array(used)).select(["skey", "band", "hash", "size"]).combine_chunks().to_batches()
 
@@ -203,11 +209,11 @@ def _verified(cells: DataFrame, bands: int, least: float) -> DataFrame:
         for cell in runs(batches, ["band", "hash", "x", "y"]):
             if cell.num_rows < 2:
                 continue
-            _, fresh = _pair_cell(cell, bands)
-            if not fresh.any():
+            first = _pair_cell(cell, bands, least)
+            if not first.any():
                 continue
             sets = [np.frombuffer(s, np.uint64) for s in cell.column("items").to_pylist()]
-            linked = jaccard_at_least(sets, fresh, least)
+            linked = jaccard_at_least(sets, first, least)
             if not linked.any():
                 continue
             copies = np.array(cell.column("copies").to_pylist(), np.int64)
@@ -241,33 +247,36 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: i
 
 def _placed(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5, block: int = 192, sign_block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``near_duplicates`` with text_hash and ``stays``: the least (doc_id, text_hash) of the component, null without a set."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = spool(_signatures(docs, n, bands, rows), "jaccard-signatures")
-    classes = signed.filter("skey is not null").groupBy("skey").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("stays"))
+    with_set = signed.filter("skey is not null")
+    classes = with_set.groupBy("skey").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_items").alias("n_items"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("stays"))
     classes = spool(classes, "jaccard-classes")
     band_keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.conv(F.hex(F.substring("bands", k * 8 + 1, F.lit(8))), 16, -10).cast("long").alias("hash")))
     spread = classes.select("skey", F.inline(band_keys))
-    crowded = spread.groupBy("band", "hash").agg(F.count("*").alias("size")).filter("size > 1")
-    members = spread.join(crowded, ["band", "hash"])
-    signed_members = spool(members.join(classes.select("skey", "bands"), "skey"), "jaccard-members")
-    needed = spool(_needed(_cells(signed_members, sign_block), bands).distinct(), "jaccard-needed")
+    crowded = spool(spread.groupBy("band", "hash").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-buckets")
+    n_rows, n_classes = (t.count() for t in (signed, classes))
+    members = join_unique(spread, crowded.withColumn("members", F.col("size")), ["band", "hash"], weight="members", total=bands * n_classes)
+    # A class is at most ``bands`` rows here.
+    signed_members = spool(members.join(classes.select("skey", "n_items", "bands"), "skey"), "jaccard-members")
+    needed = spool(_needed(_cells(signed_members, sign_block), bands, least).distinct(), "jaccard-needed")
     drop_spool(signed_members)
-    # Full sets of the classes that are left, made again from the text of one document of each class.
-    chosen = needed.select("skey").distinct().join(classes, "skey")
-    chosen = chosen.select("skey", "class_id")
-    sets = _sets(docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["class_id"])).select("skey", "text"), n).dropDuplicates(["skey"])
-    sets = spool(sets.join(classes.select("skey", "copies", "bands"), "skey").select("skey", "items", "copies", "bands"), "jaccard-sets")
-    full = needed.join(sets, "skey")
+    # Full sets of the classes that are left, made again from a text of each: that of the row which would stay.
+    chosen = needed.select("skey").distinct().join(classes, "skey").select("skey", F.col("stays.doc_id").alias("of_id"), F.col("stays.text_hash").alias("of_text"))
+    one_text = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["of_id"]) & (F.xxhash64(docs["text"]) == chosen["of_text"]))
+    sets = spool(_sets(one_text.select("skey", "text"), n).dropDuplicates(["skey"]), "jaccard-sets")
+    full = needed.join(sets, "skey").join(classes.select("skey", "copies", "n_items", "bands"), "skey")
     links = spool(_verified(_cells(full, block), bands, least), "jaccard-links")
     totals = links.groupBy("skey").agg(F.sum("links").alias("links"))
     found = connected_components(links.select(F.col("skey").alias("a"), F.col("to").alias("b")))
     named = found.join(classes.select(F.col("skey").alias("node"), "class_id", "stays"), "node")
     component = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("stays").alias("component_stays")).join(found, "root").select(F.col("node").alias("skey"), "component_id", "component_stays")
     per_class = classes.select("skey", "class_id", "copies", "stays").join(totals, "skey", "left").join(component, "skey", "left")
-    per_class = per_class.select("skey", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component_stays", "stays").alias("stays"))
-    out = signed.select("doc_id", "text_hash", "skey").join(per_class, "skey", "left")
+    first = F.coalesce("component_stays", "stays")
+    per_class = per_class.select("skey", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"), F.struct(first["doc_id"].alias("doc_id"), first["text_hash"].alias("text_hash")).alias("stays"))
+    out = join_unique(signed.select("doc_id", "text_hash", "skey"), spool(per_class, "jaccard-results"), ["skey"], weight="copies", total=n_rows, outer=True)
     alone = F.col("skey").isNull()
-    return out.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.struct("stays.doc_id", "stays.text_hash").alias("_first"), alone.alias("alone")).withColumn("stays", F.when(~F.col("alone"), F.col("_first"))).drop("_first", "alone")
+    return out.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "stays")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -276,15 +285,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     The one of the smallest id stays, of rows that share it the one of the least text hash, of rows that agree in
     both the first by all columns. Rows without words are in no group and all stay.
     """
-    key = F.struct("doc_id", "text_hash")
-    placed = _placed(docs, id_col=id_col, text_col=text_col, **how).filter("stays is not null").select(key.alias("_tm_key"), "stays")
-    marked = placed.groupBy("_tm_key").agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
-    marked = spool(marked.select("_tm_key", (F.col("_tm_key") != F.col("stays")).alias("goes"), F.col("rows")).filter("goes or rows > 1"), "jaccard-marked")
-    keyed = docs.withColumn("_tm_key", F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
-    left = keyed.join(marked.filter("goes").select("_tm_key"), "_tm_key", "left_anti")
-    again = marked.filter("not goes").select("_tm_key")
+    key, at = fresh(docs, "key", "at")
+    placed = _placed(docs, id_col=id_col, text_col=text_col, **how).filter("stays is not null").select(F.struct("doc_id", "text_hash").alias(key), "stays")
+    marked = placed.groupBy(key).agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
+    marked = spool(marked.select(key, (F.col(key) != F.col("stays")).alias("goes"), F.col("rows")).filter("goes or rows > 1"), "jaccard-marked")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
+    left = keyed.join(marked.filter("goes").select(key), key, "left_anti")
+    again = marked.filter("not goes").select(key)
     if again.isEmpty():
         return left.select(*docs.columns)
-    by_row = Window.partitionBy("_tm_key").orderBy(F.to_json(F.struct(*docs.columns)))
-    one = left.join(again, "_tm_key", "left_semi").withColumn("_tm_row", F.row_number().over(by_row)).filter("_tm_row = 1")
-    return left.join(again, "_tm_key", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    by_row = Window.partitionBy(key).orderBy(F.to_json(F.struct(*docs.columns)))
+    one = left.join(again, key, "left_semi").withColumn(at, F.row_number().over(by_row)).filter(F.col(at) == 1)
+    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

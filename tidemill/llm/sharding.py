@@ -4,7 +4,8 @@ A partial partition is a tuple of one sum per shard. Differencing repeatedly tak
 with the largest spread and adds them oppositely ordered, largest onto smallest. Groups of equal texts are the
 first partial partitions. They are dealt over leaves of bounded size, each leaf is differenced by itself, and the
 leaves' results, again partial partitions, are differenced level by level until one is left. No task sees more
-than a leaf or a bounded number of partial partitions, and the driver sees none.
+than a leaf or a bounded number of partial partitions, and the driver sees none; rows of a text that many share find
+their shard by broadcast.
 
 Defined results: a null text is no bytes and its rows are one group, apart from empty texts; a row's size is its
 text's UTF-8 bytes plus 1; repeated rows belong to one group; a group larger than an even share has a shard that
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prefix_sums, runs, spool
+from tidemill.llm.common import join_unique, prefix_sums, runs, spool
 
 
 def difference(partials: list[list[tuple[int, object]]]) -> list[tuple[int, object]]:
@@ -115,18 +116,18 @@ def shard(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     key = F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"null"))
     rows = spool(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), key.alias("gkey")), "shard-rows")
-    groups = rows.groupBy("gkey").agg(F.sum("size").alias("bytes"))
+    groups = spool(rows.groupBy("gkey").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")), "shard-groups")
     n_rows = rows.count()
     leaves = max(1, -(-n_rows // leaf_groups))
-    binned = spool(_difference_leaves(groups.withColumn("leaf", F.pmod(F.xxhash64("gkey"), F.lit(leaves))), shards), "shard-leaves")
+    binned = spool(_difference_leaves(groups.select("gkey", "bytes").withColumn("leaf", F.pmod(F.xxhash64("gkey"), F.lit(leaves))), shards), "shard-leaves")
     per_bin = binned.groupBy("leaf", "bin").agg(F.sum("bytes").alias("b"))
     sums = per_bin.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("bin", "b"))).alias("m"))
     sums = sums.select("leaf", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long"))).alias("sums"))
     place = _difference_upwards(spool(sums, "shard-sums"), shards, fan_in)
-    home = binned.join(place, "leaf").select("gkey", F.element_at("perm", F.col("bin") + 1).alias("shard"))
-    # Slots: rows are dealt over chunks by a hash of their id; a chunk's first slot is a prefix sum of counts.
+    home = spool(binned.join(place, "leaf").join(groups.select("gkey", "copies"), "gkey").select("gkey", "copies", F.element_at("perm", F.col("bin") + 1).alias("shard")), "shard-home")
+    # Slots: rows are dealt over chunks by a hash; a chunk's first slot is a prefix sum of counts.
     chunks = max(64, n_rows // 100_000)
-    dealt = rows.join(home, "gkey").withColumn("mix", F.xxhash64("doc_id")).withColumn("chunk", F.pmod("mix", F.lit(chunks)))
+    dealt = join_unique(rows, home, ["gkey"], weight="copies", total=n_rows).withColumn("mix", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("chunk", F.pmod("mix", F.lit(chunks)))
     dealt = spool(dealt.select("doc_id", "size", "text_crc32", "shard", "mix", "chunk"), "shard-dealt")
     first = prefix_sums(dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n")), ["shard"], "chunk", "n", "base").select("shard", "chunk", "base")
     inside = Window.partitionBy("shard", "chunk").orderBy("mix", "doc_id", "size", "text_crc32")
