@@ -1,8 +1,10 @@
 """WARC archives with an index first: write, index, then read selected records by coalesced byte ranges.
 
 ``write_archives`` writes one archive a task, a gzip member for each record, and returns the index: a row for
-each record with file, offset, length, URL and digest. ``read_records`` takes any selection of index rows, sorts
-them by file and offset, joins neighbouring ranges into single reads and parses the records. Archives are named
+each record with file, offset, length, URL and digest. Which record is the first of its payload is decided on ids and
+digests alone; pages with a payload that many share find it by broadcast, small payloads need not. ``read_records``
+takes any selection of index rows, sorts them by file and offset, joins neighbouring ranges into single reads and parses
+the records. Archives are named
 by a fresh id; only the index says which count, so a task that runs twice leaves an orphan at worst.
 
 Of records with equal payloads of at least ``least_bytes``, that with the smallest page id is a response and the
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import open_fs, runs, spool, work_path
+from tidemill.llm.common import join_unique, open_fs, runs, spool, work_path
 
 INDEX = "page_id long, path string, offset long, length long, url string, digest string, payload_bytes long, record_type string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -76,8 +78,12 @@ def write_archives(pages: DataFrame, *, out_dir: str | None = None, least_bytes:
     out_dir = out_dir or work_path(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit("")).cast("binary")
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
-    first = read.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first_id")
-    decided = read.join(first, "digest", "left").select("page_id", "url", "payload", "digest", "first_id", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("n") >= least_bytes)).alias("is_revisit"))
+    # Digests of payloads that are too small to be shared are left out of the joins.
+    keyed = read.withColumn("shared", F.when(F.col("n") >= least_bytes, F.col("digest")))
+    first = spool(keyed.groupBy("shared").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")), "warc-first")
+    total = first.agg(F.sum("copies")).first()[0] or 0
+    decided = join_unique(keyed, first.filter("shared is not null and copies > 1"), ["shared"], weight="copies", total=total, outer=True)
+    decided = decided.select("page_id", "url", "payload", "digest", "first_id", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("is_revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = open_fs(out_dir)
@@ -113,10 +119,11 @@ def coalesce_ranges(ranges: list[tuple[int, int]], gap: int, most: int) -> list[
     return reads
 
 
-def read_records(index: DataFrame, *, segment: int = 8 << 20, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
+def read_records(index: DataFrame, *, segment: int = 8 << 20, gap: int = 64 << 10, most: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of the given index rows, from the archives (RECORDS' columns); payload digests are verified.
 
-    Rows are dealt by file and segment of it, so that a large archive is read by many tasks in order.
+    Rows are dealt by file and segment of it, so that a large archive is read by many tasks in order: a task for each
+    ``task_bytes`` of records, and at least one a core.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +138,9 @@ def read_records(index: DataFrame, *, segment: int = 8 << 20, gap: int = 64 << 1
                         rows.append(_row(data[offset - start : offset - start + length]))
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, (index.agg(F.sum("length")).first()[0] or 0) // task_bytes)
     dealt = index.select("path", "offset", "length", F.expr(f"offset div {segment}").alias("segment"))
-    return dealt.repartition("path", "segment").sortWithinPartitions("path", "segment", "offset").mapInArrow(read, RECORDS)
+    return dealt.repartition(tasks, "path", "segment").sortWithinPartitions("path", "segment", "offset").mapInArrow(read, RECORDS)
 
 
 def _row(member: bytes) -> dict:
