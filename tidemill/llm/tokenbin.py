@@ -1,13 +1,15 @@
 """Token ids as flat binary files: unsigned integers, with 64-bit document offsets beside them.
 
-Documents are range-partitioned by id, so part ``k`` holds the ids of one range in ascending order. A part is
+Documents are range-partitioned by id, so part ``k`` holds the ids of one range in ascending order; there is a part for
+each ``part_bytes`` of text, and at least one a core. A part is
 ``<name>.bin`` (little-endian ids, 16 bits where the vocabulary allows, else 32) and ``<name>.idx`` (document
 ids and offsets of the documents, relative to the part). Bases of the parts are prefix sums over the manifest,
 which has a row for each part. Files are named by a fresh id and only the manifest says which count, so a task
 that runs twice leaves an orphan at worst.
 
 Defined results: a null text is an empty one and has only the end id; null document ids come first; repeated
-ids stay, ordered by text; an empty table gives an empty manifest. Other columns are not read.
+ids stay, ordered by text; an empty table gives an empty manifest. Ids are numbers, as the files have them. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,11 +119,13 @@ def id_dtype(tokenizer_path: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int, out_dir: str | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int, out_dir: str | None = None, parts: int | None = None, part_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append ``end_id``, write the files and return their manifest (MANIFEST's columns)."""
     spark = docs.sparkSession
     out_dir = out_dir or work_path(spark, "token-files")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        bytes_of_text = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        parts = max(spark.sparkContext.defaultParallelism, bytes_of_text // part_bytes)
     dtype = id_dtype(tokenizer_path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int, out_
         end = np.array([end_id], dtype=dtype).tobytes()
         width = np.dtype(dtype).itemsize
         fs, folder = open_fs(out_dir)
-        part, stream, ids, lengths = TaskContext.get().partitionId(), None, [], []
+        part, stream, ids, known, lengths = TaskContext.get().partitionId(), None, array("q"), bytearray(), array("q")
         path = f"part-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             texts, doc_ids = batch.column(1), batch.column(0)
@@ -137,15 +143,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int, out_
                     stream = fs.open_output_stream(f"{folder}/{path}.bin")
                 found = encoder.encode(texts[k].as_py() or "") + end
                 stream.write(found)
-                ids.append(doc_ids[k].as_py())
+                ids.append(doc_ids[k].as_py() or 0)
+                known.append(doc_ids[k].is_valid)
                 lengths.append(len(found) // width)
         if stream is None:
             return
         stream.close()
         with fs.open_output_stream(f"{folder}/{path}.idx") as index:
             index.write(MAGIC + struct.pack("<2sxxxxxxQ", dtype[1:].encode(), len(ids)))
-            index.write(np.array([x is not None for x in ids], dtype="u1").tobytes())
-            index.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes())
+            index.write(bytes(known))
+            index.write(np.array(ids, dtype="<i8").tobytes())
             index.write(np.concatenate([[0], np.cumsum(lengths)]).astype("<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{out_dir}/{path}"], "dtype": [dtype], "n_docs": [len(ids)], "n_tokens": [sum(lengths)]})
 
@@ -159,35 +166,66 @@ def bases(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
+class Part:
+    """A part's document ids (None where null), offsets (one more than documents) and token ids.
+
+    Token ids are memory-mapped where the part is a file; of another store only the ranges asked for are read.
+    """
+
+    def __init__(self, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        self.fs, local = open_fs(path)
+        with self.fs.open_input_file(f"{local}.idx") as f:
+            raw = f.read()
+        assert raw[:8] == MAGIC, f"{path}.idx is no index"
+        _, n = struct.unpack("<2sxxxxxxQ", raw[8:24])
+        self.known = np.frombuffer(raw, "u1", n, 24)
+        self.ids = np.frombuffer(raw, "<i8", n, 24 + n)
+        self.offsets = np.frombuffer(raw, "<u8", n + 1, 24 + 9 * n).astype("i8")
+        self.mapped = self.file = None
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            self.mapped = np.memmap(f"{local}.bin", dtype=dtype, mode="r") if self.offsets[-1] else np.zeros(0, dtype)
+        else:
+            self.file = self.fs.open_input_file(f"{local}.bin")
+
+    def doc_ids(self, a: int, z: int) -> list[int | None]:
+        return [i if k else None for i, k in zip(self.ids[a:z].tolist(), self.known[a:z].tolist(), strict=True)]
+
+    def tokens(self, a: int, z: int) -> np.ndarray:
+        """The token ids from document ``a`` to before document ``z``."""
+        start, end = int(self.offsets[a]), int(self.offsets[z])
+        if self.mapped is not None:
+            return self.mapped[start:end]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((end - start) * width, start * width), self.dtype)
+
+    def stretches(self, most_docs: int, most_tokens: int) -> Iterator[tuple[int, int]]:
+        """Documents a to before z, at most ``most_docs`` and, unless it is one alone, ``most_tokens`` token ids at a time."""
+        a, n = 0, len(self.ids)
+        while a < n:
+            z = int(np.searchsorted(self.offsets, self.offsets[a] + most_tokens, side="right")) - 1
+            z = min(max(z, a + 1), a + most_docs, n)
+            yield a, z
+            a = z
+
+
 def open_part(path: str, dtype: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, offsets (one more than documents) and ids of a part; ids are memory-mapped where it is a file."""
-    fs, local = open_fs(path)
-    with fs.open_input_file(f"{local}.idx") as f:
-        raw = f.read()
-    assert raw[:8] == MAGIC, f"{path}.idx is no index"
-    _, n = struct.unpack("<2sxxxxxxQ", raw[8:24])
-    valid = np.frombuffer(raw, "u1", n, 24)
-    ids = np.frombuffer(raw, "<i8", n, 24 + n)
-    offsets = np.frombuffer(raw, "<u8", n + 1, 24 + 9 * n).astype("i8")
-    if type(fs).__name__ == "LocalFileSystem":
-        tokens = np.memmap(f"{local}.bin", dtype=dtype, mode="r") if offsets[-1] else np.zeros(0, dtype)
-    else:
-        with fs.open_input_file(f"{local}.bin") as f:
-            tokens = np.frombuffer(f.read(), dtype)
-    return [i if v else None for i, v in zip(ids.tolist(), valid.tolist(), strict=True)], offsets, tokens
-
-
-def read_token_files(manifest: DataFrame, rows_at_once: int = 4096) -> DataFrame:
+    """Document ids, offsets and all token ids of a part; these are memory-mapped where it is a file."""
+    part = Part(path, dtype)
+    return part.doc_ids(0, len(part.ids)), part.offsets, part.tokens(0, len(part.ids))
+
+
+def read_token_files(manifest: DataFrame, docs_at_once: int = 4096, tokens_at_once: int = 1 << 20) -> DataFrame:
     """A row for each document, from the files: doc_id, start, n_tokens and the CRC-32 of its ids as 32-bit integers."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                doc_ids, offsets, tokens = open_part(row["path"], row["dtype"])
-                for a in range(0, len(doc_ids), rows_at_once):
-                    z = min(a + rows_at_once, len(doc_ids))
-                    crcs = [zlib.crc32(tokens[offsets[k] : offsets[k + 1]].astype("<u4").tobytes()) for k in range(a, z)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a:z], pa.int64()), "start": pa.array(row["base"] + offsets[a:z]), "n_tokens": pa.array(np.diff(offsets[a : z + 1])), "ids_crc32": pa.array(crcs, pa.int64())})
-
-    spark = manifest.sparkSession
-    return bases(manifest).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(read, ROWS)
+                part = Part(row["path"], row["dtype"])
+                for a, z in part.stretches(docs_at_once, tokens_at_once):
+                    tokens, at = part.tokens(a, z).astype("<u4"), part.offsets[a : z + 1] - part.offsets[a]
+                    crcs = [zlib.crc32(tokens[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part.doc_ids(a, z), pa.int64()), "start": pa.array(row["base"] + part.offsets[a:z]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crcs, pa.int64())})
+
+    tasks = manifest.count()  # a row for each part
+    return bases(manifest).repartition(max(1, tasks), "part").mapInArrow(read, ROWS)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LATIN_END, Kept, byte_alphabet
+from tidemill.llm.common import LATIN_END, Kept, byte_alphabet, sql_type
 
 # Unicode's White_Space, and the pre-tokenizer's pattern of byte-level BPE as published with GPT-2.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -216,8 +216,8 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "
                     stored.append(deltas)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), *([pa.array(stored, pa.binary())] if keep_prefixes else [])], names=["doc_id", "n_bytes", "n_tokens", *(["prefix_deltas"] if keep_prefixes else [])])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long" + ", prefix_deltas binary" * keep_prefixes)
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(count, f"doc_id {sql_type(picked, 'doc_id')}, n_bytes long, n_tokens long" + ", prefix_deltas binary" * keep_prefixes)
 
 
 def tokens_at(prefix_deltas: Column, n_chars: Column) -> Column:
