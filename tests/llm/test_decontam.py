@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import no_documents, odd_documents
@@ -65,3 +66,15 @@ def test_search_on_random_words():
         want = {(k, k + len(p)): p for p in patterns for k in range(len(text) - len(p) + 1) if tuple(text[k : k + len(p)]) == p}
         assert set(spans) == set(want)
         assert items == {patterns[p][0] for p in patterns if any(tuple(text[k : k + len(p)]) == p for k in range(len(text)))}
+
+
+def test_more_blocks_than_a_task_keeps(spark, sf_dir):
+    """Blocks are small pickles by their words; batches are searched together, so that each block is loaded once for them."""
+    paths = decontam.write_pattern_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), block_words=500)
+    assert len(paths) > decontam.KEPT and len(set(paths)) == len(paths)
+    assert sum(len(decontam._load(p).groups) > 0 for p in paths) == len(paths) and len(decontam._BLOCKS) <= decontam.KEPT
+    batches = [pa.array(["a" * 1000] * 10)] * 50
+    assert [len(p) for p in decontam._parts(iter(batches), True)] == [50]
+    assert [len(p) for p in decontam._parts(iter(batches), False)] == [1] * 50
+    large = [pa.array(["a" * (decontam.PART_BYTES // 2)])] * 5
+    assert [len(p) for p in decontam._parts(iter(large), True)] == [2, 2, 1]

@@ -59,3 +59,55 @@ def test_long_runs_count_whole(spark, sf_dir):
     assert len(head) == 64 and len(set(model.scores(texts))) == 4
     assert quality.words_of(f"a {head}bc\n{'d' * 130}") == ["a", head, "bc", "d" * 64, "d" * 64, "dd"]
     assert quality.words_of("") == quality.words_of(" \n") == []
+
+
+def test_pooling_and_network_against_plain_loops(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+    for text in [r["text"] for r in docs.limit(20).collect()] + ["one", "a a a", "\u0000\u0000 §§ §§", None, ""]:
+        rows = []
+        for w in quality.words_of(text):
+            k = model.vectors.words.get(w, model.vectors.shapes.get(quality.shape(w)))
+            v = quality.index_vector(quality.shape(w)) if k is None else model.vectors.table[k]
+            rows.append([float(x) / (quality.NONZERO**0.5 if k is None else 1) for x in v])
+        n = max(len(rows), 1)
+        mean = [sum(r[d] for r in rows) / n for d in range(quality.DIM)]
+        spread = [max(sum(r[d] ** 2 for r in rows) / n - mean[d] ** 2, 0) ** 0.5 for d in range(quality.DIM)]
+        step = [(sum((b[d] - a[d]) ** 2 for a, b in zip(rows, rows[1:])) / max(n - 1, 1)) ** 0.5 for d in range(quality.DIM)]
+        found = model.vectors.pooled(text)
+        assert np.allclose(found, mean + spread + step, atol=1e-3)
+        net, z = model.network, 0.0
+        for h in range(net.w1.shape[1]):
+            z += net.w2[h] * np.tanh(sum((found[d] - net.mean[d]) / net.scale[d] * net.w1[d, h] for d in range(len(found))) + net.b1[h])
+        assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-(z + net.b2) / net.temperature))) < 1e-6
+
+
+def test_words_get_the_index_vectors_of_their_neighbours():
+    vectors = quality.learn_vectors(["x y z", "x y", None, ""])
+    code = quality.index_vector
+    want = {"x": np.log(3) * code("y") + np.log(2) * code("z"), "y": np.log(3) * code("x") + np.log(2) * code("z"), "z": np.log(2) * (code("x") + code("y"))}
+    for word, v in want.items():
+        assert np.allclose(vectors.vectors([word])[0], v / np.linalg.norm(v), atol=1e-6)
+    assert set(vectors.words) == {"x", "y", "z"} and set(vectors.shapes) == {"a"}
+
+
+def test_null_and_long_labelled_texts_are_learned_from(spark):
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(k, None if k == ids[0] else "word " * 30_000 if k == ids[1] else f"t{k}") for k in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    sample = quality.labelled_sample(docs, labels, sample_rows=100, id_col="doc_id", text_col="text", label_col="quality").collect()
+    assert {r["id"] for r in sample} == set(ids)
+    assert {r["id"]: len(r["text"]) for r in sample if r["text"] and len(r["text"]) > 9} == {ids[1]: 150_000}
+    assert len(quality.labelled_sample(docs, labels, sample_rows=7, id_col="doc_id", text_col="text", label_col="quality").collect()) == 7
+
+
+def test_held_out_calibration(spark):
+    """Of held-out rows in tenths of the score, the mean score is near the share of label 1."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score_documents(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).filter("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    s, y = np.array([r["score"] for r in scored]), np.array([r["quality"] for r in scored])
+    tenth = np.minimum((s * 10).astype(int), 9)
+    error = sum((tenth == b).mean() * abs(s[tenth == b].mean() - y[tenth == b].mean()) for b in set(tenth.tolist()))
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in s[y == 1] for n in s[y == 0]])
+    assert error < 0.05 and auc > 0.95

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -44,3 +45,39 @@ def test_differencing_by_hand():
     assert sorted(s for s, _ in last) == [14, 16]
     for s, tree in last:
         assert sum(sharding.marks(tree)) == s
+
+
+def brute(sizes, shards):
+    """Loads by differencing as the textbook tells it, on sums alone: sort all partial partitions anew at every step."""
+    partial = [(k, sorted([s] + [0] * (shards - 1), reverse=True)) for k, s in enumerate(sizes)]
+    arrived = len(partial)
+    while len(partial) > 1:
+        partial.sort(key=lambda x: (x[1][-1] - x[1][0], x[0]))
+        (_, a), (_, b) = partial[:2]
+        partial = [*partial[2:], (arrived, sorted((x + y for x, y in zip(a, b[::-1], strict=True)), reverse=True))]
+        arrived += 1
+    return sorted(partial[0][1])
+
+
+def test_loads_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = defaultdict(int)
+    for r in docs.collect():
+        groups[r["text"]] += len((r["text"] or "").encode()) + 1
+    key = lambda t: b"null" if t is None else hashlib.sha256(t.encode()).digest()
+    want = brute([groups[t] for t in sorted(groups, key=key)], 16)
+    loads = defaultdict(int)
+    for r in sharding.shard(docs).collect():
+        loads[r["shard"]] += r["size"]
+    assert sorted(loads.values()) == want
+
+
+def test_a_text_that_a_third_of_all_rows_share(spark):
+    docs = spark.createDataFrame([(k, "the same text" if k % 3 == 0 else f"text {k}") for k in range(6000)], "doc_id long, text string").repartition(5)
+    rows = sharding.shard(docs, shards=4, leaf_groups=500, fan_in=3).collect()
+    check(docs, rows, 4)
+    loads = defaultdict(int)
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    rest = sorted(loads.values())[:3]
+    assert rest[-1] - rest[0] <= 12 and max(loads.values()) >= 2000 * 14
