@@ -10,6 +10,7 @@ from tidemill.functions import text as T
 from tidemill.functions.tool_parsers import parse_calls
 from tidemill.operators import metrics as M
 from tidemill.operators import rewards as R
+from tidemill.plans import cases as C
 from tidemill.plans.catalog import query
 from tidemill.plans.fixtures import TOKENS, per_token, rounded, table, trajectories
 
@@ -47,78 +48,85 @@ def e04_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm_sql(x: str) -> str:
+    """Articles are taken out twice, since a match has the characters beside it and those of neighbours overlap."""
     punct = """[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]"""
-    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '{punct}', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    article = "(^|[^\\p{L}\\p{N}_])(a|an|the)($|[^\\p{L}\\p{N}_])"
+    once = lambda y: f"regexp_replace({y}, '{article}', '\\1 \\3', 'g')"
+    bare = f"regexp_replace(lower({x}), '{punct}', '', 'g')"
+    return f"trim(regexp_replace({once(once(bare))}, '\\s+', ' ', 'g'))"
 
 
-@query("e05_normalize_answer", f"SELECT doc_id, {norm_sql('substr(text, 1, 200)')} AS answer FROM documents WHERE lang = 'en'")
+@query("e05_normalize_answer", f"SELECT doc_id, {norm_sql('text')} AS answer FROM documents")
 def e05_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return english.select("doc_id", T.normalize_answer(F.substring("text", 1, 200)).alias("answer"))
+    return docs(spark, sf_dir, "text").select("doc_id", T.normalize_answer(F.col("text")).alias("answer"))
 
 
-@query("e06_exact_and_containing_match", f"SELECT doc_id, {norm_sql('substr(text, 1, 20)')} = {norm_sql('upper(substr(text, 1, 20))')} AS em, contains({norm_sql('substr(text, 1, 60)')}, {norm_sql('substr(text, 5, 10)')}) AS sub FROM documents WHERE lang = 'en'")
+#: A document's last 200 characters, without the last of them.
+PART = "left(right(text, 200), 199)"
+
+
+@query("e06_exact_and_containing_match", f"SELECT doc_id, {norm_sql('text')} = {norm_sql("'?! ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '...'")} AS em, {norm_sql('text')} = {norm_sql(PART)} AS part, contains({norm_sql('text')}, {norm_sql(PART)}) AS sub FROM documents")
 def e06_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    part = lambda a, n: F.substring("text", a, n)
-    return english.select("doc_id", T.exact_match(part(1, 20), F.array(F.lit("?!"), F.upper(part(1, 20)))).alias("em"), T.contains_match(part(1, 60), F.array(part(5, 10))).alias("sub"))
+    t = F.col("text")
+    part = F.left(F.right(t, F.lit(200)), F.lit(199))
+    loud = F.concat(F.lit("?! "), F.translate(t, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("..."))
+    return docs(spark, sf_dir, "text").select("doc_id", T.exact_match(t, F.array(F.lit("?!"), loud)).alias("em"), T.exact_match(t, F.array(part)).alias("part"), T.contains_match(t, F.array(part)).alias("sub"))
 
 
-TAGGED = "CASE WHEN doc_id % 4 = 0 THEN 'x <answer> y </answer>' || substr(text, 1, 30) || '<answer> ' || source || ' </answer>' ELSE text END"
+TAGGED = "CASE WHEN doc_id % 4 = 0 THEN 'x <answer> y </answer>' || text || '<answer> ' || source || ' </answer>' WHEN doc_id % 4 = 1 THEN '<answer>' || text || '</answer>' ELSE text END"
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("x <answer> y </answer>"), F.substring("text", 1, 30), F.lit("<answer> "), "source", F.lit(" </answer>"))
-    return docs(spark, sf_dir, "text", "source").withColumn("t", F.when(F.col("doc_id") % 4 == 0, t).otherwise(F.col("text")))
+    last = F.concat(F.lit("x <answer> y </answer>"), "text", F.lit("<answer> "), "source", F.lit(" </answer>"))
+    whole = F.concat(F.lit("<answer>"), "text", F.lit("</answer>"))
+    return docs(spark, sf_dir, "text", "source").withColumn("t", F.when(F.col("doc_id") % 4 == 0, last).when(F.col("doc_id") % 4 == 1, whole).otherwise(F.col("text")))
 
 
-@query("e07_tagged_answer", f"SELECT doc_id, trim(regexp_extract_all({TAGGED}, '(?s)<answer>(.*?)</answer>', 1)[-1]) AS answer FROM documents")
+@query("e07_tagged_answer", f"SELECT doc_id, regexp_replace(regexp_extract_all({TAGGED}, '(?s)<answer>(.*?)</answer>', 1)[-1], '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
 def e07_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).select("doc_id", T.tagged_answer(F.col("t")).alias("answer"))
 
 
-@query("e08_qa_score", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN source IN ('src1', 'src2') THEN 1 ELSE 1e-1 END ELSE 0 END::DOUBLE AS score FROM documents")
-def e08_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagged(spark, sf_dir).select("doc_id", T.score_qa(F.col("t"), F.array(F.lit("SRC1"), F.lit("the src2.")), format_score=0.1).alias("score"))
+def scored(cases: list, score, name: str = "score"):
+    """A query of (text, truth) cases with their scores."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return C.case_table(spark, sf_dir, cases, ("t", "g")).select("doc_id", rounded(score(F.col("t"), F.col("g"))).alias(name))
 
-@query("e09_boxed_answer", "SELECT doc_id, '{x^' || CAST(n_chars AS VARCHAR) || '}+1' AS answer FROM documents")
-def e09_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit(r"\boxed{no} "), F.substring("text", 1, 50), F.lit(r" \boxed{{x^"), F.col("n_chars").cast("string"), F.lit("}+1} end"))
-    return docs(spark, sf_dir, "text", "n_chars").select("doc_id", T.boxed_answer(t).alias("answer"))
+    return run
 
 
-@query("e10_final_answer", "SELECT doc_id, CAST(n_chars AS VARCHAR) || '/2' AS answer FROM documents")
-def e10_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir, "n_chars").select("doc_id", T.plain_final(F.concat(F.lit("x = $\\text{"), F.col("n_chars").cast("string"), F.lit("}/2$ dollars"))).alias("answer"))
+SCORE = {"score": (2, "$v::DOUBLE")}
+ARRAY = "array<string>"
+query("e08_qa_score", C.case_sql(C.ANSWERS, SCORE))(scored(C.ANSWERS, lambda t, g: T.score_qa(t, F.from_json(g, ARRAY), format_score=0.1)))
 
 
-@query("e11_competition_score", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END::DOUBLE AS score, doc_id % 2 = 0 AS acc, CAST(n_chars + doc_id % 2 AS VARCHAR) AS pred FROM documents")
-def e11_dapo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.concat(F.lit("So\nAnswer: $"), F.format_number(F.col("n_chars") + F.col("doc_id") % 2, 0), F.lit("$ units"))
-    return docs(spark, sf_dir, "n_chars").withColumn("s", T.score_dapo(answer, F.col("n_chars").cast("string"))).select("doc_id", "s.*")
+@query("e09_boxed_answer", C.case_sql(C.BOXED, {"answer": (2, "$v")}))
+def e09_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.case_table(spark, sf_dir, C.BOXED, ("t",)).select("doc_id", T.boxed_answer(F.col("t")).alias("answer"))
 
 
-@query("e12_latex_score", "SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END::DOUBLE AS score FROM documents")
-def e12_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = F.concat(F.lit(r"thus $\boxed{\dfrac 1"), (F.col("n_chars") % 2 + 2).cast("string"), F.lit("}$"))
-    return docs(spark, sf_dir, "n_chars").select("doc_id", T.score_math(box, F.lit("0.5")).alias("score"))
+#: A box after a document's whole text.
+@query("e09_box_after_a_text", "SELECT doc_id, '{' || source || '}' AS answer FROM documents")
+def e09_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat("text", F.lit(r" \boxed{{"), "source", F.lit("}} end"))
+    return docs(spark, sf_dir, "text", "source").select("doc_id", T.boxed_answer(t).alias("answer"))
 
 
-@query("e15_geometry_score", "SELECT doc_id, CASE n_chars % 2 WHEN 0 THEN 1e0 ELSE 9e-1 END AS score FROM documents")
-def e15_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.when(F.col("n_chars") % 2 == 0, "<think>so</think>").otherwise(""), F.lit(r"it is \boxed{3}"))
-    return docs(spark, sf_dir, "n_chars").select("doc_id", rounded(T.score_geometry(t, F.lit("3"))).alias("score"))
+@query("e10_final_answer", C.case_sql(C.FINAL, {"answer": (2, "$v")}))
+def e10_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.case_table(spark, sf_dir, C.FINAL, ("t",)).select("doc_id", T.plain_final(F.col("t")).alias("answer"))
 
 
-GOLD = '<tool_call>\n{"name": "search", "parameters": {"q": "a", "n": 1}}\n</tool_call>'
+@query("e11_competition_score", C.case_sql(C.COMPETITION, {"score": (2, "split_part($v, '|', 1)::DOUBLE"), "acc": (2, "split_part($v, '|', 1) = '1.0'"), "pred": (2, "split_part($v, '|', 2)")}))
+def e11_dapo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.case_table(spark, sf_dir, C.COMPETITION, ("t", "g")).withColumn("s", T.score_dapo(F.col("t"), F.col("g"))).select("doc_id", "s.*")
 
 
-@query("e16_tool_call_score", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 1 + 6 * 3 / 4e0 - 3 ELSE -3 END::DOUBLE AS score FROM documents")
-def e16_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    call = lambda n: f'<think>x</think>\n<tool_call>\n{{"name": "search", "parameters": {{"q": "a", "n": {n}}}}}\n</tool_call>'
-    t = F.when(F.col("doc_id") % 3 == 0, call(1)).when(F.col("doc_id") % 3 == 1, call(2)).otherwise("<tool_call>\nno json\n</tool_call>")
-    return docs(spark, sf_dir).select("doc_id", rounded(T.score_tools(t, F.lit(GOLD))["score"]).alias("score"))
+query("e12_latex_score", C.case_sql(C.LATEX, SCORE))(scored(C.LATEX, T.score_math))
+query("e13_stated_score", C.case_sql(C.STATED, SCORE))(scored(C.STATED, T.score_stated))
+query("e15_geometry_score", C.case_sql(C.GEOMETRY, SCORE))(scored(C.GEOMETRY, T.score_geometry))
+query("e16_tool_call_score", C.case_sql(C.TOOL_ANSWERS, SCORE))(scored(C.TOOL_ANSWERS, lambda t, g: T.score_tools(t, g)["score"]))
 
 
 @query("e18_memory_score", "SELECT doc_id, CASE WHEN quality IS NOT NULL THEN quality WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END::DOUBLE AS score FROM documents LEFT JOIN labels USING (doc_id)")
@@ -128,45 +136,33 @@ def e18_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", T.score_memory(F.col("quality"), null, null, F.col("text"), F.lit(" THE ")).alias("score"))
 
 
-@query("e01_score_router", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 1 END::DOUBLE AS score FROM documents")
-def e01_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    source = F.when(k == 0, "openai/gsm8k").when(k == 1, "aime_2024").when(k == 2, "searchR1_nq").otherwise("HuggingFaceH4/MATH-500")
-    answer = F.when(k == 0, "#### 7").when(k == 1, "Answer: 8").when(k == 2, "<answer>Seven</answer>").otherwise(r"\boxed{7}")
-    truth = F.when(k == 2, '["seven", "7"]').otherwise("7")
-    return docs(spark, sf_dir).select("doc_id", T.score_by_source(source, answer, truth).alias("score"))
+#: Cases of every kind of source; a QA answer without a match scores 0 with the router's defaults.
+ROUTED = [
+    *[("numina_cn_k12", *c) for c in C.STATED],
+    *[("HuggingFaceH4/MATH-500", *c) for c in C.LATEX], *[("aime_2024", t, g, r.split("|")[0]) for t, g, r in C.COMPETITION], *[("math_dapo", t, g, r.split("|")[0]) for t, g, r in C.COMPETITION], *[("hiyouga/geometry3k", *c) for c in C.GEOMETRY],
+    *[("searchR1_nq", t, g, "0.0" if r == "0.1" else r) for t, g, r in C.ANSWERS], *[("openai/gsm8k", t, "{N}", r) for t, r in (("#### {N}", "1.0"), ("#### 1\n#### {N}", "1.0"), ("{N}", "0.0"), ("#### ${N}", "0.0"), ("#### {N},", "1.0"), ("", "0.0"))],
+]
 
 
-@query("e19_batched_scorer", "SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END::DOUBLE AS score FROM documents")
-def e19_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = F.concat(F.lit(r"\boxed{"), (F.col("n_chars") % 2).cast("string"), F.lit("}"))
-    return docs(spark, sf_dir, "n_chars").select("doc_id", T.score_math(box, F.lit("0")).alias("score"))
+@query("e01_score_router", C.case_sql(ROUTED, {"score": (3, "$v::DOUBLE")}))
+def e01_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = C.case_table(spark, sf_dir, ROUTED, ("source", "t", "g"))
+    return cases.select("doc_id", rounded(T.score_by_source(F.col("source"), F.col("t"), F.col("g"))).alias("score"))
 
 
-CALL_TEXTS = {
-    "hermes": 'ok <tool_call>{"name": "f", "arguments": {"x": 1}}</tool_call>',
-    "gpt-oss": '<|start|>assistant<|channel|>commentary to=functions.f <|constrain|>json<|message|>{"x": 1}<|call|>ok ',
-    "qwen3_coder": "ok <tool_call>\n<function=f>\n<parameter=x>\n1\n</parameter>\n</function>\n</tool_call>",
-    "glm": "ok <tool_call>f\n<arg_key>x</arg_key>\n<arg_value>1</arg_value></tool_call>",
-    "seed": "ok <seed:tool_call><function=f><parameter=x>1</parameter></function></seed:tool_call>",
-    "minimax": 'ok <minimax:tool_call><invoke name="f"><parameter name="x">1</parameter></invoke></minimax:tool_call>',
-    "kimi": 'ok <|tool_calls_section_begin|><|tool_call_begin|>f<|tool_call_argument_begin|>{"x": 1}<|tool_call_end|>',
-    "gemma4": "ok <|tool_call>call:f{x:1}<tool_call|>",
-}
+query("e19_batched_scorer", C.case_sql(C.LATEX, SCORE))(scored(C.LATEX, lambda t, g: T.custom_scorer(lambda a, b: float(bool(a) and T.same_latex(T.last_box(a), b)), t, g)))
 
 
-def _parser(name: str, text: str):
+def _parser(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tools = [{"name": "f", "parameters": {"x": {"type": "integer"}}}] if name == "qwen3_coder" else None
-        t = F.when(F.col("doc_id") % 2 == 0, text).otherwise("ok ")
-        parsed = docs(spark, sf_dir).withColumn("p", parse_calls(t, name, tools))
-        return parsed.select("doc_id", F.trim("p.content").alias("content"), F.concat_ws(";", F.transform("p.calls", lambda c: F.concat(c["name"], c["arguments"]))).alias("calls"))
+        parsed = C.case_table(spark, sf_dir, C.parser_cases(name), ("t",)).withColumn("p", parse_calls(F.col("t"), name, C.TOOLS.get(name)))
+        return parsed.select("doc_id", "p.content", F.concat_ws(";", F.transform("p.calls", lambda c: F.concat(c["name"], c["arguments"]))).alias("calls"))
 
     return run
 
 
-for _letter, (_name, _text) in zip("abcdefgh", CALL_TEXTS.items(), strict=True):
-    query(f"e20{_letter}_parse_{_name.replace('-', '_')}", """SELECT doc_id, 'ok' AS content, CASE WHEN doc_id % 2 = 0 THEN 'f{"x": 1}' ELSE '' END AS calls FROM documents""")(_parser(_name, _text))
+for _letter, _name in zip("abcdefgh", C.RENDER, strict=True):
+    query(f"e20{_letter}_parse_{_name.replace('-', '_')}", C.case_sql(C.parser_cases(_name), {"content": (1, "$v"), "calls": (2, "$v")}))(_parser(_name))
 
 
 @query("e21_retrieval_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n, regexp_extract_all(lower(text), '[a-z0-9]+')[1] AS first FROM documents")
@@ -175,10 +171,10 @@ def e21_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", F.size(tokens).cast("long").alias("n"), F.try_element_at(tokens, F.lit(1)).alias("first"))
 
 
-@query("e23_media_segments", "SELECT doc_id, 'text,image,text,video' AS kinds FROM documents")
+@query("e23_media_segments", C.case_sql(C.SEGMENTS, {"parts": (2, "$v")}))
 def e23_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("see "), "source", F.lit("<image>then<video>"))
-    return docs(spark, sf_dir, "source").select("doc_id", F.array_join(F.transform(T.media_segments(t, F.lit(1)), lambda s: s["type"]), ",").alias("kinds"))
+    parts = F.transform(T.media_segments(F.col("t")), lambda s: F.concat(s["type"], F.lit(":"), F.coalesce(s["text"], F.lit(""))))
+    return C.case_table(spark, sf_dir, C.SEGMENTS, ("t",)).select("doc_id", F.array_join(parts, ",").alias("parts"))
 
 
 @query("e25_clean_choice", "SELECT doc_id, source || '. go on now' AS t FROM documents")
@@ -300,6 +296,22 @@ def m06_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rate_limited(df, lambda row: row["row_id"] + 0 / (row["row_id"] - 2), per_second=1000.0).select("row_id", F.col("reward_score").alias("score"), "error")
 
 
+@query("m06_three_limits", "SELECT n_nationkey::BIGINT AS row_id, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE n_nationkey END::DOUBLE AS score, CASE WHEN n_nationkey % 5 = 0 THEN 'timeout' END AS error FROM nation")
+def m06_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls at once, requests and tokens a minute, and calls that hang."""
+
+    def judge(row: dict) -> float:
+        import time
+
+        if row["row_id"] % 5 == 0:
+            time.sleep(60)
+        return row["row_id"]
+
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"))
+    out = R.rate_limited(df, judge, requests_per_minute=6000, tokens_per_minute=600_000, tokens=lambda row: 10 + row["row_id"], max_concurrent=4, timeout=0.5)
+    return out.select("row_id", F.col("reward_score").alias("score"), "error")
+
+
 @query("m09_passthrough", TOKENS + " SELECT row_id, pos, round(rewards, 6) + 0.0 AS r FROM tok")
 def m09_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = trajectories(spark, sf_dir, columns=("rewards",)).withColumn("rm_scores", F.col("rewards"))
