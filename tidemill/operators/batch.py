@@ -2,7 +2,7 @@
 
 A batch is a DataFrame with a dense ``row_id`` (0, 1, ...) that stands for position. Operators that reorder give new
 dense ids. Ids are made from a total order that the caller names, never from partition layout, and in two levels
-(counts per chunk, then ranks within) so that no task sees the whole batch.
+(counts per range, then places within) so that no task sees the whole batch.
 """
 
 from __future__ import annotations
@@ -15,21 +15,26 @@ from pyspark.sql import functions as F
 from tidemill.sources.storage import stored
 
 ID = "row_id"
+#: Fixed value: the bits that ``monotonically_increasing_id`` has for a row within its partition.
+PLACE_BITS = 33
 
 
 def with_dense_id(df: DataFrame, order: Sequence[str | Column], out: str = ID) -> DataFrame:
-    """``out`` = 0, 1, ... by a total order: a range partitioning, counts by partition, ranks within.
+    """``out`` = 0, 1, ... by a total order: rows are ranged and sorted in one shuffle and stored with their place in their
+    range; a range's first id is a prefix sum of counts.
 
-    The partitioned rows are stored first: its bounds come from a sample and must be the same for counts and ranks.
+    The rows are stored, as the bounds of the ranges come from a sample and must be the same for counts and places. This writes
+    a table when it is called.
     """
     sort = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(df.repartitionByRange(parts, *sort).withColumn("_part", F.spark_partition_id()), "ranged")
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*sort)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_count"))
+    # The id of a row in its partition: the partition's number above PLACE_BITS, the place below.
+    ranged = stored(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    counts = ranged.groupBy(F.shiftright("_at", PLACE_BITS).alias("_part")).agg(F.count("*").alias("_count"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("_part", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
-    return ranked.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_rank") - 1).drop("_part", "_rank", "_base")  # broadcast: a row for each partition
+    placed = ranged.withColumn("_part", F.shiftright("_at", PLACE_BITS)).join(F.broadcast(base), "_part")  # broadcast: a row for each partition
+    return placed.withColumn(out, F.col("_base") + F.col("_at") % (1 << PLACE_BITS)).drop("_part", "_at", "_base")
 
 
 def count(df: DataFrame) -> Column:
@@ -261,6 +266,48 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def assert_equal(a: DataFrame, b: DataFrame, shown: int = 5) -> None:
+    """Raises, and shows some of the rows that differ, unless two batches are equal in schema and rows (NaN equals NaN)."""
+    if describe(a) != describe(b):
+        raise AssertionError(f"schemas differ: {describe(a)} and {describe(b)}")
+    b = b.select(*a.columns)
+    only = {side: x.exceptAll(y).limit(shown).collect() for side, x, y in (("left", a, b), ("right", b, a))}
+    if any(only.values()):
+        raise AssertionError(f"rows differ: {only}")
+
+
+def collate_stacked(df: DataFrame, columns: Sequence[str], *, batch: str, order: str = ID) -> DataFrame:
+    """A row for each batch: every column's values in order. Arrays of different lengths in a batch raise when the query runs."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *columns)))
+    out = df.groupBy(batch).agg(rows.alias("_rows")).select(batch, *[F.col(f"_rows.{c}").alias(c) for c in columns])
+    kinds = dict(df.dtypes)
+    same = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: F.size(x)))) <= 1
+    checked = lambda c: F.when(same(c), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} has arrays of different lengths")))
+    return out.withColumns({c: checked(c) for c in columns if kinds[c].startswith("array")})
+
+
+def collate_padded(df: DataFrame, fills: dict[str, Column], *, batch: str, left: bool = False, multiple: int = 1) -> DataFrame:
+    """Arrays padded to the longest of their batch, rounded up to a multiple, on the right or left."""
+    longest = df.groupBy(batch).agg(*[F.max(F.size(c)).alias(f"_{c}") for c in fills])
+
+    def padded(c: str) -> Column:
+        to = F.ceil(F.col(f"_{c}") / multiple) * multiple
+        pad = F.array_repeat(fills[c], (to - F.size(c)).cast("int"))
+        return F.concat(pad, F.col(c)) if left else F.concat(F.col(c), pad)
+
+    kinds = dict(df.dtypes)
+    return df.join(longest, batch).withColumns({c: padded(c).cast(kinds[c]) for c in fills}).drop(*[f"_{c}" for c in fills])
+
+
+def collate_jagged(df: DataFrame, columns: Sequence[str], *, batch: str, order: str = ID) -> DataFrame:
+    """A row for each batch: every array column's values end to end, and ``<column>_offsets`` with one more entry than rows."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *columns)))
+    out = df.groupBy(batch).agg(rows.alias("_rows"))
+    lengths = lambda c: F.transform(f"_rows.{c}", lambda x: F.size(x))
+    upto = lambda c: F.transform(F.sequence(F.lit(0), F.size("_rows")), lambda k: F.aggregate(F.slice(lengths(c), 1, k), F.lit(0), lambda a, x: a + x))
+    return out.select(batch, *[x for c in columns for x in (F.flatten(f"_rows.{c}").alias(c), upto(c).alias(f"{c}_offsets"))])
+
+
 def describe(df: DataFrame) -> dict[str, str]:
     """Column names and types, nested ones included."""
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
