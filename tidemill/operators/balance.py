@@ -1,7 +1,8 @@
 """Placement: workloads, balanced partitions, micro-batches and the orders that go with them.
 
-Partitions are made by Karmarkar-Karp differencing on the driver over (id, workload) of one training batch, which is
-bounded by the batch size that callers name (``MAX_ITEMS``); the plan goes back as a join on the id.
+A table holds any number of training batches, named by ``batch`` (none: all rows are one batch). Each batch is planned by
+itself, in a task that has the ids and workloads of its rows alone, by Karmarkar-Karp differencing; the plan goes back as a
+join on the batch and the id. A task holds one batch, so batches, not tables, must fit a task.
 """
 
 from __future__ import annotations
@@ -10,13 +11,12 @@ import heapq
 import math
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.registry import Registry
 
-#: The largest batch that is planned on the driver (an id and a length of 16 bytes each).
-MAX_ITEMS = 2_000_000
 #: Fixed value: linear cost of a token against the square of the length.
 LINEAR_COST = 24_576
 DISPATCH: Registry[Callable[..., DataFrame]] = Registry("dispatch mode")
@@ -81,46 +81,71 @@ def balanced(sizes: Sequence[int], k: int, *, equal: bool = False) -> list[list[
     return check_parts(karmarkar_karp(sizes, k, equal=equal), len(sizes))
 
 
-def _collected(df: DataFrame, *columns: str | Column) -> list:
-    rows = df.select(*columns).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"a batch of more than {MAX_ITEMS} rows must be split before it is balanced")
-    return rows
-
-
-def partition(df: DataFrame, k: int, *, size: Column, row: str = "row_id", equal: bool = False) -> DataFrame:
-    """Adds ``part`` by balanced partitions of the sizes."""
-    rows = sorted(_collected(df, F.col(row).alias("r"), size.cast("long").alias("s")))
-    parts = balanced([r["s"] for r in rows], k, equal=equal)
-    plan = df.sparkSession.createDataFrame([(rows[i]["r"], p) for p, items in enumerate(parts) for i in items], "_r long, part int")
-    return df.join(plan, df[row] == plan["_r"]).drop("_r")
-
-
-def partition_groups(df: DataFrame, k: int, *, size: Column, by: str = "uid", row: str = "row_id") -> DataFrame:
-    """Adds ``part``: groups stay together and every part has as many groups."""
-    groups = df.groupBy(by).agg(F.sum(size).cast("long").alias("s"), F.min(row).alias("f"))
-    rows = sorted(_collected(groups, F.col(by).alias("g"), "s", "f"), key=lambda r: r["f"])
-    if len(rows) % k:
-        raise ValueError(f"{len(rows)} groups can't make {k} equal parts")
-    parts = balanced([r["s"] for r in rows], k, equal=True)
-    plan = df.sparkSession.createDataFrame([(rows[i]["g"], p) for p, items in enumerate(parts) for i in items], f"_g {dict(df.dtypes)[by]}, part int")
-    return df.join(plan, df[by].eqNullSafe(plan["_g"])).drop("_g")
-
-
-def micro_batches(df: DataFrame, *, length: str, most_tokens: int, row: str = "row_id", multiple: int = 1, least: int = 1) -> DataFrame:
-    """Adds ``part``: as few balanced micro-batches as keep near ``most_tokens`` each, rounded up to a multiple; the largest
-    workloads stand in the middle."""
-    rows = sorted(_collected(df, F.col(row).alias("r"), F.col(length).cast("long").alias("s")))
-    if any(r["s"] > most_tokens for r in rows):
-        raise ValueError(f"a sequence is longer than {most_tokens}")
-    count = min(len(rows), max(least, math.ceil(sum(r["s"] for r in rows) / most_tokens)))
-    count = min(len(rows), roundup(count, multiple))
-    cost = lambda s: LINEAR_COST * s + s * s
-    parts = balanced([cost(r["s"]) for r in rows], count)
-    parts.sort(key=lambda p: (sum(cost(rows[i]["s"]) for i in p), min(p)), reverse=True)
-    parts = parts[::2][::-1] + parts[1::2]
-    plan = df.sparkSession.createDataFrame([(rows[i]["r"], p) for p, items in enumerate(parts) for i in items], "_r long, part int")
-    return df.join(plan, df[row] == plan["_r"]).drop("_r")
+def _planned(df: DataFrame, plan: Callable[[list[int], list], dict[str, list]], *, item: str, size: Column, first: Column | None = None, batch: str | None = None, adds: str = "part int") -> DataFrame:
+    """``df`` with what ``plan`` gives for the (sizes, first places) of each batch's items, in order of ``first`` (the item itself)."""
+    keys = [F.lit(0).alias("_batch") if batch is None else F.col(batch).alias("_batch"), F.col(item).alias("_item")]
+    items = df.groupBy(*keys).agg(F.sum(size.cast("long")).alias("_size"), F.min(F.col(item) if first is None else first).alias("_first"))
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    names = [part.split()[0] for part in adds.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_first", kind="stable")
+        out = plan(pdf["_size"].tolist(), pdf["_first"].tolist())
+        return pd.DataFrame({"_batch": pdf["_batch"].to_numpy(), "_item": pdf["_item"].to_numpy()} | {n: out[n] for n in names})
+
+    planned = items.groupBy("_batch").applyInPandas(run, f"_batch {kinds['_batch']}, _item {kinds['_item']}, {adds}")
+    here = F.col("_item").eqNullSafe(F.col(item)) & (F.lit(True) if batch is None else F.col("_batch").eqNullSafe(F.col(batch)))
+    return df.join(planned, here).drop("_batch", "_item")
+
+
+def _places(parts: list[list[int]], n: int) -> list[int]:
+    """The part of each item."""
+    out = [0] * n
+    for p, items in enumerate(parts):
+        for i in items:
+            out[i] = p
+    return out
+
+
+def partition(df: DataFrame, k: int, *, size: Column, row: str = "row_id", equal: bool = False, batch: str | None = None) -> DataFrame:
+    """Adds ``part`` by balanced partitions of each batch's sizes."""
+    return _planned(df, lambda sizes, _: {"part": _places(balanced(sizes, k, equal=equal), len(sizes))}, item=row, size=size, batch=batch)
+
+
+def partition_greedily(df: DataFrame, k: int, *, size: Column, row: str = "row_id", equal: bool = False, batch: str | None = None) -> DataFrame:
+    """Adds ``part``: each batch's rows in order of id, each to the lightest part so far."""
+    return _planned(df, lambda sizes, _: {"part": _places(greedy(sizes, k, equal=equal), len(sizes))}, item=row, size=size, batch=batch)
+
+
+def partition_groups(df: DataFrame, k: int, *, size: Column, by: str = "uid", row: str = "row_id", batch: str | None = None) -> DataFrame:
+    """Adds ``part``: a batch's groups stay together and every part has as many groups."""
+
+    def plan(sizes: list[int], _: list) -> dict[str, list]:
+        if len(sizes) % k:
+            raise ValueError(f"{len(sizes)} groups can't make {k} equal parts")
+        return {"part": _places(balanced(sizes, k, equal=True), len(sizes))}
+
+    return _planned(df, plan, item=by, size=size, first=F.col(row), batch=batch)
+
+
+def _cost(length: int) -> int:
+    return LINEAR_COST * length + length * length
+
+
+def micro_batches(df: DataFrame, *, length: str, most_tokens: int, row: str = "row_id", multiple: int = 1, least: int = 1, batch: str | None = None) -> DataFrame:
+    """Adds ``part``: as few balanced micro-batches of a batch as keep near ``most_tokens`` each, rounded up to a multiple; the
+    largest workloads stand in the middle."""
+
+    def plan(lengths: list[int], _: list) -> dict[str, list]:
+        if max(lengths) > most_tokens:
+            raise ValueError(f"a sequence is longer than {most_tokens}")
+        count = min(len(lengths), max(least, ceildiv(sum(lengths), most_tokens)))
+        count = min(len(lengths), roundup(count, multiple))
+        costs = list(map(_cost, lengths))
+        parts = sorted(balanced(costs, count), key=lambda p: (-sum(costs[i] for i in p), min(p)))
+        return {"part": _places(parts[::2][::-1] + parts[1::2], len(lengths))}
+
+    return _planned(df, plan, item=row, size=F.col(length), batch=batch)
 
 
 def small_ends(order: Sequence[int]) -> list[int]:
@@ -128,14 +153,19 @@ def small_ends(order: Sequence[int]) -> list[int]:
     return [*order[::2], *list(order[1::2])[::-1]]
 
 
-def balance_batch(df: DataFrame, k: int, *, length: str, row: str = "row_id") -> DataFrame:
-    """A new ``row_id``: rows of a part stand together, each part with its small rows at both ends; parts are equal in rows."""
-    rows = sorted(_collected(df, F.col(row).alias("r"), F.col(length).cast("long").alias("s")))
-    cost = [LINEAR_COST * r["s"] + r["s"] ** 2 for r in rows]
-    order = [i for p in balanced(cost, k, equal=True) for i in small_ends(sorted(p, key=lambda i: (cost[i], i)))]
-    plan = df.sparkSession.createDataFrame([(rows[i]["r"], at, at // (len(rows) // k)) for at, i in enumerate(order)], "_r long, _at long, part long")
-    joined = df.join(plan, df[row] == plan["_r"])
-    return joined.drop(row, "_r").withColumnRenamed("_at", row)
+def balance_batch(df: DataFrame, k: int, *, length: str, row: str = "row_id", batch: str | None = None) -> DataFrame:
+    """New ids for the rows of a batch, among its own: rows of a part stand together, each part with its small rows at both ends;
+    parts are equal in rows. Adds ``part``."""
+
+    def plan(lengths: list[int], ids: list) -> dict[str, list]:
+        costs = list(map(_cost, lengths))
+        order = [i for p in balanced(costs, k, equal=True) for i in small_ends(sorted(p, key=lambda i: (costs[i], i)))]
+        at = {i: ids[n] for n, i in enumerate(order)}
+        part = {i: n // (len(order) // k) for n, i in enumerate(order)}
+        return {"_at": [at[i] for i in range(len(order))], "part": [part[i] for i in range(len(order))]}
+
+    out = _planned(df, plan, item=row, size=F.col(length), batch=batch, adds=f"_at {df.schema[row].dataType.simpleString()}, part long")
+    return out.drop(row).withColumnRenamed("_at", row)
 
 
 def ceildiv(a: int, b: int) -> int:

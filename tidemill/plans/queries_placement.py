@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import balance as P
 from tidemill.operators import metrics as M
 from tidemill.operators.batch import with_dense_id
-from tidemill.operators.sampling import head
 from tidemill.plans.catalog import query
 from tidemill.plans.fixtures import rounded, table
 from tidemill.streaming import queues as Q
@@ -22,9 +21,47 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_dense_id(o, ["k"]).drop("k")
 
 
-def spread(df: DataFrame, size: str = "len") -> DataFrame:
-    """Rows, parts, and whether sums of the parts are within 2 % of their mean."""
-    return df.groupBy("part").agg(F.sum(size).alias("s"), F.count("*").alias("n")).agg(F.count("*").alias("parts"), F.sum("n").alias("n"), (F.max("s") - F.min("s") <= F.avg("s") * 0.02).alias("even"))
+#: Rows of a training batch in these queries; the last batch of a table is shorter.
+BATCH = 128
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as training batches of ``BATCH`` rows."""
+    return rows(spark, sf_dir).withColumn("batch", F.expr(f"row_id div {BATCH}"))
+
+
+def loads(df: DataFrame, size: F.Column, *by: str) -> DataFrame:
+    """The loads of each batch's parts: by part where that is named, else by falling load."""
+    out = df.groupBy("batch", "part").agg(F.sum(size).cast("long").alias("load"))
+    if by:
+        return out.select("batch", F.col("part").cast("long").alias("rank"), "load")
+    rank = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("load"))) - 1
+    return out.select("batch", rank.cast("long").alias("rank"), "load")
+
+
+COST = "(24576 * len + len * len)"
+
+
+def differenced_sql(items: str, k: str, *, equal: bool = False) -> str:
+    """Common table expressions that end in ``done(batch, v)``: the loads, by falling load, of each batch after differencing.
+
+    ``items`` has batch, s (an item's size) and f (its place); ``k`` is the number of parts, an expression over n and total.
+    A state is a partial partition's loads; each step adds the two states of the largest spread, oppositely ordered.
+    """
+    start = "list(s ORDER BY s DESC, f DESC)" if equal else "[s] || list_transform(range(k - 1), lambda z: 0::BIGINT)"
+    group = "GROUP BY batch, k, i // k" if equal else ""
+    number = "(i // k)" if equal else "i"
+    return f"""it AS ({items}), od AS (SELECT batch, s, f, row_number() OVER (PARTITION BY batch ORDER BY s, f) - 1 AS i, count(*) OVER (PARTITION BY batch) AS n, sum(s) OVER (PARTITION BY batch) AS total FROM it),
+    kk AS (SELECT batch, s, f, i, CAST({k} AS BIGINT) AS k FROM od), fs AS (SELECT batch, {number} AS number, {start} AS v FROM kk {group}),
+    st AS (SELECT batch, list({{'d': v[-1] - v[1], 'i': number::BIGINT, 'v': v}}) AS st, count(*)::BIGINT AS nxt FROM fs GROUP BY batch),
+    go(batch, st, nxt) AS (SELECT batch, list_sort(st), nxt FROM st UNION ALL SELECT batch, list_sort(list_append(st[3:], {{'d': v[-1] - v[1], 'i': nxt, 'v': v}})), nxt + 1
+        FROM (SELECT batch, st, nxt, list_reverse_sort(list_transform(range(1, len(st[1].v) + 1), lambda j: st[1].v[j] + st[2].v[len(st[2].v) + 1 - j])) AS v FROM go WHERE len(st) > 1)),
+    done AS (SELECT batch, st[1].v AS v FROM go WHERE len(st) = 1)"""
+
+
+PARTS = " SELECT batch, unnest(range(len(v)))::BIGINT AS rank, unnest(v)::BIGINT AS load FROM done"
+RECURSIVE = ROWS.replace("WITH ", "WITH RECURSIVE ", 1) + ", "
+ITEMS = f"SELECT row_id // {BATCH} AS batch, {{}} AS s, row_id AS f FROM b"
 
 
 @query("b01_workload", ROWS + " SELECT row_id, 24576 * len + len * len AS cost FROM b")
@@ -32,50 +69,75 @@ def b01_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).select("row_id", P.workload(F.col("len")).alias("cost"))
 
 
-@query("b02_karmarkar_karp", ROWS + " SELECT 7::BIGINT AS parts, count(*) AS n, true AS even FROM b WHERE row_id < 1000")
+@query("b02_karmarkar_karp", RECURSIVE + differenced_sql(ITEMS.format("len"), "7") + PARTS)
 def b02_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(P.partition(head(rows(spark, sf_dir), 1000), 7, size=F.col("len")))
+    return loads(P.partition(batches(spark, sf_dir), 7, size=F.col("len"), batch="batch"), F.col("len"))
 
 
-@query("b04_equal_counts", ROWS + " SELECT 8::BIGINT AS parts, 125::BIGINT AS least, 125::BIGINT AS most FROM b WHERE row_id < 1")
+@query("b04_equal_counts", RECURSIVE + differenced_sql(ITEMS.format(COST), "4", equal=True) + PARTS.replace(" SELECT", f" SELECT least({BATCH}, (SELECT count(*) FROM b) - batch * {BATCH}) // 4 AS n,"))
 def b04_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = P.partition(head(rows(spark, sf_dir), 1000), 8, size=P.workload(F.col("len")), equal=True)
-    return df.groupBy("part").agg(F.count("*").alias("n")).agg(F.count("*").alias("parts"), F.min("n").alias("least"), F.max("n").alias("most"))
+    cost = P.workload(F.col("len"))
+    df = P.partition(batches(spark, sf_dir), 4, size=cost, equal=True, batch="batch")
+    counts = df.groupBy("batch", "part").agg(F.count("*").alias("n")).groupBy("batch").agg(F.max("n").alias("n"), F.min("n").alias("least")).filter("n = least").select("batch", "n")
+    return loads(df, cost).join(counts, "batch")
 
 
-@query("b03_greedy", "SELECT 1000::BIGINT AS n, true AS light FROM range(1)")
+@query("b03_greedy", RECURSIVE + f"""od AS (SELECT row_id // {BATCH} AS batch, list(len ORDER BY row_id) AS s FROM b GROUP BY 1),
+    go(batch, s, i, v, p) AS (SELECT batch, s, 0::BIGINT, list_transform(range(7), lambda z: 0::BIGINT), NULL::BIGINT FROM od UNION ALL
+        SELECT batch, s, i + 1, list_transform(range(1, 8), lambda j: v[j] + CASE WHEN j = spot THEN s[i + 1] ELSE 0 END), spot - 1 FROM (SELECT *, list_position(v, list_min(v))::BIGINT AS spot FROM go WHERE i < len(s)))
+    SELECT batch * {BATCH} + i - 1 AS row_id, p AS part FROM go WHERE i > 0""")
 def b03_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = [r["len"] for r in head(rows(spark, sf_dir), 1000).orderBy("row_id").select("len").collect()]
-    parts = P.greedy(sizes, 7)
-    sums = [sum(sizes[i] for i in p) for p in parts]
-    return spark.createDataFrame([(sum(map(len, parts)), max(sums) - min(sums) <= max(sizes))], "n long, light boolean")
+    return P.partition_greedily(batches(spark, sf_dir), 7, size=F.col("len"), batch="batch").select("row_id", F.col("part").cast("long").alias("part"))
+
 
+#: Customers by their first order, in batches of 60; the last batch is filled up with customers that have no tokens.
+GROUPS = ", g AS (SELECT uid, sum(len)::BIGINT AS s, min(row_id) AS f FROM b GROUP BY uid), r AS (SELECT s, f, row_number() OVER (ORDER BY f) - 1 AS i FROM g), e AS (SELECT count(*) AS n FROM r), p AS (SELECT s, f, i FROM r UNION ALL SELECT 0, 1000000000 + k, n + k FROM e, range(59) q(k) WHERE k < (60 - n % 60) % 60)"
 
-@query("b05_groups_stay_together", "SELECT 0::BIGINT AS torn FROM range(1)")
+
+@query("b05_groups_stay_together", RECURSIVE.removesuffix(", ") + GROUPS + ", " + differenced_sql("SELECT i // 60 AS batch, s, f FROM p", "6", equal=True) + PARTS.replace("AS load", "AS load, 10::BIGINT AS groups"))
 def b05_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemill.operators.sampling import oldest_groups
+    df = rows(spark, sf_dir)
+    ranked = with_dense_id(df.groupBy("uid").agg(F.min("row_id").alias("f")), ["f"], out="i").drop("f")
+    numbered = df.join(ranked, "uid").select("row_id", "len", "i")
+    end = numbered.agg(F.max("i").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(58)))).filter("k < (60 - (n + 1) % 60) % 60")
+    filled = numbered.unionByName(end.select((F.col("k") + 1_000_000_000).alias("row_id"), F.lit(0).cast("long").alias("len"), (F.col("n") + 1 + F.col("k")).alias("i")))
+    out = P.partition_groups(filled.withColumn("batch", F.expr("i div 60")), 6, size=F.col("len"), by="i", batch="batch")
+    groups = out.groupBy("batch", "i").agg(F.min("part").alias("part"), F.max("part").alias("last"), F.sum("len").alias("len"))
+    counted = groups.groupBy("batch", "part").agg(F.count_if(F.col("part") == F.col("last")).alias("groups")).groupBy("batch").agg(F.min("groups").alias("groups"))
+    return loads(groups, F.col("len")).join(counted, "batch")
+
 
-    few = oldest_groups(rows(spark, sf_dir), 60, age="row_id")
-    df = P.partition_groups(few, 6, size=F.col("len"))
-    return df.groupBy("uid").agg(F.count_distinct("part").alias("p")).agg(F.count_if(F.col("p") > 1).alias("torn"))
+MICRO = "least(n, ceil(ceil(tokens / 2e4) / 2) * 2)"
+#: Parts by falling load: every other one backwards, then those between them.
+MIDDLE = " SELECT batch, unnest(range(len(v)))::BIGINT AS rank, unnest(list_reverse(list_filter(v, lambda x, j: j % 2 = 1)) || list_filter(v, lambda x, j: j % 2 = 0))::BIGINT AS load FROM done"
 
 
-@query("b06_micro_batches", ROWS + " SELECT CAST(ceil(sum(len) / 2e4 / 2) * 2 AS BIGINT) AS parts, count(*) AS n FROM b WHERE row_id < 500")
+@query("b06_micro_batches", RECURSIVE + differenced_sql(ITEMS.format(COST), MICRO.replace("tokens", "(SELECT sum(len) FROM b WHERE row_id // 128 = od.batch)")) + MIDDLE)
 def b06_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = P.micro_batches(head(rows(spark, sf_dir), 500), length="len", most_tokens=20_000, multiple=2)
-    return df.agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
+    df = P.micro_batches(batches(spark, sf_dir), length="len", most_tokens=20_000, multiple=2, batch="batch")
+    return loads(df, P.workload(F.col("len")), "part")
 
 
-@query("b07_prepare_and_restore", ROWS + " SELECT row_id, len FROM b WHERE row_id < 400")
+@query("b07_prepare_and_restore", ROWS + f", m AS (SELECT row_id // {BATCH} AS batch, least(count(*), ceil(sum(len) / 2e4))::BIGINT AS parts FROM b GROUP BY 1) SELECT row_id, len, parts FROM b JOIN m ON row_id // {BATCH} = batch")
 def b07_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = P.micro_batches(head(rows(spark, sf_dir), 400), length="len", most_tokens=20_000)
-    return df.drop("part").select("row_id", "len")
+    """Rows in the order of their micro-batches, then back by the inverse of that order."""
+    df = P.micro_batches(batches(spark, sf_dir), length="len", most_tokens=20_000, batch="batch")
+    prepared = with_dense_id(df, ["batch", "part", "row_id"], out="place")
+    back = prepared.select("place", "row_id")
+    parts = prepared.groupBy("batch").agg(F.count_distinct("part").alias("parts"))
+    return prepared.select("place", "len", "batch").join(back, "place").join(parts, "batch").select("row_id", "len", "parts")
 
 
-@query("b10_balance_batch", ROWS + " SELECT 100::BIGINT AS n, sum(len)::BIGINT AS total FROM b WHERE row_id < 100")
+@query("b10_balance_batch", RECURSIVE + differenced_sql(ITEMS.format(COST), "4", equal=True) + PARTS.replace(" SELECT", f" SELECT least({BATCH}, (SELECT count(*) FROM b) - batch * {BATCH}) // 4 AS n,"))
 def b10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = P.balance_batch(head(rows(spark, sf_dir), 100), 4, length="len")
-    return df.agg(F.count_distinct("row_id").alias("n"), F.sum("len").alias("total"))
+    """Parts are stretches of the new ids, each with its smallest row at one end and its second at the other."""
+    df = P.balance_batch(batches(spark, sf_dir), 4, length="len", batch="batch")
+    cost, part = P.workload(F.col("len")), ["batch", "part"]
+    by_place = Window.partitionBy(*part).orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = df.withColumns({"head": F.first("len").over(by_place), "foot": F.last("len").over(by_place)})
+    sums = ends.groupBy(*part).agg(F.sum(cost).alias("load"), F.count("*").alias("n"), (F.max("row_id") - F.min("row_id") + 1).alias("width"), F.sort_array(F.collect_list("len")).alias("sorted"), F.first("head").alias("head"), F.first("foot").alias("foot"))
+    sound = (F.col("width") == F.col("n")) & (F.col("head") == F.col("sorted")[0]) & (F.col("foot") == F.col("sorted")[1])
+    return sums.filter(sound).select("batch", F.col("part").cast("long").alias("rank"), F.col("load").cast("long").alias("load"), "n")
 
 
 @query("b11_integers", "SELECT 5 AS ceil, 12 AS round, 24 AS multiple")
@@ -123,7 +185,13 @@ def t01_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.newest(table(spark, sf_dir, "events").select("event_id", "ts"), 100, order=["ts", "event_id"]).select("event_id")
 
 
-@query("g34_queue_stats")
+G34 = """WITH RECURSIVE e AS (SELECT user_id % 8 AS q, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i, event_type = 'purchase' AS is_get FROM events), n AS (SELECT q, count(*) AS n FROM e GROUP BY q),
+    go(q, i, size, consumed, dropped, puts) AS (SELECT q, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM n UNION ALL
+        SELECT go.q, e.i, CASE WHEN is_get THEN greatest(size - 1, 0) ELSE least(size + 1, 10) END, consumed + CASE WHEN is_get AND size > 0 THEN 1 ELSE 0 END, dropped + CASE WHEN NOT is_get AND size = 10 THEN 1 ELSE 0 END, puts + CASE WHEN is_get THEN 0 ELSE 1 END FROM go JOIN e ON e.q = go.q AND e.i = go.i + 1)
+    SELECT sum(puts)::BIGINT AS total_produced, sum(consumed)::BIGINT AS total_consumed, sum(dropped)::BIGINT AS dropped_samples, sum(size)::BIGINT AS queue_size FROM go JOIN n ON n.q = go.q AND go.i = n.n"""
+
+
+@query("g34_queue_stats", G34)
 def g34_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.queue_stats(Q.bounded_queue(operations(spark, sf_dir), 10, by="queue", order=["event_id"]))
 

@@ -6,6 +6,7 @@ The queue's batch form is exact relational algebra; its streaming form keeps the
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,30 +20,39 @@ def bounded_queue(items: DataFrame, capacity: int, *, by: str, order: list[str],
     """What becomes of each "put" of a sequence of puts and gets (column ``op``) of queues ``by`` key: ``consumed``, ``dropped``
     (a later put found the queue full) or ``queued``, and for gets ``got`` or ``empty``.
 
-    Run per queue in order with a deque of at most ``capacity`` items; keys are spread over tasks.
+    Keys are dealt over tasks; a task reads its sorted rows as a stream and holds a batch of them and the ``capacity`` items
+    that wait, however long a queue's history is.
     """
-    from collections import deque
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        waiting: deque[int] = deque()
-        fate = [""] * len(pdf)
-        for i, op in enumerate(pdf[kind]):
-            if op == "put":
-                if len(waiting) >= capacity:
-                    fate[waiting.popleft()] = "dropped"
-                waiting.append(i)
-            elif waiting:
-                fate[waiting.popleft()] = "consumed"
-                fate[i] = "got"
-            else:
-                fate[i] = "empty"
-        for i in waiting:
-            fate[i] = "queued"
-        return pdf.assign(fate=fate)
+    columns = items.columns
+    at_key, at_kind = columns.index(by), columns.index(kind)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: deque[tuple] = deque()
+        key, out = None, []
+        settle = lambda fate: out.append((*waiting.popleft(), fate))
+        for pdf in frames:
+            for row in pdf.itertuples(index=False, name=None):
+                if row[at_key] != key:
+                    while waiting:
+                        settle("queued")
+                    key = row[at_key]
+                if row[at_kind] == "put":
+                    if len(waiting) >= capacity:
+                        settle("dropped")
+                    waiting.append(row)
+                elif waiting:
+                    settle("consumed")
+                    out.append((*row, "got"))
+                else:
+                    out.append((*row, "empty"))
+            yield pd.DataFrame(out, columns=[*columns, "fate"])
+            out.clear()
+        while waiting:
+            settle("queued")
+        yield pd.DataFrame(out, columns=[*columns, "fate"])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in items.dtypes) + ", fate string"
-    return items.groupBy(by).applyInPandas(run, schema)
+    return items.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
 
 
 def newest(items: DataFrame, capacity: int, *, order: list[str | Column]) -> DataFrame:
