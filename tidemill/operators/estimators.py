@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
 from tidemill.functions.registry import Registry
+from tidemill.operators.sampling import hash_order
 
 Estimator = Callable[..., DataFrame]
 ESTIMATORS: Registry[Estimator] = Registry("estimator", allow_same=True)
@@ -280,13 +281,14 @@ def pf_weights(method: str, power: float = 2.0) -> Callable[[DataFrame], DataFra
 
 
 def pf_resample(df: DataFrame, *, method: str = "pow", power: float = 2.0, seed: int = 0, chunks: int = 1024) -> DataFrame:
-    """As many rows as ``df`` has, drawn with replacement in proportion to weight; adds ``draw``, the draw's number.
+    """As many rows as ``df`` has, drawn with replacement in proportion to weight; adds ``draw``, the draw's number (there is
+    one for each row id).
 
     Inverse distribution by an equi-join: draws and cumulative weights meet in cells of the unit interval, so neither side
     is sent everywhere. Draws are hashes of their number: the same seed draws the same.
     """
     weighted = pf_weights(method, power)(df)
-    chunked = weighted.withColumn("_chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)))
+    chunked = weighted.withColumn("_chunk", F.pmod("row_id", F.lit(chunks)))
     sums = chunked.groupBy("_chunk").agg(F.sum("weight").alias("_sum"))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0))).drop("_sum")
@@ -295,8 +297,7 @@ def pf_resample(df: DataFrame, *, method: str = "pow", power: float = 2.0, seed:
     placed = chunked.join(base, "_chunk").withColumn("_high", (F.col("_base") + F.sum("weight").over(inside)) / total)
     placed = placed.withColumn("_low", F.col("_high") - F.col("weight") / total)
     cells = placed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * chunks), F.floor(F.col("_high") * chunks))))
-    draws = df.select(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("row_id"), F.lit(chunks))).orderBy("row_id")).alias("k"), F.pmod(F.xxhash64("row_id"), F.lit(chunks)).alias("c"))
-    draws = draws.select(F.struct("c", "k").alias("draw"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "c", "k"), 11) / float(1 << 53)).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * chunks))
+    draws = df.select(F.col("row_id").alias("draw"), (hash_order(seed, "row_id") / F.lit(float(1 << 60))).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * chunks))
     return cells.join(draws, "_cell").filter("_u >= _low and _u < _high").drop("_chunk", "_base", "_high", "_low", "_cell", "_u", "weight")
 
 

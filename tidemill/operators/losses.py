@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
 from tidemill.functions.registry import Registry
+from tidemill.operators.sampling import hash_order
 
 AGGREGATIONS: Registry[Callable] = Registry("loss aggregation")
 POLICY_LOSSES: Registry[Callable] = Registry("policy loss", overwrite=True)
@@ -247,7 +248,8 @@ def _from_tokens(tokens: DataFrame, mode: str) -> DataFrame:
 def _top_rows(tokens: DataFrame, order: list[Column], k: Column) -> DataFrame:
     """The first ``k`` tokens by a total order, by counting over chunks: no task ranks all tokens.
 
-    Tokens are bucketed by quantile of the first key, buckets counted, and only the bucket where ``k`` falls is ranked.
+    Tokens are bucketed by quantile of the first key and buckets counted; those wholly among the first ``k`` are taken as they
+    are, and only the bucket where ``k`` falls is ranked.
     """
     keyed = tokens.withColumn("_key", order[0])
     cuts = [float(c) for c in keyed.stat.approxQuantile("_key", [j / 64 for j in range(1, 64)], 0.001)]
@@ -256,10 +258,11 @@ def _top_rows(tokens: DataFrame, order: list[Column], k: Column) -> DataFrame:
         bucket = bucket + F.when(F.col("_key") > c, 1).otherwise(0)
     bucketed = keyed.withColumn("_b", bucket)
     counts = bucketed.groupBy("_b").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    ranked = bucketed.join(F.broadcast(before), "_b").withColumn("_k", k).filter(F.col("_before") < F.col("_k"))  # broadcast: at most 64 rows
-    placed = ranked.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_key", *order[1:])))
-    return placed.filter("_r <= _k").select("row_id", "pos")
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = bucketed.join(F.broadcast(before), "_b").withColumn("_k", k).filter("_before < _k")  # broadcast: at most 64 rows
+    whole = F.col("_before") + F.col("_c") <= F.col("_k")
+    ranked = placed.filter(~whole).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_key", *order[1:])))
+    return placed.filter(whole).select("row_id", "pos").unionByName(ranked.filter("_r <= _k").select("row_id", "pos"))
 
 
 @POLICY_LOSSES.register("clip_cov")
@@ -271,7 +274,7 @@ def clip_cov(df: DataFrame, cfg: LossConfig, mode: str = "token-mean", weights:
     tokens = tokens.withColumns({"_plain": plain, "_clipped": clipped, "_kl": -d})
     wanted = tokens.filter((F.col("m") != 0) & ~(F.col("_clipped") > F.col("_plain")) & (F.col("cov") < cfg.cov_high) & (F.col("cov") > cfg.cov_low))
     k = tokens.agg(F.greatest(F.floor(F.sum("m") * F.lit(cfg.cov_ratio)), F.lit(1)).alias("k")).scalar()
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), "row_id", "pos"), 11)).cast("double")
+    draw = hash_order(cfg.seed, F.concat_ws(":", F.col("row_id").cast("string"), F.col("pos").cast("string"))).cast("double")
     out = _top_rows(wanted, [draw, F.col("row_id"), F.col("pos")], k).withColumn("_out", F.lit(1.0))
     marked = tokens.join(out, ["row_id", "pos"], "left").withColumn("_clip", F.coalesce("_out", F.lit(0.0)))
     return _from_tokens(marked.withColumn("_loss", F.greatest("_plain", "_clipped") * (1 - F.col("_clip"))), mode)
@@ -379,13 +382,41 @@ def adaptive_controller(df: DataFrame, *, start: float, target: float, horizon:
     return df.withColumn("kl_coef", start * sign * F.exp(F.sum(F.log(F.abs(factor))).over(upto)))
 
 
-@DISTILLATION_LOSSES.register("reverse_kl", "kl", "k1", "abs", "mse", "k2", "low_var_kl", "k3")
+@dataclass(frozen=True)
+class DistillationSettings:
+    """What a distillation loss is called and needs: the teacher's top entries, or log-probabilities of the sampled tokens."""
+
+    names: tuple[str, ...]
+    top_entries: bool = False
+
+
+DISTILLATION_SETTINGS: Registry[DistillationSettings] = Registry("distillation settings")
+
+
+def register_distillation_loss(settings: DistillationSettings) -> Callable[[Callable], Callable]:
+    """Register a loss under all its names, and its settings; a name that is taken raises."""
+
+    def add(fn: Callable) -> Callable:
+        DISTILLATION_LOSSES.register(*settings.names)(fn)
+        DISTILLATION_SETTINGS.register(*settings.names)(settings)
+        return fn
+
+    return add
+
+
+def distill(df: DataFrame, name: str, **columns) -> DataFrame:
+    """The named distillation loss of every token; an estimator of a divergence is told its name."""
+    needs = DISTILLATION_SETTINGS[name]
+    return DISTILLATION_LOSSES[name](df, **columns) if needs.top_entries else DISTILLATION_LOSSES[name](df, name=name, **columns)
+
+
+@register_distillation_loss(DistillationSettings(("reverse_kl", "kl", "k1", "abs", "mse", "k2", "low_var_kl", "k3")))
 def reverse_kl(df: DataFrame, *, name: str = "k1", student: str = "log_probs", teacher: str = "ref_log_prob", out: str = "distill") -> DataFrame:
     """The penalty of the student's tokens against the teacher's."""
     return df.withColumn(out, F.zip_with(student, teacher, lambda s, t: kl_penalty(s, t, "k1" if name == "reverse_kl" else name)))
 
 
-@DISTILLATION_LOSSES.register("forward_kl_topk")
+@register_distillation_loss(DistillationSettings(("forward_kl_topk",), top_entries=True))
 def forward_kl_topk(df: DataFrame, *, student: str = "student_top", teacher: str = "teacher_top", out: str = "distill") -> DataFrame:
     """Over the teacher's top entries (arrays per token of structs id, lp): sum of p (log p - log q), held at 0 or more.
 

@@ -176,26 +176,27 @@ def ranked_top(pool: DataFrame, k: int) -> DataFrame:
 def bm25(pool: DataFrame, query: str, text: Column | None = None) -> DataFrame:
     """(memory_id, score): BM25 with k1 1.5 and b 0.75; terms of the query count as often as they occur in it.
 
-    Only the query's terms are exploded and aggregated.
+    A record's counts of the query's terms stay in its row, so nothing is joined; the statistics over the pool (records, mean
+    length, records with each term) are one aggregated row.
     """
     spark = pool.sparkSession
-    row = spark.range(1).select(retrieval_tokens(F.lit(query)).alias("t")).first()
-    terms = Counter(row["t"])
-    tokens = pool.select("memory_id", retrieval_tokens(text if text is not None else searchable(pool.columns)).alias("t"))
-    sized = tokens.withColumn("len", F.size("t"))
+    terms = Counter(spark.range(1).select(retrieval_tokens(F.lit(query)).alias("t")).first()["t"])
     if not terms:
-        return sized.select("memory_id", F.lit(0.0).alias("score"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+        return pool.select("memory_id", F.lit(0.0).alias("score"))
     wanted = F.array(*map(F.lit, terms))
-    hits = sized.select("memory_id", "len", F.explode(F.filter("t", lambda x: F.array_contains(wanted, x))).alias("term")).groupBy("memory_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weights = spark.createDataFrame(list(terms.items()), "term string, qn long")
-    rated = hits.join(F.broadcast(df.join(weights, "term")), "term")  # broadcast: the query's distinct terms
-    rated = rated.withColumns({"n": totals.select("n").scalar(), "avg": totals.select("avg").scalar()})
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = F.col("qn") * idf * F.col("tf") * (BM25_K1 + 1.0) / (F.col("tf") + BM25_K1 * (1.0 - BM25_B + BM25_B * F.col("len") / F.greatest("avg", F.lit(1.0))))
-    scored = rated.groupBy("memory_id").agg(F.sum(one).alias("score"))
-    return pool.select("memory_id").join(scored, "memory_id", "left").select("memory_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    tokens = pool.select("memory_id", retrieval_tokens(text if text is not None else searchable(pool.columns)).alias("t"))
+    found = tokens.select("memory_id", F.size("t").alias("len"), F.filter("t", lambda x: F.array_contains(wanted, x)).alias("hits"))
+    times = lambda term: F.size(F.filter("hits", lambda x: x == term))
+    counted = found.select("memory_id", "len", F.array(*[times(t) for t in terms]).alias("tf"))
+    stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avg"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df")).alias("stats")).scalar()
+    rated = counted.withColumn("stats", stats)
+    n, length = F.col("stats.n"), BM25_K1 * (1.0 - BM25_B + BM25_B * F.col("len") / F.greatest("stats.avg", F.lit(1.0)))
+
+    def one(i: int, asked: int) -> Column:
+        tf, df = F.col("tf")[i], F.col("stats.df")[i]
+        return F.when(tf > 0, asked * F.log(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * (BM25_K1 + 1.0) / (tf + length)).otherwise(0.0)
+
+    return rated.select("memory_id", sum((one(i, asked) for i, asked in enumerate(terms.values())), F.lit(0.0)).alias("score"))
 
 
 def dense(pool: DataFrame, vectors: DataFrame, queries: Sequence[Sequence[float]]) -> DataFrame:
@@ -359,6 +360,23 @@ def support_ranks(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 3,
     return found.agg(F.min("rank").alias("first_rank"), *[F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in ks])
 
 
+def support_profile(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 3, 5, 10, 20)) -> DataFrame:
+    """One row: where a ranking has the records of gold turns, as ranks of turns (the first of a turn's records counts).
+
+    The smallest rank, the ranks by which all gold turns, and all records of gold turns, are there, how many of either are
+    found, and whether any is among the first k. Ranks that aren't there are null.
+    """
+    turns = with_dense_id(ranked.groupBy("turn_id").agg(F.min("ord").alias("_first")), ["_first", "turn_id"], "_rank")
+    wanted = gold.select("turn_id").distinct()
+    per_turn = turns.join(wanted, "turn_id", "right").select("turn_id", (F.col("_rank") + 1).alias("rank"))
+    records = ranked.join(wanted, "turn_id", "left_semi").agg(F.count("*")).scalar()
+    best, found = F.min("rank"), F.count("rank")
+    return per_turn.agg(
+        best.alias("best_rank"), F.when(found == F.count("*"), F.max("rank")).alias("all_turns_rank"), F.max("rank").alias("all_records_rank"), found.alias("turns_found"), F.count("*").alias("turns"),
+        *[F.coalesce(best <= k, F.lit(False)).alias(f"found_at_{k}") for k in ks],
+    ).withColumn("records_found", records)
+
+
 def oracle_profile(store: DataFrame, query: str, gold: DataFrame, *, methods: Sequence[str] = ("bm25", "dense", "hybrid"), top_k: int = MAX_TOP_K, encoders: Encoders | None = None) -> DataFrame:
     """``support_ranks`` for each method."""
     out = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
-from tidemill.functions.registry import Registry
+from tidemill.functions.registry import Registry, load_object
 from tidemill.functions.text import score_memory
 
 MANAGERS: Registry[Callable[..., DataFrame]] = Registry("reward manager", allow_same=True)
@@ -59,35 +60,97 @@ def passthrough(df: DataFrame, extras: tuple[str, ...] = (), given: str = "rm_sc
     return df.select("row_id", F.col(given).alias("rewards"), *extras)
 
 
-def rate_limited(df: DataFrame, fn: Callable[[dict], float], *, per_second: float, workers: int = 1, timeout: float | None = None) -> DataFrame:
-    """Scores by calls that an outer service limits: rows are dealt over ``workers`` tasks, each with its share of the rate.
+class TokenBucket:
+    """Tokens that come at a rate up to a capacity. ``reserve`` takes some, now or ahead of time, and says how long to wait."""
 
-    A call that fails or takes longer than ``timeout`` scores 0 and names the reason in ``error``.
+    def __init__(self, rate: float, capacity: float | None = None, now: Callable[[], float] = time.monotonic):
+        self.rate, self.capacity, self.now = rate, capacity or rate, now
+        self.level, self.at = self.capacity, now()
+
+    def reserve(self, tokens: float = 1.0) -> float:
+        now = self.now()
+        self.level = min(self.capacity, self.level + (now - self.at) * self.rate)
+        self.at = now
+        self.level -= tokens
+        return max(0.0, -self.level / self.rate)
+
+
+class _Call(threading.Thread):
+    """A call of the scorer on a row, in a thread of its own that nothing waits for once it is overdue."""
+
+    def __init__(self, fn: Callable[[dict], float], place: int, row: dict):
+        super().__init__(daemon=True)
+        self.fn, self.place, self.row = fn, place, row
+        self.began, self.score, self.error = time.monotonic(), 0.0, None
+
+    def run(self) -> None:
+        try:
+            self.score = float(self.fn(self.row))
+        except Exception as e:  # noqa: BLE001  any failure of the service is a score of 0
+            self.error = type(e).__name__
+
+    def outcome(self, timeout: float | None) -> tuple[float, str | None] | None:
+        """Score and error once it has ended or is overdue, else None."""
+        if not self.is_alive():
+            return self.score, self.error
+        return (0.0, "timeout") if timeout is not None and time.monotonic() - self.began > timeout else None
+
+
+def rate_limited(
+    df: DataFrame, fn: Callable[[dict], float], *, per_second: float | None = None, requests_per_minute: float | None = None, tokens_per_minute: float | None = None, tokens: Callable[[dict], float] | float = 2000.0,
+    max_concurrent: int = 1, workers: int = 1, timeout: float | None = None,
+) -> DataFrame:
+    """Scores by calls that an outer service limits, in three layers: requests a minute (or second), tokens a minute (``tokens``
+    a request, or a function of the row), and calls at once.
+
+    Rows are dealt over ``workers`` tasks, each with its share of every limit, of calls at once at least one. A call that fails
+    scores 0 and names the reason in ``error``; one that takes longer than ``timeout`` is left behind, its row scores 0.
     """
-    pause = workers / per_second
+    requests = per_second if requests_per_minute is None else requests_per_minute / 60
+    limits = [(rate / workers, cost) for rate, cost in ((requests, 1.0), (None if tokens_per_minute is None else tokens_per_minute / 60, tokens)) if rate is not None]
+    at_once = max(1, max_concurrent // workers)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free_at = time.monotonic()
+        buckets = [(TokenBucket(rate), cost) for rate, cost in limits]
         for pdf in frames:
-            scores, errors = [], []
-            for row in pdf.to_dict("records"):
-                time.sleep(max(0.0, free_at - time.monotonic()))
-                began = time.monotonic()
-                free_at = max(free_at, began) + pause
-                try:
-                    score, error = float(fn(row)), None
-                except Exception as e:  # noqa: BLE001  any failure of the service is a score of 0
-                    score, error = 0.0, type(e).__name__
-                if timeout is not None and time.monotonic() - began > timeout:
-                    score, error = 0.0, "timeout"
-                scores.append(score)
-                errors.append(error)
-            yield pdf.assign(reward_score=scores, error=errors)
+            outcomes: dict[int, tuple[float, str | None]] = {}
+            active: list[_Call] = []
+
+            def settle(most: int, outcomes=outcomes, active=active) -> None:
+                """Wait until no more than ``most`` calls go on."""
+                while True:
+                    for call in list(active):
+                        found = call.outcome(timeout)
+                        if found is not None:
+                            outcomes[call.place] = found
+                            active.remove(call)
+                    if len(active) <= most:
+                        return
+                    active[0].join(0.001)
+
+            for place, row in enumerate(pdf.to_dict("records")):
+                time.sleep(max([0.0, *(bucket.reserve(cost(row) if callable(cost) else cost) for bucket, cost in buckets)]))
+                settle(at_once - 1)
+                active.append(_Call(fn, place, row))
+                active[-1].start()
+            settle(0)
+            yield pdf.assign(reward_score=[outcomes[k][0] for k in range(len(pdf))], error=[outcomes[k][1] for k in range(len(pdf))])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + ", reward_score double, error string"
     return df.repartition(workers).mapInPandas(run, schema)
 
 
+def reward_manager(name: str, *, source: str = "register", path: str | None = None) -> Callable[..., DataFrame]:
+    """A reward manager by its registered name or, with source "importlib", of that name in a module or file at ``path``."""
+    if source == "register":
+        return MANAGERS[name]
+    if source != "importlib":
+        raise ValueError(f"unknown source of reward managers {source!r}")
+    if path is None:
+        raise ValueError("a reward manager from a module needs the module's path")
+    return load_object(path, name)
+
+
 def assemble(df: DataFrame, *, score: str = "score", length: str = "response_length") -> DataFrame:
     """Token scores for a batch only if every row has a score; otherwise a null column."""
     whole = df.agg(F.bool_and(F.col(score).isNotNull())).scalar()

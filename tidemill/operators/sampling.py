@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tidemill.operators.batch import ID, count, with_dense_id
 
 
-def hash_order(seed: int, *columns: str | Column) -> Column:
-    """A pseudo-random order that depends on the seed and the columns alone."""
-    return F.xxhash64(F.lit(seed), *columns)
+def hash_order(seed: int | str, column: str | Column) -> Column:
+    """A pseudo-random number of 60 bits that depends on the seed and the column's text alone, the same in every engine."""
+    text = F.concat(F.lit(f"{seed}:"), (F.col(column) if isinstance(column, str) else column).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def portable_draw(seed: int, value: Column, modulus: int = 2147483647) -> Column:
@@ -62,7 +63,7 @@ def epoch_order(df: DataFrame, *, seed: int | None, epoch: int = 0, out: str = "
     """``out``: the position in the epoch, sequential or shuffled by a hash of seed and epoch."""
     if seed is None:
         return df.withColumn(out, F.col(ID))
-    return with_dense_id(df, [hash_order(seed, F.lit(epoch), ID), ID], out)
+    return with_dense_id(df, [hash_order(f"{seed}:{epoch}", ID), ID], out)
 
 
 def equal_split(df: DataFrame, parts: int) -> DataFrame:

@@ -18,6 +18,15 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_dense_id(orders, ["k"])
 
 
+def padded(k: int) -> str:
+    """SQL for the batch padded cyclically to a multiple of ``k``: row_id, k, status."""
+    return f"SELECT row_id, k, status FROM b UNION ALL SELECT n + i, k, status FROM c, range({k}) t(i) JOIN b ON b.row_id = i % (SELECT n FROM c) WHERE i < ({k} - n % {k}) % {k}"
+
+
+def fill(b: DataFrame, k: int) -> DataFrame:
+    return B.pad_to_divisor(b, k)[0]
+
+
 def simple(name: str, sql: str):
     """Registers fn(batch) -> DataFrame under a name."""
 
@@ -41,18 +50,18 @@ simple("a07_reorder", "SELECT row_number() OVER (ORDER BY uid, row_id) - 1 AS ro
 simple("a08_repeat_interleaved", "SELECT row_id * 3 + i AS row_id, k FROM b, range(3) t(i)")(lambda b: B.repeat(b, 3).select("row_id", "k"))
 simple("a09_repeat_stacked", "SELECT i * n + row_id AS row_id, k FROM b, c, range(3) t(i)")(lambda b: B.repeat(b, 3, interleave=False).select("row_id", "k"))
 simple("a10_repeat_each", "SELECT row_number() OVER (ORDER BY row_id, i) - 1 AS row_id, k FROM b, range(3) t(i) WHERE i < k % 4")(lambda b: B.repeat_each(b.withColumn("times", F.col("k") % 4), "times").select("row_id", "k"))
-simple("a12_fold_unfold", "SELECT row_id, k FROM b WHERE row_id < 600")(lambda b: B.unfold_rows(B.fold(S.head(b, 600), 4, ["k"]), ["k"]))
-simple("a12_fold", "SELECT row_id // 4 AS row_id, CAST(sum(k * (row_id % 4 + 1)) AS BIGINT) AS x FROM b WHERE row_id < 600 GROUP BY 1")(lambda b: B.fold(S.head(b, 600), 4, ["k"]).select("row_id", F.aggregate(F.transform("k", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("x")))
+simple("a12_fold_unfold", f"SELECT row_id, k FROM ({padded(7)})")(lambda b: B.unfold_rows(B.fold(fill(b, 7), 7, ["k"]), ["k"]))
+simple("a12_fold", f"SELECT row_id // 7 AS row_id, CAST(sum(k * (row_id % 7 + 1)) AS BIGINT) AS x FROM ({padded(7)}) GROUP BY 1")(lambda b: B.fold(fill(b, 7), 7, ["k"]).select("row_id", F.aggregate(F.transform("k", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("x")))
 simple("a13_chunk", "SELECT row_id, CAST(row_id // CAST(ceil(n / 7.0) AS BIGINT) AS INT) AS chunk FROM b, c")(lambda b: B.chunk(b, 7, padded=True).select("row_id", "chunk"))
 simple("a14_split", "SELECT row_id, CAST(row_id // 64 AS INT) AS chunk FROM b")(lambda b: B.split(b, 64).select("row_id", "chunk"))
-simple("a15_mini_batches", "SELECT row_id, CAST(e AS INT) AS epoch, CAST(row_id // 100 AS INT) AS batch, CAST(row_id % 100 AS INT) AS place FROM b, range(2) t(e) WHERE row_id < 500")(lambda b: B.mini_batches(S.head(b, 500), 100, epochs=2).select("row_id", "epoch", "batch", "place"))
-simple("a16_pad_to_divisor", "SELECT row_id, k FROM b WHERE row_id < 10 UNION ALL SELECT 10 + i, k FROM range(25 - 10) t(i) JOIN b ON b.row_id = i % 10")(lambda b: B.pad_to_divisor(S.head(b, 10), 25)[0].select("row_id", "k"))
+simple("a15_mini_batches", f"SELECT row_id, CAST(e AS INT) AS epoch, CAST(row_id // 128 AS INT) AS batch, CAST(row_id % 128 AS INT) AS place FROM ({padded(128)}), range(2) t(e)")(lambda b: B.mini_batches(fill(b, 128), 128, epochs=2).select("row_id", "epoch", "batch", "place"))
+simple("a16_pad_to_divisor", f"SELECT row_id, k FROM ({padded(4096)})")(lambda b: fill(b, 4096).select("row_id", "k"))
 simple("a17_unpad", "SELECT row_id, k FROM b, c WHERE row_id < n - 3")(lambda b: B.unpad(b, 3).select("row_id", "k"))
 simple("a18_pad_last", "SELECT row_id, k FROM b UNION ALL SELECT n + i, k FROM b, c, range(4) t(i) WHERE row_id = n - 1")(lambda b: B.pad_with(b, 4, "").select("row_id", "k"))
 simple("a19_noop_rows", "SELECT row_id, false AS is_padding FROM b UNION ALL SELECT n + i, true FROM c, range(1000) t(i) WHERE i < (7 - n % 7) % 7")(lambda b: B.pad_with_empty(b.withColumn("uid", F.col("uid").cast("string")), 7).select("row_id", "is_padding"))
 simple("a29_prefix", "SELECT row_id, k AS order_k, uid AS order_uid, price AS order_price, status AS order_status FROM b")(lambda b: B.prefix_columns(b, "order_"))
 simple("a32_size_report", "SELECT 'status' AS \"column\", CAST(sum(length(status)) AS BIGINT) AS bytes FROM b")(lambda b: B.size_report(b.select("status")))
-simple("a36_group_samples", "SELECT row_id // 5 AS row_id, string_agg(status, '' ORDER BY row_id) AS responses FROM b WHERE row_id < 1000 GROUP BY 1")(lambda b: B.fold(S.head(b, 1000), 5, ["status"]).select("row_id", F.array_join("status", "").alias("responses")))
+simple("a36_group_samples", f"SELECT row_id // 7 AS row_id, string_agg(status, '' ORDER BY row_id) AS responses FROM ({padded(7)}) GROUP BY 1")(lambda b: B.fold(fill(b, 7), 7, ["status"]).select("row_id", F.array_join("status", "").alias("responses")))
 simple("f07_without_padding", "SELECT row_id FROM b")(lambda b: B.without_padding(B.pad_with_empty(b.withColumn("uid", F.col("uid").cast("string")), 7)).select("row_id"))
 simple("j01_zip_join", "SELECT row_id, k, uid, price, status, price * 2 AS double_price FROM b")(lambda b: B.zip_join(b, b.select("row_id", "uid", (F.col("price") * 2).alias("double_price"))))
 simple("j17_cross_repeat", "SELECT row_id * 2 + i AS row_id, uid FROM b, range(2) t(i)")(lambda b: B.repeat(b, 2).select("row_id", "uid"))
@@ -62,10 +71,11 @@ simple("u07_unpivot", "SELECT row_id, CAST(i AS INT) AS part, CASE i WHEN 0 THEN
 simple("u08_common_columns", "SELECT row_id, k FROM b UNION ALL SELECT n + row_id, k FROM b, c")(lambda b: B.concat_common([b.select("row_id", "k", "price"), b.select("row_id", "k")], ["price"]))
 simple("u09_default_fill", "SELECT row_id, k, CAST(1 AS INT) AS scores FROM b UNION ALL SELECT n + row_id, k, 0 FROM b, c")(lambda b: B.concat_filled([b.select("row_id", "k", F.array(F.lit(1)).alias("s")), b.select("row_id", "k")], lists=["s"]).select("row_id", "k", F.size("s").alias("scores")))
 simple("o07_head", "SELECT row_id FROM b WHERE row_id < 37")(lambda b: S.head(b, 37).select("row_id"))
-query("o07_random_sample")(lambda spark, sf_dir: S.sample(rows(spark, sf_dir), 37, seed=3).select("row_id"))
+DRAW = "('0x' || substr(md5('{}:' || CAST(row_id AS VARCHAR)), 1, 15))::BIGINT"
+simple("o07_random_sample", f"SELECT row_id FROM b ORDER BY {DRAW.format(3)}, row_id LIMIT 37")(lambda b: S.sample(b, 37, seed=3).select("row_id"))
 simple("o08_oldest_groups", "SELECT row_id, uid FROM b WHERE uid IN (SELECT uid FROM b GROUP BY uid ORDER BY min(k), uid LIMIT 20)")(lambda b: S.oldest_groups(b, 20, age="k").select("row_id", "uid"))
 simple("o09_sequential", "SELECT row_id, row_id AS place FROM b")(lambda b: S.epoch_order(b, seed=None).select("row_id", "place"))
-query("o09_shuffled_epoch")(lambda spark, sf_dir: S.epoch_order(rows(spark, sf_dir), seed=5, epoch=1).select("row_id", "place"))
+simple("o09_shuffled_epoch", "SELECT row_id, row_number() OVER (ORDER BY " + DRAW.format("5:1") + ", row_id) - 1 AS place FROM b")(lambda b: S.epoch_order(b, seed=5, epoch=1).select("row_id", "place"))
 simple("o10_equal_split", "SELECT row_id, CAST(row_id // (n // 7) AS INT) AS part FROM b, c WHERE row_id < n // 7 * 7")(lambda b: S.equal_split(b, 7).select("row_id", "part"))
 simple("o11_train_test", "SELECT row_id, ((((k % 2147483647) * 48271 + 42) % 2147483647) * 69621 + 11) % 2147483647 < 214748364 AS is_test FROM b")(lambda b: S.train_test(b, 0.1, 42, F.col("k")).select("row_id", "is_test"))
 simple("o12_positional_split", "SELECT row_id FROM b, c WHERE row_id >= round(n * 0.75)")(lambda b: S.positional_slice(b, 0.75).select("row_id"))
@@ -114,3 +124,59 @@ def f01_overlong(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j06_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("uid"))
     return rows(spark, sf_dir).join(chosen, "uid", "left_semi").select("row_id")
+
+
+#: Trajectories as batches of 16 by their dense ids.
+DEALT = TOKENS + ", dl AS (SELECT row_id, (dense_rank() OVER (ORDER BY row_id) - 1) // 16 AS batch, pos, token_id, rewards FROM tok)"
+
+
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = trajectories(spark, sf_dir, columns=("token_id", "rewards")).withColumnRenamed("row_id", "k")
+    return B.with_dense_id(df, ["k"]).withColumn("batch", F.expr("row_id div 16"))
+
+
+@query("a26_collate", DEALT + ", o AS (SELECT batch, row_id, min(token_id) AS least FROM dl GROUP BY ALL) SELECT batch, string_agg(least, ',' ORDER BY row_id) AS least, string_agg(least || '-' || row_id % 7, ',' ORDER BY row_id) AS pairs FROM o GROUP BY batch")
+def a26_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars and arrays of one length, stacked in order."""
+    df = dealt(spark, sf_dir).withColumn("least", F.array_min("token_id")).withColumn("pair", F.array("least", (F.col("k") % 7).cast("int")))
+    out = B.collate_stacked(df, ["least", "pair"], batch="batch")
+    return out.select("batch", F.array_join("least", ",").alias("least"), F.array_join(F.transform("pair", lambda p: F.concat_ws("-", p.cast("array<string>"))), ",").alias("pairs"))
+
+
+@query("a27_collate_jagged", DEALT + ", n AS (SELECT batch, row_id, count(*) AS t FROM dl GROUP BY ALL) SELECT batch, v AS tokens, '0,' || o AS offsets FROM (SELECT batch, string_agg(token_id, ',' ORDER BY row_id, pos) AS v FROM dl GROUP BY batch) JOIN (SELECT batch, string_agg(upto, ',' ORDER BY row_id) AS o FROM (SELECT batch, row_id, CAST(sum(t) OVER (PARTITION BY batch ORDER BY row_id) AS BIGINT) AS upto FROM n) GROUP BY batch) USING (batch)")
+def a27_jagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.collate_jagged(dealt(spark, sf_dir), ["token_id"], batch="batch")
+    return out.select("batch", F.array_join("token_id", ",").alias("tokens"), F.array_join("token_id_offsets", ",").alias("offsets"))
+
+
+def padded_sql(place: str) -> str:
+    return DEALT + f", n AS (SELECT batch, row_id, count(*) AS t FROM dl GROUP BY ALL), m AS (SELECT batch, CAST(ceil(max(t) / 4.0) * 4 AS BIGINT) AS w FROM n GROUP BY batch) SELECT n.row_id, CAST(i AS INT) AS pos, coalesce(token_id, -1) AS x FROM n JOIN m USING (batch), range(100) r(i) LEFT JOIN dl ON dl.row_id = n.row_id AND dl.pos = {place} WHERE i < w"
+
+
+for _left, _place in ((False, "i"), (True, "i - (w - t)")):
+
+    def _pad(left: bool):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = B.collate_padded(dealt(spark, sf_dir), {"token_id": F.lit(-1)}, batch="batch", left=left, multiple=4)
+            return per_token(out.drop("row_id").withColumnRenamed("k", "row_id"), x="token_id")
+
+        return run
+
+    query(f"a27_collate_padded_{'left' if _left else 'right'}", padded_sql(_place))(_pad(_left))
+
+
+@query("a34_assert_equal", "SELECT n_nationkey AS k, CASE n_nationkey WHEN 0 THEN 'equal' WHEN 1 THEN 'rows' WHEN 2 THEN 'schemas' ELSE 'equal' END AS outcome FROM nation")
+def a34_assert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table against itself in another order, with one value changed, and with a column of another type."""
+    n = table(spark, sf_dir, "nation")
+    others = {1: n.withColumn("n_name", F.when(F.col("n_nationkey") == 7, "x").otherwise(F.col("n_name"))), 2: n.withColumn("n_regionkey", F.col("n_regionkey").cast("string"))}
+
+    def outcome(k: int) -> str:
+        try:
+            B.assert_equal(n, others.get(k, n.orderBy(F.desc("n_name"))))
+        except AssertionError as e:
+            return str(e).split()[0]
+        return "equal"
+
+    named = {k: outcome(k) for k in range(3)}
+    return n.select(F.col("n_nationkey").alias("k"), F.when(F.col("n_nationkey") == 1, named[1]).when(F.col("n_nationkey") == 2, named[2]).otherwise(named[0]).alias("outcome"))

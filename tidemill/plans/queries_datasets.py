@@ -14,6 +14,7 @@ from tidemill.operators.sampling import present_fields
 from tidemill.plans.catalog import query
 from tidemill.plans.fixtures import TOKENS, per_token, rounded, table, trajectories
 from tidemill.sources import datasets as D
+from tidemill.sources import files
 from tidemill.sources.storage import shared_dir
 
 
@@ -259,3 +260,39 @@ def h05_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     score = custom_scorer(lambda s, k, factor: len(s) * factor / (1 if k else 0), F.col("source"), F.col("doc_id") % 3 != 0, factor=2)
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
+
+
+@query("s08_local_copy", "SELECT n_nationkey AS k, n_name AS name, true AS again FROM nation")
+def s08_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of the store copied to a local folder once, and read there by the driver."""
+    import tempfile
+
+    import pyarrow.parquet as pq
+
+    source, cache = fresh(spark, "staged") + "/nation.parquet", tempfile.mkdtemp(prefix="tidemill-cache-")
+    files.copy(spark, f"{sf_dir}/nation.parquet", source)
+    first = files.local_copy(spark, source, cache)
+    rows = pq.read_table(first, columns=["n_nationkey", "n_name"]).to_pylist()
+    again = files.local_copy(spark, source, cache) == first
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"], again) for r in rows], "k long, name string, again boolean")
+
+
+@query("s09_store_files", "SELECT false AS before, true AS made, true AS copied, false AS other")
+def s09_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh(spark, "files")
+    before, made = files.exists(spark, folder), files.make_dirs(spark, folder)
+    files.copy(spark, f"{sf_dir}/region.parquet", f"{folder}/r.parquet")
+    return spark.createDataFrame([(before, made, files.exists(spark, f"{folder}/r.parquet"), files.exists(spark, f"{folder}/s.parquet"))], "before boolean, made boolean, copied boolean, other boolean")
+
+
+@query("s11_custom_dataset", "SELECT n_nationkey AS k, n_name AS name FROM nation")
+def s11_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.custom_dataset("pkg://tidemill.plans.fixtures", "table", spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+
+
+@query("k04_write_in_background", "SELECT o_orderkey AS k, o_orderstatus AS status FROM orders")
+def k04_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "background")
+    writing = files.write_in_background(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")), path)
+    writing.result(timeout=600)
+    return spark.read.parquet(path)

@@ -161,7 +161,11 @@ def w16_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advantage(E.compute_advantage(trajectories(spark, sf_dir, columns=COLUMNS), "rloo"))
 
 
-@query("w19_pf_resample")
+W19 = TOKENS + """, w AS (SELECT row_id, greatest(pow(abs(s), 2) + 1e-8, 1e-8) AS w FROM seq), c AS (SELECT row_id, w / sum(w) OVER () AS w, sum(w) OVER (ORDER BY row_id % 1024, row_id) / sum(w) OVER () AS high FROM w),
+    d AS (SELECT ('0x' || substr(md5('7:' || CAST(row_id AS VARCHAR)), 1, 15))::BIGINT / pow(2e0, 60) AS u FROM seq) SELECT row_id, count(*) AS draws FROM c JOIN d ON u >= high - w AND u < high GROUP BY row_id"""
+
+
+@query("w19_pf_resample", W19)
 def w19_pf_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = E.pf_resample(trajectories(spark, sf_dir, columns=COLUMNS), seed=7)
     return drawn.groupBy("row_id").agg(F.count("*").alias("draws"))

@@ -101,7 +101,13 @@ def l10_kl_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(L.kl_cov(trajectories(spark, sf_dir, columns=COLUMNS), CFG))
 
 
-@query("l09_clip_cov")
+@query(
+    "l09_clip_cov",
+    TOKENS + COV + """, z AS (SELECT row_id, pos, response_mask AS m, d, cov, -advantages * exp(d) AS plain, -advantages * greatest(98e-2, least(102e-2, exp(d))) AS held, ('0x' || substr(md5('0:' || row_id || ':' || pos), 1, 15))::BIGINT::DOUBLE AS draw FROM cv),
+    rk AS (SELECT row_id, pos, row_number() OVER (ORDER BY draw, row_id, pos) AS k FROM z WHERE m <> 0 AND NOT held > plain AND cov < 5 AND cov > 0),
+    x AS (SELECT z.*, CASE WHEN k <= greatest(floor((SELECT sum(response_mask) FROM tok) * 1e-2), 1) THEN 1 ELSE 0 END AS gone FROM z LEFT JOIN rk ON z.row_id = rk.row_id AND z.pos = rk.pos)
+    SELECT round(sum(greatest(plain, held) * (1 - gone) * m) / sum(m), 6) + 0.0 AS loss, round(sum(gone * m) / (sum(m) + 1e-8), 6) + 0.0 AS clipfrac, round(sum(-d * m) / (sum(m) + 1e-8), 6) + 0.0 AS kl, 0.0::DOUBLE AS clipfrac_lower FROM x""",
+)
 def l09_clip_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(L.clip_cov(trajectories(spark, sf_dir, columns=COLUMNS), CFG))
 
@@ -223,3 +229,17 @@ def l23_forward_kl_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l24_distillation(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = L.DISTILLATION_LOSSES["k2"](trajectories(spark, sf_dir, columns=("response_mask", "log_probs", "ref_log_prob")), name="k2")
     return show(L.distillation_loss(df, bound=0.01))
+
+
+KINDS = {"reverse_kl": "log_probs - ref_log_prob", "abs": "abs(log_probs - ref_log_prob)", "mse": "5e-1 * pow(log_probs - ref_log_prob, 2)", "k3": "greatest(-1e1, least(1e1, exp(ref_log_prob - log_probs) - (ref_log_prob - log_probs) - 1))"}
+
+
+@query("h03_distillation_by_name", TOKENS + " " + " UNION ALL ".join(f"SELECT '{k}' AS name, row_id, pos, round({v}, 6) + 0.0 AS x FROM tok" for k, v in KINDS.items()))
+def h03_distillation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered distillation losses by their names, and one registered on the spot."""
+    df = trajectories(spark, sf_dir, columns=("log_probs", "ref_log_prob"))
+    if "twice_abs" not in L.DISTILLATION_LOSSES:
+        L.register_distillation_loss(L.DistillationSettings(("twice_abs",)))(lambda df, name: L.distill(df, "abs").withColumn("distill", F.transform("distill", lambda x: 2 * x)))
+    own = per_token(L.distill(df, "twice_abs").withColumn("x", F.transform("distill", lambda x: x / 2)), x="x").select(F.lit("abs").alias("name"), "*")
+    named = [per_token(L.distill(df, k), x="distill").select(F.lit(k).alias("name"), "*") for k in KINDS if k != "abs"]
+    return union([own, *named])

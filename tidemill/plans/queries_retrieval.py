@@ -69,14 +69,30 @@ over_store(
 )(lambda s: R.propagate(s.join(R.bm25(R.initial_pool(s), QUERY), "memory_id"), window=2).select("turn_id", rounded("score").alias("score")))
 over_store(
     "j07_expand_neighbors",
-    ", p AS (SELECT * FROM mem WHERE ord % 50 = 7) SELECT memory_id, row_number() OVER (ORDER BY session_key, turn_index, timestamp, memory_id) - 1 AS ord FROM mem m WHERE EXISTS (SELECT 1 FROM p WHERE p.session_key = m.session_key AND abs(p.turn_index - m.turn_index) <= 2)",
-)(lambda s: R.expand_neighbors(R.initial_pool(s).filter("ord % 50 = 7"), s, 2).select("memory_id", "ord"))
+    ", p AS (SELECT * FROM mem WHERE contains(lower(content), 'the of')) SELECT memory_id, row_number() OVER (ORDER BY session_key, turn_index, timestamp, memory_id) - 1 AS ord FROM mem m WHERE EXISTS (SELECT 1 FROM p WHERE p.session_key = m.session_key AND abs(p.turn_index - m.turn_index) <= 2)",
+)(lambda s: R.expand_neighbors(R.filter_pool(R.initial_pool(s), "content", "contains", "the of"), s, 2).select("memory_id", "ord"))
+def ranked_store(s: DataFrame) -> DataFrame:
+    """The whole store by its score, ``ord`` from 0."""
+    from tidemill.operators.batch import with_dense_id
+
+    scored = s.drop("ord").join(R.bm25(R.initial_pool(s), QUERY).select("memory_id", "score"), "memory_id")
+    return with_dense_id(scored, [F.desc("score"), F.asc("timestamp"), F.asc("turn_id"), F.asc("memory_id")], "ord")
+
+
+#: Two pools that overlap and hold the whole store together.
+early = lambda s: R.initial_pool(s).filter("turn_index <= 4")
+late = lambda s: R.initial_pool(s).filter("turn_index >= 3")
 over_store(
     "j09_merge_pools",
-    ", a AS (SELECT memory_id, ord, 2e0 AS score FROM mem WHERE ord < 10), b AS (SELECT memory_id, ord, CASE WHEN ord % 2 = 0 THEN 0e0 ELSE 5e0 END AS score FROM mem WHERE ord BETWEEN 5 AND 14) SELECT coalesce(a.memory_id, b.memory_id) AS memory_id, coalesce(CASE WHEN a.memory_id IS NOT NULL AND b.score = 0 THEN a.score ELSE b.score END, a.score) AS score, row_number() OVER (ORDER BY coalesce(a.ord, 100 + b.ord)) - 1 AS ord FROM a FULL JOIN b ON a.memory_id = b.memory_id",
-)(lambda s: R.merge_pools(R.initial_pool(s).filter("ord < 10").withColumn("score", F.lit(2.0)), R.initial_pool(s).filter("ord between 5 and 14").withColumn("score", F.when(F.col("ord") % 2 == 0, 0.0).otherwise(5.0))).select("memory_id", "score", "ord"))
-over_store("j10_append_unseen", "SELECT memory_id FROM mem WHERE ord < 15")(lambda s: R.append_unseen(R.initial_pool(s).filter("ord < 10"), R.initial_pool(s).filter("ord between 5 and 14")).select("memory_id"))
-over_store("j11_refresh_evidence", "SELECT memory_id, CASE WHEN k = 0 THEN 'INSPECT_RAW' ELSE 'POOL' END AS source FROM mem, range(2) r(k) WHERE ord BETWEEN 5 AND 14 AND (k = 1 OR ord < 8)")(lambda s: R.refresh_evidence(R.initial_pool(s).filter("ord < 8").withColumn("source", F.lit("INSPECT_RAW")), R.initial_pool(s).filter("ord between 5 and 14")).select("memory_id", "source"))
+    ", a AS (SELECT memory_id, ord, 2e0 AS score FROM mem WHERE turn_index <= 4), b AS (SELECT memory_id, ord, CASE WHEN ord % 2 = 0 THEN 0e0 ELSE 5e0 END AS score FROM mem WHERE turn_index >= 3) SELECT coalesce(a.memory_id, b.memory_id) AS memory_id, coalesce(CASE WHEN a.memory_id IS NOT NULL AND b.score = 0 THEN a.score ELSE b.score END, a.score) AS score, row_number() OVER (ORDER BY coalesce(a.ord, 1000000000 + b.ord)) - 1 AS ord FROM a FULL JOIN b ON a.memory_id = b.memory_id",
+)(lambda s: R.merge_pools(early(s).withColumn("score", F.lit(2.0)), late(s).withColumn("score", F.when(F.col("ord") % 2 == 0, 0.0).otherwise(5.0))).select("memory_id", "score", "ord"))
+over_store("j10_append_unseen", "SELECT memory_id FROM mem")(lambda s: R.append_unseen(early(s), late(s)).select("memory_id"))
+over_store("j11_refresh_evidence", "SELECT memory_id, CASE WHEN k = 0 THEN 'INSPECT_RAW' ELSE 'POOL' END AS source FROM mem, range(2) r(k) WHERE turn_index >= 3 AND (k = 1 OR turn_index <= 4)")(lambda s: R.refresh_evidence(early(s).withColumn("source", F.lit("INSPECT_RAW")), late(s)).select("memory_id", "source"))
+over_store(
+    "j15_gold_support",
+    TERMS + """, r AS (SELECT turn_id, row_number() OVER (ORDER BY score DESC, timestamp, turn_id, memory_id) AS rank FROM sc), g AS (SELECT r.rank FROM mem LEFT JOIN r USING (turn_id) WHERE contains(lower(content), 'the of'))
+    SELECT min(rank) AS best_rank, max(rank) AS all_turns_rank, max(rank) AS all_records_rank, count(*) AS turns_found, count(*) AS turns, count(*) AS records_found, min(rank) <= 1 AS found_at_1, min(rank) <= 3 AS found_at_3, min(rank) <= 5 AS found_at_5, min(rank) <= 10 AS found_at_10, min(rank) <= 20 AS found_at_20 FROM g""",
+)(lambda s: R.support_profile(ranked_store(s), R.filter_pool(R.initial_pool(s), "content", "contains", "the of")))
 over_store("j14_text_context", "SELECT turn_id, substr(content, 1, 30) AS context FROM mem")(lambda s: R.text_context(s, 30))
 over_store("j19_existence", "SELECT true AS shared")(lambda s: s.sparkSession.createDataFrame([(R.any_shared(s, s.filter("ord = 3")),)], "shared boolean"))
 over_store("e28_evidence_projection", "SELECT memory_id, content FROM mem")(lambda s: R.project_evidence(R.initial_pool(s)).select("memory_id", "content"))

@@ -18,10 +18,11 @@ from tidemill.operators import losses as L
 from tidemill.operators import retrieval as R
 from tidemill.operators import rewards as M
 from tidemill.operators import sampling as S
+from tidemill.plans import cases as C
 from tidemill.plans.catalog import query
 from tidemill.plans.fixtures import TOKENS, per_token, rounded, table, trajectories
 from tidemill.plans.queries_batch import ROWS, rows
-from tidemill.plans.queries_retrieval import MEM, store
+from tidemill.plans.queries_retrieval import MEM, QUERY, TERMS, store
 from tidemill.sources import datasets as D
 from tidemill.sources.storage import shared_dir
 
@@ -60,9 +61,9 @@ def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pop(rows(spark, sf_dir), ["price"])[0]
 
 
-@query("a24_ragged_padding", RAG + " SELECT row_id, pos, token_id FROM rg WHERE row_id < 5 UNION ALL SELECT 5 + i, pos, token_id FROM range(3) r(i) JOIN rg ON rg.row_id = i")
+@query("a24_ragged_padding", RAG + " SELECT row_id, pos, token_id FROM rg UNION ALL SELECT n + i, pos, token_id FROM rc, range(4096) r(i) JOIN rg ON rg.row_id = i % (SELECT n FROM rc) WHERE i < (4096 - n % 4096) % 4096")
 def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_token(B.pad_to_divisor(S.head(ragged(spark, sf_dir), 5), 8)[0], token_id="token_id")
+    return per_token(B.pad_to_divisor(ragged(spark, sf_dir), 4096)[0], token_id="token_id")
 
 
 @query("a25_rows_to_columns", "SELECT 0::BIGINT AS row_id, 1 AS a, 2 AS n UNION ALL SELECT 1, 2, 3")
@@ -126,6 +127,21 @@ def h02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, "loss") for n in L.POLICY_LOSSES] + [(n, "parser") for n in PARSERS], "name string, kind string")
 
 
+@query("h06_manager_by_path", "SELECT n_nationkey::BIGINT AS row_id, n_nationkey::DOUBLE AS registered, -n_nationkey::DOUBLE AS loaded FROM nation")
+def h06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered reward manager, and one from a file."""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".py") as f:  # the driver alone reads it
+        f.write("from tidemill.operators.rewards import place\n\ndef negated(df, score):\n    return place(df, -score)\n")
+        f.flush()
+        loaded = M.reward_manager("negated", source="importlib", path=f.name)
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.lit(1).alias("response_length"))
+    score = F.col("row_id").cast("double")
+    both = M.reward_manager("naive")(df, score).select("row_id", F.col("reward_score").alias("registered"))
+    return both.join(loaded(df, score).select("row_id", (F.col("reward_score") + 0.0).alias("loaded")), "row_id")
+
+
 @query("h07_external_object", "SELECT r_regionkey AS k, r_name AS name FROM region WHERE r_regionkey >= 2")
 def h07(spark: SparkSession, sf_dir: str) -> DataFrame:
     at_least = load_object("pkg://operator", "ge")
@@ -150,13 +166,14 @@ def h13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.DISPATCH["dp_compute"](rows(spark, sf_dir), 7).groupBy("worker").applyInPandas(work, "worker int, n long")
 
 
-@query("j16_greedy_match", "SELECT doc_id, round(CASE WHEN doc_id % 2 = 0 THEN -3 + 6 * (1 + 1 + 1 + 2) / 5e0 ELSE 3 END, 6) + 0.0 AS score FROM documents")
+#: Accuracy alone: the score without the point for the format, which an answer gets that has the gold's parts once and in order.
+MATCHED = [(t, g, str(round(float(r) - T.tool_shape(t, g), 6))) for t, g, r in C.TOOL_ANSWERS]
+
+
+@query("j16_greedy_match", C.case_sql(MATCHED, {"score": (2, "$v::DOUBLE")}))
 def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    call = lambda n, v: f'{{"name": "{n}", "parameters": {{"x": {v}}}}}'
-    gold = f"<tool_call>\n{call('f', 1)}\n{call('g', 2)}\n</tool_call>"
-    swapped = f"<tool_call>\n{call('g', 2)}\n{call('f', 1)}\n</tool_call>"
-    text = F.when(F.col("doc_id") % 2 == 0, swapped).otherwise(gold)
-    return table(spark, sf_dir, "documents").select("doc_id", rounded(T.score_tools(text, F.lit(gold))["accuracy_reward"]).alias("score"))
+    cases = C.case_table(spark, sf_dir, MATCHED, ("t", "g"))
+    return cases.select("doc_id", rounded(T.score_tools(F.col("t"), F.col("g"))["accuracy_reward"]).alias("score"))
 
 
 @query("k06_training_rows_written", "SELECT item_id AS index, length(text)::BIGINT AS n FROM benchmark")
@@ -189,16 +206,16 @@ def l21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(L.fixed_controller(0.2)(5.0, 10),)], "kl_coef double")
 
 
-@query("m03_batch_manager", "SELECT doc_id AS row_id, (n_chars % 2)::DOUBLE AS score FROM documents")
+@query("m03_batch_manager", "SELECT doc_id AS row_id, score FROM (" + C.case_sql(C.LATEX, {"score": (2, "$v::DOUBLE")}) + ")")
 def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.lit(2).alias("response_length"), F.concat(F.lit(r"\boxed{"), (F.col("n_chars") % 2).cast("string"), F.lit("}")).alias("t"))
-    return M.MANAGERS["batch"](docs, T.score_math(F.col("t"), F.lit("1"))).select("row_id", F.col("reward_score").alias("score"))
+    docs = C.case_table(spark, sf_dir, C.LATEX, ("t", "g")).withColumnRenamed("doc_id", "row_id").withColumn("response_length", F.lit(2))
+    return M.MANAGERS["batch"](docs, T.score_math(F.col("t"), F.col("g"))).select("row_id", F.col("reward_score").alias("score"))
 
 
-@query("m04_failures_score_zero", "SELECT doc_id AS row_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END::DOUBLE AS score FROM documents")
+@query("m04_failures_score_zero", "SELECT doc_id AS row_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN n_chars WHEN 2 THEN n_chars / 2e0 ELSE 0 END::DOUBLE AS score FROM documents")
 def m04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.lit(2).alias("response_length"))
-    score = T.custom_scorer(lambda k: 1 / (k % 2), F.col("row_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.lit(2).alias("response_length"), F.when(F.col("doc_id") % 4 < 3, F.col("n_chars").cast("string")).otherwise("no number").alias("n"))
+    score = T.custom_scorer(lambda k, n: int(n) / (k % 4), F.col("row_id"), F.col("n"))
     return M.MANAGERS["prime"](docs, score).select("row_id", F.col("reward_score").alias("score"))
 
 
@@ -222,11 +239,11 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.gather(dealt.withColumn("score", F.col("price") * 2)).select("row_id", (F.round("score", 4) + 0.0).alias("score"))
 
 
-@query("q11_inspect_raw", MEM + " SELECT memory_id, 'INSPECT_RAW' AS source FROM mem WHERE ord < 3 UNION ALL SELECT memory_id, 'POOL' FROM mem WHERE ord < 3")
+@query("q11_inspect_raw", MEM + TERMS + ", t AS (SELECT memory_id FROM sc ORDER BY score DESC, timestamp, turn_id, memory_id LIMIT 3) SELECT memory_id, 'INSPECT_RAW' AS source FROM t UNION ALL SELECT memory_id, 'POOL' FROM t")
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = store(spark, sf_dir).filter("ord < 3").withColumn("raw_pointer", F.lit("p.png"))
+    s = store(spark, sf_dir).withColumn("raw_pointer", F.lit("p.png"))
     look = lambda pool, question: pool.select("memory_id", F.lit(question).alias("content"))
-    found = R.run_trace([{"tool": "RETRIEVE", "method": "bm25", "top_k": 3}, {"tool": "INSPECT_RAW", "question": "what"}], "the", s, inspect=look)
+    found = R.run_trace([{"tool": "RETRIEVE", "method": "bm25", "top_k": 3}, {"tool": "INSPECT_RAW", "question": "what"}], QUERY, s, inspect=look)
     return found.evidence.select("memory_id", "source")
 
 
