@@ -1,6 +1,7 @@
 """Hand-computed values and traps: singletons, epsilons, NaN, ties, boundaries."""
 
 import math
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -320,3 +321,76 @@ def test_scan_by_extension(spark, tmp_path):
     assert D.flat_ids({"input_ids": [[1, 2]]}) == [1, 2] and D.flat_ids([3]) == [3]
     with pytest.raises(ValueError):
         D.flat_ids([[1], [2]])
+
+
+def test_token_bucket_and_limits(spark):
+    from tidemill.operators import rewards as W
+
+    clock = [0.0]
+    bucket = W.TokenBucket(2.0, 4.0, now=lambda: clock[0])
+    assert [bucket.reserve() for _ in range(6)] == [0, 0, 0, 0, 0.5, 1.0]  # full at first, then two a second
+    clock[0] = 2.0
+    assert bucket.reserve(10.0) == pytest.approx(4.0)  # more than the capacity is waited for ahead of time
+    df = spark.range(12).withColumnRenamed("id", "row_id")
+
+    def judge(row):
+        if row["row_id"] == 3:
+            time.sleep(30)
+        if row["row_id"] == 4:
+            raise KeyError("no")
+        return row["row_id"] * 2
+
+    began = time.monotonic()
+    rows = {r["row_id"]: r for r in W.rate_limited(df, judge, requests_per_minute=60_000, max_concurrent=3, timeout=0.5).collect()}
+    assert time.monotonic() - began < 20
+    assert (rows[3]["reward_score"], rows[3]["error"]) == (0.0, "timeout") and rows[4]["error"] == "KeyError"
+    assert all(rows[k]["reward_score"] == 2 * k and rows[k]["error"] is None for k in range(12) if k not in (3, 4))
+    began = time.monotonic()
+    assert W.rate_limited(df, lambda row: 1.0, tokens_per_minute=600, tokens=5.0).count() == 12  # 60 tokens at ten a second, ten of them at once
+    assert time.monotonic() - began > 4
+    with pytest.raises(ValueError):
+        W.reward_manager("naive", source="importlib")
+
+
+def test_answers_that_mean_the_same():
+    from tidemill.functions import math_equal as E
+
+    for given, truth, same in (("1,234", "1234", True), ("(1,234)", "(1,234)", True), ("\\frac{\\sqrt{2}}{2}", "0.70711", True), ("-(2)^2", "-4", True), ("2(3)", "6", True), ("\\pi r", "\\pi r", True), ("12\\%", "0.12", True), ("(1,2]", "(1,2)", False), ("", "1", False), ("x", "y", False), ("\\sqrt{-1}", "1", False), ("9" * 400, "1", False)):
+        assert E.same_answer(given, truth) is same, (given, truth)
+    assert E.stated_answer("First. The answer is $7$.") == "$7$."
+
+
+def test_placement_by_batches(spark):
+    """Loads and parts of every batch are those of the plans for it alone."""
+    from collections import defaultdict
+
+    rows = [(b * 100 + k, b, (k * k * 7 + b * 13) % 97 + 1) for b in range(4) for k in range(12)]
+    df = spark.createDataFrame(rows, "row_id long, batch long, len long").repartition(3)
+    for equal in (False, True):
+        parts = {r["row_id"]: r["part"] for r in P.partition(df, 3, size=F.col("len"), equal=equal, batch="batch").collect()}
+        for b in range(4):
+            mine = [r for r in rows if r[1] == b]
+            want = P.karmarkar_karp([r[2] for r in mine], 3, equal=equal)
+            assert all(parts[mine[i][0]] == p for p, items in enumerate(want) for i in items)
+    placed = P.balance_batch(df, 3, length="len", batch="batch").collect()
+    assert sorted(r["row_id"] for r in placed) == sorted(r[0] for r in rows)
+    spots = defaultdict(list)
+    for r in placed:
+        spots[r["batch"], r["part"]].append(r["row_id"])
+    assert all(max(s) - min(s) == 3 and len(s) == 4 for s in spots.values())
+
+
+def test_collation_refuses_ragged_arrays(spark):
+    df = spark.createDataFrame([(0, 0, [1, 2]), (1, 0, [3])], "row_id long, batch long, x array<int>")
+    with pytest.raises(Exception, match="different lengths"):
+        B.collate_stacked(df, ["x"], batch="batch").collect()
+    assert B.collate_jagged(df, ["x"], batch="batch").first().asDict() == {"batch": 0, "x": [1, 2, 3], "x_offsets": [0, 2, 3]}
+
+
+def test_background_write_raises(spark, tmp_path):
+    from tidemill.sources import files
+
+    path = f"file://{tmp_path}/t"
+    files.write_in_background(spark.range(3), path).result()
+    with pytest.raises(Exception, match="already exists"):
+        files.write_in_background(spark.range(3), path).result()
