@@ -29,12 +29,12 @@ def with_dense_id(df: DataFrame, order: Sequence[str | Column], out: str = ID) -
     sort = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The id of a row in its partition: the partition's number above PLACE_BITS, the place below.
-    ranged = stored(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    counts = ranged.groupBy(F.shiftright("_at", PLACE_BITS).alias("_part")).agg(F.count("*").alias("_count"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_part", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
-    placed = ranged.withColumn("_part", F.shiftright("_at", PLACE_BITS)).join(F.broadcast(base), "_part")  # broadcast: a row for each partition
-    return placed.withColumn(out, F.col("_base") + F.col("_at") % (1 << PLACE_BITS)).drop("_part", "_at", "_base")
+    ranged = stored(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_dense_at", F.monotonically_increasing_id()), "ranged")
+    counts = ranged.groupBy(F.shiftright("_dense_at", PLACE_BITS).alias("_dense_part")).agg(F.count("*").alias("_dense_count"))
+    before = Window.orderBy("_dense_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_dense_part", F.coalesce(F.sum("_dense_count").over(before), F.lit(0)).alias("_dense_base"))
+    placed = ranged.withColumn("_dense_part", F.shiftright("_dense_at", PLACE_BITS)).join(F.broadcast(base), "_dense_part")  # broadcast: a row for each partition
+    return placed.withColumn(out, F.col("_dense_base") + F.col("_dense_at") % (1 << PLACE_BITS)).drop("_dense_part", "_dense_at", "_dense_base")
 
 
 def count(df: DataFrame) -> Column:
