@@ -62,3 +62,14 @@ def test_bounds_lose_no_neighbour():
     for i, j in zip(*np.nonzero(vectors @ vectors.T >= 0.93), strict=True):
         assert visited[i, home[j]]
     assert visited.mean() < 0.9
+
+
+def test_clusters_and_copies(spark):
+    """Clustered vectors whose cells are divided more than once, a third of all rows one vector."""
+    rng = np.random.default_rng(3)
+    centres = embednear.unit(rng.normal(size=(30, 6)))
+    vectors = [(k, [float(x) for x in centres[k % 30] + 0.04 * rng.normal(size=6)], 1) for k in range(600)]
+    vectors += [(1000 + k, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 1) for k in range(300)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").repartition(4)
+    found = embednear.near_vectors(table, cell_rows=20, fan=3, block=16).collect()
+    assert Counter(map(tuple, found)) == brute(vectors, 0.93)

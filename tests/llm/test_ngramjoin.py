@@ -84,3 +84,28 @@ def test_large_family(spark):
 
 def test_recall_of_the_banding():
     assert ngramjoin.missed(0.8, 32, 5) < 1e-5
+
+
+def test_recall_on_planted_pairs(spark):
+    """Pairs of similarity 0.8 to 0.85, one word in the middle changed: 50 words have 46 shingles, 41 of which stay of 51."""
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        words = [f"p{rng.randrange(10**9)}" for _ in range(rng.choice([50, 55, 60]))]
+        other = list(words)
+        other[25] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngramjoin.near_duplicates(docs).collect()}
+    assert [found[2 * k + 1] for k in range(400)] == [(1, 2 * k) for k in range(400)]
+
+
+def test_many_copies_are_one_key(spark):
+    """A third of all rows are copies of one text, under working names of the operator as columns."""
+    rows = [(k, " ".join(f"c{j}" for j in range(30)) if k % 3 == 0 else " ".join(f"w{k}_{j}" for j in range(30)), k) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, skey int").repartition(5)
+    found = {r["doc_id"]: r for r in ngramjoin.near_duplicates(docs).collect()}
+    assert len(found) == 3000 and all((found[k]["n_links"], found[k]["component_id"]) == ((999, 0) if k % 3 == 0 else (0, k)) for k in found)
+    assert sorted(r["doc_id"] for r in ngramjoin.keep_one(docs).collect()) == [0, *(k for k in range(3000) if k % 3)]
