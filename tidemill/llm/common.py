@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,77 +11,18 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources.storage import drop_stored as drop_spool
+from tidemill.sources.storage import drop_stored_since as drop_spooled_since
+from tidemill.sources.storage import shared_dir, work_path
+from tidemill.sources.storage import stored as spool
+from tidemill.sources.storage import stored_tables as spooled
+
+__all__ = ["drop_spool", "drop_spooled_since", "shared_dir", "spool", "spooled", "work_path"]
+
 #: Below this character, letters are Latin and every Unicode version agrees on them.
 LATIN_END = "\u0250"
 #: A key with more than this part of all rows is hot, so there are fewer hot keys than ``HOT_PART``, whatever the data.
 HOT_PART = 1024
-_OWN_DIR: list[str] = []
-_SPOOLED: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tidemill-"))
-    return _OWN_DIR[0]
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemill/{tag}-{uuid.uuid4().hex}"
-
-
-def spool(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back, which cuts its lineage.
-
-    Unlike an executor-local cache the table survives the loss of any executor. It is deleted by ``drop_spool``,
-    ``drop_spooled_since`` or else when the driver ends.
-    """
-    path = work_path(df.sparkSession, tag)
-    if not _SPOOLED:
-        atexit.register(drop_spooled_since, 0)
-    _SPOOLED.append((df.sparkSession, path))
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.spool_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
-
-
-def drop_spool(df: DataFrame) -> None:
-    """Delete a spooled table that nothing reads any more."""
-    for k, (spark, path) in enumerate(_SPOOLED):
-        if path == getattr(df, "spool_path", None):
-            del _SPOOLED[k]
-            _delete(spark, path)
-            return
-
-
-def spooled() -> int:
-    """How many spooled tables there are; a mark for ``drop_spooled_since``."""
-    return len(_SPOOLED)
-
-
-def drop_spooled_since(mark: int, keep: DataFrame | None = None) -> None:
-    """Delete the tables spooled since ``mark``, but for ``keep``."""
-    for spark, path in _SPOOLED[mark:]:
-        if path != getattr(keep, "spool_path", None):
-            try:
-                _delete(spark, path)
-            except Exception as e:  # at the end of the driver its JVM may be gone, and its folder with it
-                if spark.sparkContext._jsc is not None:
-                    raise e
-    _SPOOLED[mark:] = [x for x in _SPOOLED[mark:] if keep is not None and x[1] == keep.spool_path]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
