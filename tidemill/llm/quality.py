@@ -123,49 +123,33 @@ class WordVectors:
         return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean**2, 0)), np.sqrt(steps / max(n - 1, 1))]).astype(np.float32)
 
 
-def _summed(rows: np.ndarray, beside: np.ndarray, counts: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
-    """A table whose row r is the sum of log(1 + count) times the code of each thing found beside r."""
-    order = np.argsort(rows, kind="stable")
-    rows, beside, weights = rows[order], beside[order], np.log1p(counts[order].astype(np.float64))
-    table = np.zeros((size, DIM), np.float64)
-    for at in range(0, len(rows), 100_000):
-        r = rows[at : at + 100_000]
+def _add(table: np.ndarray, rows: np.ndarray, beside: np.ndarray, codes: np.ndarray) -> None:
+    """Adds to row r, for each thing found beside it, log(1 + count) times the thing's code."""
+    span = len(codes)
+    keys, counts = np.unique(rows * span + beside, return_counts=True)
+    rows, beside, weights = keys // span, keys % span, np.log1p(counts)
+    for at in range(0, len(keys), 20_000):
+        r = rows[at : at + 20_000]
         starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        table[r[starts]] += np.add.reduceat(codes[beside[at : at + 100_000]] * weights[at : at + 100_000, None], starts, axis=0)
-    return table
+        table[r[starts]] += np.add.reduceat(codes[beside[at : at + 20_000]] * weights[at : at + 20_000, None], starts, axis=0)
 
 
-def learn_vectors(texts: Iterable[str | None], *, max_words: int = 4000, max_shapes: int = 4000) -> WordVectors:
+def learn_vectors(texts: Iterable[str | None], *, max_words: int = 4000, max_shapes: int = 4000, parts: int = 16) -> WordVectors:
     """Random indexing over the sample: sums of the index vectors of the words around each word, and around each class.
 
-    Texts are read once and held as word numbers; pairs of neighbours are counted in parts of bounded size.
+    Texts are read once and held as word numbers of 32 bits. Neighbours are counted in ``parts`` by their numbers, so that
+    only a part of the pairs, and of the index vectors, is there at a time.
     """
     numbers: dict[str, int] = {}
-    held: list[np.ndarray] = []
-    seen = np.zeros(0, np.int64)
-    pairs, counted = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    span = 1 << 31
-
-    def count_pairs() -> None:
-        nonlocal pairs, counted, held
-        fresh_pairs, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-        pairs, where = np.unique(np.concatenate([pairs, fresh_pairs]), return_inverse=True)
-        counted, held = np.bincount(where, np.concatenate([counted, n]), len(pairs)).astype(np.int64), []
-
+    read: list[np.ndarray] = []
     for text in texts:
         words = words_of(text)
-        at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-        if len(at):
-            now = np.bincount(at, minlength=len(seen))
-            now[: len(seen)] += seen
-            seen = now
-        for gap in range(1, min(WINDOW, len(at) - 1) + 1):
-            held += [at[:-gap] * span + at[gap:], at[gap:] * span + at[:-gap]]
-        if sum(map(len, held)) > 2_000_000:
-            count_pairs()
-    count_pairs()
+        read.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+    tokens = np.concatenate([np.zeros(0, np.int32), *read])
+    document = np.repeat(np.arange(len(read), dtype=np.int32), [len(t) for t in read])
+    del read
     names = list(numbers)
-    counts = seen.tolist()
+    counts = np.bincount(tokens, minlength=len(names)).tolist()
     commonest = sorted(range(len(names)), key=lambda k: (-counts[k], names[k]))[:max_words]
     shape_counts: dict[str, int] = {}
     shapes_of = [shape(w) for w in names]
@@ -175,13 +159,19 @@ def learn_vectors(texts: Iterable[str | None], *, max_words: int = 4000, max_sha
     word_row = np.full(len(names), -1, np.int64)
     word_row[commonest] = np.arange(len(commonest))
     shape_row = np.array([shapes.get(s, -1) for s in shapes_of], np.int64)
-    codes, word, beside = index_vectors(names), pairs // span, pairs % span
-    size = len(commonest) + len(shapes)
-    table = np.zeros((size, DIM), np.float64)
-    for row_of in (word_row, shape_row):
-        rows = row_of[word]
-        keys, where = np.unique(rows[rows >= 0] * span + beside[rows >= 0], return_inverse=True)
-        table += _summed(keys // span, keys % span, np.bincount(where, counted[rows >= 0], len(keys)), codes, size)
+    table = np.zeros((len(commonest) + len(shapes), DIM), np.float64)
+    for part in range(parts):
+        word, beside = [], []
+        for gap in range(1, WINDOW + 1):
+            together = document[gap:] == document[:-gap]
+            for a, b in ((tokens[:-gap], tokens[gap:]), (tokens[gap:], tokens[:-gap])):
+                here = np.flatnonzero(together & (b % parts == part))
+                word.append(a[here])
+                beside.append(b[here] // parts)
+        codes, at, near = index_vectors(names[part::parts]), np.concatenate(word), np.concatenate(beside)
+        for row_of in (word_row, shape_row):
+            rows = row_of[at]
+            _add(table, rows[rows >= 0], near[rows >= 0], codes)
     return WordVectors({names[k]: r for r, k in enumerate(commonest)}, shapes, unit_rows(table).astype(np.float32))
 
 
@@ -268,13 +258,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, id_
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, max_words: int = 4000, max_shapes: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """The model of a sample of at most ``sample_rows`` labelled rows, with vectors for ``max_words`` words and ``max_shapes`` classes.
 
-    A partition of the sample at a time is on the driver.
+    About a 16th of the sample's texts is on the driver at a time.
     """
     sample = labelled_sample(docs, labels, sample_rows=sample_rows, id_col=id_col, text_col=text_col, label_col=label_col)
     found = sample.agg(F.min("y").alias("least"), F.max("y").alias("most"), F.avg("y").alias("share")).first()
     model = QualityModel(None, None, 0.5 if found["share"] is None else found["share"])
     if found["least"] != found["most"]:
-        rows = lambda: sample.orderBy(F.xxhash64("id"), "id").select("text", "y").toLocalIterator()
+        rows = lambda: sample.repartitionByRange(16, F.xxhash64("id"), "id").sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y").toLocalIterator()
         vectors = learn_vectors((r["text"] for r in rows()), max_words=max_words, max_shapes=max_shapes)
         x, y = map(np.array, zip(*[(vectors.pooled(r["text"]), r["y"]) for r in rows()], strict=True))
         model = QualityModel(vectors, train(x, y), found["share"])
