@@ -186,7 +186,9 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, cell_rows: int = 40
     totals = links.groupBy("vkey").agg(F.sum("links").alias("links"))
     found = connected_components(links.select(F.col("vkey").alias("a"), F.col("to").alias("b")))
     named = found.join(classes.select(F.col("vkey").alias("node"), "first_id"), "node")
-    component = named.groupBy("root").agg(F.min("first_id").alias("component_id")).join(found, "root").select(F.col("node").alias("vkey"), "component_id")
+    roots = spool(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes")), "vector-roots")
+    n_nodes = roots.agg(F.sum("nodes")).first()[0] or 0
+    component = join_unique(found, roots, ["root"], weight="nodes", total=n_nodes).select(F.col("node").alias("vkey"), "component_id")
     per_class = classes.select("vkey", "first_id", "copies").join(totals, "vkey", "left").join(component, "vkey", "left")
     per_class = per_class.select("vkey", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "first_id").alias("component"))
     out = join_unique(rows.select("vec_id", "vkey"), spool(per_class, "vector-results"), ["vkey"], weight="copies", total=rows.count(), outer=True)

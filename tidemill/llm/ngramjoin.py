@@ -270,7 +270,9 @@ def _placed(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: int = 32,
     totals = links.groupBy("skey").agg(F.sum("links").alias("links"))
     found = connected_components(links.select(F.col("skey").alias("a"), F.col("to").alias("b")))
     named = found.join(classes.select(F.col("skey").alias("node"), "class_id", "stays"), "node")
-    component = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("stays").alias("component_stays")).join(found, "root").select(F.col("node").alias("skey"), "component_id", "component_stays")
+    roots = spool(named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("stays").alias("component_stays"), F.count("*").alias("nodes")), "jaccard-roots")
+    n_nodes = roots.agg(F.sum("nodes")).first()[0] or 0
+    component = join_unique(found, roots, ["root"], weight="nodes", total=n_nodes).select(F.col("node").alias("skey"), "component_id", "component_stays")
     per_class = classes.select("skey", "class_id", "copies", "stays").join(totals, "skey", "left").join(component, "skey", "left")
     first = F.coalesce("component_stays", "stays")
     per_class = per_class.select("skey", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"), F.struct(first["doc_id"].alias("doc_id"), first["text_hash"].alias("text_hash")).alias("stays"))
