@@ -81,4 +81,30 @@ co AS (SELECT a, min(b) AS m FROM reach GROUP BY a), cn AS (SELECT a, count(*) A
 SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept FROM v LEFT JOIN co ON co.a = vec_id LEFT JOIN cn ON cn.a = vec_id
 """
 
-SQL = {"op1_mix_sources": OP1, "op2_warc": OP2, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op7_ngram_jaccard": OP7, "op8_embedding_near": OP8}
+def crc32_sql(x: str) -> str:
+    """The unsigned CRC-32 of a short ASCII text: a byte is added and shifted out in eight steps."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({x}) + 1), lambda i: [ord(({x})[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) // 2, (xor(c, b) % 2) * 3988292384)), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR) || ':' || {f}::VARCHAR END" for f in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+OP11 = f"""
+WITH RECURSIVE h AS (SELECT doc_id, coalesce('+' || source, '') AS g, {_leaf_sql('text')} AS leaf, CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS rid FROM h),
+up(g, level, i, d, n) AS (SELECT g, 0, i, leaf, n FROM l UNION ALL SELECT g, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 2) // 3) FROM up WHERE n > 1 GROUP BY g, level, i // 3),
+s AS (SELECT g, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(level, i, d, n) AS (SELECT 0, i, subroot, n FROM s UNION ALL SELECT level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, i // 3),
+ur AS (SELECT g, level, i // 3 AS run, list(d ORDER BY i) AS ds FROM up WHERE n > 1 GROUP BY ALL), tr AS (SELECT level, i // 3 AS run, list(d ORDER BY i) AS ds FROM top WHERE n > 1 GROUP BY ALL),
+f(rid, g, level, i, d, sibs) AS (SELECT rid, g, 0, i, coalesce(changed, leaf), '' FROM l
+  UNION ALL SELECT rid, f.g, f.level + 1, i // 3, sha256(array_to_string(ds[1 : i % 3] || [d] || ds[i % 3 + 2 :], '')), sibs || array_to_string(ds[1 : i % 3] || ds[i % 3 + 2 :], '') FROM f JOIN ur ON ur.g = f.g AND ur.level = f.level AND ur.run = f.i // 3),
+e AS (SELECT rid, g, d, sibs FROM f QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level DESC) = 1),
+t(rid, level, i, d, sibs) AS (SELECT rid, 0, s.i, d, sibs FROM e JOIN s USING (g)
+  UNION ALL SELECT rid, t.level + 1, i // 3, sha256(array_to_string(ds[1 : i % 3] || [d] || ds[i % 3 + 2 :], '')), sibs || array_to_string(ds[1 : i % 3] || ds[i % 3 + 2 :], '') FROM t JOIN tr ON tr.level = t.level AND tr.run = t.i // 3),
+z AS (SELECT rid, d AS folded_root, sha256(sibs) AS proof_sha256 FROM t QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, subroot, r.d AS root, proof_sha256, folded_root, folded_root = r.d AS verified FROM l JOIN z USING (rid) JOIN s USING (g), (SELECT d FROM top WHERE n = 1) r
+"""
+
+SQL = {"op1_mix_sources": OP1, "op2_warc": OP2, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op7_ngram_jaccard": OP7, "op8_embedding_near": OP8, "op11_merkle_manifest": OP11}

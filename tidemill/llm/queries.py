@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontam, embednear, linededup, mixing, ngramjoin, oracles, quality, sharding, tokenbin, tokencounts, warc
+from tidemill.llm import decontam, embednear, linededup, merkle, mixing, ngramjoin, oracles, quality, sharding, tokenbin, tokencounts, warc
 from tidemill.llm.common import Query, on_all_cores, table
 
 
@@ -57,8 +57,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(on_all_cores(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op5_line_dedup, op6_decontaminate, op7_ngram_jaccard, op8_embedding_near, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op5_line_dedup, op6_decontaminate, op7_ngram_jaccard, op8_embedding_near, op9_token_counts, op10_quality, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
