@@ -18,4 +18,4 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 
 
 def test_names():
-    assert sorted(n.split("_")[0] for n in queries.queries()) == sorted(f"op{k}" for k in range(1, 13))
+    assert sorted(n.split("_")[0] for n in queries.queries()) == sorted(f"op{k}" for k in range(1, 14))

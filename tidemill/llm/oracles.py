@@ -107,4 +107,54 @@ z AS (SELECT rid, d AS folded_root, sha256(sibs) AS proof_sha256 FROM t QUALIFY
 SELECT doc_id, leaf, subroot, r.d AS root, proof_sha256, folded_root, folded_root = r.d AS verified FROM l JOIN z USING (rid) JOIN s USING (g), (SELECT d FROM top WHERE n = 1) r
 """
 
-SQL = {"op1_mix_sources": OP1, "op2_warc": OP2, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op7_ngram_jaccard": OP7, "op8_embedding_near": OP8, "op11_merkle_manifest": OP11}
+def _step(state: str, letter: str, role: str, cost: str, line: str = "NULL") -> str:
+    """A path of SQL's op13 with one edit more: (cost, audit, lines); null where there is none."""
+    joined = f"{state}.r" if line == "NULL" else f"list_append({state}.r, {line})"
+    return f"CASE WHEN {state} IS NOT NULL AND {role} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {joined}}} END"
+
+
+def _closed(names: str) -> dict[str, str]:
+    """Each state's paths after one insertion at most, of states named like ``names``."""
+    q = [f"{names}{k}" for k in range(4)]
+    user = [_step(q[k], "I", "true", "5", "'user:'") for k in (0, 1, 3)]
+    return {"0": q[0], "1": q[1], "2": f"list_min([{', '.join([q[2], *user])}])", "3": f"list_min([{q[3]}, {_step(q[2], 'I', 'true', '5', chr(39) + 'assistant:' + chr(39))}])"}
+
+
+def _after_row(names: str) -> dict[str, str]:
+    """Each state's paths after the row (initial i, whether it must go, cost of keeping it x, its line and text)."""
+    q, may = [f"{names}{k}" for k in range(4)], "NOT must"
+    into = {0: {}, 1: {"s": (0,)}, 2: {"u": (0, 1, 3)}, 3: {"a": (2,)}}
+    out = {}
+    for k in range(4):
+        ways = [_step(q[k], "D", "true", "2")]
+        for role, froms in into[k].items():
+            for f in froms:
+                ways.append(_step(q[f], "K", f"{may} AND i = '{role}'", "x", "line"))
+                if role != "s":
+                    name = {"u": "user", "a": "assistant"}[role]
+                    ways.append(_step(q[f], "R", may, "1 + x", f"'{name}:' || text"))
+        out[str(k)] = f"list_min([{', '.join(ways)}])"
+    return out
+
+
+def _select(states: dict[str, str], into: str) -> str:
+    return ", ".join(f"{v} AS {into}{k}" for k, v in states.items())
+
+
+_PATH = "STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])"
+OP13 = rf"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+b AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM given WHERE kind <> 0),
+n AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM b),
+d AS (SELECT g, turn, k, role || ':' || text AS line, text, left(role, 1) AS i, cut = '' AS blank, cut <> '' AND nth > 1 AS dup, cut <> '' AND nth = 1 AND right(cut, 1) NOT IN ('.', '!', '?') AS trunc FROM n),
+rows_ AS (SELECT *, blank OR dup AS must, CASE WHEN trunc THEN 5 ELSE 0 END AS x, lag(i) OVER (PARTITION BY g ORDER BY k) || i AS pair FROM d),
+st AS (SELECT g, count(*) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated, count(*) FILTER (k > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY g),
+p(g, k, q0, q1, q2, q3) AS (SELECT g, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}}::{_PATH}, NULL::{_PATH}, NULL::{_PATH}, NULL::{_PATH} FROM st
+  UNION ALL SELECT p2.g, p2.k + 1, {", ".join(f"({v})::{_PATH}" for v in _after_row("z").values())} FROM (SELECT g, k, {_select(_closed("y"), "z")} FROM (SELECT g, k, {_select(_closed("q"), "y")} FROM p)) p2 JOIN rows_ ON rows_.g = p2.g AND rows_.k = p2.k + 1),
+e AS (SELECT g, list_min([z0, z3]) AS best FROM (SELECT g, {_select(_closed("y"), "z")} FROM (SELECT p.g, {_select(_closed("q"), "y")} FROM p JOIN st ON st.g = p.g AND st.m = p.k))),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN st ON st.g = coalesce(c.conv_id::VARCHAR, ' ') LEFT JOIN e ON e.g = coalesce(c.conv_id::VARCHAR, ' ')
+"""
+
+SQL = {"op1_mix_sources": OP1, "op2_warc": OP2, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op7_ngram_jaccard": OP7, "op8_embedding_near": OP8, "op11_merkle_manifest": OP11, "op13_conversations": OP13}

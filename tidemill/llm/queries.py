@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontam, embednear, fingerprints, linededup, merkle, mixing, ngramjoin, oracles, quality, sharding, tokenbin, tokencounts, warc
+from tidemill.llm import conversations, decontam, embednear, fingerprints, linededup, merkle, mixing, ngramjoin, oracles, quality, sharding, tokenbin, tokencounts, warc
 from tidemill.llm.common import Query, on_all_cores, table
 
 
@@ -65,8 +65,12 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")), times="times")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op5_line_dedup, op6_decontaminate, op7_ngram_jaccard, op8_embedding_near, op9_token_counts, op10_quality, op11_merkle_manifest, op12_fingerprints)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_shard, op4_token_files, op5_line_dedup, op6_decontaminate, op7_ngram_jaccard, op8_embedding_near, op9_token_counts, op10_quality, op11_merkle_manifest, op12_fingerprints, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
