@@ -127,7 +127,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, dict, l
 class Forest:
     """Trees over ``leaves`` (grp, digest and the columns ``keep``), each group's in the order of ``order``."""
 
-    def __init__(self, leaves: DataFrame, order: list[Column], keep: list[str], *, parts: int, fan_in: int = 256):
+    def __init__(self, leaves: DataFrame, order: list[Column], keep: list[str], *, parts: int, fan_in: int = 16):
         self.keep, self.group_type = keep, sql_type(leaves, "grp")
         self.sorted = checkpointed(range_sorted(leaves.select("grp", "digest", *keep), [F.col("grp").asc_nulls_first(), *order], parts)).withColumn("part", F.spark_partition_id())
         counts = self.sorted.groupBy("part", "grp").agg(F.count("*").alias("n"))
@@ -295,7 +295,7 @@ def _prove(part: pa.Table, kept: list[str], at_once: int = 2000) -> Iterator[pa.
         at += count
 
 
-def manifest(docs: DataFrame, *, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), group_col: str = "source", id_col: str = "doc_id", also: dict[str, Column] | None = None, part_rows: int = 50_000, fan_in: int = 256) -> DataFrame:
+def manifest(docs: DataFrame, *, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), group_col: str = "source", id_col: str = "doc_id", also: dict[str, Column] | None = None, part_rows: int = 50_000, fan_in: int = 16) -> DataFrame:
     """doc_id, source, leaf, subroot, root and proof of each row, and the columns ``also`` that are made of its row."""
     also = also or {}
     named = [F.col(id_col).alias("id"), F.col(group_col).alias("grp"), leaf_digest(*[F.col(c) for c in fields]).alias("digest")]
