@@ -1,11 +1,12 @@
-"""Whether two final answers in maths mean the same, by rules: normal forms, values of closed expressions, percentages, and
-tuples, intervals and matrices element by element. Answers with unknowns are compared by their normal form alone."""
+"""Whether two final answers in maths mean the same: normal forms, values of closed expressions, percentages, identities of
+expressions with unknowns (see ``identities``), and tuples, intervals and matrices element by element."""
 
 from __future__ import annotations
 
 import math
 import re
 
+from tidemill.functions.identities import identical
 from tidemill.functions.text import last_box, plain_latex
 
 # Marks before and after an answer in a response, and the tolerance of numbers.
@@ -163,6 +164,8 @@ def same_answer(given: str | None, truth: str | None) -> bool:
         a, b = value(given, pi), value(truth, pi)
         if a is not None and b is not None and _close(a, b):
             return True
+    if identical(given, truth):
+        return True
     a, b = (t.replace("\\left", "").replace("\\right", "").strip() for t in (given, truth))
     bracketed = [t[:1] in ("(", "[") and t[-1:] in (")", "]") for t in (a, b)]
     if all(bracketed) and (a[0], a[-1]) == (b[0], b[-1]):
@@ -173,6 +176,39 @@ def same_answer(given: str | None, truth: str | None) -> bool:
     return len(xs) == len(ys) > 1 and all(same_answer(x, y) for x, y in zip(xs, ys, strict=True))
 
 
+_SET = re.compile(r"^\\?\{(.*?)\\?\}$", re.DOTALL)
+_INLINE = re.compile(r"\$\$(.+?)\$\$|\$(.+?)\$|\\\((.+?)\\\)|\\\[(.+?)\\\]", re.DOTALL)
+_NUMBER = re.compile(r"(?<![\w.])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:/\d+)?%?")
+
+
+def _members(text: str) -> list[str] | None:
+    """The members of a set in braces."""
+    m = _SET.match(text.replace("\\left", "").replace("\\right", "").strip().strip("$").strip())
+    return [x.strip() for x in _parts(m[1])] if m else None
+
+
+def verified(given: str | None, truth: str | None) -> bool:
+    """``same_answer``, and sets in braces without regard to order or repeats."""
+    if given is None or truth is None:
+        return False
+    sets = _members(given), _members(truth)
+    if all(x is not None for x in sets):
+        return all(any(same_answer(x, y) for y in b) for a, b in (sets, sets[::-1]) for x in a)
+    return same_answer(given, truth)
+
+
+def extracted_answer(response: str) -> str | None:
+    """The last box of a response, else its last formula between dollars or LaTeX brackets, else its last number."""
+    found = last_box(response)
+    if found is not None:
+        return found.strip()
+    formulas = [next(g for g in m.groups() if g is not None) for m in _INLINE.finditer(response)]
+    if formulas:
+        return formulas[-1].strip()
+    numbers = _NUMBER.findall(response)
+    return numbers[-1] if numbers else None
+
+
 def stated_answer(response: str) -> str:
     """The answer that a response states: after the last mark of an answer, before a mark that follows one, in the last box, without
     a further sentence, after the last word that leads to a value."""

@@ -204,6 +204,27 @@ STATED = [
     ("answers are 1, 2", "1,2", "1.0"), ("answers are 1, 2", "2,1", "0.0"), ("x = 3.00001", "3", "1.0"), ("x = 3.01", "3", "0.0"), (r"\boxed{1/0}", "1", "0.0"), (r"\boxed{2^{10}}", "1024", "1.0"), (r"\boxed{\text{Yes}}", "yes", "1.0"), (r"\boxed{{N}\text{ cm}}", "{N}", "1.0"), (r"\boxed{(0, \infty)}", r"(0,\infty)", "1.0"),
 ]
 
+#: Responses, truths and scores of expressions with unknowns.
+IDENTITIES = [
+    (r"\boxed{x^2-1}", "(x-1)(x+1)", "1.0"), (r"\boxed{x^2+1}", "(x-1)(x+1)", "0.0"), (r"\boxed{(x+{N})^2}", "x^2+2*{N}*x+{N}^2", "1.0"), (r"\boxed{(x+{N})^2}", "x^2+{N}*x+{N}^2", "0.0"), (r"\boxed{\frac{x}{2}}", "0.5x", "1.0"),
+    (r"\boxed{\frac{x^2-1}{x-1}}", "x+1", "1.0"), (r"\boxed{\frac{x^2-1}{x-1}}", "x-1", "0.0"), (r"\boxed{(a+b)^3}", "a^3+3a^2b+3ab^2+b^3", "1.0"), (r"\boxed{(a+b)^3}", "a^3+b^3", "0.0"), (r"\boxed{2x+{N}}", "{N}+2x", "1.0"),
+    (r"\boxed{\sqrt{x^4}}", "x^2", "1.0"), (r"\boxed{\sqrt{x^2}}", "x", "0.0"), (r"\boxed{|x|}", r"\sqrt{x^2}", "1.0"), (r"\boxed{\frac{1}{\sqrt{x}}}", r"\frac{\sqrt{x}}{x}", "1.0"), (r"\boxed{\sqrt[3]{x^3}}", "x", "1.0"),
+    (r"\boxed{\sin^2 x+\cos^2 x}", "1", "1.0"), (r"\boxed{2\sin x\cos x}", r"\sin(2x)", "1.0"), (r"\boxed{\sin x}", r"\cos x", "0.0"), (r"\boxed{\tan x}", r"\frac{\sin x}{\cos x}", "1.0"), (r"\boxed{e^{2x}}", "(e^x)^2", "1.0"),
+    (r"\boxed{\ln(x^2)}", r"2\ln x", "1.0"), (r"\boxed{\ln x^2}", r"\ln 2x", "0.0"), (r"\boxed{\log_2 8x}", r"3+\log_2 x", "1.0"), (r"\boxed{2^{x+1}}", r"2\cdot 2^x", "1.0"), (r"\boxed{2^{x+1}}", "2^x+1", "0.0"),
+    (r"\boxed{y=2x+{N}}", "2x+{N}", "1.0"), (r"\boxed{f(x)={N}x}", "{N}x", "1.0"),
+    (r"\boxed{(1+i)^2}", "2i", "1.0"), (r"\boxed{i^2+{N}+1}", "{N}", "1.0"), (r"\boxed{\frac{\pi r^2}{2}}", r"0.5\pi r^2", "1.0"), (r"\boxed{a_1+a_2}", "a_{2}+a_{1}", "1.0"), (r"\boxed{a_1+a_2}", "a_1+a_3", "0.0"),
+    (r"\boxed{(x+1, 2y)}", "(1+x,y+y)", "1.0"), (r"\boxed{(x+1, 2y)}", "(1+x,y)", "0.0"), (r"\boxed{\frac{10}{x}}", "10x^{-1}", "1.0"), (r"\boxed{5!x}", "120x", "1.0"), (r"\boxed{{N}x(x+1)/2}", r"\frac{{N}x^2+{N}x}{2}", "1.0"),
+    (r"\boxed{yes}", "sey", "0.0"), (r"\boxed{AB}", "BA", "0.0"), (r"\boxed{1/x}", "1/(x+10^{-20})", "0.0"), (r"\boxed{2305843009213693921x}", "0x", "0.0"), (r"\boxed{x^{2000000}}", "x^{1999999}x", "0.0"),
+    (r"\boxed{" + "(" * 500 + "x" + ")" * 500 + "}", "x+0", "0.0"), (r"\boxed{" + "-" * 501 + "x}", "0-x", "0.0"), (r"\boxed{" + "x+" * 400 + "x}", "401x", "0.0"), (r"\boxed{" + "x+" * 40 + "x}", "41x", "1.0"), ("{S}", "x", "0.0"),
+]
+#: Responses, truths and scores of answers that are found by form and verified, sets included.
+VERIFIED = [
+    ("so it is {N}", "{N}", "1.0"), ("first $x+1$, then $2x+2$.", "2(x+1)", "1.0"), (r"thus \(x^2\) \[ x^3 \]", "x*x*x", "1.0"), (r"\boxed{\{1, {N}\}}", r"\{{N}, 1\}", "1.0"), (r"\boxed{\{1,2,2\}}", r"\left\{2,1\right\}", "1.0"),
+    (r"\boxed{\{1,2\}}", r"\{1,3\}", "0.0"), (r"\boxed{\{1\}}", r"\{1,2\}", "0.0"), (r"\boxed{(1,2)}", "(2,1)", "0.0"), ("3 of 4, or 75%", "0.75", "1.0"), ("1,{N} and then 1,000", "1000", "1.0"), ("it is 3/4", r"\frac34", "1.0"),
+    (r"\boxed{y=2x+1}", "2x-y+1=0", "1.0"), (r"\boxed{y=2x+1}", "4x-2y+2=0", "1.0"), (r"\boxed{y=2x+1}", "y=2x-1", "0.0"), (r"\boxed{x+y=1}", "x-y=1", "0.0"),
+    ("no answer", "{N}", "0.0"), ("", "{N}", "0.0"), (r"\boxed{\{x+1,y\}}", r"\{y,1+x\}", "1.0"), (r"$$\frac{2}{4}$$", "0.5", "1.0"), (r"\boxed{1} and \boxed{2}", "1", "0.0"), ("$1$ but \\boxed{{N}}", "{N}", "1.0"),
+]
+
 
 def _call(name: str, **parameters: str) -> str:
     return f'{{"name": "{name}", "parameters": {_object(list(parameters.items()))}}}'

@@ -125,6 +125,8 @@ def e11_dapo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("e12_latex_score", C.case_sql(C.LATEX, SCORE))(scored(C.LATEX, T.score_math))
 query("e13_stated_score", C.case_sql(C.STATED, SCORE))(scored(C.STATED, T.score_stated))
+query("e13_identities", C.case_sql(C.IDENTITIES, SCORE))(scored(C.IDENTITIES, T.score_stated))
+query("e14_verified_score", C.case_sql(C.VERIFIED, SCORE))(scored(C.VERIFIED, T.score_verified))
 query("e15_geometry_score", C.case_sql(C.GEOMETRY, SCORE))(scored(C.GEOMETRY, T.score_geometry))
 query("e16_tool_call_score", C.case_sql(C.TOOL_ANSWERS, SCORE))(scored(C.TOOL_ANSWERS, lambda t, g: T.score_tools(t, g)["score"]))
 
