@@ -100,22 +100,27 @@ def contained(a: np.ndarray, b: np.ndarray) -> float:
     return shared(a, b) / len(a) if len(a) else 1.0
 
 
-def _sketched(sketcher: Sketcher, text: str) -> tuple[str, np.ndarray, str]:
-    found = sketcher.sketch(text)
-    return text, found, written(found)
+#: Results as they are stored: the edited text's sketch as the places of the hashes that it has of the text's own, and others.
+_PACKED = "n_chars long, edited_sha256 binary, sketch binary, kept binary, added binary, near_edited double, near_next double, shared_edited double, shared_next double"
+_PACKED_NAMES = [f.split()[0] for f in _PACKED.split(", ")]
+_PACKED_TYPES = [pa.int64(), *[pa.binary()] * 4, *[pa.float64()] * 4]
+_NAMES = [f.split()[0] for f in _RESULT.split(", ")]
+_TYPES = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
 
 
-def _row(sketcher: Sketcher, own: tuple, following: tuple) -> tuple:
-    """What ``_RESULT`` has of a document and its successor."""
-    text, sketch, fingerprint = own
+def _row(sketcher: Sketcher, own: tuple[str, np.ndarray], following: tuple[str, np.ndarray]) -> tuple:
+    """What ``_PACKED`` has of a document and its successor, each with its sketch."""
+    text, sketch = own
     n = len(text)
     edited = text[: n - n // 4] + following[0][: n // 4]
     other = sketch if edited == text else sketcher.sketch(edited)
+    kept, added = np.isin(sketch, other, assume_unique=True), np.setdiff1d(other, sketch, assume_unique=True)
     return (
         n,
-        sha256(edited.encode()).hexdigest(),
-        fingerprint,
-        written(other),
+        sha256(edited.encode()).digest(),
+        sketch.tobytes(),
+        np.packbits(kept).tobytes(),
+        added.tobytes(),
         likeness(sketch, other),
         likeness(sketch, following[1]),
         contained(sketch, other),
@@ -123,15 +128,17 @@ def _row(sketcher: Sketcher, own: tuple, following: tuple) -> tuple:
     )
 
 
-_RESULT_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
-_RESULT_NAMES = [f.split()[0] for f in _RESULT.split(", ")]
+def _unpacked(n: int, edited_sha256: bytes, sketch: bytes, kept: bytes, added: bytes, *rest: float) -> tuple:
+    own = np.frombuffer(sketch, np.uint64)
+    stays = np.unpackbits(np.frombuffer(kept, np.uint8), count=len(own)).astype(bool)
+    return n, edited_sha256.hex(), written(own), written(np.sort(np.concatenate([own[stays], np.frombuffer(added, np.uint64)]))), *rest
 
 
-def _results(rows: list[tuple]) -> list[pa.Array]:
-    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT_TYPES, strict=True)] if rows else [pa.array([], t) for t in _RESULT_TYPES]
+def _arrays(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
 
 
-def edited_pairs(docs: DataFrame, *, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, at_once: int = 500) -> DataFrame:
+def edited_pairs(docs: DataFrame, *, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20, at_once: int = 500) -> DataFrame:
     """doc_id and ``_RESULT`` of each document.
 
     The edited text has the last quarter of its characters replaced by the first as many, or all, of its successor.
@@ -151,10 +158,10 @@ def edited_pairs(docs: DataFrame, *, fraction: float = FRACTION, id_col: str = "
         def batch_of(ids: list, results: list[tuple], ends: list[tuple]) -> pa.RecordBatch:
             """Results of documents, then rows (id, is first, text) of the stretch's two ends."""
             n, m = len(ids), len(ends)
-            columns = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in _results(results)]
+            columns = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in _arrays(results, _PACKED_TYPES)]
             first = pa.array([None] * n + [e[1] for e in ends], pa.bool_())
             text = pa.array([None] * n + [e[2] for e in ends], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([part] * (n + m), pa.int32()), first, text, pa.array(ids + [e[0] for e in ends], ids_type), *columns], ["part", "is_first", "text", "doc_id", *_RESULT_NAMES])
+            return pa.RecordBatch.from_arrays([pa.array([part] * (n + m), pa.int32()), first, text, pa.array(ids + [e[0] for e in ends], ids_type), *columns], ["part", "is_first", "text", "doc_id", *_PACKED_NAMES])
 
         before: tuple | None = None
         for batch in batches:
@@ -162,7 +169,7 @@ def edited_pairs(docs: DataFrame, *, fraction: float = FRACTION, id_col: str = "
                 ids, out, ends = [], [], []
                 piece = batch.slice(at, at_once)
                 for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    now = (doc_id, _sketched(sketcher, text))
+                    now = (doc_id, (text, sketcher.sketch(text)))
                     if before is None:
                         ends.append((doc_id, True, text))
                     else:
@@ -173,7 +180,7 @@ def edited_pairs(docs: DataFrame, *, fraction: float = FRACTION, id_col: str = "
         if before is not None:
             yield batch_of([], [], [(before[0], False, before[1][0])])
 
-    schema = f"part int, is_first boolean, text string, doc_id {sql_type(rows, 'doc_id')}, {_RESULT}"
+    schema = f"part int, is_first boolean, text string, doc_id {sql_type(rows, 'doc_id')}, {_PACKED}"
     done = spool(ordered.mapInArrow(compare, schema), "fingerprints")
     firsts = done.filter("is_first").select("part", F.col("text").alias("following"))
     following = F.lead("part").over(Window.orderBy("part"))  # a number for each part
@@ -185,11 +192,20 @@ def edited_pairs(docs: DataFrame, *, fraction: float = FRACTION, id_col: str = "
         sketcher = Sketcher(fraction)
         for batch in batches:
             texts = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            results = [_row(sketcher, _sketched(sketcher, a), _sketched(sketcher, b)) for a, b in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_results(results)], ["doc_id", *_RESULT_NAMES])
+            results = [_row(sketcher, (a, sketcher.sketch(a)), (b, sketcher.sketch(b))) for a, b in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_arrays(results, _PACKED_TYPES)], ["doc_id", *_PACKED_NAMES])
 
-    finished = lasts.select("doc_id", "text", "following").mapInArrow(finish, f"doc_id {sql_type(rows, 'doc_id')}, {_RESULT}")
-    return done.filter("is_first is null").select("doc_id", *_RESULT_NAMES).unionByName(finished)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                piece = batch.slice(at, at_once)
+                results = [_unpacked(*r) for r in zip(*[c.to_pylist() for c in piece.columns[1:]], strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *_arrays(results, _TYPES)], ["doc_id", *_NAMES])
+
+    id_name = f"doc_id {sql_type(rows, 'doc_id')}"
+    finished = lasts.select("doc_id", "text", "following").mapInArrow(finish, f"{id_name}, {_PACKED}")
+    packed = done.filter("is_first is null").select("doc_id", *_PACKED_NAMES).unionByName(finished)
+    return packed.mapInArrow(unpack, f"{id_name}, {_RESULT}")
 
 
 def fingerprints(docs: DataFrame, *, fraction: float = FRACTION, text_col: str = "text", into: str = "fingerprint") -> DataFrame:
