@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("queries_evaluation", "queries_estimators", "queries_losses", "queries_correction", "queries_batch", "queries_metrics", "queries_text", "queries_retrieval", "queries_placement", "queries_datasets", "queries_variants")
+MODULES = ("queries_evaluation", "queries_estimators", "queries_losses", "queries_correction", "queries_batch", "queries_metrics", "queries_text", "queries_retrieval", "queries_placement", "queries_streams", "queries_datasets", "queries_variants")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

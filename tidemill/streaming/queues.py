@@ -1,58 +1,104 @@
-"""A bounded first-in-first-out queue and count windows over streams.
+"""A bounded first-in-first-out queue and count windows.
 
-The queue's batch form is exact relational algebra; its streaming form keeps the same state with
-``applyInPandasWithState`` per queue (key) and drops the oldest items when it is full.
+The queue's batch form is a parallel prefix over clamp functions, exact for keys of any size; ``states`` has the forms that
+keep state over streams.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.names import fresh
 from tidemill.operators.batch import with_dense_id
+from tidemill.sources.storage import stored
 
+#: Beyond every size of a queue.
+WIDE = 1 << 40
 
-def bounded_queue(items: DataFrame, capacity: int, *, by: str, order: list[str], kind: str = "op") -> DataFrame:
+
+def _compose(first: tuple, then: tuple) -> tuple:
+    """The clamp function (d, low, high) of x -> min(high, max(low, x + d)) that does ``first`` and ``then``."""
+    d, low, high = then
+    return first[0] + d, np.clip(first[1] + d, low, high), np.clip(first[2] + d, low, high)
+
+
+def _scan(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each operation the composition of all up to it: log n passes, each over all of them."""
+    held, shift = [d, low, high], 1
+    while shift < len(d):
+        joined = _compose(tuple(x[:-shift] for x in held), tuple(x[shift:] for x in held))
+        held = [np.concatenate([x[:shift], y]) for x, y in zip(held, joined, strict=True)]
+        shift *= 2
+    return tuple(held)
+
+
+def clamped(steps: DataFrame, *, at: str, chunk: int = 65_536) -> DataFrame:
+    """``at`` and ``size``, what 0 has become before each of a sequence of clamp functions (columns d, low, high; ``at`` is 0, 1, ...).
+
+    Clamp functions compose to clamp functions, so chunks of them are composed by themselves, the chunks' functions by
+    the same means, and a row's size follows from its chunk's first. No task holds more than a chunk.
+    """
+
+    def inside(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        d, low, high = (table.column(c).to_numpy() for c in ("d", "low", "high"))
+        after = _scan(d, low, high)
+        none = (np.int64(0), np.int64(-WIDE), np.int64(WIDE))
+        before = [np.concatenate([[n], x[:-1]]) for n, x in zip(none, after, strict=True)]
+        last = np.arange(len(d)) == len(d) - 1
+        ends = [pa.array(x, pa.int64(), mask=~last) for x in after]
+        return pa.table([table.column("chunk"), table.column("at"), *[pa.array(x, pa.int64()) for x in before], *ends], ["chunk", "at", "d", "low", "high", "end_d", "end_low", "end_high"])
+
+    rows = steps.select(F.col(at).alias("at"), "d", "low", "high", F.expr(f"`{at}` div {chunk}").alias("chunk"))
+    scanned = stored(rows.groupBy("chunk").applyInArrow(inside, "chunk long, at long, d long, low long, high long, end_d long, end_low long, end_high long"), "clamps")
+    ends = scanned.filter("end_d is not null").select("chunk", F.col("end_d").alias("d"), F.col("end_low").alias("low"), F.col("end_high").alias("high"))
+    moved = lambda start: F.least("high", F.greatest("low", start + F.col("d")))
+    if ends.limit(2).count() < 2:
+        return scanned.select(F.col("at").alias(at), moved(F.lit(0)).alias("size"))
+    starts = clamped(ends, at="chunk", chunk=chunk).withColumnRenamed("size", "start")
+    return scanned.join(starts, "chunk").select(F.col("at").alias(at), moved(F.col("start")).alias("size"))
+
+
+def bounded_queue(items: DataFrame, capacity: int, *, by: str, order: list[str], kind: str = "op", chunk: int = 65_536) -> DataFrame:
     """What becomes of each "put" of a sequence of puts and gets (column ``op``) of queues ``by`` key: ``consumed``, ``dropped``
     (a later put found the queue full) or ``queued``, and for gets ``got`` or ``empty``.
 
-    Keys are dealt over tasks; a task reads its sorted rows as a stream and holds a batch of them and the ``capacity`` items
-    that wait, however long a queue's history is.
+    A put or get clamps the queue's size, so sizes come from a parallel prefix over clamp functions (``clamped``), a key's
+    first operation being constant. First in, first out: the k-th item that leaves a queue is the k-th that was put, so
+    puts meet what removes them by number. A key that holds all rows is spread over all tasks; a null key is a key.
     """
     columns = items.columns
-    at_key, at_kind = columns.index(by), columns.index(kind)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: deque[tuple] = deque()
-        key, out = None, []
-        settle = lambda fate: out.append((*waiting.popleft(), fate))
-        for pdf in frames:
-            for row in pdf.itertuples(index=False, name=None):
-                if row[at_key] != key:
-                    while waiting:
-                        settle("queued")
-                    key = row[at_key]
-                if row[at_kind] == "put":
-                    if len(waiting) >= capacity:
-                        settle("dropped")
-                    waiting.append(row)
-                elif waiting:
-                    settle("consumed")
-                    out.append((*row, "got"))
-                else:
-                    out.append((*row, "empty"))
-            yield pd.DataFrame(out, columns=[*columns, "fate"])
-            out.clear()
-        while waiting:
-            settle("queued")
-        yield pd.DataFrame(out, columns=[*columns, "fate"])
-
-    schema = ", ".join(f"`{c}` {k}" for c, k in items.dtypes) + ", fate string"
-    return items.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+    at, part, size, put, out, first, k, leaves = fresh(items, "at", "part", "size", "put", "out", "first", "k", "leaves")
+    placed = with_dense_id(items, [by, *order], at).withColumn(part, F.expr(f"`{at}` div {chunk}"))
+    starts = placed.groupBy(by).agg(F.min(at).alias(at)).select(at, F.lit(True).alias(first))  # a row for each key
+    placed = stored(placed.join(starts, at, "left"), "queue")
+    is_put = F.col(kind) == "put"
+    after_none = F.when(is_put, min(1, capacity)).otherwise(0).cast("long")
+    is_first = F.col(first).isNotNull()
+    step = placed.select(at, F.when(is_put, 1).otherwise(-1).cast("long").alias("d"), F.when(is_first, after_none).otherwise(0).cast("long").alias("low"), F.when(is_first, after_none).otherwise(capacity).cast("long").alias("high"))
+    sizes = clamped(step, at=at, chunk=chunk).withColumnRenamed("size", size)
+    sized = placed.join(sizes, at).withColumn(size, F.when(F.col(first).isNotNull(), 0).otherwise(F.col(size)))
+    sized = sized.withColumn(put, is_put.cast("int")).withColumn(out, F.when(is_put, F.col(size) >= capacity).otherwise(F.col(size) > 0).cast("int"))
+    inside = Window.partitionBy(part, by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = stored(sized.withColumn(k, F.sum(put).over(inside)).withColumn(leaves, F.sum(out).over(inside)), "queue-numbered")
+    # What a key's earlier chunks have put and removed.
+    before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy(part, by).agg(F.sum(put).alias("p"), F.sum(out).alias("o"))
+    counts = counts.select(F.col(part).alias("chunk_of"), F.col(by).alias("key_of"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("puts_before"), F.coalesce(F.sum("o").over(before), F.lit(0)).alias("outs_before"))
+    plain = numbered.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(by).alias("key"), F.col(part).alias("chunk"), F.col(put).alias("put"), F.col(out).alias("out"), F.col(k).alias("k"), F.col(leaves).alias("leaves"))
+    plain = plain.join(counts, (F.col("chunk") == F.col("chunk_of")) & F.col("key").eqNullSafe(F.col("key_of")))
+    puts = plain.filter("put = 1").withColumn("number", F.col("k") + F.col("puts_before"))
+    removals = plain.filter("out = 1").select(F.col("key").alias("of"), (F.col("leaves") + F.col("outs_before")).alias("nth"), F.when(F.col("put") == 1, "dropped").otherwise("consumed").alias("how"))
+    met = puts.join(removals, (F.col("number") == F.col("nth")) & F.col("key").eqNullSafe(F.col("of")), "left")
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+    fates = met.select(*names, F.coalesce("how", F.lit("queued")).alias("fate"))
+    return fates.unionByName(plain.filter("put = 0").select(*names, F.when(F.col("out") == 1, "got").otherwise("empty").alias("fate")))
 
 
 def newest(items: DataFrame, capacity: int, *, order: list[str | Column]) -> DataFrame:
