@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
+from tidemill.operators import selection
 from tidemill.operators.correction import as_metrics
 
 
@@ -178,8 +179,8 @@ def token_differences(a: str, b: str, mask: str) -> Column:
 
 
 def percentiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return as_metrics(df.agg(*[F.percentile(value, F.lit(p)).alias(f"tp{round(p * 100)}") for p in at]))
+    """Exact percentiles with linear interpolation, of tables of any size (see ``selection``)."""
+    return as_metrics(selection.percentiles(df, value, at).select(*[F.col(f"p{k}").alias(f"tp{round(p * 100)}") for k, p in enumerate(at)]))
 
 
 def partial_stats(df: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def imbalance(df: DataFrame, *, length: str, part: str, chunk: str) -> DataFrame
 
 def timing_spread(df: DataFrame, value: str = "value", k: float = 20.0) -> DataFrame:
     """Mean, the share of values above the (1 - k/100) quantile's value, min and max."""
-    edge = df.agg(F.percentile(value, F.lit(1 - k / 100)).alias("q")).scalar()
+    edge = selection.percentiles(df, value, (1 - k / 100,)).scalar()
     return as_metrics(df.withColumn("_q", edge).agg(F.avg(value).alias("mean"), share(F.col(value) > F.col("_q")).alias("topk_ratio"), F.min(value).alias("min"), F.max(value).alias("max")))
 
 
