@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,31 +160,58 @@ def gpg(df: DataFrame, *, f_norm: float = 1.0) -> DataFrame:
     return spread(grouped.withColumn("_alpha", alpha), F.col("_alpha") * centred / f_norm).drop("_s", "_alpha", *_STATS)
 
 
-def _reverse_scan(step: Callable[[np.ndarray, tuple[np.ndarray, ...]], np.ndarray], *columns: str) -> Column:
-    """A column of arrays made by a linear scan over each row's tokens; linear where higher-order functions aren't."""
+def affine_scan(a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """s[t] = b[t] + a[t] s[t + 1] within rows, laid end to end, whose ends (exclusive) are given; nothing follows a row.
 
-    @F.pandas_udf("array<double>")
-    def scan(*arrays: pd.Series) -> pd.Series:
-        return pd.Series([step(*(np.asarray(a, np.float64) for a in row)) for row in zip(*arrays, strict=True)])
+    Affine maps compose to affine maps: after the k-th pass an entry holds the composition of the 2**k maps from it on, so
+    rows of n tokens take log n passes over the whole batch and no loop over tokens.
+    """
+    a, b = a.copy(), b.copy()
+    starts = np.concatenate([[0], ends[:-1]])
+    a[ends[ends > starts] - 1] = 0.0
+    longest, shift = int((ends - starts).max(initial=0)), 1
+    while shift < longest:
+        moves = a[:-shift] != 0  # what is not finite in a later row stays there
+        b[:-shift] = np.where(moves, b[:-shift] + a[:-shift] * np.where(moves, b[shift:], 0.0), b[:-shift])
+        a[:-shift] = np.where(moves, a[:-shift] * a[shift:], 0.0)
+        shift *= 2
+    return b
+
+
+def _reverse_scan(step: Callable[..., np.ndarray], *columns: str) -> Column:
+    """A column of arrays that ``step`` makes of the flat values of such columns and the rows' ends, a batch at a time.
+
+    In higher-order functions the same scan took 2 (8 tokens) to 11 times (4096) as long as this.
+    """
+
+    @F.arrow_udf("array<double>")
+    def scan(*arrays: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(arrays[0]), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths).astype(np.int32)
+        flat = [pc.cast(x.flatten(), pa.float64()).to_numpy(zero_copy_only=False) for x in arrays]
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(step(*flat, ends)), mask=arrays[0].is_null() if arrays[0].null_count else None)
 
-    return scan(*[F.col(c) for c in columns])
+    whole = F.lit(True)
+    for c in columns[1:]:
+        whole = whole & F.col(c).isNotNull()
+    # A row that lacks a column has no result; rows' arrays are of one length.
+    return scan(*[F.when(whole, F.col(c)) if len(columns) > 1 else F.col(c) for c in columns])
 
 
 def reward_to_go(df: DataFrame, values: str = "rewards", mask: str = "response_mask", out: str = "returns") -> DataFrame:
     """Reverse running sums of the masked values."""
-    return df.withColumn(out, _reverse_scan(lambda r, m: np.cumsum((r * m)[::-1])[::-1].copy(), values, mask))
+    return df.withColumn(out, _reverse_scan(lambda r, m, ends: affine_scan(np.ones(len(r)), r * m, ends), values, mask))
 
 
 @ESTIMATORS.register("reinforce_plus_plus")
 def reinforce_pp(df: DataFrame, *, gamma: float = 1.0) -> DataFrame:
     """Discounted reverse returns whose carry ends where the mask is 0 (after that token's return), whitened and masked."""
 
-    def scan(rewards: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out, carry = np.zeros(len(rewards)), 0.0
-        for t in range(len(rewards) - 1, -1, -1):
-            out[t] = carry = rewards[t] + gamma * carry
-            carry *= mask[t]
-        return out
+    def scan(rewards: np.ndarray, mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        # A token passes on what the mask of the token after it leaves.
+        after = np.concatenate([mask[1:], [0.0]]) if len(mask) else mask
+        return affine_scan(gamma * after, rewards, ends)
 
     raw = df.withColumn("returns", _reverse_scan(scan, "rewards", "response_mask"))
     return whiten(raw, "returns", "advantages", remask=True)
@@ -200,14 +228,14 @@ def remax(df: DataFrame, *, baseline: str = "reward_baseline") -> DataFrame:
 def gae(df: DataFrame, *, gamma: float = 1.0, lam: float = 1.0, values: str = "vals") -> DataFrame:
     """Generalized advantages: masked tokens leave the state untouched and show it; returns = advantages + values; whitened."""
 
-    def scan(rewards: np.ndarray, value: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out, next_value, last = np.zeros(len(rewards)), 0.0, 0.0
-        for t in range(len(rewards) - 1, -1, -1):
-            if mask[t]:
-                last = rewards[t] + gamma * next_value - value[t] + gamma * lam * last
-                next_value = value[t]
-            out[t] = last
-        return out
+    def scan(rewards: np.ndarray, value: np.ndarray, mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        seen = mask != 0
+        held = affine_scan(np.where(seen, 0.0, 1.0), np.where(seen, value, 0.0), ends)  # the value at or after a token
+        following = np.zeros(len(held))
+        following[:-1] = held[1:]
+        following[ends[ends > np.concatenate([[0], ends[:-1]])] - 1] = 0.0
+        delta = np.where(seen, rewards + gamma * following - value, 0.0)
+        return affine_scan(np.where(seen, gamma * lam, 1.0), delta, ends)
 
     raw = df.withColumn("_raw", _reverse_scan(scan, "rewards", values, "response_mask")).withColumn("returns", F.zip_with("_raw", values, lambda a, v: a + v))
     return whiten(raw, "_raw", "advantages").drop("_raw")
