@@ -59,15 +59,19 @@ TOOLS = {
     "kimi": [{"name": "f", "required": ["x"]}, {"name": "g", "required": ["s"]}, {"name": "read_file", "required": ["path", "mode"]}],
 }
 
+#: Deeper than any limit of nesting.
+DEEP = "[" * 3000
 Q, K = "<tool_call><function=f>", "<|tool_calls_section_begin|>"
 #: (text, content, calls) of malformed and odd texts of a format.
 ODD: dict[str, list[tuple[str, str, str]]] = {
     "hermes": [
+        ("d " + "<tool_call>" + DEEP + "{N}</tool_call>", "d ", ""),
+        ('<tool_call>{"name": null, "arguments": {}}</tool_call><tool_call>{"name": 5, "arguments": {}}</tool_call><tool_call>{"name": "f", "arguments": {"x": NaN, "y": [-Infinity, {N}]}}</tool_call>', "", 'f{"x": "NaN", "y": ["-Infinity", {N}]}'),
         ("a <tool_call>no json</tool_call> b", "a  b", ""),
         ('a <tool_call>{"name": "f"}</tool_call>', "a ", ""),
         ('a <tool_call>{"name": "f", "arguments": {"x": {N}}}', 'a <tool_call>{"name": "f", "arguments": {"x": {N}}}', ""),
         ('</tool_call> <tool_call>{"name": "f", "arguments": [1]}', '</tool_call> <tool_call>{"name": "f", "arguments": [1]}', ""),
-        ('<tool_call>\n{"arguments": {"x": 1e999}, "name": "f"}\n</tool_call>', "", 'f{"x": Infinity}'),
+        ('<tool_call>\n{"arguments": {"x": 1e999}, "name": "f"}\n</tool_call>', "", 'f{"x": "1e999"}'),
         ('<tool_call>[1]</tool_call><tool_call>{"name": "{S}", "arguments": null}</tool_call>', "", "{S}null"),
         ('x<tool_call>{"name": "f", "arguments": {"a": [1, {"b": "\\u00e9"}]}}</tool_call>y<tool_call>open', "xy<tool_call>open", 'f{"a": [1, {"b": "é"}]}'),
         ("", "", ""),
@@ -83,6 +87,8 @@ ODD: dict[str, list[tuple[str, str, str]]] = {
         ("", "", ""),
     ],
     "qwen3_coder": [
+        (Q + "<parameter=l>[1e999, {N}]</parameter></function></tool_call>", "", 'f{"l": "[1e999, {N}]"}'),
+        (Q + "<parameter=l>{1, 2}</parameter><parameter=o>" + DEEP + "</parameter></function></tool_call>", "", 'f{"l": "{1, 2}", "o": "' + DEEP + '"}'),
         ("a " + Q + "<parameter=x>{N}</parameter>", "a ", 'f{"x": {N}}'),
         ("a " + Q + "<parameter=x>\n{N}\n", "a ", 'f{"x": {N}}'),
         (Q + "<parameter=x>12.5</parameter><parameter=i>{N}</parameter><parameter=u>7</parameter></function></tool_call>", "", 'f{"x": "12.5", "i": {N}, "u": 7}'),
@@ -101,6 +107,8 @@ ODD: dict[str, list[tuple[str, str, str]]] = {
         ("", "", ""),
     ],
     "glm": [
+        ("d <tool_call>f<arg_key>x</arg_key><arg_value>" + DEEP + "</arg_value></tool_call>", "d ", 'f{"x": "' + DEEP + '"}'),
+        ("<tool_call>f<arg_key>x</arg_key><arg_value>NaN</arg_value><arg_key>y</arg_key><arg_value>[1e400, {N}]</arg_value></tool_call>", "", 'f{"x": "NaN", "y": ["1e400", {N}]}'),
         (" <think>hm</think> so <tool_call>f</tool_call>", " so ", "f{}"),
         ("</think>so <tool_call>f\n<arg_key> x </arg_key> <arg_value> {N} </arg_value></tool_call>", "so ", 'f{"x": {N}}'),
         ("<think>open <tool_call>f</tool_call>", "<think>open ", "f{}"),
@@ -111,16 +119,18 @@ ODD: dict[str, list[tuple[str, str, str]]] = {
         ("", "", ""),
     ],
     "seed": [
+        ("<seed:tool_call><function=f><parameter=s>" + DEEP + "</parameter></function></seed:tool_call>", "", 'f{"s": "' + DEEP + '"}'),
         ("a <seed:tool_call>nothing</seed:tool_call>", "a ", ""),
         ("a <seed:tool_call><function=f><parameter=x> {N} </parameter></function><function=g></function></seed:tool_call>", "a ", 'f{"x": {N}}'),
         ("a <seed:tool_call><function=f><parameter=x>1</parameter></seed:tool_call>", "a ", ""),
         ("a <seed:tool_call><function=f></function>", "a <seed:tool_call><function=f></function>", ""),
         ("<seed:tool_call><function= f >\n<parameter=s>x y</parameter><parameter=t>1</function></seed:tool_call>", "", 'f{"s": "x y"}'),
         ("<seed:tool_call><function=f><parameter=s>[\"{S}\"]</parameter></function></seed:tool_call>", "", 'f{"s": ["{S}"]}'),
-        ("<seed:tool_call><function=f><parameter=s>1e999</parameter></function></seed:tool_call>", "", 'f{"s": Infinity}'),
+        ("<seed:tool_call><function=f><parameter=s>1e999</parameter></function></seed:tool_call>", "", 'f{"s": "1e999"}'),
         ("", "", ""),
     ],
     "minimax": [
+        ('<minimax:tool_call><invoke name="f"><parameter name="s">' + DEEP + '</parameter><parameter name="t">Infinity</parameter></invoke></minimax:tool_call>', "", 'f{"s": "' + DEEP + '", "t": "Infinity"}'),
         ("a <minimax:tool_call>nothing</minimax:tool_call>", "a ", ""),
         ('a <minimax:tool_call><invoke name="f"></invoke><invoke name=" g "><parameter name="x">{N}</parameter></invoke></minimax:tool_call>', "a ", 'f{};g{"x": {N}}'),
         ('a <minimax:tool_call><invoke name="f"><parameter name="x">1</minimax:tool_call>', "a ", ""),
@@ -131,6 +141,8 @@ ODD: dict[str, list[tuple[str, str, str]]] = {
         ("", "", ""),
     ],
     "kimi": [
+        ("e " + K + "<|tool_call_begin|>g<|tool_call_argument_begin|>" + DEEP + "<|tool_call_end|>", "e ", "g{}"),
+        (K + '<|tool_call_begin|>f<|tool_call_argument_begin|>{"x": [1e999, {N}]}<|tool_call_end|>', "", 'f{"x": ["1e999", {N}]}'),
         (K + '<|tool_call_begin|>functions.f:0<|tool_call_argument_begin|>{"z": {N}}<|tool_call_end|>', "", 'f{"z": {N}}'),
         (K + '<|tool_call_begin|>call_7<|tool_call_argument_begin|>{"path": "{S}", "mode": 1}<|tool_call_end|>', "", 'read_file{"path": "{S}", "mode": 1}'),
         ("a " + K + "<|tool_call_begin|>call_8<|tool_call_argument_begin|>no json<|tool_call_end|>", "a ", "call_8{}"),
@@ -141,12 +153,13 @@ ODD: dict[str, list[tuple[str, str, str]]] = {
         ("<|tool_call_begin|>g<|tool_call_argument_begin|>{}<|tool_call_end|>", "<|tool_call_begin|>g<|tool_call_argument_begin|>{}<|tool_call_end|>", ""),
     ],
     "gemma4": [
+        ("a <|tool_call>call:f{x:1e999,y:nan,z:{N}}<tool_call|>", "a ", 'f{"x": "1e999", "y": "nan", "z": {N}}'),
         ("a <|tool_call>call:f{x:TRUE,y:Null}<tool_call|>", "a ", 'f{"x": true, "y": null}'),
         ('a <|tool_call>call:f{s:<|"|>a, b: {c}<|"|>,x:{N}}<tool_call|> z', "a ", 'f{"s": "a, b: {c}", "x": {N}}'),
         ("a <|tool_call>call:f{x:word,y: 2 }<tool_call|>", "a ", 'f{"x": "word", "y": 2}'),
         ("a <|tool_call>call:f{x:1}", "a <|tool_call>call:f{x:1}", ""),
         ("a <|tool_call>f{x:1}<tool_call|>", "a <|tool_call>f{x:1}<tool_call|>", ""),
-        ("a <|tool_call>call:f{x:inf}<tool_call|>", "a ", 'f{"x": Infinity}'),
+        ("a <|tool_call>call:f{x:inf}<tool_call|>", "a ", 'f{"x": "inf"}'),
         ("a <|tool_call>call:f{x:}<tool_call|>", "a ", 'f{"x": ""}'),
         ("", "", ""),
     ],
@@ -165,6 +178,18 @@ def parser_cases(name: str) -> list[tuple[str, str, str]]:
     return out + ODD[name]
 
 
+def call_cases(name: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(text, calls as (name, arguments)) of a format's well-formed texts."""
+    return [(text, [(f, _object(args)) for f, args in calls]) for (text, _, _), (_, calls, _) in zip(parser_cases(name), COMMON, strict=False)]
+
+
+def call_rows_sql(cases: list[tuple[str, list[tuple[str, str]]]]) -> str:
+    """SELECT with doc_id, place, name and arguments: a row for each call of the document's case."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {k}, {quote(f)}, {quote(a)})" for i, (_, calls) in enumerate(cases) for k, (f, a) in enumerate(calls))
+    return f"SELECT doc_id, place, name, replace(replace(arguments, '{{N}}', CAST(n_chars AS VARCHAR)), '{{S}}', source) AS arguments FROM documents JOIN (VALUES {values}) AS c(i, place, name, arguments) ON doc_id % {len(cases)} = i"
+
+
 # Scorers: (text, truth, result) with results as text
 
 BOXED = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
 from tidemill.functions import text as T
-from tidemill.functions.tool_parsers import parse_calls
+from tidemill.functions.tool_parsers import PARSERS, explode_calls, parse_calls, register_call_rows
 from tidemill.operators import metrics as M
 from tidemill.operators import rewards as R
 from tidemill.plans import cases as C
@@ -167,6 +167,33 @@ for _letter, _name in zip("abcdefgh", C.RENDER, strict=True):
     query(f"e20{_letter}_parse_{_name.replace('-', '_')}", C.case_sql(C.parser_cases(_name), {"content": (1, "$v"), "calls": (2, "$v")}))(_parser(_name))
 
 
+def _call_rows(name: str):
+    """The calls of every text as rows, by a parser's table function from SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        function = register_call_rows(spark, name, tools=C.TOOLS.get(name))
+        cases = C.case_table(spark, sf_dir, C.call_cases(name), ("t",))
+        return spark.sql(f"SELECT doc_id, place, name, arguments FROM {{cases}}, LATERAL {function}(t)", cases=cases)
+
+    return run
+
+
+for _letter, _name in zip("abcdefgh", C.RENDER, strict=True):
+    query(f"h11{_letter}_rows_{_name.replace('-', '_')}", C.call_rows_sql(C.call_cases(_name)))(_call_rows(_name))
+
+
+def _lines(text: str, tools: list[dict] | None = None) -> tuple[str, list[tuple[str, str]]]:
+    """A parser of one's own: each line is a call of its first word, with its length."""
+    return "", [(line.split(" ")[0], f'{{"length": {len(line)}}}') for line in text.split("\n")]
+
+
+@query("h11_own_parser", """SELECT doc_id, CAST(k - 1 AS INT) AS place, split_part(l[k], ' ', 1) AS name, '{"length": ' || length(l[k]) || '}' AS arguments FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) r(k) WHERE k <= len(l)""")
+def h11_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if "lines" not in PARSERS:
+        PARSERS.register("lines")(_lines)
+    return explode_calls(docs(spark, sf_dir, "text"), "text", "lines").drop("text")
+
+
 @query("e21_retrieval_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n, regexp_extract_all(lower(text), '[a-z0-9]+')[1] AS first FROM documents")
 def e21_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = T.retrieval_tokens(F.col("text"))
