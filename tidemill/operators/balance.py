@@ -181,6 +181,21 @@ def batch_multiple(workers: int, mini_batches: Sequence[int]) -> int:
     return math.lcm(workers, *mini_batches)
 
 
+def greatest_divisor(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two positive longs, by Euclid's steps (fewer than 92)."""
+    pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    step = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % F.when(p["b"] != 0, p["b"])).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step)["a"]
+
+
+def batch_multiple_of(workers: Column, mini_batches: Sequence[Column]) -> Column:
+    """``batch_multiple`` of columns."""
+    out = workers.cast("long")
+    for size in mini_batches:
+        out = F.call_function("div", out, greatest_divisor(out, size)) * size
+    return out
+
+
 @DISPATCH.register("one_to_all")
 def to_all(df: DataFrame, workers: int) -> DataFrame:
     """Every worker gets all rows."""

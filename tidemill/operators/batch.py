@@ -258,6 +258,20 @@ def merge_dicts(a: dict, b: dict) -> dict:
     return {**a, **b}
 
 
+def merge_maps(a: str | Column, b: str | Column) -> Column:
+    """``merge_dicts`` of two map columns; a key in both with unlike values raises when the row is read."""
+    a, b = (F.col(m) if isinstance(m, str) else m for m in (a, b))
+    unlike = F.exists(F.map_keys(b), lambda k: F.map_contains_key(a, k) & ~a[k].eqNullSafe(b[k]))
+    added = F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k))
+    return F.when(unlike, F.raise_error(F.lit("values differ"))).otherwise(F.map_concat(a, added))
+
+
+def to_columns(df: DataFrame, by: str, columns: Sequence[str], order: str = ID) -> DataFrame:
+    """Rows to columns: of each group of rows one with the columns' values as arrays, in the rows' order."""
+    grouped = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]))).alias("r"))
+    return grouped.select(by, *[F.col(f"r.c{k}").alias(c) for k, c in enumerate(columns)])
+
+
 def equal(a: DataFrame, b: DataFrame) -> bool:
     """Whether two batches have the same rows as often (NaN equals NaN) and the same columns."""
     if sorted(a.columns) != sorted(b.columns):

@@ -107,6 +107,11 @@ def _tokens(df: DataFrame, fn: Callable[[Column], dict[str, Column]]) -> DataFra
     return made.withColumns({c: F.col(f"_t.{c}") for c in ("_loss", "_clip", "_kl", "_low")}).drop("_t")
 
 
+def from_tokens(df: DataFrame, fn: Callable[[Column], dict[str, Column]], mode: str = "token-mean", weights: str | None = None, **batch) -> DataFrame:
+    """A loss made of ``fn``, which gives _loss, _clip, _kl and _low of a token's struct (lp, old, a, m)."""
+    return _finish(_tokens(df, fn), mode, weights, **batch)
+
+
 def _log_ratio(t: Column, bound: bool = True) -> Column:
     d = t["lp"] - t["old"]
     return A.clip(d, -A.LOG_BOUND, A.LOG_BOUND) if bound else d
@@ -373,6 +378,11 @@ def fixed_controller(kl_coef: float) -> Callable[[float, int], float]:
     return lambda current, n: kl_coef
 
 
+def fixed(df: DataFrame, *, start: float) -> DataFrame:
+    """The KL coefficient after each step, which stays as it is; ``adaptive_controller``'s counterpart."""
+    return df.withColumn("kl_coef", F.lit(float(start)))
+
+
 def adaptive_controller(df: DataFrame, *, start: float, target: float, horizon: float, order: str = "step", kl: str = "kl", n: str = "n_steps") -> DataFrame:
     """The KL coefficient after each step: times 1 + clip(kl / target - 1, ±0.2) n / horizon. Steps are few (one a training step);
     the fold is a running product."""

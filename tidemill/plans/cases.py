@@ -251,6 +251,19 @@ VERIFIED = [
 ]
 
 
+_STOP = ', {"tool": "STOP"}]'
+_TOP = '{"tool": "TOPK", "k": 2}'
+#: Traces and what they become; an empty text where they are invalid.
+TRACES = [
+    (f"[{_TOP}]", f"[{_TOP}{_STOP}"), (f"[{_TOP}{_STOP}", f"[{_TOP}{_STOP}"), ('[{"tool": "topk", "k": 50}]', '[{"tool": "TOPK", "k": 50}' + _STOP), ('[{"tool": "TOPK", "k": 51}]', ""), ('[{"tool": "TOPK", "k": 0}]', ""), ('[{"tool": "TOPK", "k": true}]', ""), ('[{"tool": "TOPK"}]', ""),
+    ('[{"tool": "FILTER", "field": "source_type", "op": "eq", "value": "{S}", "scope": "full_memory"}]', '[{"tool": "FILTER", "field": "source_type", "op": "eq", "value": "{S}", "scope": "full_memory"}' + _STOP), ('[{"tool": "FILTER", "field": "source_type", "op": "eq", "value": "{S}"}]', ""), ('[{"tool": "FILTER", "field": "author", "op": "eq", "value": "{S}", "scope": "full_memory"}]', ""),
+    ('[{"tool": "FILTER", "field": "timestamp", "op": "before", "value": {N}, "scope": "current_pool"}]', '[{"tool": "FILTER", "field": "timestamp", "op": "before", "value": {N}, "scope": "current_pool"}' + _STOP), ('[{"tool": "FILTER", "field": "status", "op": "eq", "value": [1], "scope": "current_pool"}]', ""), ('[{"tool": "FILTER", "field": "status", "op": "like", "value": 1, "scope": "current_pool"}]', ""),
+    ('[{"tool": "RETRIEVE"}]', '[{"tool": "RETRIEVE"}' + _STOP), ('[{"tool": "RETRIEVE", "method": "bm25", "top_k": 3, "query": "{S} {N}"}]', '[{"tool": "RETRIEVE", "method": "bm25", "top_k": 3, "query": "{S} {N}"}' + _STOP), ('[{"tool": "RETRIEVE", "query": " "}]', ""), ('[{"tool": "RETRIEVE", "method": "exact"}]', ""), ('[{"tool": "RETRIEVE", "query": "about memory_{N}"}]', ""), ('[{"tool": "RETRIEVE", "query": "M{N}"}]', ""), ('[{"tool": "RETRIEVE", "search_query": "x"}]', ""),
+    ('[{"tool": "SORT", "field": "score", "order": "desc"}]', '[{"tool": "SORT", "field": "score", "order": "desc"}' + _STOP), ('[{"tool": "SORT", "field": "score"}]', ""), ('[{"tool": "EXPAND_NEIGHBORS", "window": 3}]', '[{"tool": "EXPAND_NEIGHBORS", "window": 3}' + _STOP), ('[{"tool": "EXPAND_NEIGHBORS", "window": 4}]', ""), ('[{"tool": "INSPECT_RAW"}]', '[{"tool": "INSPECT_RAW"}' + _STOP), ('[{"tool": "INSPECT_RAW", "target": "full_memory"}]', ""),
+    ('[{"tool": "STOP"}, {"tool": "STOP"}]', ""), ('[{"tool": "STOP", "why": "{S}"}]', ""), ("[" + ", ".join([_TOP] * 8) + "]", ""), ("[" + ", ".join([_TOP] * 7) + "]", "[" + ", ".join([_TOP] * 7) + _STOP), ("[" + ", ".join([_TOP] * 7) + _STOP, "[" + ", ".join([_TOP] * 7) + _STOP), ("[" + ", ".join([_TOP] * 8) + _STOP, ""), ("[]", ""), ("{}", ""), ("not json {N}", ""), ("", ""), ('["TOPK"]', ""), ('[{"k": 2}]', ""), ('[{"tool": "JUMP"}]', ""), (DEEP, ""),
+]
+
+
 def _call(name: str, **parameters: str) -> str:
     return f'{{"name": "{name}", "parameters": {_object(list(parameters.items()))}}}'
 

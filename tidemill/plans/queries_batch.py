@@ -91,7 +91,7 @@ def a11_unfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_token(B.unfold(df, 2, ["token_id"]), token_id="token_id")
 
 
-@query("a33_deep_equality", "SELECT true AS same, false AS changed")
+@query("a33_deep_equality", "WITH b AS (SELECT * REPLACE (CASE WHEN c_custkey % 7 = 0 THEN 'nan'::DOUBLE ELSE c_acctbal END AS c_acctbal) FROM customer), x AS (SELECT * REPLACE (CASE WHEN c_custkey = 1 THEN 5e-1 ELSE c_acctbal END AS c_acctbal) FROM b) SELECT (SELECT count(*) FROM (FROM b EXCEPT ALL FROM b)) = 0 AS same, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM x)) = 0 AS changed")
 def a33_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "customer").withColumn("c_acctbal", F.when(F.col("c_custkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")))
     changed = b.withColumn("c_acctbal", F.when(F.col("c_custkey") == 1, 0.5).otherwise(F.col("c_acctbal")))
@@ -104,9 +104,12 @@ def a35_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_token(df.withColumn("r", B.to_ragged("token_id", "response_mask")), token_id="r")
 
 
-@query("f13_consistency", "SELECT 0::BIGINT AS bad")
+@query("f13_consistency", TOKENS + " SELECT row_id FROM tok GROUP BY row_id HAVING row_id % 5 = 0 AND count(*) > 0")
 def f13_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.consistent(trajectories(spark, sf_dir, columns=("token_id", "response_mask", "rewards")), ["token_id", "response_mask", "rewards"]).agg(F.count("*").alias("bad"))
+    """Every fifth trajectory lacks its first reward."""
+    whole = trajectories(spark, sf_dir, columns=("token_id", "response_mask", "rewards")).withColumnRenamed("rewards", "all")
+    rows = whole.withColumn("rewards", F.when(F.col("row_id") % 5 == 0, F.slice("all", 2, F.size("all"))).otherwise(F.col("all")))
+    return B.consistent(rows, ["token_id", "response_mask", "rewards"])
 
 
 @query("f02_labelled", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
 from tidemill.operators import estimators as E
-from tidemill.operators.batch import merge_dicts
+from tidemill.operators.batch import merge_maps
 from tidemill.operators.sampling import present_fields
 from tidemill.plans.catalog import query
 from tidemill.plans.fixtures import TOKENS, per_token, rounded, table, trajectories
@@ -138,10 +138,11 @@ def k11_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.clear_keys(put, values.filter("traj_key % 3 = 0")).select("traj_key", "score")
 
 
-@query("k12_resume", "SELECT e AS epoch, b AS batch FROM range(3) r(e), range(4) s(b) WHERE e > 1 OR (e = 1 AND b > 2)")
+@query("k12_resume", "SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS epoch, CAST(month(o_orderdate) AS INT) AS batch FROM orders WHERE year(o_orderdate) > 1994 OR (year(o_orderdate) = 1994 AND month(o_orderdate) > 6)")
 def k12_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = spark.range(12).select(F.expr("id div 4").alias("epoch"), (F.col("id") % 4).alias("batch"))
-    return D.resume_after(batches, 1, 2)
+    """A year of orders is an epoch, a month a batch."""
+    batches = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("epoch"), F.month("o_orderdate").alias("batch")).distinct()
+    return D.resume_after(batches, 1994, 6)
 
 
 @query("e24_prompt_rows", "SELECT item_id AS index, 'user' AS role, text || ' Think.' AS content, CAST(length(text) AS VARCHAR) AS truth, 'bench' AS source FROM benchmark")
@@ -217,9 +218,12 @@ def u06_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.scan(spark, [path, path]).agg(F.count("*").alias("n"))
 
 
-@query("j02_dict_union", "SELECT 'a' AS k, 1 AS v UNION ALL SELECT 'b', 2")
+@query("j02_dict_union", "SELECT o_orderkey, k, v FROM (SELECT o_orderkey, unnest(['status', 'cust', 'prio']) AS k, unnest([o_orderstatus, CAST(o_custkey AS VARCHAR), o_orderpriority]) AS v FROM orders)")
 def j02_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(sorted(merge_dicts({"a": 1}, {"a": 1, "b": 2}).items()), "k string, v int")
+    customer = F.col("o_custkey").cast("string")
+    a = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("cust"), customer)
+    b = F.create_map(F.lit("cust"), customer, F.lit("prio"), F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(merge_maps(a, b)).alias("k", "v"))
 
 
 @query("j03_group_broadcast", "SELECT o_orderkey AS row_id, round(avg(o_totalprice / 97003e0) OVER (PARTITION BY o_custkey), 6) + 0.0 AS mean FROM orders")
@@ -277,12 +281,14 @@ def s08_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["n_nationkey"], r["n_name"], again) for r in rows], "k long, name string, again boolean")
 
 
-@query("s09_store_files", "SELECT false AS before, true AS made, true AS copied, false AS other")
+@query("s09_store_files", "SELECT r_regionkey, r_name, false AS before, true AS made, true AS copied, false AS other FROM region")
 def s09_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a file that was copied within the store, and what was there before and after."""
     folder = fresh(spark, "files")
     before, made = files.exists(spark, folder), files.make_dirs(spark, folder)
     files.copy(spark, f"{sf_dir}/region.parquet", f"{folder}/r.parquet")
-    return spark.createDataFrame([(before, made, files.exists(spark, f"{folder}/r.parquet"), files.exists(spark, f"{folder}/s.parquet"))], "before boolean, made boolean, copied boolean, other boolean")
+    found = {"before": before, "made": made, "copied": files.exists(spark, f"{folder}/r.parquet"), "other": files.exists(spark, f"{folder}/s.parquet")}
+    return spark.read.parquet(f"{folder}/r.parquet").select("r_regionkey", "r_name", *[F.lit(v).alias(k) for k, v in found.items()])
 
 
 @query("s11_custom_dataset", "SELECT n_nationkey AS k, n_name AS name FROM nation")

@@ -213,10 +213,15 @@ def g28_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.majority_value(o)
 
 
-@query("g29_sections", "SELECT m AS metric, v AS variable, CASE WHEN v = 'core' AND m IN ('mean@8', 'maj@8/mean', 'best@8/mean') THEN 'val-core' ELSE 'val-aux' END AS section FROM (VALUES ('mean@8'), ('maj@8/mean'), ('best@4/mean'), ('best@8/mean'), ('worst@8/mean'), ('std@8')) a(m), (VALUES ('core'), ('other')) b(v)")
+@query("g29_sections", "WITH c AS (SELECT o_custkey, count(*) AS n, max(count(*)) OVER () AS most FROM orders GROUP BY 1), m AS (SELECT *, unnest(['mean@' || n, 'maj@' || n || '/mean', 'worst@' || n || '/mean']) AS metric, CASE WHEN o_custkey % 2 = 0 THEN 'core' ELSE 'other' END AS variable FROM c) SELECT o_custkey, metric, CASE WHEN variable = 'core' AND n = most AND metric NOT LIKE 'worst%' THEN 'val-core' ELSE 'val-aux' END AS section FROM m")
 def g29_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(m, v) for m in ("mean@8", "maj@8/mean", "best@4/mean", "best@8/mean", "worst@8/mean", "std@8") for v in ("core", "other")], "metric string, variable string")
-    return df.withColumn("section", M.section(F.col("variable"), F.col("metric"), F.lit("8")))
+    """Metrics of customers with n orders, of which the largest n counts."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n").cast("string")).scalar()
+    size = F.col("n").cast("string")
+    names = F.array(F.concat(F.lit("mean@"), size), F.concat(F.lit("maj@"), size, F.lit("/mean")), F.concat(F.lit("worst@"), size, F.lit("/mean")))
+    rows = counts.select("o_custkey", F.explode(names).alias("metric"), F.when(F.col("o_custkey") % 2 == 0, "core").otherwise("other").alias("variable"))
+    return rows.withColumn("most", most).select("o_custkey", "metric", M.section(F.col("variable"), F.col("metric"), F.col("most")).alias("section"))
 
 
 @query("g31_timing_spread", "WITH q AS (SELECT quantile_cont(value, 0.8) AS q FROM events) " + rows_sql({"mean": "(SELECT avg(value) FROM events)", "topk_ratio": "(SELECT avg(CASE WHEN value > q THEN 1 ELSE 0 END) FROM events, q)", "min": "(SELECT min(value) FROM events)", "max": "(SELECT max(value) FROM events)"}, "(SELECT 1) z"))

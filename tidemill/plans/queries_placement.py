@@ -140,9 +140,13 @@ def b10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.filter(sound).select("batch", F.col("part").cast("long").alias("rank"), F.col("load").cast("long").alias("load"), "n")
 
 
-@query("b11_integers", "SELECT 5 AS ceil, 12 AS round, 24 AS multiple")
+@query("b11_integers", "SELECT n_nationkey, CAST(ceil(c / 7e0) AS BIGINT) AS ceil, CAST(ceil(c / 4e0) * 4 AS BIGINT) AS round, lcm(lcm(c % 12 + 1, s % 8 + 1), 6)::BIGINT AS multiple FROM (SELECT n_nationkey, count(*) AS c FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS s FROM supplier GROUP BY 1) USING (n_nationkey)")
 def b11_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(P.ceildiv(9, 2), P.roundup(10, 4), P.batch_multiple(8, [6, 4]))], "ceil int, round int, multiple int")
+    """Sizes of nations' batches: workers and mini-batches by their customers and suppliers."""
+    customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
+    both = customers.join(table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("s")), "n_nationkey")
+    multiple = P.batch_multiple_of(F.col("c") % 12 + 1, [F.col("s") % 8 + 1, F.lit(6)])
+    return both.select("n_nationkey", F.ceil(F.col("c") / 7).alias("ceil"), (F.ceil(F.col("c") / 4) * 4).alias("round"), multiple.alias("multiple"))
 
 
 @query("b12_dispatch_and_gather", ROWS + " SELECT row_id, uid, len FROM b")
@@ -250,9 +254,11 @@ def t09_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", Q.should_pause(F.col("event_id") % 20, F.col("user_id") % 9, max_queue=15, max_required=8).alias("pause"))
 
 
-@query("t10_capacity", "SELECT 'max_concurrent_samples' AS name, 192 AS value UNION ALL SELECT 'max_queue_size', 192 UNION ALL SELECT 'max_required_samples', 192")
+@query("t10_capacity", "SELECT c_custkey, m AS max_required_samples, m AS max_queue_size, CAST(least(16 * (c_nationkey % 5 + 1), m) AS INT) AS max_concurrent_samples FROM (SELECT *, CAST(floor((c_custkey % 90 + 1) * (c_nationkey % 4 * 25e-2 + 1) * (c_custkey % 3 + 1)) AS INT) AS m FROM customer)")
 def t10_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(sorted(Q.queue_capacity(required=64, staleness=0.5, sync=2, replicas=16).items()), "name string, value int")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    sizes = Q.queue_capacities(required=key % 90 + 1, staleness=nation % 4 * 0.25, sync=key % 3 + 1, replicas=nation % 5 + 1)
+    return table(spark, sf_dir, "customer").select("c_custkey", sizes.alias("q")).select("c_custkey", "q.*")
 
 
 @query("t11_staleness_reset", "SELECT event_id, event_id % 7 + user_id % 5 AS stale FROM events")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
 from tidemill.functions import text as T
 from tidemill.functions.registry import Registry, load_object
-from tidemill.functions.tool_parsers import PARSERS
 from tidemill.operators import balance as P
 from tidemill.operators import batch as B
 from tidemill.operators import estimators as E
@@ -18,6 +17,7 @@ from tidemill.operators import losses as L
 from tidemill.operators import retrieval as R
 from tidemill.operators import rewards as M
 from tidemill.operators import sampling as S
+from tidemill.operators.traces import checked
 from tidemill.plans import cases as C
 from tidemill.plans.catalog import query
 from tidemill.plans.fixtures import TOKENS, per_token, rounded, table, trajectories
@@ -66,10 +66,10 @@ def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_token(B.pad_to_divisor(ragged(spark, sf_dir), 4096)[0], token_id="token_id")
 
 
-@query("a25_rows_to_columns", "SELECT 0::BIGINT AS row_id, 1 AS a, 2 AS n UNION ALL SELECT 1, 2, 3")
+@query("a25_rows_to_columns", "SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS keys FROM nation GROUP BY 1")
 def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([{"row_id": 0, "a": 1, "xs": [1, 2]}, {"row_id": 1, "a": 2, "xs": [1, 2, 3]}], "row_id long, a int, xs array<int>")
-    return df.select("row_id", "a", F.size("xs").alias("n"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.col("n_regionkey").alias("region"), "n_name", "n_nationkey")
+    return B.to_columns(n, "region", ["n_name", "n_nationkey"]).select("region", F.array_join("n_name", ",").alias("names"), F.array_join("n_nationkey", ",").alias("keys"))
 
 
 @query("a28_dict_of_lists", "SELECT string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation")
@@ -84,7 +84,7 @@ def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.flatten_structs(nested)
 
 
-@query("a31_schema_report", "SELECT 'label' AS name, 'int' AS type UNION ALL SELECT 'embedding', 'array<float>' UNION ALL SELECT 'vec_id', 'bigint'")
+@query("a31_schema_report", "SELECT column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS type FROM (SELECT 'vec_id' AS column_name, (SELECT any_value(typeof(vec_id)) FROM embeddings) AS data_type UNION ALL SELECT 'embedding', (SELECT any_value(typeof(embedding)) FROM embeddings) UNION ALL SELECT 'label', (SELECT any_value(typeof(label)) FROM embeddings))")
 def a31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(B.describe(table(spark, sf_dir, "embeddings")).items()), "name string, type string")
 
@@ -99,20 +99,20 @@ def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.DISPATCH["rank_zero"](rows(spark, sf_dir), 4).select("row_id", "worker")
 
 
-@query("e22_query_variants", "SELECT 0::BIGINT AS k, 'Who is it? The red cat sat. No.' AS q UNION ALL SELECT 1, 'Who is it?' UNION ALL SELECT 2, 'The red cat sat.'")
+@query("e22_query_variants", r"""WITH f AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, q, unnest(string_split_regex(regexp_replace(q, '([.!?。！？])\s+', '\1' || chr(10), 'g'), '[\n\r]+')) AS raw, generate_subscripts(string_split_regex(regexp_replace(q, '([.!?。！？])\s+', '\1' || chr(10), 'g'), '[\n\r]+'), 1) AS i FROM f),
+s AS (SELECT doc_id, q, regexp_replace(raw, '^[ \t:-]+|[ \t:-]+$', '', 'g') AS part, i FROM p),
+k AS (SELECT doc_id, part, min(i) AS i FROM s WHERE part <> q AND len(regexp_extract_all(lower(part), '[a-z0-9]+|[一-鿿]')) + greatest(len(regexp_extract_all(part, '[一-鿿]')) - 1, 0) >= 3 GROUP BY doc_id, part),
+r AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM k)
+SELECT doc_id, 0 AS k, sha256(q) AS variant FROM f WHERE q <> '' UNION ALL SELECT doc_id, CAST(k AS INT), sha256(part) FROM r WHERE k < 6""")
 def e22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(T.query_variants("Who is it? The red cat sat. No."))), "k long, q string")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(T.query_variants_of(F.col("text"))).alias("k", "q")).select("doc_id", "k", F.sha2("q", 256).alias("variant"))
 
 
-@query("f12_trace_validation", "SELECT 'bad' AS trace, false AS valid UNION ALL SELECT 'good', true")
+@query("f12_trace_validation", C.case_sql(C.TRACES, {"valid": (1, "$v <> ''"), "trace": (1, "nullif($v, '')")}))
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def valid(trace: list[dict]) -> bool:
-        try:
-            return bool(R.validate(trace))
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([("bad", valid([{"tool": "TOPK", "k": 0}])), ("good", valid([{"tool": "TOPK", "k": 2}]))], "trace string, valid boolean")
+    return C.case_table(spark, sf_dir, C.TRACES, ("t",)).select("doc_id", checked(F.col("t")).alias("c")).select("doc_id", "c.valid", "c.trace")
 
 
 @query("h01_registered_estimator", TOKENS + " SELECT row_id, pos, round(s * response_mask, 6) + 0.0 AS adv FROM tok JOIN seq USING (row_id)")
@@ -122,9 +122,17 @@ def h01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_token(mine["score"](trajectories(spark, sf_dir, columns=("rewards", "response_mask"))), adv="advantages")
 
 
-@query("h02_registered_names", "SELECT unnest(['cispo', 'clip_cov', 'dppo_kl', 'dppo_tv', 'geo_mean', 'gpg', 'gspo', 'kl_cov', 'legacy', 'reinforce', 'sapo', 'vanilla']) AS name, 'loss' AS kind UNION ALL SELECT unnest(['gemma4', 'glm', 'gpt-oss', 'hermes', 'kimi', 'minimax', 'qwen3_coder', 'seed']), 'parser'")
+@query("h02_registered_loss", TOKENS + " SELECT round(sum(-5e-1 * advantages * log_probs * response_mask) / sum(response_mask), 6) + 0.0 AS loss, round(sum((old_log_probs - log_probs) * response_mask) / sum(response_mask), 6) + 0.0 AS kl FROM tok")
 def h02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, "loss") for n in L.POLICY_LOSSES] + [(n, "parser") for n in PARSERS], "name string, kind string")
+    """A loss of one's own by its name."""
+
+    @L.POLICY_LOSSES.register("halved")
+    def halved(df: DataFrame, cfg: L.LossConfig, mode: str = "token-mean", **batch) -> DataFrame:
+        token = lambda t: {"_loss": -0.5 * t["a"] * t["lp"], "_clip": F.lit(0.0), "_kl": t["old"] - t["lp"], "_low": F.lit(0.0)}
+        return L.from_tokens(df, token, mode, **batch)
+
+    df = trajectories(spark, sf_dir, columns=("response_mask", "advantages", "log_probs", "old_log_probs"))
+    return L.policy_loss(df, "halved").select(rounded("loss").alias("loss"), rounded("kl").alias("kl"))
 
 
 @query("h06_manager_by_path", "SELECT n_nationkey::BIGINT AS row_id, n_nationkey::DOUBLE AS registered, -n_nationkey::DOUBLE AS loaded FROM nation")
@@ -201,9 +209,10 @@ def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(seen, "sink string, n long")
 
 
-@query("l21_fixed_kl", "SELECT 2e-1 AS kl_coef")
+@query("l21_fixed_kl", "SELECT row_number() OVER (ORDER BY d) AS step, 2e-1 AS kl_coef FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)")
 def l21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(L.fixed_controller(0.2)(5.0, 10),)], "kl_coef double")
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    return L.fixed(days.select(F.row_number().over(Window.orderBy("d")).cast("long").alias("step")), start=0.2)
 
 
 @query("m03_batch_manager", "SELECT doc_id AS row_id, score FROM (" + C.case_sql(C.LATEX, {"score": (2, "$v::DOUBLE")}) + ")")
@@ -277,6 +286,7 @@ def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_token(df.withColumn("x", A.token_map(lambda v, r: A.clip(v, r, r + 0.1), "vals", "rewards")), x="x")
 
 
-@query("x16_flat_ids", "SELECT 6::BIGINT AS total")
+@query("x16_flat_ids", TOKENS + " SELECT row_id, pos, token_id::BIGINT AS id FROM tok")
 def x16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(sum(D.flat_ids({"input_ids": [[1, 2, 3]]})),)], "total long")
+    df = trajectories(spark, sf_dir, columns=("token_id",)).withColumn("out", F.struct(F.array("token_id").alias("input_ids")))
+    return per_token(df.withColumn("ids", D.flat_ids_of(df, "out")), id="ids")
\ No newline at end of file

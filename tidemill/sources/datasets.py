@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from tidemill.functions import arrays as A
 from tidemill.functions.registry import load_object
@@ -160,6 +160,21 @@ def flat_ids(value) -> list[int]:
     return [int(x) for x in value]
 
 
+def flat_ids_of(df: DataFrame, column: str) -> Column:
+    """``flat_ids`` of a column, by its type: a struct with input_ids or ids, an array of arrays or an array of ids.
+
+    An outer array of more than one text raises when it is read.
+    """
+    value, kind = F.col(column), df.schema[column].dataType
+    while isinstance(kind, StructType):
+        name = next(n for n in ("input_ids", "ids") if n in kind.fieldNames())
+        value, kind = value[name], kind[name].dataType
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType):
+        several = F.raise_error(F.lit("ids of more than one text")).cast(kind.elementType)
+        value = F.when(F.size(value) == 0, F.array().cast(kind.elementType)).when(F.size(value) == 1, F.try_element_at(value, F.lit(1))).otherwise(several)
+    return value.cast("array<long>")
+
+
 # Key-value batches and snapshots
 def read_keys(values: DataFrame, keys: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The wanted columns of the wanted keys (key, ord), in their order."""

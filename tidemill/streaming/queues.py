@@ -160,6 +160,12 @@ def queue_capacity(*, required: int, staleness: float, sync: int, replicas: int)
     return {"max_required_samples": most, "max_queue_size": most, "max_concurrent_samples": min(16 * replicas, most)}
 
 
+def queue_capacities(*, required: Column, staleness: Column, sync: Column, replicas: Column) -> Column:
+    """``queue_capacity`` of columns, as a struct."""
+    most = (required * (staleness + 1) * sync).cast("int")
+    return F.struct(most.alias("max_required_samples"), most.alias("max_queue_size"), F.least(16 * replicas, most).cast("int").alias("max_concurrent_samples"))
+
+
 def should_pause(queued: Column, stale: Column, *, max_queue: int, max_required: int) -> Column:
     """Back-pressure: the queue is full, or as many samples are stale as are needed."""
     return (queued >= max_queue) | (stale >= max_required)
