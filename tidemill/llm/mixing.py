@@ -1,11 +1,10 @@
 """Mixing sources to target weights with a low-discrepancy schedule (DataFrame functions only).
 
-Every source's documents are shuffled by a hash and laid end to end as a stream of words, cut into blocks of
-equal size. Slot ``i`` of the schedule takes the golden-ratio point ``frac(i / phi)``, which falls into one
-source's part of the cumulative targets; the ``r``-th slot of a source takes its block ``r mod n_blocks``, and
-a block is taken three times at most. Any prefix of the schedule is close to the target mixture. A source of fewer
-than ``LEAST_BLOCKS`` blocks is too small to be met by whole slots; its slots are counted in words, so that the first
-``target`` words of its stream, end to end, are taken.
+Every source's documents are shuffled by a hash and laid end to end as a stream of words. There is a slot of the
+schedule for every ``block`` words. Slot ``i`` takes the golden-ratio point ``frac(i / phi)``, which falls into one
+source's part of the cumulative targets; a source without a point gets a slot of its own. A source's n slots take
+equal stretches of its stream, repeated as often as its target needs: the r-th from word r target / n on. So any prefix
+of the schedule is close to the target mixture, and all of it meets each source's target to the word, whatever its size.
 
 Defined results: null texts and texts without words have size 0 and ``taken`` 0; a null source is a source of
 its own and is last; repeated rows are rows of their own; an empty table gives an empty plan. Only the id, text
@@ -19,23 +18,22 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fresh, prefix_sums, spool
+from tidemill.llm.common import fresh, join_unique, prefix_sums, spool
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: floor(2**31 / golden ratio), made odd: multiples of it modulo 2**31 are the golden-ratio points, exactly.
 GOLDEN_STEP, GOLDEN_MOD = 1327217885, 1 << 31
-HASH_BITS, BUCKET_BITS = 60, 10
-LEAST_BLOCKS = 1000
+HASH_BITS, LEAST_BUCKET_BITS, BUCKET_ROWS = 60, 10, 100_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def shuffle_key(doc_id: Column, seed: int) -> Column:
-    """60 bits of MD5: the same in every engine, so the shuffle can be checked elsewhere."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """60 bits of MD5: the same in every engine, so the shuffle can be checked elsewhere. Only equal rows share a key."""
+    whole = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -71,66 +69,84 @@ def _ranked_in_chunks(df: DataFrame, group: list[str], chunk: str, order: list[C
     return local.join(sums, [*group, chunk]).withColumn(out, F.col("_base") + F.col("_local")).drop("_base", "_local")
 
 
-def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, max_block: int = 1024, least_slots: int = 100_000, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int = 1024, seed: int = 17) -> DataFrame:
     """How many words the mix takes of each document: doc_id, text_hash, source, size, source_size, target, taken.
 
-    ``max_block`` is the number of words in a block; a corpus too small for ``least_slots`` such blocks gets
-    smaller ones. ``taken`` is at most ``max_epochs`` times ``size``.
+    ``block`` is the number of words that a slot stands for. ``taken`` is at most ``max_epochs`` times ``size``.
     """
-    text = F.col(text_col)
-    sized = spool(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"), shuffle_key(F.col(id_col), seed).alias("h")), "mix-sizes")
-    return mix_sizes(sized, weights=weights, max_epochs=max_epochs, max_block=max_block, least_slots=least_slots)
+    id_, text = F.col(id_col), F.col(text_col)
+    sized = spool(docs.select(id_.alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"), shuffle_key(id_, text, seed).alias("h")), "mix-sizes")
+    return mix_sizes(sized, weights=weights, max_epochs=max_epochs, block=block)
 
 
-def mix_sizes(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, max_block: int = 1024, least_slots: int = 100_000) -> DataFrame:
-    """``mix_plan`` over sizes that are known: doc_id, source, size, text_hash and ``h`` (the shuffle key)."""
-    spark = sized.sparkSession
-    targets = spool(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "mix-targets")
+def schedule(targets: DataFrame, *, block: int) -> DataFrame:
+    """(slot, s, r, n): which source each slot takes, as the r-th of its n slots. A source without a point comes last."""
+    spark, cells = targets.sparkSession, 4096
     words = targets.agg(F.max("all_words").alias("n")).first()["n"] or 0
-    block = max(1, min(max_block, words // least_slots))
-    slots = -(-words // block)
-
-    # Documents as intervals of their source's shuffled stream, then as pieces of its blocks.
-    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "text_hash", "s", "size", "h", "source_size", F.round("target").cast("long").alias("width"), F.shiftright("h", HASH_BITS - BUCKET_BITS).alias("bucket"))
-    place = lambda rows: _ranked_in_chunks(rows.filter("size > 0"), ["s"], "bucket", [F.col("h"), F.col("doc_id"), F.col("size"), F.col("text_hash")], F.col("size"), "start")
-    small = F.col("source_size") < (LEAST_BLOCKS * block if block > 1 else 0)
-    pieces = place(keyed.filter(~small)).withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-
-    # The schedule: points to sources by an equi-join on cells of the unit interval.
-    cells = 4096
     upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    parts = targets.withColumn("width", F.round("target").cast("long")).withColumn("high", F.sum("width").over(upto)).filter("width > 0")
+    parts = targets.withColumn("high", F.sum("width").over(upto)).filter("width > 0")
     parts = parts.withColumn("all_width", F.max("high").over(Window.partitionBy(F.lit(0))))
     edge = lambda c: F.floor(F.col(c).cast("decimal(38,0)") * GOLDEN_MOD / F.col("all_width")).cast("long")
-    parts = parts.withColumn("low", F.col("high") - F.col("width")).withColumns({"low": edge("low"), "high": edge("high"), "n_blocks": F.ceil(F.col("source_size") / F.lit(block)).cast("long")})
+    parts = parts.withColumn("low", F.col("high") - F.col("width")).withColumns({"low": edge("low"), "high": edge("high")})
+    # Points meet sources by an equi-join on cells of the unit interval.
     cell_size = GOLDEN_MOD // cells
-    parts = parts.filter("high > low").withColumn("cell", F.explode(F.sequence(F.expr(f"low div {cell_size}"), F.expr(f"(high - 1) div {cell_size}")))).select("s", "low", "high", "n_blocks", "cell")
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % GOLDEN_MOD) * GOLDEN_STEP % GOLDEN_MOD).alias("point"))
+    parts = parts.filter("high > low").withColumn("cell", F.explode(F.sequence(F.expr(f"low div {cell_size}"), F.expr(f"(high - 1) div {cell_size}")))).select("s", "low", "high", "cell")
+    points = spark.range(-(-words // block)).select(F.col("id").alias("slot"), ((F.col("id") % GOLDEN_MOD) * GOLDEN_STEP % GOLDEN_MOD).alias("point"))
     points = points.withColumn("cell", F.expr(f"point div {cell_size}"))
-    dealt = points.join(parts, "cell").filter("point >= low and point < high").select("slot", "s", "n_blocks", F.shiftright("slot", 16).alias("chunk"))
+    dealt = points.join(parts, "cell").filter("point >= low and point < high").select("slot", "s", F.shiftright("slot", 16).alias("chunk"))
     ranked = _ranked_in_chunks(dealt, ["s"], "chunk", [F.col("slot")], F.lit(1), "r")
-    takes = ranked.filter(F.expr(f"r div n_blocks < {max_epochs}")).groupBy("s", (F.col("r") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
-
-    taken = pieces.withColumn("overlap", overlap).join(takes, ["s", "block"], "left").groupBy("doc_id", "text_hash", "s", "size", "start").agg(F.sum(F.col("overlap") * F.coalesce("times", F.lit(0))).alias("taken"))
-    taken = taken.drop("start")
-    if block > 1:
-        rest = F.greatest(F.least(F.col("start") + F.col("size"), F.expr("width % source_size")) - F.col("start"), F.lit(0))
-        taken = taken.unionByName(place(keyed.filter(small)).select("doc_id", "text_hash", "s", "size", (F.expr("width div source_size") * F.col("size") + rest).alias("taken")))
-    taken = taken.unionByName(keyed.filter("size = 0").select("doc_id", "text_hash", "s", "size", F.lit(0).cast("long").alias("taken")))
+    counts = dealt.groupBy("s").agg(F.count("*").alias("n"))
+    alone = targets.filter("width > 0").select("s").join(counts, "s", "left_anti")
+    without = alone.select(F.lit(None).cast("long").alias("slot"), "s", F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("n"))
+    return ranked.join(counts, "s").select("slot", "s", F.col("r").cast("long").alias("r"), "n").unionByName(without)
+
+
+def _stretches(slots: DataFrame, targets: DataFrame, cell: int) -> DataFrame:
+    """(s, cell, taken): the stretches [low, high) of a source's stream that its slots take, cut at cells and at the stream's end."""
+    sized = slots.join(targets.select("s", "width", "source_size"), "s")
+    edge = lambda r: F.floor(r.cast("decimal(38,0)") * F.col("width") / F.col("n")).cast("long")
+    sized = sized.select("s", "source_size", edge(F.col("r")).alias("from"), edge(F.col("r") + 1).alias("to")).filter("to > from")
+    turns = sized.withColumn("turn", F.explode(F.sequence(F.expr("from div source_size"), F.expr("(to - 1) div source_size"))))
+    first = F.col("turn") * F.col("source_size")
+    pieces = turns.select("s", (F.greatest(F.col("from"), first) - first).alias("low"), (F.least(F.col("to"), first + F.col("source_size")) - first).alias("high"))
+    pieces = pieces.withColumn("cell", F.explode(F.sequence(F.expr(f"low div {cell}"), F.expr(f"(high - 1) div {cell}"))))
+    # A cell meets a few stretches of each turn.
+    return pieces.groupBy("s", "cell").agg(F.collect_list(F.struct("low", "high")).alias("stretches"))
+
+
+def mix_sizes(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int = 1024) -> DataFrame:
+    """``mix_plan`` over sizes that are known: a stored table of doc_id, source, size, text_hash and ``h`` (the shuffle key)."""
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    targets = spool(targets.withColumn("width", F.round("target").cast("long")), "mix-targets")
+    # Equal rows of a part of the table are one row with their number until the stream is laid.
+    equal = sized.withColumn("part", F.spark_partition_id()).groupBy("doc_id", "source", "size", "text_hash", "h", "part").agg(F.count("*").alias("copies"))
+    bits = max(LEAST_BUCKET_BITS, (sized.count() // BUCKET_ROWS).bit_length())
+    keyed = equal.join(targets.select(F.col("source").alias("of"), "s"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("bucket", F.shiftright("h", HASH_BITS - bits))
+    order = [F.col(c) for c in ("h", "doc_id", "size", "text_hash", "part")]
+    laid = _ranked_in_chunks(keyed.filter("size > 0"), ["s"], "bucket", order, F.col("size") * F.col("copies"), "start")
+    laid = laid.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("start") + F.col("k") * F.col("size"))
+    pieces = laid.select("doc_id", "text_hash", "s", "size", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("cell"))
+    low, high = F.greatest(F.col("start"), F.col("cell") * block), F.least(F.col("start") + F.col("size"), (F.col("cell") + 1) * block)
+    met = pieces.withColumns({"low": low, "high": high}).join(_stretches(schedule(targets, block=block), targets, block), ["s", "cell"], "left")
+    over = F.aggregate(F.coalesce("stretches", F.array().cast("array<struct<low:bigint,high:bigint>>")), F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.least(x["high"], F.col("high")) - F.greatest(x["low"], F.col("low")), F.lit(0)))
+    taken = met.groupBy("doc_id", "text_hash", "s", "size", "start").agg(F.sum(over).alias("taken")).drop("start")
+    nothing = keyed.filter("size = 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    taken = taken.unionByName(nothing.select("doc_id", "text_hash", "s", "size", F.lit(0).cast("long").alias("taken")))
     return taken.join(targets.select("s", "source", "source_size", "target"), "s").select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents of the mix, whole: each as often as the nearest number to ``taken / size``, none included.
 
-    A document without words has nothing to weigh and stays once. All columns of ``docs`` are kept. Rows that
+    A document without words has nothing to weigh and stays once. All columns of ``docs``, a table, are kept. Rows that
     agree in id and text get the mean of what the plan takes of them.
     """
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, **how)
     key, times, copy = fresh(docs, "key", "times", "copy")
     taken = F.floor(F.avg(F.col("taken") / F.greatest("size", F.lit(1))) + 0.5)
-    chosen = plan.groupBy("doc_id", "text_hash").agg(F.when(F.max("size") > 0, taken).otherwise(1).cast("int").alias("n")).filter("n > 0")
-    chosen = chosen.select(F.struct("doc_id", "text_hash").alias(key), F.col("n").alias(times))
+    chosen = plan.groupBy("doc_id", "text_hash").agg(F.when(F.max("size") > 0, taken).otherwise(1).cast("int").alias("n"), F.count("*").alias("rows"))
+    chosen = spool(chosen.select(F.struct("doc_id", "text_hash").alias(key), F.col("n").alias(times), "rows"), "mix-times")
+    total = chosen.agg(F.sum("rows")).first()[0] or 0
     keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
-    return keyed.join(chosen, key).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    found = join_unique(keyed, chosen.filter(F.col(times) > 0), [key], weight="rows", total=total)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

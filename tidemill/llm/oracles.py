@@ -3,23 +3,17 @@
 from __future__ import annotations
 
 OP1 = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 rk AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM src),
 wt AS (SELECT *, CASE s % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS w, 3 * source_size AS cap FROM rk),
-al AS (SELECT sum(source_size)::BIGINT AS words, sum(w)::BIGINT AS weights, greatest(1, least(1024, sum(source_size)::BIGINT // 100000)) AS b FROM wt),
+al AS (SELECT sum(source_size)::BIGINT AS words, sum(w)::BIGINT AS weights FROM wt),
 fl AS (SELECT wt.*, words, weights, coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before FROM wt, al WINDOW o AS (ORDER BY cap * 10 / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 st AS (SELECT *, cap * (weights - w_before) <= w * (words - cap_before) AS stops FROM fl),
 lf AS (SELECT words - sum(CASE WHEN stops THEN cap ELSE 0 END) AS words_left, weights - sum(CASE WHEN stops THEN w ELSE 0 END) AS weight_left FROM st GROUP BY words, weights),
 tg AS (SELECT s, source, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (w * words_left)::DOUBLE / weight_left::DOUBLE END AS target FROM st, lf),
-pt AS (SELECT s, source_size, round(target)::BIGINT AS width, sum(round(target)::BIGINT) OVER (ORDER BY s) AS high FROM tg),
-pe AS (SELECT s, ceil(source_size / b::DOUBLE)::BIGINT AS n_blocks, (((high - width)::HUGEINT * 2147483648) // (SELECT max(high) FROM pt)) AS lo, ((high::HUGEINT * 2147483648) // (SELECT max(high) FROM pt)) AS hi FROM pt, al WHERE width > 0),
-sl AS (SELECT i AS slot, (i % 2147483648) * 1327217885 % 2147483648 AS point FROM al, range((words + b - 1) // b) r(i)),
-dl AS (SELECT s, n_blocks, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS r FROM sl JOIN pe ON point >= lo AND point < hi),
-tk AS (SELECT s, r % n_blocks AS block, count(*) AS times FROM dl WHERE r // n_blocks < 3 GROUP BY ALL),
-pl AS (SELECT d.doc_id, d.size, tg.s, sum(size) OVER (PARTITION BY tg.s ORDER BY h, doc_id) - size AS start FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source WHERE size > 0),
-tn AS (SELECT doc_id, sum((least(start + size, (block + 1) * b) - greatest(start, block * b)) * times)::BIGINT AS taken FROM pl JOIN al ON true JOIN tk ON tk.s = pl.s AND tk.block BETWEEN start // b AND (start + size - 1) // b GROUP BY doc_id)
-SELECT d.doc_id, d.size, tg.source_size, tg.target, coalesce(tn.taken, 0)::BIGINT AS taken FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source LEFT JOIN tn ON tn.doc_id = d.doc_id
+pl AS (SELECT d.doc_id, d.size, tg.*, round(target)::BIGINT AS t, sum(size) OVER (PARTITION BY tg.s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE t // source_size * size + greatest(least(start + size, t % source_size) - start, 0) END::BIGINT AS taken FROM pl
 """
 
 OP2 = """
