@@ -67,9 +67,9 @@ def test_pooling_and_network_against_plain_loops(spark, sf_dir):
     for text in [r["text"] for r in docs.limit(20).collect()] + ["one", "a a a", "\u0000\u0000 §§ §§", None, ""]:
         rows = []
         for w in quality.words_of(text):
-            k = model.vectors.words.get(w, model.vectors.shapes.get(quality.shape(w)))
-            v = quality.index_vector(quality.shape(w)) if k is None else model.vectors.table[k]
-            rows.append([float(x) / (quality.NONZERO**0.5 if k is None else 1) for x in v])
+            filled = [k for k in (quality.word_row(quality.code(w)), quality.class_row(quality.code(quality.shape(w)))) if model.vectors.table[k].any()]
+            v = model.vectors.table[filled[0]] if filled else quality.index_vector(quality.shape(w))
+            rows.append([float(x) / (1 if filled else quality.NONZERO**0.5) for x in v])
         n = max(len(rows), 1)
         mean = [sum(r[d] for r in rows) / n for d in range(quality.DIM)]
         spread = [max(sum(r[d] ** 2 for r in rows) / n - mean[d] ** 2, 0) ** 0.5 for d in range(quality.DIM)]
@@ -82,13 +82,34 @@ def test_pooling_and_network_against_plain_loops(spark, sf_dir):
         assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-(z + net.b2) / net.temperature))) < 1e-6
 
 
-def test_words_get_the_index_vectors_of_their_neighbours():
-    vectors = quality.learn_vectors(["x y z", "x y", None, ""])
+def test_words_get_the_index_vectors_of_their_neighbours(spark):
+    vectors = quality.learn_vectors(spark.createDataFrame([("x y z",), ("x y",), (None,), ("",)], "text string"))
     code = quality.index_vector
     want = {"x": np.log(3) * code("y") + np.log(2) * code("z"), "y": np.log(3) * code("x") + np.log(2) * code("z"), "z": np.log(2) * (code("x") + code("y"))}
     for word, v in want.items():
         assert np.allclose(vectors.vectors([word])[0], v / np.linalg.norm(v), atol=1e-6)
-    assert set(vectors.words) == {"x", "y", "z"} and set(vectors.shapes) == {"a"}
+    assert vectors.table.any(axis=1).sum() == 4 and vectors.row("unknown") == quality.class_row(quality.code("a")) and vectors.row("%") < 0
+
+
+def test_neighbours_are_counted_across_stretches(monkeypatch):
+    """However a text is cut, its counts are those of plain loops over all of its words; no word is left out."""
+    texts = ["a b c a b d e f a b", "a", None, "b a", "q " * 25]
+    want = {}
+    for text in texts:
+        words = quality.words_of(text)
+        for i, w in enumerate(words):
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if i != j:
+                    for row in (quality.word_row(quality.code(w)), quality.class_row(quality.code(quality.shape(w)))):
+                        key = (row, quality.code(words[j]))
+                        want[key] = want.get(key, 0) + 1
+    for stretch in (2, 3, 4, 7, 200):
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        found = {}
+        for batch in quality.neighbour_counts(texts):
+            for r in batch.to_pylist():
+                found[r["row"], r["beside"]] = found.get((r["row"], r["beside"]), 0) + r["n"]
+        assert found == want
 
 
 def test_null_and_long_labelled_texts_are_learned_from(spark):

@@ -2,18 +2,20 @@
 
 Random indexing gives every word a sparse random index vector of -1, 0 and 1 that a hash of the word fixes, so no
 table of them is needed. A word's vector is the sum of the index vectors of the words that stand up to ``WINDOW`` places
-beside its occurrences in the sample, each by the logarithm of how often it does, scaled to length 1. The ``max_words``
-commonest words of the sample have vectors of their own; a rarer or unknown word has the vector of its class, which
-is learned in the same way from all words of the class. A class is the word's kinds of characters (``shape``); the
-commonest ``max_shapes`` are learned, another one has its own index vector.
+beside its occurrences in the sample, each by the logarithm of how often it does, scaled to length 1. Vectors are kept
+in a table of ``WORD_ROWS`` rows that words are hashed to, so there is no vocabulary: every word of the sample is
+learned, and words that share a row share its vector. A word whose row is empty has the vector of its class, its kinds
+of characters (``shape``), which is learned in the same way from all words of the class in ``CLASS_ROWS`` rows; a class
+whose row is empty has its own index vector.
 
 A document is pooled from the vectors of all its words: their mean, their deviation from it, and their deviation from
 one word to the next. A network of two layers gives a logit, which a temperature fitted on rows kept apart divides.
 A run of characters without white space that is longer than ``PIECE`` counts as consecutive words of that length.
 
 The model is fitted on at most ``sample_rows`` labelled rows (chosen by a hash of the id), whole texts of any length
-among them, a part of which at a time is on the driver. Scoring takes every word of every text. Labels, ids, languages
-and sources are no inputs of a score.
+among them. Executors count neighbours and pool the sample's texts, a stretch of words at a time; the driver gets the
+tables of vectors and a vector for each row of the sample, and no text. Scoring takes every word of every text. Labels,
+ids, languages and sources are no inputs of a score.
 
 Defined results: null and wordless texts are the zero vector, both in the sample and when scored; null ids are never
 learned from and are not held out; of several texts of a labelled id the least is learned from, of its labels the mean,
@@ -24,7 +26,7 @@ without labels); repeated rows stay. Extra columns may have any name and are not
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -36,6 +38,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import Kept, drop_spool, fresh, spool
 
 DIM, NONZERO, WINDOW, PIECE = 96, 6, 2, 64
+WORD_ROWS, CLASS_ROWS = 1 << 16, 1 << 14
+#: Words of a stretch whose neighbours are counted together.
+STRETCH = 200_000
 _CLASSES = ((re.compile(r"[a-z]"), "a"), (re.compile(r"[A-Z]"), "A"), (re.compile(r"[0-9]"), "0"), (re.compile(r"[^\x00-\x7f]"), "é"))
 _REPEATED = re.compile(r"(.)\1+")
 
@@ -55,18 +60,31 @@ def shape(word: str) -> str:
     return _REPEATED.sub(r"\1", word)
 
 
-def index_vectors(words: list[str]) -> np.ndarray:
-    """The sparse random vectors of words, a row each, fixed by a hash of the word: a 1 or -1 in each ``NONZERO``-th of the places."""
-    raw = b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=2 * NONZERO).digest() for w in words)
-    drawn = np.frombuffer(raw, np.uint8).reshape(len(words), NONZERO, 2).astype(np.int64)
+def code(word: str) -> int:
+    """60 bits of a hash of the word: they fix its row and its index vector."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 4
+
+
+def index_vectors(codes: np.ndarray) -> np.ndarray:
+    """The sparse random vectors of words' codes, a row each: a 1 or -1 in each ``NONZERO``-th of the places, by ten bits each."""
+    bits = np.asarray(codes, np.int64)[:, None] >> (10 * np.arange(NONZERO)) & 1023
     part = DIM // NONZERO
-    out = np.zeros((len(words), DIM), np.float32)
-    out[np.arange(len(words))[:, None], np.arange(NONZERO) * part + drawn[..., 0] % part] = np.where(drawn[..., 1] & 1, 1, -1)
+    out = np.zeros((len(bits), DIM), np.float32)
+    out[np.arange(len(bits))[:, None], np.arange(NONZERO) * part + bits % part] = np.where(bits // part & 1, 1, -1)
     return out
 
 
 def index_vector(word: str) -> np.ndarray:
-    return index_vectors([word])[0]
+    return index_vectors(np.array([code(word)]))[0]
+
+
+def word_row(code_: int) -> int:
+    return code_ % WORD_ROWS
+
+
+def class_row(code_: int) -> int:
+    """The row of a class, after those of words."""
+    return WORD_ROWS + code_ % CLASS_ROWS
 
 
 def unit_rows(table: np.ndarray) -> np.ndarray:
@@ -75,36 +93,41 @@ def unit_rows(table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class WordVectors:
-    words: dict[str, int]
-    shapes: dict[str, int]
+    """The rows of words, then those of classes; a row of zeros is empty."""
+
     table: np.ndarray
     _known: Kept = field(default_factory=lambda: Kept(150_000), repr=False)
+    _filled: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "shapes": self.shapes, "table": self.table}
+        return {"table": self.table}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
 
-    def _row(self, word: str) -> int:
-        """The row of a word's class in the table, -1 where it has none."""
+    def row(self, word: str) -> int:
+        """The row of a word or of its class in the table; -1 and less where both are empty, then -1 - row of the class's code."""
         found = self._known.get(word)
         if found is None:
-            found = self.shapes.get(shape(word), -1)
+            if self._filled is None:
+                self._filled = self.table.any(axis=1)
+            found = word_row(code(word))
+            if not self._filled[found]:
+                of_class = code(shape(word))
+                found = class_row(of_class)
+                if not self._filled[found]:
+                    found = -1 - of_class
             if len(word) <= 40:
                 self._known.put(word, found)
         return found
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """The vectors of words, a row each."""
-        get, row = self.words.get, self._row
-        rows = np.array([get(w, -2) for w in words])
-        for k in np.flatnonzero(rows == -2).tolist():
-            rows[k] = row(words[k])
-        out = self.table[rows]
-        fresh_ones = np.flatnonzero(rows == -1).tolist()
-        if fresh_ones:
-            out[fresh_ones] = unit_rows(index_vectors([shape(words[k]) for k in fresh_ones]))
+        rows = np.array([self.row(w) for w in words], np.int64)
+        out = self.table[np.maximum(rows, 0)]
+        empty = np.flatnonzero(rows < 0)
+        if len(empty):
+            out[empty] = unit_rows(index_vectors(-1 - rows[empty]))
         return out
 
     def pooled(self, text: str | None) -> np.ndarray:
@@ -123,56 +146,93 @@ class WordVectors:
         return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean**2, 0)), np.sqrt(steps / max(n - 1, 1))]).astype(np.float32)
 
 
-def _add(table: np.ndarray, rows: np.ndarray, beside: np.ndarray, codes: np.ndarray) -> None:
-    """Adds to row r, for each thing found beside it, log(1 + count) times the thing's code."""
-    span = len(codes)
-    keys, counts = np.unique(rows * span + beside, return_counts=True)
-    rows, beside, weights = keys // span, keys % span, np.log1p(counts)
-    for at in range(0, len(keys), 20_000):
-        r = rows[at : at + 20_000]
-        starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        table[r[starts]] += np.add.reduceat(codes[beside[at : at + 20_000]] * weights[at : at + 20_000, None], starts, axis=0)
+def neighbour_counts(texts: Iterable[str | None]) -> Iterator[pa.RecordBatch]:
+    """(row, beside, n): how often the words of a row, or those of a class's row, have a word of that code beside them.
+
+    Counts are of stretches of ``STRETCH`` words at most; they add up to those of all texts.
+    """
+    known: Kept = Kept(150_000)
+
+    def rows_of(word: str) -> tuple[int, int, int]:
+        found = known.get(word)
+        if found is None:
+            own = code(word)
+            found = (own, word_row(own), class_row(code(shape(word))))
+            known.put(word, found)
+        return found
 
+    codes, rows, classes, document, at = [], [], [], [], 0
 
-def learn_vectors(texts: Iterable[str | None], *, max_words: int = 4000, max_shapes: int = 4000, parts: int = 16) -> WordVectors:
-    """Random indexing over the sample: sums of the index vectors of the words around each word, and around each class.
+    def counted() -> pa.RecordBatch:
+        c, w, k, d = (np.array(x, np.int64) for x in (codes, rows, classes, document))
+        of, beside = [], []
+        for gap in range(1, WINDOW + 1):
+            together = np.flatnonzero(d[gap:] == d[:-gap])
+            for own in (w, k):
+                of += [own[together], own[together + gap]]
+                beside += [c[together + gap], c[together]]
+        table = pa.table({"row": np.concatenate(of), "beside": np.concatenate(beside)})
+        found = table.group_by(["row", "beside"]).aggregate([([], "count_all")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([_chunk(found.column(c)) for c in ("row", "beside", "count_all")], ["row", "beside", "n"])
 
-    Texts are read once and held as word numbers of 32 bits. Neighbours are counted in ``parts`` by their numbers, so that
-    only a part of the pairs, and of the index vectors, is there at a time.
-    """
-    numbers: dict[str, int] = {}
-    read: list[np.ndarray] = []
     for text in texts:
         words = words_of(text)
-        read.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
-    tokens = np.concatenate([np.zeros(0, np.int32), *read])
-    document = np.repeat(np.arange(len(read), dtype=np.int32), [len(t) for t in read])
-    del read
-    names = list(numbers)
-    counts = np.bincount(tokens, minlength=len(names)).tolist()
-    commonest = sorted(range(len(names)), key=lambda k: (-counts[k], names[k]))[:max_words]
-    shape_counts: dict[str, int] = {}
-    shapes_of = [shape(w) for w in names]
-    for s, n in zip(shapes_of, counts, strict=True):
-        shape_counts[s] = shape_counts.get(s, 0) + n
-    shapes = {s: len(commonest) + k for k, s in enumerate(sorted(shape_counts, key=lambda s: (-shape_counts[s], s))[:max_shapes])}
-    word_row = np.full(len(names), -1, np.int64)
-    word_row[commonest] = np.arange(len(commonest))
-    shape_row = np.array([shapes.get(s, -1) for s in shapes_of], np.int64)
-    table = np.zeros((len(commonest) + len(shapes), DIM), np.float64)
-    for part in range(parts):
-        word, beside = [], []
-        for gap in range(1, WINDOW + 1):
-            together = document[gap:] == document[:-gap]
-            for a, b in ((tokens[:-gap], tokens[gap:]), (tokens[gap:], tokens[:-gap])):
-                here = np.flatnonzero(together & (b % parts == part))
-                word.append(a[here])
-                beside.append(b[here] // parts)
-        codes, at, near = index_vectors(names[part::parts]), np.concatenate(word), np.concatenate(beside)
-        for row_of in (word_row, shape_row):
-            rows = row_of[at]
-            _add(table, rows[rows >= 0], near[rows >= 0], codes)
-    return WordVectors({names[k]: r for r, k in enumerate(commonest)}, shapes, unit_rows(table).astype(np.float32))
+        for start in range(0, len(words), STRETCH):
+            found = [rows_of(w) for w in words[start : start + STRETCH]]
+            codes += [x[0] for x in found]
+            rows += [x[1] for x in found]
+            classes += [x[2] for x in found]
+            document += [at] * len(found)
+            at += 1
+            if start + STRETCH < len(words):
+                yield _seam(words, start + STRETCH, rows_of)
+            if len(codes) >= STRETCH:
+                yield counted()
+                codes, rows, classes, document = [], [], [], []
+    if codes:
+        yield counted()
+
+
+def _chunk(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _seam(words: list[str], at: int, rows_of: Callable[[str], tuple[int, int, int]]) -> pa.RecordBatch:
+    """The pairs of a text's words across a place in it."""
+    out = []
+    for left in range(max(0, at - WINDOW), at):
+        for right in range(at, min(len(words), left + WINDOW + 1)):
+            a, b = rows_of(words[left]), rows_of(words[right])
+            out += [(a[1], b[0]), (a[2], b[0]), (b[1], a[0]), (b[2], a[0])]
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64()), pa.array([1] * len(out), pa.int64())], ["row", "beside", "n"])
+
+
+def row_sums(batches: Iterable[pa.RecordBatch], at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """(row, vector): parts of rows' sums of log(1 + n) times the index vectors beside them, from batches sorted by row."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, at_once):
+            rows, beside, n = (batch.column(k).slice(start, at_once).to_numpy() for k in range(3))
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            sums = np.add.reduceat(index_vectors(beside) * np.log1p(n)[:, None], starts, axis=0).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[starts]), pa.array([v.tobytes() for v in sums], pa.binary())], ["row", "vector"])
+
+
+def learn_vectors(texts: DataFrame) -> WordVectors:
+    """Random indexing over a table's column ``text``: its neighbours are counted and summed by executors.
+
+    The driver gets the tables' rows, of which there are ``WORD_ROWS`` + ``CLASS_ROWS`` whatever the texts, and a row's parts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from neighbour_counts(t for b in batches for t in b.column(0).to_pylist())
+
+    parts = max(16, texts.sparkSession.sparkContext.defaultParallelism)
+    pairs = texts.select("text").repartition(parts, F.xxhash64("text")).mapInArrow(count, "row long, beside long, n long")
+    pairs = pairs.repartition(parts, "row").groupBy("row", "beside").agg(F.sum("n").alias("n")).sortWithinPartitions("row", "beside")
+    table = np.zeros((WORD_ROWS + CLASS_ROWS, DIM), np.float64)
+    for row, vector in pairs.mapInArrow(row_sums, "row long, vector binary").toLocalIterator():
+        table[row] += np.frombuffer(vector, np.float64)
+    return WordVectors(unit_rows(table).astype(np.float32))
 
 
 @dataclass
@@ -255,25 +315,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, id_
     return spool(rows, "quality-sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, max_words: int = 4000, max_shapes: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """The model of a sample of at most ``sample_rows`` labelled rows, with vectors for ``max_words`` words and ``max_shapes`` classes.
-
-    About a 16th of the sample's texts is on the driver at a time.
-    """
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """The model of a sample of at most ``sample_rows`` labelled rows."""
     sample = labelled_sample(docs, labels, sample_rows=sample_rows, id_col=id_col, text_col=text_col, label_col=label_col)
     found = sample.agg(F.min("y").alias("least"), F.max("y").alias("most"), F.avg("y").alias("share")).first()
     model = QualityModel(None, None, 0.5 if found["share"] is None else found["share"])
     if found["least"] != found["most"]:
-        rows = lambda: sample.repartitionByRange(16, F.xxhash64("id"), "id").sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y").toLocalIterator()
-        vectors = learn_vectors((r["text"] for r in rows()), max_words=max_words, max_shapes=max_shapes)
-        x, y = map(np.array, zip(*[(vectors.pooled(r["text"]), r["y"]) for r in rows()], strict=True))
-        model = QualityModel(vectors, train(x, y), found["share"])
+        vectors = learn_vectors(sample)
+        shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+        def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    rows = [shared.value.pooled(t).tobytes() for t in part.column(2).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], ["h", "y", "x"])
+
+        parts = max(16, docs.sparkSession.sparkContext.defaultParallelism)
+        pooled = sample.repartition(parts, "id").select(F.xxhash64("id").alias("h"), "y", "text").mapInArrow(pool, "h long, y int, x binary").collect()  # sample_rows rows of 3 * DIM numbers
+        pooled.sort(key=lambda r: (r["h"], r["y"], bytes(r["x"])))
+        x = np.stack([np.frombuffer(r["x"], np.float32) for r in pooled])
+        model = QualityModel(vectors, train(x, np.array([r["y"] for r in pooled])), found["share"])
+        shared.destroy()
     drop_spool(sample)
     return model
 
 
 def scorer(docs: DataFrame, model: QualityModel) -> Callable[[Column], Column]:
-    """A column function for scores; the model is broadcast, its size is bounded by ``max_words`` and ``max_shapes``."""
+    """A column function for scores; the model is broadcast, its size is that of the tables of rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
