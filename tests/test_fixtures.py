@@ -195,7 +195,7 @@ def test_bootstrap_estimates_the_closed_form(spark):
     df = spark.createDataFrame([("s", "u", v, k) for k, v in enumerate([0.7, 0.8, 0.9, 0.1])], "data_source string, uid string, value double, row_id int")
     exact = {r["metric"]: r["value"] for r in M.validation_metrics(df).collect()}
     assert exact["best@2/mean"] == pytest.approx(0.78125) and exact["mean@4"] == pytest.approx(0.625)
-    boot = {r["fn"]: r["mean"] for r in M.bootstrap(df, size=2, fns={"best": np.max, "worst": np.min}).collect()}
+    boot = {r["fn"]: r["mean"] for r in M.bootstrap(df, size=2, fns={"best": F.max, "worst": F.min}).collect()}
     assert boot["best"] == pytest.approx(exact["best@2/mean"], abs=0.02) and boot["worst"] == pytest.approx(exact["worst@2/mean"], abs=0.02)
 
 

@@ -5,15 +5,17 @@ Metrics come as rows (metric, value) from one aggregate over rows or tokens.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
+from tidemill.functions.names import fresh
 from tidemill.operators import selection
+from tidemill.operators.batch import with_dense_id
 from tidemill.operators.correction import as_metrics
 
 
@@ -226,16 +228,30 @@ def validation_metrics(df: DataFrame, *, source: str = "data_source", uid: str =
     return basic.filter("metric is not null").unionByName(both).groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 
-def bootstrap(df: DataFrame, *, size: int, fns: dict[str, Callable[[np.ndarray], float]], draws: int = 1000, seed: int = 42, by: str = "uid", value: str = "value", order: str = "row_id") -> DataFrame:
-    """Seeded bootstrap per group: mean and population deviation of each function over samples with replacement."""
+def bootstrap(df: DataFrame, *, size: int, fns: dict[str, Callable[[Column], Column]], draws: int = 1000, seed: int = 42, by: str = "uid", value: str = "value", order: str = "row_id") -> DataFrame:
+    """(by, fn, mean, std): seeded bootstrap per group, the mean and population deviation of aggregates (``F.max`` and the like)
+    over samples with replacement.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf.sort_values(order)[value].to_numpy()
-        picks = np.random.RandomState(seed).choice(len(data), size=(draws, size), replace=True)
-        rows = [(pdf[by].iloc[0], name, *(f(found := np.array([fn(data[p]) for p in picks], float)) for f in (np.mean, np.std))) for name, fn in fns.items()]
-        return pd.DataFrame(rows, columns=[by, "fn", "mean", "std"])
-
-    return df.select(by, order, value).groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, fn string, mean double, std double")
+    What is drawn depends on a group's size alone, so draws are a relation (n, draw, place) of the sizes there are, made
+    once for each, that meets the rows by their place in their group: a group of any size is never in one task.
+    """
+    at, n, place, draw = fresh(df, "at", "n", "place", "draw")
+    placed = with_dense_id(df.select(by, order, value), [by, order], at)
+    groups = placed.groupBy(by).agg(F.min(at).alias("first"), F.count("*").alias(n)).withColumnRenamed(by, "of")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for many in batch.column(0).to_pylist():
+                picks = np.random.RandomState(seed).choice(many, size=(draws, size), replace=True).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(picks), many)), pa.array(np.repeat(np.arange(draws), size)), pa.array(picks.astype(np.int64))], ["n", "draw", "place"])
+
+    relation = groups.select(n).distinct().mapInArrow(pick, "n long, draw long, place long")
+    # A size's draws meet each group of that size; groups of a common size are spread over copies of its draws.
+    copies = relation.select(F.col("n").alias(n), F.col("draw").alias(draw), "place", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("copy"))
+    wanted = groups.withColumn("copy", F.pmod(F.xxhash64("first"), F.lit(16)).cast("int")).join(copies, [n, "copy"]).select(F.col("first").alias("base"), draw, (F.col("first") + F.col("place")).alias(at))
+    found = wanted.join(placed, at).groupBy("base", draw).agg(F.first(by).alias(by), *[fn(F.col(value)).cast("double").alias(f"f{k}") for k, fn in enumerate(fns.values())])
+    long = found.select("base", by, F.inline(F.array(*[F.struct(F.lit(name).alias("fn"), F.col(f"f{k}").alias("v")) for k, name in enumerate(fns)])))
+    return long.groupBy("base", "fn").agg(F.first(by).alias(by), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).select(by, "fn", "mean", "std")
 
 
 def majority_value(df: DataFrame, *, by: str = "uid", vote: str = "pred", value: str = "value", order: str = "row_id") -> DataFrame:

@@ -202,9 +202,7 @@ def g26_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g27_bootstrap_seeded")
 def g27_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
-    return M.bootstrap(validation_rows(spark, sf_dir), size=2, fns={"best": np.max, "worst": np.min}, draws=100)
+    return M.bootstrap(validation_rows(spark, sf_dir), size=2, fns={"best": F.max, "worst": F.min}, draws=100)
 
 
 @query("g28_majority_vote", "WITH v AS (SELECT o_custkey AS uid, o_orderstatus AS vote, count(*) AS n, min(o_orderkey) AS f, min_by(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1, 2) SELECT uid, vote, value FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, f) AS k FROM v) WHERE k = 1")
