@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemill.functions import arrays as A
 from tidemill.operators import metrics as M
 from tidemill.operators import retrieval as R
+from tidemill.operators.vectorindex import VectorIndex
 from tidemill.plans.catalog import query
+from tidemill.sources.storage import work_path
 from tidemill.plans.fixtures import rounded, table
 
 MEM = """WITH mem AS (SELECT 'm' || conv_id || '_' || turn AS memory_id, 'D' || conv_id || ':' || turn AS turn_id, '2026/' || (1 + conv_id % 12) || '/' || (1 + turn % 28) || ' 10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') AS timestamp,
@@ -167,6 +169,28 @@ def j13_among(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_search(v, q, 10, among=v.filter("memory_id % 7 = 1")).select("memory_id")
 
 
+ASKED = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))::DOUBLE) AS e FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id AS memory_id, list_inner_product(q.e::DOUBLE[], v.e::DOUBLE[]) AS s FROM v q JOIN v ON q.vec_id % 50 = 0{})"
+
+
+def indexed(spark: SparkSession, sf_dir: str, **how):
+    """The nearest ten of the vectors whose id is divisible by 50, by an index over all vectors."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), "embedding")
+    index = VectorIndex.build(v, work_path(spark, "vector-index"))
+    return index.search(v.filter("memory_id % 50 = 0"), 10, id_col="memory_id", vector="embedding", **how)
+
+
+@query("o06_index_topk", ASKED.format("") + " SELECT query, memory_id, round(s, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, memory_id) AS k FROM p) WHERE k <= 10")
+def o06_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = indexed(spark, sf_dir)
+    return found.select("query", F.col("id").alias("memory_id"), rounded("score").alias("score"))
+
+
+@query("j13_index_among", ASKED.format(" AND v.vec_id % 7 = 1") + " SELECT query, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, memory_id) AS k FROM p) WHERE k <= 10")
+def j13_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = indexed(spark, sf_dir, among=table(spark, sf_dir, "embeddings").select("vec_id").filter("vec_id % 7 = 1"))
+    return found.select("query", F.col("id").alias("memory_id"))
+
+
 @query("q13_index_build", "SELECT count(*) AS n, round(sum(length(content) * 1e0), 6) + 0.0 AS x FROM (SELECT role || ' ' || text AS content FROM conversations)")
 def q13_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
