@@ -109,3 +109,14 @@ def test_many_copies_are_one_key(spark):
     found = {r["doc_id"]: r for r in ngramjoin.near_duplicates(docs).collect()}
     assert len(found) == 3000 and all((found[k]["n_links"], found[k]["component_id"]) == ((999, 0) if k % 3 == 0 else (0, k)) for k in found)
     assert sorted(r["doc_id"] for r in ngramjoin.keep_one(docs).collect()) == [0, *(k for k in range(3000) if k % 3)]
+
+
+def test_keep_one_of_many_repeated_rows(spark):
+    """A third of all rows are one id and text; one of them stays, and a near copy of it of a larger id goes."""
+    words = [f"w{k}" for k in range(60)]
+    base, near = " ".join(words), " ".join([*words[:59], "changed"])
+    rows = [(5, base, k % 2) for k in range(400)] + [(6, near, 0)] * 300 + [(k, f"alone {k} " * 12, 1) for k in range(100, 600)] + [(None, base, 9)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(6)
+    kept = ngramjoin.keep_one(docs).collect()
+    assert [(r["doc_id"], r["extra"]) for r in kept if r["doc_id"] is None or r["doc_id"] < 100] == [(5, 0)]
+    assert len(kept) == 501

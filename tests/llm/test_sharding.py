@@ -81,3 +81,11 @@ def test_a_text_that_a_third_of_all_rows_share(spark):
         loads[r["shard"]] += r["size"]
     rest = sorted(loads.values())[:3]
     assert rest[-1] - rest[0] <= 12 and max(loads.values()) >= 2000 * 14
+
+
+def test_repeated_rows_share_no_task(spark):
+    """A third of the rows agree in id and text; they get slots one after the other from tables without them all."""
+    docs = spark.createDataFrame([(7, "same") if k % 3 == 0 else (k, f"text {k}") for k in range(3000)], "doc_id long, text string").repartition(6)
+    rows = sharding.shard(docs, shards=4).collect()
+    check(docs, rows, 4)
+    assert sum(r["doc_id"] == 7 and r["size"] == 5 for r in rows) >= 1000

@@ -57,6 +57,16 @@ def join_unique(rows: DataFrame, one: DataFrame, keys: list[str], *, weight: str
     return found.select(*rows.columns, *extra)
 
 
+def keep_keys(rows: DataFrame, keys: DataFrame, key: str, *, weight: str, total: int, having: bool) -> DataFrame:
+    """``rows`` whose non-null key is, or (``having`` false) isn't, in ``keys``; hot keys as in ``join_unique``."""
+    is_hot = F.col(weight) * HOT_PART > total
+    hot, cold = F.broadcast(keys.filter(is_hot).select(key)), keys.filter(~is_hot).select(key)  # fewer than HOT_PART rows
+    others = rows.join(hot, key, "left_anti")
+    if not having:
+        return others.join(cold, key, "left_anti")
+    return rows.join(hot, key, "left_semi").unionByName(others.join(cold, key, "left_semi"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

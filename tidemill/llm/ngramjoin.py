@@ -31,10 +31,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import drop_spool, fresh, join_unique, runs, spool, sql_type
+from tidemill.llm.common import drop_spool, fresh, join_unique, keep_keys, runs, spool, sql_type
 from tidemill.llm.components import connected_components
 
 _WORD = re.compile(r"\w+")
@@ -262,8 +262,10 @@ def _placed(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: int = 32,
     needed = spool(_needed(_cells(signed_members, sign_block), bands, least).distinct(), "jaccard-needed")
     drop_spool(signed_members)
     # Full sets of the classes that are left, made again from a text of each: that of the row which would stay.
-    chosen = needed.select("skey").distinct().join(classes, "skey").select("skey", F.col("stays.doc_id").alias("of_id"), F.col("stays.text_hash").alias("of_text"))
-    one_text = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["of_id"]) & (F.xxhash64(docs["text"]) == chosen["of_text"]))
+    # Rows that agree in id and text may be many, but not more than their class.
+    chosen = needed.select("skey").distinct().join(classes, "skey").select("skey", F.struct(F.col("stays.doc_id").alias("doc_id"), F.col("stays.text_hash").alias("text_hash")).alias("row"), "copies")
+    chosen = spool(chosen, "jaccard-chosen")
+    one_text = join_unique(docs.select("text", F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row")), chosen, ["row"], weight="copies", total=n_rows)
     sets = spool(_sets(one_text.select("skey", "text"), n).dropDuplicates(["skey"]), "jaccard-sets")
     full = needed.join(sets, "skey").join(classes.select("skey", "copies", "n_items", "bands"), "skey")
     links = spool(_verified(_cells(full, block), bands, least), "jaccard-links")
@@ -292,10 +294,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     marked = placed.groupBy(key).agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
     marked = spool(marked.select(key, (F.col(key) != F.col("stays")).alias("goes"), F.col("rows")).filter("goes or rows > 1"), "jaccard-marked")
     keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
-    left = keyed.join(marked.filter("goes").select(key), key, "left_anti")
-    again = marked.filter("not goes").select(key)
+    total = placed_rows(marked)
+    left = keep_keys(keyed, marked.filter("goes"), key, weight="rows", total=total, having=False)
+    again = marked.filter("not goes")
     if again.isEmpty():
         return left.select(*docs.columns)
-    by_row = Window.partitionBy(key).orderBy(F.to_json(F.struct(*docs.columns)))
-    one = left.join(again, key, "left_semi").withColumn(at, F.row_number().over(by_row)).filter(F.col(at) == 1)
-    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    # Repeated rows are reduced before they are shuffled.
+    row = F.struct(*docs.columns)
+    one = keep_keys(left, again, key, weight="rows", total=total, having=True).groupBy(key).agg(F.min_by(row, F.to_json(row)).alias(at)).select(f"{at}.*")
+    return keep_keys(left, again, key, weight="rows", total=total, having=False).select(*docs.columns).unionByName(one)
+
+
+def placed_rows(marked: DataFrame) -> int:
+    """How many rows the marked keys have."""
+    return marked.agg(F.sum("rows")).first()[0] or 0

@@ -125,10 +125,14 @@ def shard(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col
     sums = sums.select("leaf", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long"))).alias("sums"))
     place = _difference_upwards(spool(sums, "shard-sums"), shards, fan_in)
     home = spool(binned.join(place, "leaf").join(groups.select("gkey", "copies"), "gkey").select("gkey", "copies", F.element_at("perm", F.col("bin") + 1).alias("shard")), "shard-home")
-    # Slots: rows are dealt over chunks by a hash; a chunk's first slot is a prefix sum of counts.
+    # Slots: rows are dealt over chunks by a hash; a chunk's first slot is a prefix sum of counts. Rows that agree in all
+    # that is returned are one row with their number for each part of the table, so no chunk holds all of them.
     chunks = max(64, n_rows // 100_000)
     dealt = join_unique(rows, home, ["gkey"], weight="copies", total=n_rows).withColumn("mix", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("chunk", F.pmod("mix", F.lit(chunks)))
-    dealt = spool(dealt.select("doc_id", "size", "text_crc32", "shard", "mix", "chunk"), "shard-dealt")
-    first = prefix_sums(dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n")), ["shard"], "chunk", "n", "base").select("shard", "chunk", "base")
-    inside = Window.partitionBy("shard", "chunk").orderBy("mix", "doc_id", "size", "text_crc32")
-    return dealt.withColumn("at", F.row_number().over(inside)).join(first, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    dealt = dealt.withColumn("part", F.spark_partition_id()).groupBy("doc_id", "size", "text_crc32", "shard", "mix", "chunk", "part").agg(F.count("*").alias("equal"))
+    dealt = spool(dealt, "shard-dealt")
+    first = prefix_sums(dealt.groupBy("shard", "chunk").agg(F.sum("equal").alias("n")), ["shard"], "chunk", "n", "base").select("shard", "chunk", "base")
+    inside = Window.partitionBy("shard", "chunk").orderBy("mix", "doc_id", "size", "text_crc32", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("at", F.coalesce(F.sum("equal").over(inside), F.lit(0))).join(first, ["shard", "chunk"])
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("equal") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at") + F.col("copy")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
