@@ -15,6 +15,7 @@ from tidemill.plans.catalog import query
 from tidemill.plans.fixtures import TOKENS, per_token, rounded, table, trajectories
 from tidemill.sources import datasets as D
 from tidemill.sources import files
+from tidemill.sources import keyvalue as KV
 from tidemill.sources.storage import shared_dir
 
 
@@ -76,6 +77,23 @@ def s12_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read_keys(values, keys, ["price"]).select("traj_key", "price")
 
 
+@query("s12_keyvalue_source", "SELECT o_orderkey AS traj_key, CASE WHEN o_custkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS price, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END AS prio FROM orders WHERE o_custkey % 7 = 0")
+def s12_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders put into the store, fields of a third of the customers put later, two of four fields read back."""
+    orders, path = table(spark, sf_dir, "orders"), fresh(spark, "keyvalue")
+    KV.put(orders.select(F.col("o_orderkey").alias("traj_key"), F.col("o_custkey").alias("uid"), F.col("o_totalprice").alias("price"), "o_orderstatus"), path, key="traj_key", buckets=8)
+    KV.put(orders.filter("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("traj_key"), (-F.col("o_totalprice")).alias("price"), F.col("o_orderpriority").alias("prio")), path, key="traj_key")
+    return KV.get(spark, path, "traj_key long, uid long, price double, prio string", key="traj_key").filter("uid % 7 = 0").drop("uid")
+
+
+@query("s12_some_keys", "SELECT o_orderkey AS traj_key, o_totalprice AS price FROM orders WHERE o_orderkey IN (1, 2, 3, 32, 33, 34)")
+def s12_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few keys: only their buckets are read."""
+    path = fresh(spark, "keyvalue")
+    KV.put(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("traj_key"), F.col("o_totalprice").alias("price")), path, key="traj_key", buckets=16)
+    return KV.get(spark, path, "traj_key long, price double", key="traj_key").filter(F.col("traj_key").isin(1, 2, 3, 32, 33, 34))
+
+
 @query("s13_list_keys", "SELECT o_orderpriority AS partition_id, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
 def s13_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.list_keys(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("partition_id"), F.col("o_orderstatus").alias("status")))
@@ -94,8 +112,14 @@ def k01_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("tag", F.lit(meta["tag"]))
 
 
-@query("k02_wire_round_trip", "SELECT n_nationkey, n_name FROM nation")
+@query("k02_wire_round_trip", "SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem")
 def k02_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    return D.from_messages(D.wire_messages(lines, 1000), lines.schema)
+
+
+@query("k02_wire_of_a_small_batch", "SELECT n_nationkey, n_name FROM nation")
+def k02_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.from_wire(spark, D.to_wire(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")))
 
 

@@ -224,6 +224,35 @@ def to_wire(df: DataFrame) -> list[bytes]:
     return out
 
 
+def wire_messages(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """(message): a batch of any size as Arrow IPC messages of at most ``rows`` rows, made where the rows are."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as w:
+                    w.write_batch(batch.slice(at, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["message"])
+
+    return df.mapInArrow(pack, "message binary")
+
+
+def from_messages(messages: DataFrame, schema: str | StructType) -> DataFrame:
+    """Undoes ``wire_messages``; messages may come in any order."""
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for message in batch.column(0):
+                yield from pa.ipc.open_stream(message.as_buffer())
+
+    return messages.mapInArrow(unpack, schema)
+
+
 def from_wire(spark: SparkSession, messages: Sequence[bytes]) -> DataFrame:
     import pyarrow as pa
 
