@@ -230,8 +230,9 @@ def learn_vectors(texts: DataFrame) -> WordVectors:
     pairs = texts.select("text").repartition(parts, F.xxhash64("text")).mapInArrow(count, "row long, beside long, n long")
     pairs = pairs.repartition(parts, "row").groupBy("row", "beside").agg(F.sum("n").alias("n")).sortWithinPartitions("row", "beside")
     table = np.zeros((WORD_ROWS + CLASS_ROWS, DIM), np.float64)
-    for row, vector in pairs.mapInArrow(row_sums, "row long, vector binary").toLocalIterator():
-        table[row] += np.frombuffer(vector, np.float64)
+    found = pairs.mapInArrow(row_sums, "row long, vector binary").toArrow()
+    for row, vector in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        table[row] += np.frombuffer(vector.as_buffer(), np.float64)
     return WordVectors(unit_rows(table).astype(np.float32))
 
 

@@ -1,8 +1,10 @@
 """Placement: workloads, balanced partitions, micro-batches and the orders that go with them.
 
-A table holds any number of training batches, named by ``batch`` (none: all rows are one batch). Each batch is planned by
-itself, in a task that has the ids and workloads of its rows alone, by Karmarkar-Karp differencing; the plan goes back as a
-join on the batch and the id. A task holds one batch, so batches, not tables, must fit a task.
+A table holds any number of training batches, named by ``batch``. Each batch is planned by itself, in a task that has the ids
+and workloads of its rows alone, by Karmarkar-Karp differencing; the plan goes back as a join on the batch and the id. A
+table that is one batch (``batch`` is None) may be of any size: balanced partitions of it are differenced leaf by leaf and then
+level by level (``_divided``), which is the one-task plan where one leaf holds all. Micro-batches and greedy partitions
+follow one order of rows, so there a batch must fit a task.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.names import fresh
 from tidemill.functions.registry import Registry
+from tidemill.operators.batch import with_dense_id
+from tidemill.sources.storage import stored
 
 #: Fixed value: linear cost of a token against the square of the length.
 LINEAR_COST = 24_576
@@ -98,6 +103,72 @@ def _planned(df: DataFrame, plan: Callable[[list[int], list], dict[str, list]],
     return df.join(planned, here).drop("_batch", "_item")
 
 
+#: Items of a leaf, and partial partitions that are differenced together.
+LEAF_ITEMS, FAN_IN = 8192, 256
+
+
+def difference_bins(sums: list[list[int]]) -> tuple[list[int], list[list[int]]]:
+    """Differences partial partitions of k bins each: the sums of what is left and, of each, the part that every bin becomes."""
+    k = len(sums[0])
+    heap = [(min(s) - max(s), n, list(s), [(n, list(range(k)))]) for n, s in enumerate(sums)]
+    heapq.heapify(heap)
+    number = len(heap)
+    while len(heap) > 1:
+        (_, _, a, of_a), (_, _, b, of_b) = heapq.heappop(heap), heapq.heappop(heap)
+        joined, members = [0] * k, []
+        for bins, found, falling in ((a, of_a, True), (b, of_b, False)):
+            order = sorted(range(k), key=lambda j: ((-bins[j] if falling else bins[j]), j))  # noqa: B023
+            place = [0] * k
+            for at, j in enumerate(order):
+                place[j] = at
+                joined[at] += bins[j]
+            members += [(n, [place[p] for p in parts]) for n, parts in found]
+        heapq.heappush(heap, (min(joined) - max(joined), number, joined, members))
+        number += 1
+    _, _, last, members = heap[0]
+    return last, [parts for _, parts in sorted(members)]
+
+
+def _divided(df: DataFrame, k: int, *, item: str, size: Column, first: Column | None, equal: bool, leaf_items: int = LEAF_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
+    """``df`` with ``part``: the items' balanced partition, however many they are; no task has more than a leaf of them.
+
+    Leaves of ``leaf_items`` items, in order, make partial partitions of ``k`` bins with as many items each where counts
+    are ``equal``; ``fan_in`` of them at a time are differenced until one is left. Every step is stored.
+    """
+    at, of_item, part = fresh(df, "at", "of_item", "part")
+    items = df.groupBy(F.col(item).alias(of_item)).agg(F.sum(size.cast("long")).alias("size"), F.min(F.col(item) if first is None else first).alias("first"))
+    items = stored(with_dense_id(items, ["first", of_item], at), "balance-items")
+    n = items.count()
+    if n < k or (equal and n % k):
+        raise ValueError(f"{n} items can't make {k} {'equal ' if equal else ''}parts")
+    leaf_items = max(k, leaf_items - leaf_items % k)
+
+    def bins(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at", kind="stable")
+        places = _places(karmarkar_karp(pdf["size"].tolist(), k, equal=equal), len(pdf))
+        return pd.DataFrame({"at": pdf["at"].to_numpy(), "leaf": pdf["leaf"].to_numpy(), "bin": places, "size": pdf["size"].to_numpy()})
+
+    leaves = items.select(F.col(at).alias("at"), F.expr(f"`{at}` div {leaf_items}").alias("leaf"), "size")
+    binned = stored(leaves.groupBy("leaf").applyInPandas(bins, "at long, leaf long, bin int, size long"), "balance-bins")
+    loads = binned.groupBy("leaf", "bin").agg(F.sum("size").alias("s")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("bin", "s"))).alias("m"))
+    level = loads.select(F.col("leaf").alias("node"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long"))).alias("sums"))
+    level = stored(level, "balance-sums")
+    place = level.select(F.col("node").alias("leaf"), "node", F.sequence(F.lit(0), F.lit(k - 1)).alias("parts"))
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        last, parts = difference_bins([[int(x) for x in s] for s in pdf["sums"]])
+        return pd.DataFrame({"node": pdf["node"].to_numpy(), "parent": pdf["parent"].to_numpy(), "step": parts, "sums": [last] * len(parts)})
+
+    while not level.filter("node > 0").isEmpty():
+        done = stored(level.withColumn("parent", F.expr(f"node div {fan_in}")).groupBy("parent").applyInPandas(combine, "node long, parent long, step array<int>, sums array<long>"), "balance-level")
+        place = stored(place.join(done.select("node", "parent", "step"), "node").select("leaf", F.col("parent").alias("node"), F.transform("parts", lambda b: F.element_at("step", b + 1)).alias("parts")), "balance-place")
+        level = done.groupBy(F.col("parent").alias("node")).agg(F.first("sums").alias("sums"))
+    found = binned.join(place, "leaf").select("at", F.element_at("parts", F.col("bin") + 1).alias(part))
+    planned = items.select(F.col(at).alias("at"), of_item).join(found, "at").drop("at")
+    return df.join(planned, F.col(of_item).eqNullSafe(F.col(item))).drop(of_item)
+
+
 def _places(parts: list[list[int]], n: int) -> list[int]:
     """The part of each item."""
     out = [0] * n
@@ -109,6 +180,8 @@ def _places(parts: list[list[int]], n: int) -> list[int]:
 
 def partition(df: DataFrame, k: int, *, size: Column, row: str = "row_id", equal: bool = False, batch: str | None = None) -> DataFrame:
     """Adds ``part`` by balanced partitions of each batch's sizes."""
+    if batch is None:
+        return _divided(df, k, item=row, size=size, first=None, equal=equal)
     return _planned(df, lambda sizes, _: {"part": _places(balanced(sizes, k, equal=equal), len(sizes))}, item=row, size=size, batch=batch)
 
 
@@ -119,6 +192,8 @@ def partition_greedily(df: DataFrame, k: int, *, size: Column, row: str = "row_i
 
 def partition_groups(df: DataFrame, k: int, *, size: Column, by: str = "uid", row: str = "row_id", batch: str | None = None) -> DataFrame:
     """Adds ``part``: a batch's groups stay together and every part has as many groups."""
+    if batch is None:
+        return _divided(df, k, item=by, size=size, first=F.col(row), equal=True)
 
     def plan(sizes: list[int], _: list) -> dict[str, list]:
         if len(sizes) % k:

@@ -94,6 +94,17 @@ def b03_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUPS = ", g AS (SELECT uid, sum(len)::BIGINT AS s, min(row_id) AS f FROM b GROUP BY uid), r AS (SELECT s, f, row_number() OVER (ORDER BY f) - 1 AS i FROM g), e AS (SELECT count(*) AS n FROM r), p AS (SELECT s, f, i FROM r UNION ALL SELECT 0, 1000000000 + k, n + k FROM e, range(59) q(k) WHERE k < (60 - n % 60) % 60)"
 
 
+@query("b04_whole_table", ROWS + ", n AS (SELECT count(*) // 8 * 8 AS n FROM b) SELECT p AS part, n // 8 AS rows, true AS near FROM n, range(8) r(p)")
+def b04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows are one batch: as many in each part, and loads that are no further apart than the largest row's."""
+    df = rows(spark, sf_dir)
+    df = df.filter(F.col("row_id") < F.floor(df.agg(F.count("*")).scalar() / 8) * 8)
+    cost = P.workload(F.col("len"))
+    loaded = P.partition(df, 8, size=cost, equal=True).groupBy("part").agg(F.count("*").alias("rows"), F.sum(cost).alias("load"), F.max(cost).alias("largest"))
+    ends = loaded.agg((F.max("load") - F.min("load") <= F.max("largest")).alias("near"))
+    return loaded.select(F.col("part").cast("long").alias("part"), "rows", ends.scalar().alias("near"))
+
+
 @query("b05_groups_stay_together", RECURSIVE.removesuffix(", ") + GROUPS + ", " + differenced_sql("SELECT i // 60 AS batch, s, f FROM p", "6", equal=True) + PARTS.replace("AS load", "AS load, 10::BIGINT AS groups"))
 def b05_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir)
