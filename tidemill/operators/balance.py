@@ -88,19 +88,20 @@ def balanced(sizes: Sequence[int], k: int, *, equal: bool = False) -> list[list[
 
 def _planned(df: DataFrame, plan: Callable[[list[int], list], dict[str, list]], *, item: str, size: Column, first: Column | None = None, batch: str | None = None, adds: str = "part int") -> DataFrame:
     """``df`` with what ``plan`` gives for the (sizes, first places) of each batch's items, in order of ``first`` (the item itself)."""
-    keys = [F.lit(0).alias("_batch") if batch is None else F.col(batch).alias("_batch"), F.col(item).alias("_item")]
-    items = df.groupBy(*keys).agg(F.sum(size.cast("long")).alias("_size"), F.min(F.col(item) if first is None else first).alias("_first"))
+    of_batch, of_item = fresh(df, "of_batch", "of_item")
+    keys = [F.lit(0).alias(of_batch) if batch is None else F.col(batch).alias(of_batch), F.col(item).alias(of_item)]
+    items = df.groupBy(*keys).agg(F.sum(size.cast("long")).alias("size"), F.min(F.col(item) if first is None else first).alias("first"))
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
     names = [part.split()[0] for part in adds.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_first", kind="stable")
-        out = plan(pdf["_size"].tolist(), pdf["_first"].tolist())
-        return pd.DataFrame({"_batch": pdf["_batch"].to_numpy(), "_item": pdf["_item"].to_numpy()} | {n: out[n] for n in names})
+        pdf = pdf.sort_values("first", kind="stable")
+        out = plan(pdf["size"].tolist(), pdf["first"].tolist())
+        return pd.DataFrame({of_batch: pdf[of_batch].to_numpy(), of_item: pdf[of_item].to_numpy()} | {n: out[n] for n in names})
 
-    planned = items.groupBy("_batch").applyInPandas(run, f"_batch {kinds['_batch']}, _item {kinds['_item']}, {adds}")
-    here = F.col("_item").eqNullSafe(F.col(item)) & (F.lit(True) if batch is None else F.col("_batch").eqNullSafe(F.col(batch)))
-    return df.join(planned, here).drop("_batch", "_item")
+    planned = items.groupBy(of_batch).applyInPandas(run, f"{of_batch} {kinds[of_batch]}, {of_item} {kinds[of_item]}, {adds}")
+    here = F.col(of_item).eqNullSafe(F.col(item)) & (F.lit(True) if batch is None else F.col(of_batch).eqNullSafe(F.col(batch)))
+    return df.join(planned, here).drop(of_batch, of_item)
 
 
 #: Items of a leaf, and partial partitions that are differenced together.

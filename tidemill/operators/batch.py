@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.names import fresh
 from tidemill.sources.storage import stored
 
 ID = "row_id"
@@ -19,22 +20,31 @@ ID = "row_id"
 PLACE_BITS = 33
 
 
-def with_dense_id(df: DataFrame, order: Sequence[str | Column], out: str = ID) -> DataFrame:
+def _scanned_bytes(df: DataFrame) -> int:
+    """How many bytes the tables that a plan reads have; sources that don't say count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 50)
+
+
+def with_dense_id(df: DataFrame, order: Sequence[str | Column], out: str = ID, *, range_bytes: int = 64 << 20) -> DataFrame:
     """``out`` = 0, 1, ... by a total order: rows are ranged and sorted in one shuffle and stored with their place in their
-    range; a range's first id is a prefix sum of counts.
+    range; a range's first id is a prefix sum of counts. There is a range for every ``range_bytes`` that the plan reads, and as
+    many as shuffles have parts at least.
 
     The rows are stored, as the bounds of the ranges come from a sample and must be the same for counts and places. This writes
     a table when it is called.
     """
     sort = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _scanned_bytes(df) // range_bytes)
+    at, part, n, base = fresh(df, "dense_at", "dense_part", "dense_count", "dense_base")
     # The id of a row in its partition: the partition's number above PLACE_BITS, the place below.
-    ranged = stored(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_dense_at", F.monotonically_increasing_id()), "ranged")
-    counts = ranged.groupBy(F.shiftright("_dense_at", PLACE_BITS).alias("_dense_part")).agg(F.count("*").alias("_dense_count"))
-    before = Window.orderBy("_dense_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_dense_part", F.coalesce(F.sum("_dense_count").over(before), F.lit(0)).alias("_dense_base"))
-    placed = ranged.withColumn("_dense_part", F.shiftright("_dense_at", PLACE_BITS)).join(F.broadcast(base), "_dense_part")  # broadcast: a row for each partition
-    return placed.withColumn(out, F.col("_dense_base") + F.col("_dense_at") % (1 << PLACE_BITS)).drop("_dense_part", "_dense_at", "_dense_base")
+    ranged = stored(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn(at, F.monotonically_increasing_id()), "ranged")
+    counts = ranged.groupBy(F.shiftright(at, PLACE_BITS).alias(part)).agg(F.count("*").alias(n))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    placed = ranged.withColumn(part, F.shiftright(at, PLACE_BITS)).join(F.broadcast(bases), part)  # broadcast: a row for each partition
+    return placed.withColumn(out, F.col(base) + F.col(at) % (1 << PLACE_BITS)).drop(part, at, base)
 
 
 def count(df: DataFrame) -> Column:

@@ -103,8 +103,9 @@ def bounded_queue(items: DataFrame, capacity: int, *, by: str, order: list[str],
 
 def newest(items: DataFrame, capacity: int, *, order: list[str | Column]) -> DataFrame:
     """What a queue without consumers holds after all puts: the newest ``capacity`` items."""
-    n = items.agg(F.count("*").alias("n")).scalar()
-    return with_dense_id(items, order, "_at").withColumn("_n", n).filter(F.col("_at") >= F.col("_n") - capacity).drop("_at", "_n")
+    at, n = fresh(items, "at", "n")
+    many = items.agg(F.count("*").alias("n")).scalar()
+    return with_dense_id(items, order, at).withColumn(n, many).filter(F.col(at) >= F.col(n) - capacity).drop(at, n)
 
 
 def queue_stats(fates: DataFrame) -> DataFrame:
@@ -131,11 +132,12 @@ def stream_queue(stream: DataFrame, capacity: int, *, by: str, item: str) -> Dat
 
 def count_windows(items: DataFrame, size: int, *, order: list[str | Column], keep_rest: bool = False) -> DataFrame:
     """Adds ``window``: complete windows of ``size`` items in order; the rest waits (or is kept as a short last window)."""
-    n = items.agg(F.count("*").alias("n")).scalar()
-    placed = with_dense_id(items, order, "_at").withColumn("window", F.expr(f"_at div {size}")).withColumn("_n", n)
+    at, n = fresh(items, "at", "n")
+    many = items.agg(F.count("*").alias("n")).scalar()
+    placed = with_dense_id(items, order, at).withColumn("window", F.expr(f"`{at}` div {size}")).withColumn(n, many)
     if not keep_rest:
-        placed = placed.filter(F.col("window") < F.expr(f"_n div {size}"))
-    return placed.drop("_at", "_n")
+        placed = placed.filter(F.col("window") < F.expr(f"`{n}` div {size}"))
+    return placed.drop(at, n)
 
 
 def assemble(windows: DataFrame, *, seconds: str, tool_seconds: str) -> DataFrame:
