@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import arrays as A
 from tidemill.operators import correction as C
 from tidemill.operators import losses as L
 from tidemill.plans.catalog import query
@@ -222,3 +223,23 @@ def l14_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f11_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = C.reject(trajectories(spark, sf_dir, columns=COLUMNS), "seq_mean_k1", "0.97_1.04")
     return df.agg(F.count_if(F.aggregate("response_mask", F.lit(0), lambda a, m: a + m) == 0).alias("rejected"))
+
+
+@query("r01_threshold_bounds", TOKENS + " SELECT row_id, pos, CASE WHEN exp(old_log_probs - rollout_log_probs) > 102e-2 THEN 'above' WHEN exp(old_log_probs - rollout_log_probs) < 98e-2 THEN 'below' ELSE 'inside' END AS found FROM tok")
+def r01_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens' importance ratios by a threshold's two bounds."""
+    upper, lower = C.parse_is_threshold("0.98_1.02")
+    df = trajectories(spark, sf_dir, columns=("old_log_probs", "rollout_log_probs"))
+    side = lambda r: F.when(r > upper, "above").when(r < lower, "below").otherwise("inside")
+    return per_token(df.withColumn("f", F.zip_with("old_log_probs", "rollout_log_probs", lambda o, r: side(F.exp(o - r)))), found="f")
+
+
+@query("r02_option_bounds", TOKENS + ", s AS (SELECT row_id, avg(rollout_log_probs - old_log_probs) AS m FROM tok GROUP BY row_id) SELECT 'token_k1' AS option, count(*) FILTER (rollout_log_probs - old_log_probs BETWEEN -2e-2 AND 1e-2) AS kept FROM tok UNION ALL SELECT 'seq_mean_k1', count(*) FILTER (m BETWEEN 1 / 101e-2 - 1 AND 1e-2) FROM s")
+def r02_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and sequences within the bounds of two options, whose ratios' bounds are given as text."""
+    bounds = C.parse_rs("token_k1, seq_mean_k1", "0.98_1.01, 1.01")
+    df = trajectories(spark, sf_dir, columns=("old_log_probs", "rollout_log_probs")).withColumn("k1", F.zip_with("old_log_probs", "rollout_log_probs", lambda o, r: r - o))
+    inside = lambda x, option: x.between(bounds[option][0] - 1, bounds[option][1] - 1)
+    tokens = df.select(F.explode("k1").alias("x")).agg(F.lit("token_k1").alias("option"), F.count_if(inside(F.col("x"), "token_k1")).alias("kept"))
+    means = df.select((A.array_sum("k1") / F.size("k1")).alias("x")).agg(F.lit("seq_mean_k1").alias("option"), F.count_if(inside(F.col("x"), "seq_mean_k1")).alias("kept"))
+    return tokens.unionByName(means)

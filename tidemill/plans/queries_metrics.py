@@ -38,6 +38,12 @@ def g01_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("row_id", rounded(A.masked_sum("vals", "response_mask")).alias("total"), rounded(A.masked_mean("vals", "response_mask")).alias("mean"), rounded(A.masked_max("vals", "response_mask")).alias("top"))
 
 
+@query("g02_masked_mean", TOKENS + " SELECT row_id, round(sum(rewards * response_mask) / (sum(response_mask) + 1e-8), 6) + 0.0 AS rewards, round(sum(old_log_probs * response_mask) / (sum(response_mask) + 1e-8), 6) + 0.0 AS log_probs FROM tok GROUP BY row_id")
+def g02_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = trajectories(spark, sf_dir, columns=("rewards", "old_log_probs", "response_mask"))
+    return df.select("row_id", *[rounded(A.masked_mean(c, "response_mask")).alias(n) for n, c in (("rewards", "rewards"), ("log_probs", "old_log_probs"))])
+
+
 @query("g03_masked_variance", TOKENS + " SELECT round(sum(vals), 6) + 0.0 AS total, round(sum(vals) / (count(*) + 1e-8), 6) + 0.0 AS mean, round(var_samp(vals), 6) + 0.0 AS var, count(*) AS n FROM tok WHERE response_mask = 1")
 def g03_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.masked_batch(trajectories(spark, sf_dir, columns=("vals", "response_mask")), "vals")

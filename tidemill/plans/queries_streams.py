@@ -69,6 +69,15 @@ def t02_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(stream, S.schema_of(stream)).select("event_id", "fate")
 
 
+@query("t02_drain", "SELECT event_id, user_id % 8 AS queue FROM events")
+def t02_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that has arrived is read and written before the stream ends."""
+    items = events(spark, sf_dir).select("event_id", "queue", "ts")
+    out = S.Batches(spark, work_path(spark, "drained"))
+    Q.drain(arriving(items, ["ts", "event_id"], 3), out, work_path(spark, "stream-state"))
+    return out.read(S.schema_of(items)).select("event_id", "queue")
+
+
 PLACED = "SELECT *, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id % 3) AS n FROM events"
 
 

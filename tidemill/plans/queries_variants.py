@@ -135,6 +135,25 @@ def h02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.policy_loss(df, "halved").select(rounded("loss").alias("loss"), rounded("kl").alias("kl"))
 
 
+@query("h04_registered_manager", "SELECT doc_id AS row_id, round(ln(1 + n_chars), 6) + 0.0 AS reward_score, 2 AS tokens FROM documents")
+def h04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reward manager of one's own by its name: longer answers are worth more, by their logarithm."""
+
+    if "by_length" not in M.MANAGERS:
+        M.MANAGERS.register("by_length")(lambda df, score: M.place(df, F.log1p(score)))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "n_chars", F.lit(2).alias("response_length"))
+    scored = M.reward_manager("by_length")(docs, F.col("n_chars"))
+    return scored.select("row_id", rounded("reward_score").alias("reward_score"), F.size("rewards").alias("tokens"))
+
+
+@query("h09_registered_dispatch", ROWS + " SELECT row_id, CAST(row_id % 5 AS INT) AS worker FROM b")
+def h09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dispatch mode of one's own: workers take turns."""
+    if "in_turns" not in P.DISPATCH:
+        P.DISPATCH.register("in_turns")(lambda df, workers: df.withColumn("worker", (F.col("row_id") % workers).cast("int")))
+    return P.DISPATCH["in_turns"](rows(spark, sf_dir), 5).select("row_id", "worker")
+
+
 @query("h06_manager_by_path", "SELECT n_nationkey::BIGINT AS row_id, n_nationkey::DOUBLE AS registered, -n_nationkey::DOUBLE AS loaded FROM nation")
 def h06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registered reward manager, and one from a file."""
