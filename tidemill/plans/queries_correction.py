@@ -234,10 +234,10 @@ def r01_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_token(df.withColumn("f", F.zip_with("old_log_probs", "rollout_log_probs", lambda o, r: side(F.exp(o - r)))), found="f")
 
 
-@query("r02_option_bounds", TOKENS + ", s AS (SELECT row_id, avg(rollout_log_probs - old_log_probs) AS m FROM tok GROUP BY row_id) SELECT 'token_k1' AS option, count(*) FILTER (rollout_log_probs - old_log_probs BETWEEN -2e-2 AND 1e-2) AS kept FROM tok UNION ALL SELECT 'seq_mean_k1', count(*) FILTER (m BETWEEN 1 / 101e-2 - 1 AND 1e-2) FROM s")
+@query("r02_option_bounds", TOKENS + ", s AS (SELECT row_id, avg(rollout_log_probs - old_log_probs) AS m FROM tok GROUP BY row_id) SELECT 'token_k1' AS option, count(*) FILTER (rollout_log_probs - old_log_probs BETWEEN -153e-4 AND 153e-4) AS kept FROM tok UNION ALL SELECT 'seq_mean_k1', count(*) FILTER (m BETWEEN 1 / 10153e-4 - 1 AND 153e-4) FROM s")
 def r02_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and sequences within the bounds of two options, whose ratios' bounds are given as text."""
-    bounds = C.parse_rs("token_k1, seq_mean_k1", "0.98_1.01, 1.01")
+    bounds = C.parse_rs("token_k1, seq_mean_k1", "0.9847_1.0153, 1.0153")
     df = trajectories(spark, sf_dir, columns=("old_log_probs", "rollout_log_probs")).withColumn("k1", F.zip_with("old_log_probs", "rollout_log_probs", lambda o, r: r - o))
     inside = lambda x, option: x.between(bounds[option][0] - 1, bounds[option][1] - 1)
     tokens = df.select(F.explode("k1").alias("x")).agg(F.lit("token_k1").alias("option"), F.count_if(inside(F.col("x"), "token_k1")).alias("kept"))
