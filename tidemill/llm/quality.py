@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import Kept, drop_spool, fresh, spool
 
 DIM, NONZERO, WINDOW, PIECE = 96, 6, 2, 64
-WORD_ROWS, CLASS_ROWS = 1 << 16, 1 << 14
+WORD_ROWS, CLASS_ROWS = 1 << 15, 1 << 13
 #: Words of a stretch whose neighbours are counted together.
-STRETCH = 200_000
+STRETCH = 40_000
 _CLASSES = ((re.compile(r"[a-z]"), "a"), (re.compile(r"[A-Z]"), "A"), (re.compile(r"[0-9]"), "0"), (re.compile(r"[^\x00-\x7f]"), "é"))
 _REPEATED = re.compile(r"(.)\1+")
 
@@ -96,7 +96,7 @@ class WordVectors:
     """The rows of words, then those of classes; a row of zeros is empty."""
 
     table: np.ndarray
-    _known: Kept = field(default_factory=lambda: Kept(150_000), repr=False)
+    _known: Kept = field(default_factory=lambda: Kept(60_000), repr=False)
     _filled: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
@@ -151,7 +151,7 @@ def neighbour_counts(texts: Iterable[str | None]) -> Iterator[pa.RecordBatch]:
 
     Counts are of stretches of ``STRETCH`` words at most; they add up to those of all texts.
     """
-    known: Kept = Kept(150_000)
+    known: Kept = Kept(30_000)
 
     def rows_of(word: str) -> tuple[int, int, int]:
         found = known.get(word)
@@ -207,7 +207,7 @@ def _seam(words: list[str], at: int, rows_of: Callable[[str], tuple[int, int, in
     return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64()), pa.array([1] * len(out), pa.int64())], ["row", "beside", "n"])
 
 
-def row_sums(batches: Iterable[pa.RecordBatch], at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
+def row_sums(batches: Iterable[pa.RecordBatch], at_once: int = 4_000) -> Iterator[pa.RecordBatch]:
     """(row, vector): parts of rows' sums of log(1 + n) times the index vectors beside them, from batches sorted by row."""
     for batch in batches:
         for start in range(0, batch.num_rows, at_once):
@@ -228,7 +228,10 @@ def learn_vectors(texts: DataFrame) -> WordVectors:
 
     parts = max(16, texts.sparkSession.sparkContext.defaultParallelism)
     pairs = texts.select("text").repartition(parts, F.xxhash64("text")).mapInArrow(count, "row long, beside long, n long")
-    pairs = pairs.repartition(parts, "row").groupBy("row", "beside").agg(F.sum("n").alias("n")).sortWithinPartitions("row", "beside")
+    # A class may have most words beside it, so its pairs are dealt over all parts; a word's are one part's.
+    spread = F.when(F.col("row") >= WORD_ROWS, F.pmod("beside", F.lit(parts))).otherwise(0)
+    pairs = pairs.withColumn("spread", spread).repartition(parts, "row", "spread").groupBy("row", "spread", "beside").agg(F.sum("n").alias("n"))
+    pairs = pairs.select("row", "beside", "n").sortWithinPartitions("row", "beside")
     table = np.zeros((WORD_ROWS + CLASS_ROWS, DIM), np.float64)
     found = pairs.mapInArrow(row_sums, "row long, vector binary").toArrow()
     for row, vector in zip(found.column(0).to_pylist(), found.column(1), strict=True):
