@@ -37,12 +37,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_unique(rows: DataFrame, one: DataFrame, keys: list[str], *, weight: str, total: int, outer: bool = False) -> DataFrame:
+def join_unique(rows: DataFrame, one: DataFrame, keys: list[str], *, weight: str, total: int, outer: bool = False, merge: bool = False) -> DataFrame:
     """``rows`` with the columns of ``one``, which has a row for each key; without rows that find none, unless ``outer``.
 
     ``one`` says in ``weight`` how many rows have the key, of ``total`` (``weight`` isn't in the result). Keys with more
     than a ``HOT_PART``-th of them, fewer than ``HOT_PART`` by their definition, are broadcast and their rows stay where
-    they are; the others are shuffled, none of which fills a task. Rows with a null in the keys find nothing and aren't
+    they are; the others are shuffled, none of which fills a task (with ``merge`` also where Spark would broadcast a small ``one``,
+    so that plans are alike at every size). Rows with a null in the keys find nothing and aren't
     shuffled either. ``rows`` is read once for each of these parts, so it should be a table.
     """
     is_hot = F.col(weight) * HOT_PART > total
@@ -51,7 +52,8 @@ def join_unique(rows: DataFrame, one: DataFrame, keys: list[str], *, weight: str
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     with_hot = rows.filter(whole).join(hot, keys)
     cold = rows.filter(whole).join(F.broadcast(one.filter(is_hot).select(*keys)), keys, "left_anti")  # fewer than HOT_PART rows
-    found = with_hot.unionByName(cold.join(one.filter(~is_hot).select(*keys, *extra), keys, "left" if outer else "inner"))
+    others = one.filter(~is_hot).select(*keys, *extra)
+    found = with_hot.unionByName(cold.join(others.hint("merge") if merge else others, keys, "left" if outer else "inner"))
     if outer:
         found = found.unionByName(rows.filter(~whole).select("*", *[F.lit(None).cast(one.schema[c].dataType).alias(c) for c in extra]))
     return found.select(*rows.columns, *extra)

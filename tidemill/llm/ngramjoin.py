@@ -265,7 +265,7 @@ def _placed(docs: DataFrame, *, n: int = 5, least: float = 0.8, bands: int = 32,
     # Rows that agree in id and text may be many, but not more than their class.
     chosen = needed.select("skey").distinct().join(classes, "skey").select("skey", F.struct(F.col("stays.doc_id").alias("doc_id"), F.col("stays.text_hash").alias("text_hash")).alias("row"), "copies")
     chosen = spool(chosen, "jaccard-chosen")
-    one_text = join_unique(docs.select("text", F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row")), chosen, ["row"], weight="copies", total=n_rows)
+    one_text = join_unique(docs.select("text", F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row")), chosen, ["row"], weight="copies", total=n_rows, merge=True)
     sets = spool(_sets(one_text.select("skey", "text"), n).dropDuplicates(["skey"]), "jaccard-sets")
     full = needed.join(sets, "skey").join(classes.select("skey", "copies", "n_items", "bands"), "skey")
     links = spool(_verified(_cells(full, block), bands, least), "jaccard-links")
