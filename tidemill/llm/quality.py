@@ -227,7 +227,7 @@ def learn_vectors(texts: DataFrame) -> WordVectors:
         yield from neighbour_counts(t for b in batches for t in b.column(0).to_pylist())
 
     parts = max(16, texts.sparkSession.sparkContext.defaultParallelism)
-    pairs = texts.select("text").repartition(parts, F.xxhash64("text")).mapInArrow(count, "row long, beside long, n long")
+    pairs = texts.select("text").repartition(parts).mapInArrow(count, "row long, beside long, n long")
     # A class may have most words beside it, so its pairs are dealt over all parts; a word's are one part's.
     spread = F.when(F.col("row") >= WORD_ROWS, F.pmod("beside", F.lit(parts))).otherwise(0)
     pairs = pairs.withColumn("spread", spread).repartition(parts, "row", "spread").groupBy("row", "spread", "beside").agg(F.sum("n").alias("n"))
