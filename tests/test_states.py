@@ -94,3 +94,40 @@ def test_waiting_for_one_in_flight(spark, tmp_path):
     assert sink.emitted.read("uid long, global_steps long").count() == 0
     sink(spark.createDataFrame([(2, "failure", 3, 2)], S.PROMPT), 1)
     assert [r["uid"] for r in sink.emitted.read("uid long, global_steps long").collect()] == [1]
+
+
+def test_prompts_share_state_and_timers(spark, tmp_path):
+    """Few calls to the state: as many keys as there are groups, whatever the prompts; null ids are one prompt."""
+    schema, source = "uid long, status string, global_steps long, version long, ts timestamp", str(tmp_path / "in")
+    day = lambda d: __import__("datetime").datetime(2024, 1, d)
+    feed(spark, source, [(k, "running", k, 1, day(1 + k % 3)) for k in range(600)] + [(None, "running", 7, 1, day(1))], schema)
+    feed(spark, source, [(k, "finished", k, 2, day(4)) for k in range(0, 600, 2)] + [(1, "pending", 1, 0, day(4))], schema)
+    feed(spark, source, [(9000, "finished", 0, 1, day(8)), (3, "pending", 3, 0, day(8))], schema)
+    stream = S.prompt_changes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), patience_ms=5 * 86_400_000, delay="1 hour", groups=4)
+    out, keys = S.Batches(spark, str(tmp_path / "out")), []
+    with_keys = lambda df, batch: (out(df, batch), keys.append(df.count()))
+    assert not S.run(stream, with_keys, str(tmp_path / "state"), mode="update", stop_after=1)
+    assert S.run(stream, with_keys, str(tmp_path / "state"), mode="update")
+    newest = out.read(S.PROMPT).groupBy("uid").agg(F.max_by("status", F.struct("version", "batch")).alias("status"))
+    found = {r["uid"]: r["status"] for r in newest.collect()}
+    # The watermark comes to 23:00 of the 7th: prompts of the first two days have failed, those of the third wait.
+    want = {k: "finished" if k % 2 == 0 else "failure" if k % 3 < 2 else "running" for k in range(600)} | {None: "failure", 9000: "finished"}
+    assert found == want
+    state = spark.read.format("statestore").option("stateVarName", "newest").load(str(tmp_path / "state"))
+    assert state.count() <= 6
+
+
+def test_prompts_without_timers_are_an_aggregate(spark):
+    tags = spark.readStream.format("rate").load().selectExpr("value AS uid", "'running' AS status", "value AS global_steps", "value AS version", "timestamp AS ts")
+    plan = S.prompt_changes(tags)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
+
+
+def test_micro_batches_of_many_files(spark, tmp_path):
+    """A micro-batch's rows are in as many files as they need, not in one task's."""
+    from tidemill.plans.queries_streams import arriving
+
+    stream = arriving(spark.range(103).withColumnRenamed("id", "at"), ["at"], 3, rows=10)
+    seen = {}
+    S.run(stream, lambda df, batch: seen.update({batch: sorted(r["at"] for r in df.collect())}), str(tmp_path / "state"))
+    assert {b: (rows[0], rows[-1], len(rows)) for b, rows in seen.items()} == {0: (0, 34, 35), 1: (35, 69, 35), 2: (70, 102, 33)}

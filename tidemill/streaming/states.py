@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,58 +157,94 @@ def count_windows(stream: DataFrame, size: int, *, by: str, order: list[str]) ->
 
 
 PROMPT = "uid long, status string, global_steps long, version long"
+PROMPT_COLUMNS = ["uid", "status", "global_steps", "version"]
+#: Groups of prompts with timers that share state; each is a task's call a micro-batch.
+PROMPT_GROUPS = 1024
+#: The deadline of a prompt that isn't in flight.
+NEVER = 2**63 - 1
 
 
 class PromptProcessor(StatefulProcessor):
-    """The newest status of a prompt. Older versions that come late change nothing. One that is still in flight when the
-    watermark has passed ``patience`` after its newest tag has failed."""
+    """The newest status of a group of prompts. Older versions that come late change nothing. One that is still in flight when
+    the watermark has passed ``patience`` after its newest tag has failed.
 
-    def __init__(self, patience_ms: int | None):
+    A group's prompts are one value, a table in Arrow's format, and its timer is that of the earliest deadline: a call to
+    the state for each prompt costs far more than the prompt.
+    """
+
+    def __init__(self, patience_ms: int):
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "status string, global_steps long, version long")
+        self.newest = handle.getValueState("newest", "prompts binary")
         self.timer = handle.getValueState("timer", "at long")
 
-    def _settimer(self, at: int | None) -> None:
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
+    def _known(self) -> pd.DataFrame:
+        return pa.ipc.open_stream(self.newest.get()[0]).read_pandas()
+
+    def _keep(self, known: pd.DataFrame) -> None:
+        table = pa.Table.from_pandas(known, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_table(table)
+        self.newest.update((out.getvalue().to_pybytes(),))
+        at = int(known["deadline"].min())
+        before = self.timer.get()[0] if self.timer.exists() else NEVER
+        if at == before:
+            return
+        if before != NEVER:
+            self.handle.deleteTimer(before)
+        if at == NEVER:
             self.timer.clear()
-        if at is not None:
+        else:
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
+    @staticmethod
+    def _changes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[PROMPT_COLUMNS]
+        return out if key[0] >= 0 else out.assign(uid=pd.array([None] * len(out), "Int64"))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.newest.get() if self.newest.exists() else None
-        best, at = (int(known[2]), known[0], int(known[1])) if known is not None else None, None
-        for pdf in rows:
-            for tag in pdf.itertuples(index=False):
-                found = (int(tag.version), tag.status, int(tag.global_steps))
-                if best is None or found[:2] > best[:2]:
-                    best, at = found, tag.ts
-        if at is not None:
-            self.newest.update((best[1], best[2], best[0]))
-            if self.patience_ms is not None:
-                self._settimer(int(at.value // 1_000_000) + self.patience_ms if best[1] in replay.ACTIVE else None)
-            yield _frame([(key[0], best[1], best[2], best[0])], ["uid", "status", "global_steps", "version"])
+        tags = pd.concat(list(rows))
+        at = tags["at"].to_numpy("int64") + self.patience_ms
+        tags = tags[PROMPT_COLUMNS].astype({"global_steps": "int64", "version": "int64"})
+        tags = tags.assign(deadline=np.where(tags["status"].isin(replay.ACTIVE), at, NEVER), new=True)
+        if self.newest.exists():
+            tags = pd.concat([self._known().assign(new=False), tags])
+        # Of equal versions and statuses the first that came stays.
+        tags = tags.sort_values(["version", "status"], ascending=False, kind="stable").drop_duplicates("uid")
+        changed = tags[tags["new"]]
+        if len(changed):
+            self._keep(tags.drop(columns="new"))
+        yield self._changes(key, changed)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        status, steps, version = self.newest.get()
-        self.newest.update(("failure", steps, version))
-        self.timer.clear()
-        yield _frame([(key[0], "failure", steps, version)], ["uid", "status", "global_steps", "version"])
+        known = self._known()
+        late = (known["deadline"] <= expiredTimerInfo.getExpiryTimeInMs()) | (known["deadline"] < timerValues.getCurrentWatermarkInMs())
+        known.loc[late, "status"], known.loc[late, "deadline"] = "failure", NEVER
+        self.timer.clear()  # it has gone off
+        self._keep(known)
+        yield self._changes(key, known[late])
 
     def close(self) -> None:
         pass
 
 
-def prompt_changes(tags: DataFrame, *, patience_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
-    """Changes of prompts' newest status from a stream of tags (uid, status, global_steps, version, ts)."""
-    mode = "None" if patience_ms is None else "EventTime"
-    if patience_ms is not None:
-        tags = tags.withWatermark("ts", delay)
-    return tags.groupBy("uid").transformWithStateInPandas(PromptProcessor(patience_ms), PROMPT, "Update", mode)
+def prompt_changes(tags: DataFrame, *, patience_ms: int | None = None, delay: str = "0 seconds", groups: int = PROMPT_GROUPS) -> DataFrame:
+    """Changes of prompts' newest status from a stream of tags (uid, status, global_steps, version, ts).
+
+    Without ``patience_ms`` that is an aggregate of Spark's own; with it ``groups`` groups of prompts have timers, so there
+    should be as many as keep a group's prompts well within a task.
+    """
+    if patience_ms is None:
+        newest = F.max(F.struct("version", "status", "global_steps")).alias("newest")
+        return tags.groupBy("uid").agg(newest).select("uid", "newest.status", "newest.global_steps", "newest.version")
+    # Prompts without an id are one prompt, in a group of its own.
+    group = F.when(F.col("uid").isNull(), -1).otherwise(F.pmod(F.xxhash64("uid"), F.lit(groups))).cast("long")
+    timed = tags.withWatermark("ts", delay).select(group.alias("prompts"), F.coalesce("uid", F.lit(0)).cast("long").alias("uid"), "status", "global_steps", "version", F.unix_millis("ts").alias("at"), "ts")
+    return timed.groupBy("prompts").transformWithStateInPandas(PromptProcessor(patience_ms), PROMPT, "Update", "EventTime")
 
 
 class ReplaySink:
