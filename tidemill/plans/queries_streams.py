@@ -15,15 +15,19 @@ from tidemill.streaming import queues as Q
 from tidemill.streaming import states as S
 
 
-def arriving(df: DataFrame, order: list[str], files: int) -> DataFrame:
-    """``df`` as a stream of ``files`` folders' worth of rows in order, one a micro-batch."""
+def arriving(df: DataFrame, order: list[str], files: int, rows: int = 1_000_000) -> DataFrame:
+    """``df`` as a stream of ``files`` folders' worth of rows in order, one a micro-batch, in files of ``rows`` rows at most."""
     spark = df.sparkSession
     path = work_path(spark, "arriving")
     placed, n = with_dense_id(df, order, "arrives_at"), df.count()
     size = max(1, -(-n // files))
+    each = -(-size // rows)  # files of a micro-batch; only the last can have fewer
     for k in range(files):
-        placed.filter(F.col("arrives_at").between(k * size, (k + 1) * size - 1)).drop("arrives_at").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = placed.filter(F.col("arrives_at").between(k * size, (k + 1) * size - 1))
+        of = F.expr(f"(arrives_at - {k * size}) div {rows}").cast("int")
+        part = part.repartitionById(each, of) if each > 1 else part.coalesce(1)
+        part.drop("arrives_at").write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def stopped_and_resumed(stream: DataFrame, sink: S.Sink, stop_after: int, mode: str = "append") -> None:
