@@ -131,3 +131,25 @@ def test_micro_batches_of_many_files(spark, tmp_path):
     seen = {}
     S.run(stream, lambda df, batch: seen.update({batch: sorted(r["at"] for r in df.collect())}), str(tmp_path / "state"))
     assert {b: (rows[0], rows[-1], len(rows)) for b, rows in seen.items()} == {0: (0, 34, 35), 1: (35, 69, 35), 2: (70, 102, 33)}
+
+
+def test_windows_of_hot_and_null_keys_over_micro_batches(spark, tmp_path):
+    """A window comes out whole and once; keys without news keep what waits; no task gets a key's items."""
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        rows.append((rng.choice(["hot"] * 8 + [None, "a"]) if i < 200 else "hot", i))
+    schema, source = "k string, i long", str(tmp_path / "in")
+    for part in (rows[:100], rows[100:200], rows[200:]):
+        feed(spark, source, rng.sample(part, len(part)), schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink = S.WindowSink(spark, str(tmp_path / "out"), 7, by="k", order=["i"])
+    assert not S.run(stream, sink, str(tmp_path / "state"), stop_after=1)
+    assert S.run(stream, sink, str(tmp_path / "state"))
+    feed(spark, source, [("a", 300), (None, 301)], schema)
+    assert S.run(stream, sink, str(tmp_path / "state"))
+    want = set()
+    for k in ("hot", None, "a"):
+        mine = [i for key, i in [*rows, ("a", 300), (None, 301)] if key == k]
+        want |= {(k, i, n // 7) for n, i in enumerate(mine) if n // 7 < len(mine) // 7}
+    found = [(r["k"], r["i"], r["window"]) for r in sink.windows.read(f"{schema}, window long").collect()]
+    assert len(found) == len(want) and set(found) == want

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemill.functions.names import fresh
+from tidemill.operators.batch import with_dense_id
+from tidemill.sources.storage import drop_stored_since, stored, stored_tables
 from tidemill.streaming import replay
 
 Sink = Callable[[DataFrame, int], None]
@@ -126,36 +129,6 @@ def queue_fates(stream: DataFrame, capacity: int, *, by: str, order: list[str],
     return stream.groupBy(by).transformWithStateInPandas(processor, f"{schema_of(stream)}, fate string", "Append", "None")
 
 
-class WindowProcessor(StatefulProcessor):
-    """Items of one trainer until there are enough of them: what is left of the last window is a list, windows are counted."""
-
-    def __init__(self, schema: str, columns: list[str], size: int, order: list[str]):
-        self.schema, self.columns, self.size, self.order = schema, columns, size, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getListState("rest", self.schema)
-        self.done = handle.getValueState("done", "windows long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = [tuple(x) for x in self.rest.get()] if self.rest.exists() else []
-        arrived = pd.concat(list(rows)).sort_values(self.order, kind="stable")[self.columns]
-        held += map(_plain, arrived.itertuples(index=False, name=None))
-        done, full = self.done.get()[0] if self.done.exists() else 0, len(held) // self.size
-        out = [(*row, done + k // self.size) for k, row in enumerate(held[: full * self.size])]
-        rest = held[full * self.size :]
-        self.rest.put(rest) if rest else self.rest.clear()
-        self.done.update((done + full,))
-        yield _frame(out, [*self.columns, "window"])
-
-    def close(self) -> None:
-        pass
-
-
-def count_windows(stream: DataFrame, size: int, *, by: str, order: list[str]) -> DataFrame:
-    """Items with the number of their window among those ``by`` key; a window comes out whole, in one micro-batch."""
-    return stream.groupBy(by).transformWithStateInPandas(WindowProcessor(schema_of(stream), stream.columns, size, order), f"{schema_of(stream)}, window long", "Append", "None")
-
-
 PROMPT = "uid long, status string, global_steps long, version long"
 PROMPT_COLUMNS = ["uid", "status", "global_steps", "version"]
 #: Groups of prompts with timers that share state; each is a task's call a micro-batch.
@@ -270,3 +243,43 @@ class ReplaySink:
         ready = replay.ready(kept, batch=self.batch, now=self.now(batch), threshold=self.threshold, sync=self.sync).first()["ready"]
         chosen = kept.filter("status = 'finished'").orderBy("global_steps", "uid").limit(self.batch if ready else 0)
         self.emitted(chosen.select("uid", "global_steps"), batch)
+
+
+class WindowSink:
+    """Items with the number of their window among those ``by`` key; a window comes out whole, in one micro-batch, as ``shape`` of it.
+
+    Items have dense ids in their order, so a key that holds all items is spread over all tasks. What is left of a key's last
+    window and how many windows it has had are written under the micro-batch's number, so one that is done again leaves
+    the same.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, size: int, *, by: str, order: list[str], shape: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.windows, self.rest, self.done = Batches(spark, f"{path}/windows"), Batches(spark, f"{path}/rest"), Batches(spark, f"{path}/done")
+        self.size, self.by, self.order, self.shape = size, by, order, shape
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        mark = stored_tables()
+        place, at, key, first, n, before = fresh(df, "place", "at", "key", "first", "n", "before")
+        items, done = df.withColumn(place, F.lit(None).cast("long")), None
+        if batch:
+            last = F.col("batch") == batch - 1
+            held = self.rest.read(f"{schema_of(df)}, `{place}` long").filter(last).drop("batch")
+            done = self.done.read(f"{schema_of(df.select(F.col(self.by).alias('key')))}, windows long").filter(last).select(F.col("key").alias(key), F.col("windows").alias(before))
+            items = items.unionByName(held)
+        # What waited comes first.
+        placed = with_dense_id(items, [self.by, F.col(place).asc_nulls_last(), *self.order], at)
+        keys = placed.groupBy(F.col(self.by).alias(key)).agg(F.min(at).alias(first), F.count("*").alias(n))
+        if done is None:
+            keys = keys.withColumn(before, F.lit(0).cast("long"))
+        else:
+            known = done.withColumnRenamed(key, f"{key}_")
+            keys = known.join(keys, F.col(key).eqNullSafe(F.col(f"{key}_")), "full")
+            keys = keys.select(F.coalesce(key, f"{key}_").alias(key), F.coalesce(first, F.lit(0)).alias(first), F.coalesce(n, F.lit(0)).alias(n), F.coalesce(before, F.lit(0)).alias(before))
+        keys = stored(keys, "window-keys")
+        rows = placed.join(keys, F.col(self.by).eqNullSafe(F.col(key))).withColumn(place, F.col(at) - F.col(first))
+        full = F.expr(f"`{n}` div {self.size}")
+        whole = F.expr(f"`{place}` div {self.size}") < full
+        self.windows(self.shape(rows.filter(whole).select(*df.columns, (F.col(before) + F.expr(f"`{place}` div {self.size}")).alias("window"))), batch)
+        self.rest(rows.filter(~whole).select(*df.columns, place), batch)
+        self.done(keys.select(F.col(key).alias("key"), (F.col(before) + full).alias("windows")), batch)
+        drop_stored_since(mark)
