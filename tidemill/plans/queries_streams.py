@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +36,10 @@ def stopped_and_resumed(stream: DataFrame, sink: S.Sink, stop_after: int, mode:
         raise RuntimeError("the stream wasn't stopped and resumed")
 
 
-def collected(stream: DataFrame, schema: str, stop_after: int = 1, mode: str = "append", shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """What a stopped and resumed stream has written, ``shape`` of each micro-batch."""
+def collected(stream: DataFrame, schema: str, stop_after: int = 1, mode: str = "append") -> DataFrame:
+    """What a stopped and resumed stream has written."""
     out = S.Batches(stream.sparkSession, work_path(stream.sparkSession, "stream-rows"))
-    stopped_and_resumed(stream, lambda df, batch: out(shape(df), batch), stop_after, mode)
+    stopped_and_resumed(stream, out, stop_after, mode)
     return out.read(schema)
 
 
@@ -88,8 +86,9 @@ PLACED = "SELECT *, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, eve
 @query("t04_windows_stream", f'SELECT user_id % 3 AS trainer, CAST(k // 50 AS BIGINT) AS "window", count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM ({PLACED}) WHERE k // 50 < n // 50 GROUP BY 1, 2')
 def t04_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("trainer"), "event_id", "ts", "value")
-    stream = S.count_windows(arriving(items, ["ts", "event_id"], 3), 50, by="trainer", order=["ts", "event_id"])
-    rows = collected(stream, S.schema_of(stream))
+    sink = S.WindowSink(spark, work_path(spark, "windows"), 50, by="trainer", order=["ts", "event_id"])
+    stopped_and_resumed(arriving(items, ["ts", "event_id"], 3), sink, 1)
+    rows = sink.windows.read(f"{S.schema_of(items)}, window long")
     return rows.groupBy("trainer", "window").agg(F.count("*").alias("n"), rounded(F.sum("value")).alias("total"))
 
 
@@ -97,9 +96,10 @@ def t04_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t03_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows come out whole, so each micro-batch assembles its own."""
     items = table(spark, sf_dir, "events").select(F.lit(0).alias("trainer"), "event_id", "ts", F.col("value").alias("seconds"), F.lit(0.0).alias("tools"), (F.col("event_id") % 5).alias("max_global_steps"), F.lit(0).alias("min_global_steps"))
-    stream = S.count_windows(arriving(items, ["ts", "event_id"], 3), 100, by="trainer", order=["ts", "event_id"])
     shape = lambda df: Q.assemble(df, seconds="seconds", tool_seconds="tools").select("window", "items", rounded(F.col("`processing_time/tp95`")).alias("tp95"), "versions")
-    return collected(stream, "window long, items long, tp95 double, versions long", shape=shape).drop("batch")
+    sink = S.WindowSink(spark, work_path(spark, "windows"), 100, by="trainer", order=["ts", "event_id"], shape=shape)
+    stopped_and_resumed(arriving(items, ["ts", "event_id"], 3), sink, 1)
+    return sink.windows.read("window long, items long, tp95 double, versions long").drop("batch")
 
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'running' ELSE 'failure' END"
