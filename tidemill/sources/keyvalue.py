@@ -4,10 +4,11 @@
 an Arrow file a task and bucket, and a manifest of the files that is written when all tasks are done, so a write that
 failed leaves nothing that is read. ``spark.read.format("keyvalue").schema(...)`` reads the fields of the schema alone, each
 bucket in a task, and of each key the newest value of each field that a write gave it (a null among them counts). Equality and IN filters on the key
-choose buckets before any file is opened.
+choose buckets before any file is opened. A bucket's rows lie in ``CELLS`` cells by the rest of the hash: the record batches of a file are of cells
+0, 1, ... in turn, so a task reads and holds a cell of its bucket at a time, of a few keys only theirs.
 
 Options: ``path`` (local, ``file:`` or another store that Arrow knows), ``key_column`` (``key``), ``buckets`` (32, on the first
-write). A task holds a bucket, so buckets are chosen by the store's size. Rows without a key raise; a key that is twice in one
+write). A task holds a cell of a bucket, so buckets are chosen by the store's size. Rows without a key raise; a key that is twice in one
 write has its last row, by file and place.
 """
 
@@ -18,16 +19,19 @@ import time
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 BUCKETS, BATCH_ROWS = 32, 10_000
+#: Cells of a bucket; a writer sorts rows into them once it has this many bytes or rows, and a reader leaves this many files open.
+CELLS, HELD_BYTES, HELD_ROWS, OPEN_FILES = 32, 32 << 20, 100_000, 128
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -36,9 +40,14 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def place_of(key: object, buckets: int, cells: int = 1) -> tuple[int, int]:
+    """A key's bucket and its cell there, the same on every machine: a CRC of the key's text."""
+    rest, bucket = divmod(zlib.crc32(str(key).encode()), buckets)
+    return bucket, rest % cells
+
+
 def bucket_of(key: object, buckets: int) -> int:
-    """The same on every machine: a CRC of the key's text."""
-    return zlib.crc32(str(key).encode()) % buckets
+    return place_of(key, buckets)[0]
 
 
 def manifests(path: str) -> list[dict]:
@@ -57,6 +66,9 @@ def manifests(path: str) -> list[dict]:
 class Bucket(InputPartition):
     number: int
     files: list[str]
+    #: How many cells the files' batches are of in turn, and those that are wanted.
+    cells: int = 1
+    wanted: Sequence[int] = (0,)
 
 
 @dataclass
@@ -83,43 +95,68 @@ class KeyValueReader(DataSourceReader):
         writes = manifests(self.path)
         if not writes:
             return [Bucket(0, [])]
-        buckets = writes[0]["buckets"]
-        chosen = None if self.wanted is None else {bucket_of(v, buckets) for v in self.wanted if v is not None}
+        # Stores written before there were cells have one.
+        buckets, cells = writes[0]["buckets"], writes[0].get("cells", 1)
+        chosen: dict[int, set[int]] = {}
+        for v in self.wanted or ():
+            if v is not None:
+                number, cell = place_of(v, buckets, cells)
+                chosen.setdefault(number, set()).add(cell)
         files: dict[int, list[str]] = {}
         for w in writes:
             for number, name in w["files"]:
-                if chosen is None or number in chosen:
+                if self.wanted is None or number in chosen:
                     files.setdefault(number, []).append(name)
-        return [Bucket(n, names) for n, names in sorted(files.items())] or [Bucket(0, [])]
+        return [Bucket(n, names, cells, sorted(chosen[n]) if n in chosen else list(range(cells))) for n, names in sorted(files.items())] or [Bucket(0, [])]
 
     def read(self, partition: Bucket) -> Iterator[pa.RecordBatch]:
-        """Of each key and field the value of the last file that has the field, and of its last row there."""
+        """Of each key and field the value of the last file that has the field, and of its last row there; cell by cell."""
         fs, folder = _open(self.path)
-        newest: dict[object, dict[str, object]] = {}
-        for name in partition.files:
-            with fs.open_input_file(f"{folder}/{name}") as f:
-                reader = pa.ipc.open_file(f)
-                have = [c for c in self.fields if c in reader.schema.names]
-                columns = sorted({reader.schema.get_field_index(c) for c in [self.key, *have]})
-                with fs.open_input_file(f"{folder}/{name}") as g:
-                    chosen = pa.ipc.open_file(g, options=pa.ipc.IpcReadOptions(included_fields=columns)).read_all()
-            keys = chosen.column(self.key).to_pylist()
-            rows = {k: i for i, k in enumerate(keys)}  # the last row of a key
-            values = {c: chosen.column(c) for c in have}
-            for k, i in rows.items():
-                newest.setdefault(k, {}).update({c: (v, i) for c, v in values.items()})
-        keys = list(newest)
-        for at in range(0, len(keys), BATCH_ROWS):
-            part = [newest[k] for k in keys[at : at + BATCH_ROWS]]
-            columns = [[x[c][0][x[c][1]].as_py() if c in x else None for x in part] for c in self.fields]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, self.arrow, strict=True)], schema=self.arrow)
+        with ExitStack() as stack:
+
+            def opened(name: str, within: ExitStack) -> tuple[pa.ipc.RecordBatchFileReader, list[str]]:
+                source = within.enter_context(fs.open_input_file(f"{folder}/{name}"))
+                names = pa.ipc.open_file(source).schema.names
+                have = [c for c in self.fields if c in names]
+                columns = sorted({names.index(c) for c in [self.key, *have]})
+                return pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=columns)), have
+
+            few = len(partition.files) <= OPEN_FILES
+            kept = [opened(name, stack) for name in partition.files] if few else []
+            for cell in partition.wanted:
+                parts = []
+                for k, name in enumerate(partition.files):
+                    with ExitStack() as within:
+                        reader, have = kept[k] if few else opened(name, within)
+                        batches = [reader.get_batch(i) for i in range(cell, reader.num_record_batches, partition.cells)]
+                        parts += [(b, have) for b in batches if b.num_rows]
+                if parts:
+                    yield from self._newest(parts)
+
+    def _newest(self, parts: list[tuple[pa.RecordBatch, list[str]]]) -> Iterator[pa.RecordBatch]:
+        """The newest values of the keys of batches, which come in the order of their writes, each with the fields it has."""
+        kind = dict(zip(self.fields, self.arrow.types, strict=True)).get(self.key, parts[0][0].column(self.key).type)
+        coded = pa.chunked_array([b.column(self.key).cast(kind) for b, _ in parts]).combine_chunks().dictionary_encode()
+        codes, starts = coded.indices.to_numpy(), np.cumsum([0, *[b.num_rows for b, _ in parts]])
+        columns: list[pa.Array] = []
+        for f in self.arrow:
+            given = [k for k, (_, have) in enumerate(parts) if f.name in have]
+            if f.name == self.key or not given:
+                columns.append(coded.dictionary if f.name == self.key else pa.nulls(len(coded.dictionary), f.type))
+                continue
+            values = pa.chunked_array([parts[k][0].column(f.name).cast(f.type) for k in given]).combine_chunks()
+            last = np.full(len(coded.dictionary), -1)
+            np.maximum.at(last, np.concatenate([codes[starts[k] : starts[k + 1]] for k in given]), np.arange(len(values)))
+            columns.append(values.take(pa.array(last, mask=last < 0)))
+        table = pa.Table.from_arrays(columns, schema=self.arrow)
+        yield from table.to_batches(max_chunksize=BATCH_ROWS)
 
 
 class KeyValueWriter(DataSourceArrowWriter):
     def __init__(self, path: str, key: str, buckets: int | None):
         earlier = manifests(path)
         self.path, self.key, self.id = path, key, uuid.uuid4().hex
-        self.buckets = earlier[0]["buckets"] if earlier else buckets or BUCKETS
+        self.buckets, self.cells = (earlier[0]["buckets"], earlier[0].get("cells", 1)) if earlier else (buckets or BUCKETS, CELLS)
         if buckets and buckets != self.buckets:
             raise ValueError(f"the store has {self.buckets} buckets")
 
@@ -127,18 +164,35 @@ class KeyValueWriter(DataSourceArrowWriter):
         fs, folder = _open(self.path)
         fs.create_dir(f"{folder}/rows", recursive=True)
         open_files: dict[int, tuple] = {}
+        held: list[pa.RecordBatch] = []
+
+        def put() -> None:
+            """The held rows by bucket and cell, a batch for each cell of a bucket that has rows."""
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            places = [place_of(k, self.buckets, self.cells) for k in rows.column(self.key).to_pylist()]
+            at = np.array([b * self.cells + c for b, c in places], np.int64)
+            order = np.argsort(at, kind="stable")  # a key's rows stay in their order
+            rows, at = rows.take(order).combine_chunks(), at[order]
+            for number in np.unique(at // self.cells).tolist():
+                if number not in open_files:
+                    name = f"rows/{number:05d}-{self.id}-{uuid.uuid4().hex}.arrow"
+                    stream = fs.open_output_stream(f"{folder}/{name}")
+                    open_files[number] = (name, stream, pa.ipc.new_file(stream, rows.schema))
+                ends = np.searchsorted(at, np.arange(number * self.cells, (number + 1) * self.cells + 1))
+                for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    part = rows.slice(low, high - low).combine_chunks().to_batches()
+                    open_files[number][2].write_batch(part[0] if part else pa.RecordBatch.from_pylist([], schema=rows.schema))
+
         try:
             for batch in iterator:
-                keys = batch.column(batch.schema.get_field_index(self.key))
-                if keys.null_count:
+                if batch.column(batch.schema.get_field_index(self.key)).null_count:
                     raise ValueError("a row without a key")
-                numbers = pa.array([bucket_of(k, self.buckets) for k in keys.to_pylist()], pa.int32())
-                for number in pc.unique(numbers).to_pylist():
-                    if number not in open_files:
-                        name = f"rows/{number:05d}-{self.id}-{uuid.uuid4().hex}.arrow"
-                        stream = fs.open_output_stream(f"{folder}/{name}")
-                        open_files[number] = (name, stream, pa.ipc.new_file(stream, batch.schema))
-                    open_files[number][2].write_batch(batch.filter(pc.equal(numbers, number)))
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= HELD_ROWS or sum(b.nbytes for b in held) >= HELD_BYTES:
+                    put()
+            if sum(b.num_rows for b in held):
+                put()
         finally:
             for _, stream, writer in open_files.values():
                 writer.close()
@@ -150,7 +204,7 @@ class KeyValueWriter(DataSourceArrowWriter):
         fs, folder = _open(self.path)
         fs.create_dir(f"{folder}/_writes", recursive=True)
         with fs.open_output_stream(f"{folder}/_writes/{self.id}.tmp") as f:
-            f.write(json.dumps({"id": self.id, "at": time.time(), "buckets": self.buckets, "files": files}).encode())
+            f.write(json.dumps({"id": self.id, "at": time.time(), "buckets": self.buckets, "cells": self.cells, "files": files}).encode())
         fs.move(f"{folder}/_writes/{self.id}.tmp", f"{folder}/_writes/{self.id}.json")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
