@@ -52,3 +52,21 @@ def test_empty_stores_and_repeated_keys(spark, tmp_path):
     assert [tuple(r) for r in K.get(spark, path, "key string, x int").collect()] == [("a", 2)]
     with pytest.raises(PySparkException):
         spark.read.format("keyvalue").options(path=path).load()
+
+
+def test_a_task_holds_a_cell_at_a_time(spark, tmp_path, monkeypatch):
+    """Files hold batches of cells in turn; a reader makes its rows of a cell's alone, of one key's cell where one is wanted."""
+    path = str(tmp_path / "store")
+    K.put(spark.range(4000).select(F.col("id").alias("key"), F.lit(1).alias("a")), path, buckets=2)
+    K.put(spark.range(0, 4000, 3).select(F.col("id").alias("key"), F.lit(None).cast("int").alias("a"), F.lit("s").alias("b")), path)
+    from pyspark.sql.types import StructType
+
+    reader = K.KeyValueReader(path, "key", StructType.fromDDL("key long, a int, b string"))
+    held, newest = [], reader._newest
+    monkeypatch.setattr(reader, "_newest", lambda parts: (held.append(sum(b.num_rows for b, _ in parts)), newest(parts))[1])
+    rows = {r["key"]: (r["a"], r["b"]) for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()}
+    assert rows == {k: (1, None) if k % 3 else (None, "s") for k in range(4000)}
+    assert len(held) == 2 * K.CELLS and max(held) < 4000 / K.CELLS * 2
+    held.clear()
+    reader.wanted = {77}
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) < 200 and len(held) == 1
