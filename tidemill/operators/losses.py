@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import arrays as A
 from tidemill.functions.registry import Registry
 from tidemill.operators.sampling import hash_order
+from tidemill.sources.storage import stored
 
 AGGREGATIONS: Registry[Callable] = Registry("loss aggregation")
 POLICY_LOSSES: Registry[Callable] = Registry("policy loss", overwrite=True)
@@ -234,9 +235,13 @@ def geo_mean(df: DataFrame, cfg: LossConfig, mode: str | None = None, weights: s
 
 
 def _covariances(df: DataFrame) -> DataFrame:
-    """Tokens (row_id, pos, m, a, lp, old, w, cov): advantage and log-probability less their masked batch means, multiplied."""
+    """Tokens (row_id, pos, m, a, lp, old, cov): advantage and log-probability less their masked batch means, multiplied.
+
+    The tokens are stored, as means, quantiles, counts and ranks each read them and a batch's plan may be long.
+    """
     names = {"m": "response_mask", "a": "advantages", "lp": "log_probs", "old": "old_log_probs"}
     tokens = df.select("row_id", F.posexplode(F.arrays_zip(*[F.col(c).alias(n) for n, c in names.items()])).alias("pos", "t")).select("row_id", "pos", "t.*")
+    tokens = stored(tokens, "tokens")
     means = tokens.filter("m <> 0").agg(F.avg("a").alias("a"), F.avg("lp").alias("lp"))
     shifted = tokens.withColumns({"_a": means.select("a").scalar(), "_lp": means.select("lp").scalar()})
     return shifted.withColumn("cov", (F.col("a") - F.col("_a")) * (F.col("lp") - F.col("_lp"))).drop("_a", "_lp")
