@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import arrays as A
 from tidemill.functions.registry import Registry
 from tidemill.operators.sampling import hash_order
+from tidemill.sources.storage import stored
 
 Estimator = Callable[..., DataFrame]
 ESTIMATORS: Registry[Estimator] = Registry("estimator", allow_same=True)
@@ -313,9 +314,12 @@ def pf_resample(df: DataFrame, *, method: str = "pow", power: float = 2.0, seed:
     one for each row id).
 
     Inverse distribution by an equi-join: draws and cumulative weights meet in cells of the unit interval, so neither side
-    is sent everywhere. Draws are hashes of their number: the same seed draws the same.
+    is sent everywhere. There is a cell for every four rows, so what meets grows with the rows and not with their square.
+    Draws are hashes of their number: the same seed draws the same. The weighted rows are stored, as sums, cells and draws
+    each read them.
     """
-    weighted = pf_weights(method, power)(df)
+    weighted = stored(pf_weights(method, power)(df), "weighted")
+    n_cells = F.lit(max(chunks, weighted.count() // 4))
     chunked = weighted.withColumn("_chunk", F.pmod("row_id", F.lit(chunks)))
     sums = chunked.groupBy("_chunk").agg(F.sum("weight").alias("_sum"))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -324,8 +328,8 @@ def pf_resample(df: DataFrame, *, method: str = "pow", power: float = 2.0, seed:
     inside = Window.partitionBy("_chunk").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = chunked.join(base, "_chunk").withColumn("_high", (F.col("_base") + F.sum("weight").over(inside)) / total)
     placed = placed.withColumn("_low", F.col("_high") - F.col("weight") / total)
-    cells = placed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * chunks), F.floor(F.col("_high") * chunks))))
-    draws = df.select(F.col("row_id").alias("draw"), (hash_order(seed, "row_id") / F.lit(float(1 << 60))).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * chunks))
+    cells = placed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * n_cells), F.floor(F.col("_high") * n_cells))))
+    draws = weighted.select(F.col("row_id").alias("draw"), (hash_order(seed, "row_id") / F.lit(float(1 << 60))).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * n_cells))
     return cells.join(draws, "_cell").filter("_u >= _low and _u < _high").drop("_chunk", "_base", "_high", "_low", "_cell", "_u", "weight")
 
 
