@@ -23,6 +23,8 @@ __all__ = ["drop_spool", "drop_spooled_since", "shared_dir", "spool", "spooled",
 LATIN_END = "\u0250"
 #: A key with more than this part of all rows is hot, so there are fewer hot keys than ``HOT_PART``, whatever the data.
 HOT_PART = 1024
+#: Nor is a key hot with fewer rows than this, which are no task's burden; so small tables have none.
+HOT_ROWS = 1000
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -41,27 +43,43 @@ def join_unique(rows: DataFrame, one: DataFrame, keys: list[str], *, weight: str
     """``rows`` with the columns of ``one``, which has a row for each key; without rows that find none, unless ``outer``.
 
     ``one`` says in ``weight`` how many rows have the key, of ``total`` (``weight`` isn't in the result). Keys with more
-    than a ``HOT_PART``-th of them, fewer than ``HOT_PART`` by their definition, are broadcast and their rows stay where
+    than a ``HOT_PART``-th of them and ``HOT_ROWS``, fewer than ``HOT_PART`` by their definition, are broadcast and their rows stay where
     they are; the others are shuffled, none of which fills a task (with ``merge`` also where Spark would broadcast a small ``one``,
     so that plans are alike at every size). Rows with a null in the keys find nothing and aren't
-    shuffled either. ``rows`` is read once for each of these parts, so it should be a table.
+    shuffled either. ``rows`` is read once for each of these parts, so it should be a table. Where no key is hot,
+    which is tested at once, there is one part.
     """
-    is_hot = F.col(weight) * HOT_PART > total
+    is_hot = F.col(weight) > hot_from(total)
     extra = [c for c in one.columns if c not in keys and c != weight]
-    hot = F.broadcast(one.filter(is_hot).select(*keys, *extra))  # fewer than HOT_PART rows
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    with_hot = rows.filter(whole).join(hot, keys)
-    cold = rows.filter(whole).join(F.broadcast(one.filter(is_hot).select(*keys)), keys, "left_anti")  # fewer than HOT_PART rows
-    others = one.filter(~is_hot).select(*keys, *extra)
-    found = with_hot.unionByName(cold.join(others.hint("merge") if merge else others, keys, "left" if outer else "inner"))
+    cold, others, with_hot = rows.filter(whole), one.select(*keys, *extra), None
+    if has_hot(one, weight, total):
+        hot = F.broadcast(one.filter(is_hot).select(*keys, *extra))  # fewer than HOT_PART rows
+        with_hot = cold.join(hot, keys)
+        cold = cold.join(F.broadcast(one.filter(is_hot).select(*keys)), keys, "left_anti")  # fewer than HOT_PART rows
+        others = one.filter(~is_hot).select(*keys, *extra)
+    found = cold.join(others.hint("merge") if merge else others, keys, "left" if outer else "inner")
+    found = found if with_hot is None else with_hot.unionByName(found)
     if outer:
         found = found.unionByName(rows.filter(~whole).select("*", *[F.lit(None).cast(one.schema[c].dataType).alias(c) for c in extra]))
     return found.select(*rows.columns, *extra)
 
 
+def hot_from(total: int) -> int:
+    """A key with more rows than this, of ``total``, is hot."""
+    return max(total // HOT_PART, HOT_ROWS)
+
+
+def has_hot(one: DataFrame, weight: str, total: int) -> bool:
+    """Whether a key of ``one`` is hot. Without hot keys plans need no broadcasts and fewer stages, each of which costs the driver memory."""
+    return (one.agg(F.max(weight)).first()[0] or 0) > hot_from(total)
+
+
 def keep_keys(rows: DataFrame, keys: DataFrame, key: str, *, weight: str, total: int, having: bool) -> DataFrame:
     """``rows`` whose non-null key is, or (``having`` false) isn't, in ``keys``; hot keys as in ``join_unique``."""
-    is_hot = F.col(weight) * HOT_PART > total
+    is_hot = F.col(weight) > hot_from(total)
+    if not has_hot(keys, weight, total):
+        return rows.join(keys.select(key), key, "left_semi" if having else "left_anti")
     hot, cold = F.broadcast(keys.filter(is_hot).select(key)), keys.filter(~is_hot).select(key)  # fewer than HOT_PART rows
     others = rows.join(hot, key, "left_anti")
     if not having:

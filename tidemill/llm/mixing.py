@@ -94,6 +94,7 @@ def schedule(targets: DataFrame, *, block: int) -> DataFrame:
     points = spark.range(-(-words // block)).select(F.col("id").alias("slot"), ((F.col("id") % GOLDEN_MOD) * GOLDEN_STEP % GOLDEN_MOD).alias("point"))
     points = points.withColumn("cell", F.expr(f"point div {cell_size}"))
     dealt = points.join(parts, "cell").filter("point >= low and point < high").select("slot", "s", F.shiftright("slot", 16).alias("chunk"))
+    dealt = spool(dealt, "mix-points")  # read three times
     ranked = _ranked_in_chunks(dealt, ["s"], "chunk", [F.col("slot")], F.lit(1), "r")
     counts = dealt.groupBy("s").agg(F.count("*").alias("n"))
     alone = targets.filter("width > 0").select("s").join(counts, "s", "left_anti")
@@ -122,12 +123,14 @@ def mix_sizes(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_epo
     equal = sized.withColumn("part", F.spark_partition_id()).groupBy("doc_id", "source", "size", "text_hash", "h", "part").agg(F.count("*").alias("copies"))
     bits = max(LEAST_BUCKET_BITS, (sized.count() // BUCKET_ROWS).bit_length())
     keyed = equal.join(targets.select(F.col("source").alias("of"), "s"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("bucket", F.shiftright("h", HASH_BITS - bits))
+    keyed = spool(keyed, "mix-keyed")  # read three times
     order = [F.col(c) for c in ("h", "doc_id", "size", "text_hash", "part")]
     laid = _ranked_in_chunks(keyed.filter("size > 0"), ["s"], "bucket", order, F.col("size") * F.col("copies"), "start")
     laid = laid.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("start") + F.col("k") * F.col("size"))
     pieces = laid.select("doc_id", "text_hash", "s", "size", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("cell"))
     low, high = F.greatest(F.col("start"), F.col("cell") * block), F.least(F.col("start") + F.col("size"), (F.col("cell") + 1) * block)
-    met = pieces.withColumns({"low": low, "high": high}).join(_stretches(schedule(targets, block=block), targets, block), ["s", "cell"], "left")
+    stretches = spool(_stretches(schedule(targets, block=block), targets, block), "mix-stretches")
+    met = pieces.withColumns({"low": low, "high": high}).join(stretches, ["s", "cell"], "left")
     over = F.aggregate(F.coalesce("stretches", F.array().cast("array<struct<low:bigint,high:bigint>>")), F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.least(x["high"], F.col("high")) - F.greatest(x["low"], F.col("low")), F.lit(0)))
     taken = met.groupBy("doc_id", "text_hash", "s", "size", "start").agg(F.sum(over).alias("taken")).drop("start")
     nothing = keyed.filter("size = 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -91,6 +91,14 @@ def unit_rows(table: np.ndarray) -> np.ndarray:
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
+def unit_table(table: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """``unit_rows`` in single precision, some rows at a time, so that the driver holds no further table of doubles."""
+    out = np.empty(table.shape, np.float32)
+    for at in range(0, len(table), at_once):
+        out[at : at + at_once] = unit_rows(table[at : at + at_once])
+    return out
+
+
 @dataclass
 class WordVectors:
     """The rows of words, then those of classes; a row of zeros is empty."""
@@ -236,7 +244,8 @@ def learn_vectors(texts: DataFrame) -> WordVectors:
     found = pairs.mapInArrow(row_sums, "row long, vector binary").toArrow()
     for row, vector in zip(found.column(0).to_pylist(), found.column(1), strict=True):
         table[row] += np.frombuffer(vector.as_buffer(), np.float64)
-    return WordVectors(unit_rows(table).astype(np.float32))
+    del found
+    return WordVectors(unit_table(table))
 
 
 @dataclass
