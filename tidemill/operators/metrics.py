@@ -17,6 +17,10 @@ from tidemill.functions.names import fresh
 from tidemill.operators import selection
 from tidemill.operators.batch import with_dense_id
 from tidemill.operators.correction import as_metrics
+from tidemill.sources.storage import stored
+
+#: Draws of all sizes of groups that a bootstrap broadcasts at most, of 8 bytes each.
+BROADCAST_PICKS = 1 << 21
 
 
 def share(condition: Column) -> Column:
@@ -232,12 +236,17 @@ def bootstrap(df: DataFrame, *, size: int, fns: dict[str, Callable[[Column], Col
     """(by, fn, mean, std): seeded bootstrap per group, the mean and population deviation of aggregates (``F.max`` and the like)
     over samples with replacement.
 
-    What is drawn depends on a group's size alone, so draws are a relation (n, draw, place) of the sizes there are, made
-    once for each, that meets the rows by their place in their group: a group of any size is never in one task.
+    What is drawn depends on a group's size alone. Groups of fewer rows than there are draws of one are an array each, and
+    meet the draws of their size where they lie, so no draw is shuffled. The draws of larger groups are a relation that
+    meets the rows by their place in their group, fewer than there are rows: a group of any size is never in one task.
     """
     at, n, place, draw = fresh(df, "at", "n", "place", "draw")
+    few = max(1, min(draws * size, BROADCAST_PICKS // (draws * size)))
     placed = with_dense_id(df.select(by, order, value), [by, order], at)
-    groups = placed.groupBy(by).agg(F.min(at).alias("first"), F.count("*").alias(n)).withColumnRenamed(by, "of")
+    # A group's rows lie together. Of a group of few rows or more all slices but the first and the last are full, and full ones aren't kept.
+    slices = placed.groupBy(by, F.floor(F.col(at) / few).alias("slice")).agg(F.min(at).alias("first"), F.count("*").alias("rows"), F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))).alias("part"))
+    groups = slices.groupBy(by).agg(F.min("first").alias("first"), F.sum("rows").alias(n), F.flatten(F.collect_list(F.when(F.col("rows") < few, F.col("part")))).alias("part"))
+    groups = stored(groups.withColumnRenamed(by, "of"), "bootstrap-groups")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,13 +254,24 @@ def bootstrap(df: DataFrame, *, size: int, fns: dict[str, Callable[[Column], Col
                 picks = np.random.RandomState(seed).choice(many, size=(draws, size), replace=True).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(picks), many)), pa.array(np.repeat(np.arange(draws), size)), pa.array(picks.astype(np.int64))], ["n", "draw", "place"])
 
-    relation = groups.select(n).distinct().mapInArrow(pick, "n long, draw long, place long")
+    def summed(picked: DataFrame) -> DataFrame:
+        found = picked.groupBy("base", draw).agg(F.first("of").alias("of"), *[fn(F.col(value)).cast("double").alias(f"f{k}") for k, fn in enumerate(fns.values())])
+        long = found.select("base", "of", F.inline(F.array(*[F.struct(F.lit(name).alias("fn"), F.col(f"f{k}").alias("v")) for k, name in enumerate(fns)])))
+        return long.groupBy("base", "fn").agg(F.first("of").alias(by), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).select(by, "fn", "mean", "std")
+
+    def relation(of: DataFrame) -> DataFrame:
+        return of.select(n).distinct().mapInArrow(pick, "n long, draw long, place long").select(F.col("n").alias(n), F.col("draw").alias(draw), "place")
+
+    small, large = groups.filter(F.col(n) < few), groups.filter(F.col(n) >= few)
+    # Fewer than ``few`` sizes, of draws * size places each.
+    of_size = F.broadcast(relation(small).groupBy(n).agg(F.collect_list(F.struct(F.col(draw).cast("int").alias("draw"), F.col("place").cast("int").alias("place"))).alias("picks")))
+    # Parted by group, in which state the aggregates by draw find them.
+    arrays = small.select(F.col("first").alias("base"), "of", n, F.sort_array("part")["v"].alias("vs")).repartition("base").join(of_size, n)
+    picked = arrays.select("base", "of", "vs", F.inline("picks")).select("base", "of", F.col("draw").alias(draw), F.get("vs", F.col("place")).alias(value))
     # A size's draws meet each group of that size; groups of a common size are spread over copies of its draws.
-    copies = relation.select(F.col("n").alias(n), F.col("draw").alias(draw), "place", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("copy"))
-    wanted = groups.withColumn("copy", F.pmod(F.xxhash64("first"), F.lit(16)).cast("int")).join(copies, [n, "copy"]).select(F.col("first").alias("base"), draw, (F.col("first") + F.col("place")).alias(at))
-    found = wanted.join(placed, at).groupBy("base", draw).agg(F.first(by).alias(by), *[fn(F.col(value)).cast("double").alias(f"f{k}") for k, fn in enumerate(fns.values())])
-    long = found.select("base", by, F.inline(F.array(*[F.struct(F.lit(name).alias("fn"), F.col(f"f{k}").alias("v")) for k, name in enumerate(fns)])))
-    return long.groupBy("base", "fn").agg(F.first(by).alias(by), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).select(by, "fn", "mean", "std")
+    copies = relation(large).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    wanted = large.withColumn("copy", F.pmod(F.xxhash64("first"), F.lit(16)).cast("int")).join(copies, [n, "copy"]).select(F.col("first").alias("base"), "of", draw, (F.col("first") + F.col("place")).alias(at))
+    return summed(picked).unionByName(summed(wanted.join(placed.select(at, value), at)))
 
 
 def majority_value(df: DataFrame, *, by: str = "uid", vote: str = "pred", value: str = "value", order: str = "row_id") -> DataFrame:
