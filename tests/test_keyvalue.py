@@ -70,3 +70,43 @@ def test_a_task_holds_a_cell_at_a_time(spark, tmp_path, monkeypatch):
     held.clear()
     reader.wanted = {77}
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) < 200 and len(held) == 1
+
+
+def test_memory_is_a_cells_whatever_the_store_has(spark, tmp_path):
+    """A writer's peak doesn't grow with its rows, a reader's (of a few keys, of all) stays below the bytes of its store."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    def peak(work):
+        usual = pa.default_memory_pool()
+        counted = pa.proxy_memory_pool(usual)
+        pa.set_memory_pool(counted)
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1] + counted.max_memory()
+        finally:
+            tracemalloc.stop()
+            pa.set_memory_pool(usual)
+
+    def batches(rows):
+        for low in range(0, rows, 10_000):
+            yield pa.RecordBatch.from_pydict({"key": pa.array(range(low, low + 10_000), pa.int64()), "a": pa.array([0.5] * 10_000)})
+
+    def rows_read(reader):
+        return sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+
+    writes = {}
+    for rows in (150_000, 300_000):
+        path = str(tmp_path / f"store{rows}")
+        writer = K.KeyValueWriter(path, "key", 2)
+        message, writes[rows] = peak(lambda w=writer, n=rows: w.write(batches(n)))
+        writer.commit([message])
+        reader = K.KeyValueReader(path, "key", StructType.fromDDL("key long, a double"))
+        found, held = peak(lambda r=reader: rows_read(r))
+        assert found == rows and held < 16 * rows
+        reader.wanted = {77, 78}
+        found, held = peak(lambda r=reader: rows_read(r))
+        assert found < rows / 8 and held < 16 * rows
+    assert writes[300_000] < 1.3 * writes[150_000]
